@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from motiondeck.llm.ngram_join import op3_ngram_trie_join
 from motiondeck.llm.quality_gam import op8_quality_gam
 from motiondeck.llm.toxicity import op9_toxicity_subwords
 
 QUERIES = {
+    "op3_ngram_trie_join": op3_ngram_trie_join,
     "op8_quality_gam": op8_quality_gam,
     "op9_toxicity_subwords": op9_toxicity_subwords,
 }

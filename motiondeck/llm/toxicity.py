@@ -20,7 +20,7 @@ repeated; a null doc_id is scored but never trained on; columns beyond doc_id an
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -105,20 +105,25 @@ class SubwordSoftmax:
         return 1 / (1 + np.exp(-np.clip(self.slope * raw + self.offset, -60, 60)))
 
 
-def fit(texts: list[str], toxic: np.ndarray, *, buckets: int = 1 << 17, dim: int = 8, window: int = 6, outer: int = 4, steps: int = 12, seed: int = 7) -> SubwordSoftmax:
+def fit(texts: Iterable[str], toxic: np.ndarray, *, buckets: int = 1 << 17, dim: int = 8, window: int = 6, outer: int = 4, steps: int = 12, most: int = 50000, seed: int = 7) -> SubwordSoftmax:
     rng = np.random.default_rng(seed)
     toxic = np.asarray(toxic, dtype=bool)
     index: dict[str, int] = {}
-    docs = [np.fromiter((index.setdefault(w, len(index)) for w in _word_list(t)), dtype=np.int64) for t in texts]
+    docs = [np.fromiter((index.setdefault(w, len(index)) for w in _word_list(t)), dtype=np.int32) for t in texts]
     vocabulary = list(index)
+    del index
     model = SubwordSoftmax(np.zeros(buckets), 0.0, 1.0, 0.0, window)
     if not vocabulary or toxic.all() or not toxic.any():
         p = np.clip(toxic.mean() if len(toxic) else 0.0, 1e-3, 1 - 1e-3)
         model.offset = float(np.log(p / (1 - p)))
         return model
-    who, what = subwords(vocabulary, buckets)
-    order = np.argsort(who, kind="stable")
-    who, what = who[order], what[order]
+    parts = []
+    for at in range(0, len(vocabulary), 20000):  # in parts, to bound the memory of the n-gram codes
+        who, what = subwords(vocabulary[at : at + 20000], buckets)
+        order = np.argsort(who, kind="stable")
+        parts.append(((who[order] + at).astype(np.int32), what[order].astype(np.int32)))
+    who, what = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
     first = np.searchsorted(who, np.arange(len(vocabulary) + 1))
     counts = np.diff(first)
 
@@ -138,9 +143,9 @@ def fit(texts: list[str], toxic: np.ndarray, *, buckets: int = 1 << 17, dim: int
     clock = 0
     negatives = np.flatnonzero(~positive_doc)
     chosen_pos = np.flatnonzero(positive_doc)
-    chosen_neg = rng.choice(negatives, min(len(negatives), max(2000, 2 * len(chosen_pos)), 80000), replace=False)
-    if len(chosen_pos) > 80000:
-        chosen_pos = np.sort(rng.choice(chosen_pos, 80000, replace=False))
+    chosen_neg = rng.choice(negatives, min(len(negatives), max(2000, 2 * len(chosen_pos)), most), replace=False)
+    if len(chosen_pos) > most:
+        chosen_pos = np.sort(rng.choice(chosen_pos, most, replace=False))
     for _ in range(outer):
         chosen = np.concatenate([chosen_pos, chosen_neg])
         y = np.concatenate([np.ones(len(chosen_pos)), np.zeros(len(chosen_neg))]).astype(np.float32)
@@ -150,12 +155,11 @@ def fit(texts: list[str], toxic: np.ndarray, *, buckets: int = 1 << 17, dim: int
         inner = np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
         used, word = np.unique(flat[np.repeat(win_lo[chosen], span) + inner], return_inverse=True)
         n_sub = counts[used]
-        sub_of = np.repeat(np.arange(len(used)), n_sub)
-        sub = what[np.repeat(first[used], n_sub) + np.arange(n_sub.sum()) - np.repeat(np.cumsum(n_sub) - n_sub, n_sub)]
-        live, local = np.unique(sub, return_inverse=True)
+        sub_of = np.repeat(np.arange(len(used), dtype=np.int32), n_sub)
+        sub = what[np.repeat(first[used] - (np.cumsum(n_sub) - n_sub), n_sub) + np.arange(n_sub.sum())]
         for _ in range(steps):
             clock += 1
-            vec = np.stack([np.bincount(sub_of, embed[live, k][local], len(used)) for k in range(dim)], axis=1) / n_sub[:, None]
+            vec = np.stack([np.bincount(sub_of, embed[sub, k], len(used)) for k in range(dim)], axis=1) / n_sub[:, None]
             bag = np.stack([np.bincount(win_of, vec[word, k], len(chosen)) for k in range(dim)], axis=1) / window
             z = bag @ soft + bias
             z -= z.max(1, keepdims=True)
@@ -167,11 +171,11 @@ def fit(texts: list[str], toxic: np.ndarray, *, buckets: int = 1 << 17, dim: int
             g_soft, g_bias = bag.T @ d, d.sum(0)
             g_bag = (d @ soft.T) / window
             g_vec = np.stack([np.bincount(word, g_bag[win_of, k], len(used)) for k in range(dim)], axis=1) / n_sub[:, None]
-            g_embed = np.stack([np.bincount(local, g_vec[sub_of, k], len(live)) for k in range(dim)], axis=1)
-            for value, grad, at, (m, v) in ((embed, g_embed, live, state[:2]), (soft, g_soft, slice(None), state[2:4]), (bias, g_bias, slice(None), state[4:])):
-                m[at] = 0.9 * m[at] + 0.1 * grad
-                v[at] = 0.99 * v[at] + 0.01 * grad * grad
-                value[at] -= 0.1 * (m[at] / (1 - 0.9**clock)) / (np.sqrt(v[at] / (1 - 0.99**clock)) + 1e-8)
+            g_embed = np.stack([np.bincount(sub, g_vec[sub_of, k], buckets) for k in range(dim)], axis=1)
+            for value, grad, (m, v) in ((embed, g_embed, state[:2]), (soft, g_soft, state[2:4]), (bias, g_bias, state[4:])):
+                m += 0.1 * (grad - m)
+                v += 0.01 * (grad * grad - v)
+                value -= 0.1 * (m / (1 - 0.9**clock)) / (np.sqrt(v / (1 - 0.99**clock)) + 1e-8)
         side = soft[:, 1] - soft[:, 0]
         model.values, model.bias = (embed @ side).astype(np.float64), float(bias[1] - bias[0])
         logits = np.bincount(who, model.values[what], len(vocabulary)) / np.maximum(counts, 1)
@@ -183,7 +187,7 @@ def fit(texts: list[str], toxic: np.ndarray, *, buckets: int = 1 << 17, dim: int
         strong = win >= best[win_doc] - 0.25 * np.abs(best[win_doc])
         chosen_pos = np.flatnonzero(positive_doc & (top | (strong & (win + model.bias > 0))))
         hard = np.flatnonzero(~positive_doc & top)
-        chosen_neg = np.union1d(hard, rng.choice(negatives, min(len(negatives), 40000), replace=False))
+        chosen_neg = np.union1d(hard, rng.choice(negatives, min(len(negatives), most // 2), replace=False))
     raw = np.array([worst_window(logits[d], window) for d in docs])
     model.slope, model.offset = _calibrate(raw, toxic)
     return model
@@ -206,7 +210,8 @@ def train(docs: DataFrame, labels: DataFrame, *, parts: int = 5, held_out: int =
     bad = labelled(labels.where("toxic = 1"), "toxic", parts, held_out, max_toxic)
     good = labelled(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic = 0"), "toxic", parts, held_out, max_clean)
     got = docs.select("doc_id", "text").join(F.broadcast(bad.unionAll(good)), "doc_id").where("text is not null").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return fit(got.column("text").to_pylist(), np.array(got.column("label").to_pylist(), dtype=int) == 1)
+    toxic = got.column("label").to_numpy() == 1
+    return fit((x.as_py() for x in got.column("text")), toxic)
 
 
 def score(docs: DataFrame, model: SubwordSoftmax) -> DataFrame:

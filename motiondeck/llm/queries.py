@@ -10,10 +10,12 @@ from motiondeck.llm.ngram_join import op3_ngram_trie_join
 from motiondeck.llm.order_minhash import op6_order_minhash
 from motiondeck.llm.packing import op7_residual_packing
 from motiondeck.llm.page_diff import op5_page_diff
+from motiondeck.llm.piece_nbest import op1_piece_nbest
 from motiondeck.llm.quality_gam import op8_quality_gam
 from motiondeck.llm.toxicity import op9_toxicity_subwords
 
 QUERIES = {
+    "op1_piece_nbest": op1_piece_nbest,
     "op2_lang_ecoc": op2_lang_ecoc,
     "op3_ngram_trie_join": op3_ngram_trie_join,
     "op4_line_simhash": op4_line_simhash,

@@ -32,3 +32,6 @@ def oracle_sql() -> dict[str, str]:
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["sliding_windows"](spark, sf_dir)
+
+
+from motiondeck.plans import frames  # noqa: E402, F401  importing a plan registers its queries

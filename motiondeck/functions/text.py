@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The closed vocabularies of recording names.
@@ -55,32 +55,35 @@ def repeat_marker(stem: Column) -> Column:
     return F.struct(F.when(k > 0, F.regexp_replace(stem, pattern, "")).otherwise(stem).alias("stem"), k.alias("repeat"))
 
 
-def parse_name(name: Column) -> Column:
-    """The outcome of the whole grammar: subject_ordinal, view, task, side, repeat, reason_code, task_repair_from, applied.
+def parse_names(df: DataFrame, name: str, out: str = "parse") -> DataFrame:
+    """df with the outcome of the whole grammar for a column of file names: a struct of subject_ordinal, view, task,
+    side, repeat, reason_code, task_repair_from and applied.
 
     Four tokens: ordinal, view, task, side. The first failing rule gives the reason; then the parts are NULL.
     """
-    suffixes = media_suffixes(name)
-    plain = normal_stem(media_stem(name))
-    marked = repeat_marker(plain["stem"])
-    tokens = F.when(marked["stem"] == "", F.array().cast("array<string>")).otherwise(F.split(marked["stem"], "_"))
-    four = F.size(tokens) == 4
-    token = lambda i: F.when(four, F.get(tokens, F.lit(i)))
+    df = df.withColumns({"__doubled": media_suffixes(F.col(name)) > 1, "__plain": normal_stem(media_stem(F.col(name)))})
+    df = df.withColumn("__marked", repeat_marker(F.col("__plain.stem")))
+    stem, repeat = F.col("__marked.stem"), F.col("__marked.repeat")
+    df = df.withColumn("__t", F.when(stem == "", F.array().cast("array<string>")).otherwise(F.split(stem, "_")))
+    df = df.withColumn("__four", F.size("__t") == 4)
     repairs = F.create_map(*[F.lit(x) for kv in TASK_REPAIRS.items() for x in kv])
-    fixed = F.coalesce(repairs[token(2)], token(2))
-    repaired = four & (fixed != token(2))
+    token = lambda i: F.when(F.col("__four"), F.get("__t", F.lit(i)))
+    df = df.withColumn("__task", F.coalesce(repairs[token(2)], token(2)))
+    task = F.col("__task")
     reason = (
-        F.when((marked["repeat"] == 0) & marked["stem"].endswith(")"), "repeat_marker_unrecognized").when(~four, "token_count")
-        .when(~token(0).rlike(r"^[0-9]+$"), "subject_token_nonnumeric").when(~token(1).isin(VIEWS), "view_unknown").when(~fixed.isin(TASKS), "task_unknown")
+        F.when((repeat == 0) & stem.endswith(")"), "repeat_marker_unrecognized").when(~F.col("__four"), "token_count")
+        .when(~token(0).rlike(r"^[0-9]+$"), "subject_token_nonnumeric").when(~token(1).isin(VIEWS), "view_unknown").when(~task.isin(TASKS), "task_unknown")
         .when(token(3) == "", "side_missing").when(~token(3).isin(SIDES), "side_unknown").otherwise("ok")
     )
-    ok = reason == "ok"
-    unread = reason.isin("repeat_marker_unrecognized", "token_count")
-    more = F.array_compact(F.array(F.when(suffixes > 1, F.lit("media_suffix_doubled")), F.when(marked["repeat"] > 0, F.lit("repeat_marker")), F.when(repaired & ~unread, F.lit("task_repaired"))))
-    return F.struct(
-        F.when(ok, token(0).cast("int")).alias("subject_ordinal"), F.when(ok, token(1)).alias("view"), F.when(ok, fixed).alias("task"), F.when(ok, token(3)).alias("side"),
-        F.when(ok, marked["repeat"]).alias("repeat"), reason.alias("reason_code"), F.when(repaired & ~unread, token(2)).otherwise("").alias("task_repair_from"), F.concat(plain["applied"], more).alias("applied"),
+    df = df.withColumn("__reason", reason)
+    ok = F.col("__reason") == "ok"
+    repaired = F.coalesce(task != token(2), F.lit(False)) & (F.col("__reason") != "repeat_marker_unrecognized")
+    more = F.array_compact(F.array(F.when(F.col("__doubled"), F.lit("media_suffix_doubled")), F.when(repeat > 0, F.lit("repeat_marker")), F.when(repaired, F.lit("task_repaired"))))
+    found = F.struct(
+        F.when(ok, token(0).try_cast("int")).alias("subject_ordinal"), F.when(ok, token(1)).alias("view"), F.when(ok, task).alias("task"), F.when(ok, token(3)).alias("side"),
+        F.when(ok, repeat).alias("repeat"), F.col("__reason").alias("reason_code"), F.when(repaired, token(2)).otherwise("").alias("task_repair_from"), F.concat("__plain.applied", more).alias("applied"),
     )
+    return df.withColumn(out, found).drop("__doubled", "__plain", "__marked", "__t", "__four", "__task", "__reason")
 
 
 def capture_id(ordinal: Column, task: Column, side: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from motiondeck.functions.geometry import nominal_duration
-from motiondeck.functions.text import capture_id, directory_of, extension_class, parse_name, shape_key
+from motiondeck.functions.text import capture_id, directory_of, extension_class, parse_names, shape_key
 
 
 def exclusion_reason(path: Column, exists: Column, inside: Column, symlink: Column, regular: Column, utf8: Column | None = None) -> Column:
@@ -24,7 +24,7 @@ def exclusion_reason(path: Column, exists: Column, inside: Column, symlink: Colu
 
 def dispositions(entries: DataFrame) -> DataFrame:
     """entries (source_path, exclusion, readable, probe_ok) with the parsed name, disposition and reason_code."""
-    df = entries.withColumn("parse", parse_name(F.regexp_extract("source_path", r"([^/]*)$", 1)))
+    df = parse_names(entries.withColumn("__name", F.regexp_extract("source_path", r"([^/]*)$", 1)), "__name").drop("__name")
     reason = F.coalesce(F.col("exclusion"), F.when(~F.col("readable"), "read_error"), F.when(~F.col("probe_ok"), "probe_unreadable"))
     disposition = F.when(reason.isNotNull(), "excluded").when(F.col("parse.reason_code") == "ok", "canonical").otherwise("quarantined")
     return df.withColumns({"disposition": disposition, "reason_code": F.coalesce(reason, F.col("parse.reason_code"))})

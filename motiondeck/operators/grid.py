@@ -6,10 +6,12 @@ after the first time of its group; the grid runs from the first slot to the last
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from motiondeck.functions.geometry import ratio
+from motiondeck.functions.geometry import finite, ratio
 from motiondeck.operators.ordered import series
 
 # Fixed values of the window policy.
@@ -45,11 +47,12 @@ def sliding_windows(df: DataFrame, keys: list[str], length: float = 1.0, hop: fl
 def on_grid(df: DataFrame, keys: list[str], order: list[str], fs: str = "fs", time: str = "t") -> DataFrame:
     """df with ``slot`` and, the same for all rows of a group, ``fault`` (NULL for a sound time base)."""
     w, whole = series(keys, order), Window.partitionBy(*keys)
-    first = F.first(time).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    raw = (F.col(time) - first) * F.col(fs)
+    sound = finite(F.col(time))  # a time that is no number has no slot
+    first = F.first(sound).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    raw = (sound - first) * F.col(fs)
     df = df.withColumn("__raw", raw).withColumn("slot", half_even(F.col("__raw")))
     df = df.withColumns({"__step": F.col(time) - F.lag(time).over(w), "__same": F.col("slot") - F.lag("slot").over(w)})
-    ok_time = F.col(time).isNotNull() & ~F.isnan(time) & (F.abs(time) < float("inf"))
+    ok_time = sound.isNotNull()
     fault = (
         F.when(~F.coalesce(F.max(F.col(fs)).over(whole) > 0, F.lit(False)), "rate")
         .when(F.count("*").over(whole) < 2, "too_few")
@@ -127,31 +130,28 @@ def trajectory(df: DataFrame, keys: list[str], fs: str = "fs") -> DataFrame:
     )
 
 
-def spectral_arc_length(values: Column, fs: Column, cutoff: float = 10.0) -> Column:
-    """Minus the arc length of the amplitude spectrum of an array of speeds, up to a cutoff frequency.
+def spectral_arc_length(df: DataFrame, values: str, fs: str, out: str, cutoff: float = 10.0) -> DataFrame:
+    """df with minus the arc length of the amplitude spectrum of an array of speeds, up to a cutoff frequency.
 
     A plain Fourier sum over the array: for windows of some tens of samples. NULL below 4 samples, 0 at rest.
     """
-    v = F.filter(values, lambda x: x.isNotNull())
-    n = F.size(v)
-    peak = F.array_max(F.transform(v, lambda x: F.abs(x)))
-    half = F.floor(n / 2).cast("int")
+    df = df.withColumn("__v", F.filter(values, lambda x: x.isNotNull()))
+    df = df.withColumns({"__n": F.size("__v"), "__peak": F.array_max(F.transform("__v", lambda x: F.abs(x)))})
+    turn = lambda k, i: F.lit(2 * math.pi) * k * i / F.col("__n")
 
     def amplitude(k: Column) -> Column:
-        angle = lambda i: F.lit(2 * 3.141592653589793) * k * i / n
-        parts = F.aggregate(
-            F.transform(v, lambda x, i: F.struct((x * F.cos(angle(i))).alias("c"), (x * F.sin(angle(i))).alias("s"))), F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("s")),
-            lambda a, x: F.struct((a["c"] + x["c"]).alias("c"), (a["s"] + x["s"]).alias("s")),
-        )
-        return F.sqrt(F.pow(parts["c"], 2) + F.pow(parts["s"], 2))
-
-    spectrum = F.transform(F.sequence(F.lit(0), half), lambda k: amplitude(k.cast("double")))
-    top = F.array_max(spectrum)
-    limit = F.least(F.lit(cutoff), fs / 2)
-    kept = F.floor(limit / (fs / 2 / half) + 1e-12).cast("int")
-    df = fs / 2 / half / limit
-    arc = F.aggregate(F.sequence(F.lit(1), kept), F.lit(0.0), lambda a, k: a + F.sqrt(F.pow(df, 2) + F.pow((F.get(spectrum, k) - F.get(spectrum, k - 1)) / top, 2)))
-    return F.when((n < 4) | (fs <= 0), None).when(peak < 1e-10, 0.0).when(kept >= 1, -arc)
+        add = lambda wave: F.aggregate(F.transform("__v", lambda x, i: x * wave(turn(k, i))), F.lit(0.0), lambda a, x: a + x)
+        return F.sqrt(F.pow(add(F.cos), 2) + F.pow(add(F.sin), 2))
+
+    half = F.floor(F.col("__n") / 2).cast("int")
+    df = df.withColumn("__s", F.when(F.col("__n") >= 4, F.transform(F.sequence(F.lit(0), half), lambda k: amplitude(k.cast("double")))))
+    limit = F.least(F.lit(cutoff), F.col(fs) / 2)
+    unit = F.col(fs) / 2 / (F.size("__s") - 1)
+    df = df.withColumns({"__top": F.array_max("__s"), "__k": F.floor(limit / unit + 1e-12).cast("int"), "__d": unit / limit})
+    step = lambda k: F.sqrt(F.pow(F.col("__d"), 2) + F.pow((F.get("__s", k) - F.get("__s", k - 1)) / F.col("__top"), 2))
+    arc = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("__k"))), F.lit(0.0), lambda a, k: a + step(k))
+    found = F.when((F.col("__n") < 4) | (F.col(fs) <= 0), None).when(F.col("__peak") < 1e-10, 0.0).when(F.col("__k") >= 1, -arc)
+    return df.withColumn(out, found).drop("__v", "__n", "__peak", "__s", "__top", "__k", "__d")
 
 
 def qc_reason(timebase_ok: Column, valid: Column, intervals: Column, gap_sec: Column, coverage: Column, estimate: Column, min_coverage: float = MIN_COVERAGE, max_gap: float = MAX_GAP_SEC) -> Column:

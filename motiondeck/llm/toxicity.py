@@ -206,12 +206,22 @@ def _calibrate(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, parts: int = 5, held_out: int = 0, max_toxic: int = 2500, max_clean: int = 5000) -> SubwordSoftmax:
-    """Fit on a bounded sample of labelled documents, whose ids are broadcast and whose texts come to the driver."""
+    """Fit on a bounded sample of labelled documents, whose ids are broadcast and whose texts go to one task."""
     bad = labelled(labels.where("toxic = 1"), "toxic", parts, held_out, max_toxic)
     good = labelled(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic = 0"), "toxic", parts, held_out, max_clean)
-    got = docs.select("doc_id", "text").join(F.broadcast(bad.unionAll(good)), "doc_id").where("text is not null").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    toxic = got.column("label").to_numpy() == 1
-    return fit((x.as_py() for x in got.column("text")), toxic)
+    sample = docs.select(F.col("doc_id").cast("bigint"), "text").join(F.broadcast(bad.unionAll(good)), "doc_id").where("text is not null")
+    row = sample.repartition(1).sortWithinPartitions("doc_id", "text").mapInArrow(_fitted, "logits binary, bias double, slope double, shift double, size int").first()
+    return SubwordSoftmax(np.frombuffer(row.logits), row.bias, row.slope, row.shift, row.size)
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of the bounded sample: one task's work, so that the driver holds no texts."""
+    texts, toxic = [], []
+    for batch in batches:
+        texts += batch.column("text").to_pylist()
+        toxic += [x == 1 for x in batch.column("label").to_pylist()]
+    m = fit(texts, np.array(toxic, dtype=bool))
+    yield pa.RecordBatch.from_pylist([{"logits": m.values.tobytes(), "bias": m.bias, "slope": m.slope, "shift": m.offset, "size": m.window}], schema=pa.schema([("logits", pa.binary()), ("bias", pa.float64()), ("slope", pa.float64()), ("shift", pa.float64()), ("size", pa.int32())]))
 
 
 def score(docs: DataFrame, model: SubwordSoftmax) -> DataFrame:

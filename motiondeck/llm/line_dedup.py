@@ -46,25 +46,33 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return mix64(np.add.reduceat(mix64(codes + (place << np.uint64(32)) + np.uint64(1)), at))
 
 
-def simhashes(lines: list[str]) -> np.ndarray:
+def simhashes(lines: list[str], chunk: int = 500) -> np.ndarray:
     """One 64-bit SimHash a normalised line (none may be empty): the sign of the sum over its words, bit by bit."""
-    if not lines:
-        return np.zeros(0, dtype=np.int64)
-    words = [line.split(" ") for line in lines]
-    counts = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    bits = np.unpackbits(word_hashes([w for ws in words for w in ws]).view(np.uint8).reshape(-1, 8), axis=1)
-    sums = np.add.reduceat(bits, np.cumsum(counts) - counts, axis=0, dtype=np.int32)
-    return np.packbits(2 * sums > counts[:, None], axis=1).view(np.int64).ravel()
+    out = [np.zeros(0, dtype=np.int64)]
+    for at in range(0, len(lines), chunk):
+        words = [line.split(" ") for line in lines[at : at + chunk]]
+        counts = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        bits = np.unpackbits(word_hashes([w for ws in words for w in ws]).view(np.uint8).reshape(-1, 8), axis=1)
+        sums = np.add.reduceat(bits, np.cumsum(counts) - counts, axis=0, dtype=np.int32)
+        out.append(np.packbits(2 * sums > counts[:, None], axis=1).view(np.int64).ravel())
+    return np.concatenate(out)
 
 
 def _digest(line: str) -> bytes:
     return hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that a task holds the lines of few documents at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, line, id, sim) of every line with a letter or digit; sim only where a task meets the line first."""
     known: set[bytes] = set()
-    for batch in batches:
+    for batch in _slices(batches):
         docs, numbers, ids, fresh, where = [], [], [], [], []
         for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             for k, line in enumerate(t.split("\n") if t else ()):
@@ -86,7 +94,7 @@ def _texts(wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[bytes] = set()
         bits = wanted.value
-        for batch in batches:
+        for batch in _slices(batches):
             ids, lines = [], []
             for t in batch.column("text").to_pylist():
                 for line in t.split("\n") if t else ():

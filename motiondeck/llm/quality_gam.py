@@ -126,7 +126,7 @@ class PairwiseGam:
         return [np.unique(np.quantile(x[:, j], np.linspace(0, 1, parts + 1)[1:-1])) for j in range(x.shape[1])]
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> PairwiseGam:
-        self.edges, self.wide = self._quantiles(x, self.bins), self._quantiles(x, self.coarse)
+        self.edges, self.wide = (self._quantiles(x, n) if len(x) else [np.zeros(0)] * x.shape[1] for n in (self.bins, self.coarse))
         b, c = self._binned(x, self.edges), self._binned(x, self.wide)
         self.one = [np.zeros(len(e) + 1) for e in self.edges]
         rate = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from motiondeck.catalog import register
-from motiondeck.operators import fusion, matching
+from motiondeck.operators import features, fusion, matching
 from motiondeck.plans.proxies import kpt, rounded, sig, table
 from motiondeck.streaming import filters
 
@@ -136,3 +137,36 @@ def joint_clamp(spark, sf_dir):
     found = matching.clamp_joints(df, "points", [(0, 1, 2, [2], 30.0, 120.0)])
     last = F.get("points", F.lit(2))
     return rounded(found.select("vec_id", "clamps", last["x"].alias("x"), last["y"].alias("y")))
+
+
+def _hand_table(spark, sf_dir):
+    """The vectors as a landmark table: a recording a label, a frame a vector, 21 points of a left hand."""
+    from motiondeck.sources.schema import hand_column
+
+    e = kpt(spark, sf_dir)
+    w = Window.partitionBy("label").orderBy("vec_id")
+    cells = [F.col(f"p{i}_{c}").alias(hand_column("left", i, c)) for i in range(21) for c in "xyz"]
+    conf = [F.when(F.col("vec_id") % 9 == 0, 0.0).otherwise(0.9).alias(hand_column("left", i, "conf")) for i in range(21)]
+    frame = (F.row_number().over(w) - 1).cast("int")
+    df = e.withColumn("frame_idx", frame)
+    return df.select(F.concat(F.lit("v"), "label").alias("video"), "frame_idx", (F.col("frame_idx") / 30).alias("timestamp_sec"), F.lit(0).alias("person_idx"), *cells, *conf)
+
+
+@register("frame_table")
+def frame_table(spark, sf_dir):
+    """The whole frame table of the hand recordings."""
+    own, mode, world = features.gated(_hand_table(spark, sf_dir))
+    return rounded(features.frame_features(own, mode, world))
+
+
+@register("window_table")
+def window_table(spark, sf_dir):
+    """The whole window table of the hand recordings: fingertips only, as there are no wrists."""
+    own, mode, world = features.gated(_hand_table(spark, sf_dir))
+    return rounded(features.window_features(own, mode, world), 4)
+
+
+@register("hand_gate", "WITH h AS (SELECT label, vec_id, embedding FROM embeddings) SELECT 'v' || label AS video, count(*) AS n_frames, count(*) FILTER (vec_id % 9 <> 0) AS n_observed, round(avg(CASE WHEN vec_id % 9 <> 0 THEN CAST(embedding[25] AS DOUBLE) END), 6) + 0.0 AS tip_x FROM h GROUP BY label")
+def hand_gate(spark, sf_dir):
+    own, _, _ = features.gated(_hand_table(spark, sf_dir))
+    return rounded(own.groupBy("video").agg(F.count("*").alias("n_frames"), F.count("left_hand_8_x").alias("n_observed"), F.avg("left_hand_8_x").alias("tip_x")))

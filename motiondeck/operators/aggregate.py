@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motiondeck.functions.geometry import ratio
+from motiondeck.operators.ordered import run_lengths
 from motiondeck.sources.schema import numeric_features
 
 STATS: dict[str, Callable[[Column | str], Column]] = {"mean": F.avg, "median": F.median, "sd": F.stddev_samp, "min": F.min, "max": F.max}
@@ -20,17 +21,26 @@ def per_recording(df: DataFrame, keys: list[str], features: list[str] | None = N
     return df.groupBy(*keys).agg(*[f(c).alias(f"{c}__{n}") for c in features for n, f in fns.items()])
 
 
-def quality_summary(df: DataFrame) -> DataFrame:
-    """The quality summary of a metrics table, one row: rates, medians, spreads and peaks, rounded by field."""
+def quality_summary(df: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """The quality summary of a metrics table, one row of 28 figures, NULLs left out and rounded by field.
+
+    The mean carry streak looks at runs of carried frames within each recording and person.
+    """
     q95 = lambda c: F.percentile(c, 0.95)
-    iqr = lambda c: F.percentile(c, 0.75) - F.percentile(c, 0.25)
-    rate = lambda c: F.avg(F.col(c).cast("double"))
-    return df.agg(
-        F.count("*").alias("n_frames"), F.round(rate("body_detected"), 4).alias("body_detection_rate"), F.round(rate("body_carry"), 4).alias("body_carry_rate"),
-        F.round(F.median("body_confidence"), 4).alias("body_confidence_median"), F.round(iqr("body_confidence"), 4).alias("body_confidence_iqr"),
-        F.round(F.median("jitter_px"), 2).alias("jitter_median"), F.round(q95("jitter_px"), 2).alias("jitter_p95"), F.round(F.max("jitter_px"), 2).alias("jitter_max"),
-        F.round(F.avg("smoothing_delta"), 2).alias("smoothing_mean"), F.round(rate("clamped"), 4).alias("clamp_rate"),
-    )
+    share = lambda c: F.avg((F.col(c) > 0).cast("double"))
+    figures = {
+        "body_detection_rate": (F.avg("body_detected"), 4), "mean_real_hands_per_frame": (F.avg("n_hands_real"), 2), "pct_frames_synthetic_hands": (share("n_hands_synthetic"), 4), "pct_frames_recrop_hands": (share("n_hands_recrop"), 4),
+        "body_vis_median": (F.median("body_vis_mean"), 4), "body_vis_iqr": (F.percentile("body_vis_mean", 0.75) - F.percentile("body_vis_mean", 0.25), 4), "hand_L_flag_median": (F.median("hand_L_flag"), 4), "hand_R_flag_median": (F.median("hand_R_flag"), 4),
+        "body_jitter_median": (F.median("body_jitter_px"), 2), "body_jitter_p95": (q95("body_jitter_px"), 2), "hand_L_jitter_median": (F.median("hand_L_jitter_px"), 2), "hand_L_jitter_p95": (q95("hand_L_jitter_px"), 2),
+        "hand_R_jitter_median": (F.median("hand_R_jitter_px"), 2), "hand_R_jitter_p95": (q95("hand_R_jitter_px"), 2), "body_smooth_median": (F.median("body_smooth_delta_px"), 2), "hand_L_smooth_median": (F.median("hand_L_smooth_delta_px"), 2),
+        "hand_R_smooth_median": (F.median("hand_R_smooth_delta_px"), 2), "body_carry_pct": (F.avg("body_carry"), 4), "bone_correction_mean_px": (F.avg("bone_correction_px"), 2), "pct_frames_angle_clamped": (share("angle_corrections_n"), 4),
+        "hand_L_match_mean": (F.avg("hand_arm_match_dist_L"), 2), "hand_R_match_mean": (F.avg("hand_arm_match_dist_R"), 2), "hand_L_match_max": (F.max("hand_arm_match_dist_L"), 2), "hand_R_match_max": (F.max("hand_arm_match_dist_R"), 2),
+        "inference_median_ms": (F.median("inference_ms"), 1), "inference_p95_ms": (q95("inference_ms"), 1),
+    }
+    row = df.agg(F.count("*").alias("n_frames"), *[F.round(c, d).alias(n) for n, (c, d) in figures.items()])
+    runs = run_lengths(df, ["video", "person_idx"], order or ["frame_idx"], F.col("body_carry") > 0)
+    streak = runs.agg(F.round(F.coalesce(F.avg(F.when(F.col("state"), F.col("length"))), F.lit(0.0)), 1).alias("mean_carry_streak"))
+    return row.join(F.broadcast(streak), F.lit(True))  # one row each
 
 
 def nearest_index_quantile(values: Column | str, fraction: float) -> Column:

@@ -158,3 +158,19 @@ def phase_schema() -> StructType:
         "peak_velocity double, mean_velocity double, path_length double, smoothness_nj double, smoothness_sal double, mean_reach_symmetry double, "
         "movement_duration_sec double, movement_n_phases int, movement_peak_velocity double, movement_path_length double, movement_efficiency double"
     )
+
+
+def metrics_schema() -> StructType:
+    """Of the per-frame metrics table."""
+    whole = ["body_detected", "n_hands_real", "n_hands_synthetic", "n_hands_recrop", "angle_corrections_n", "body_carry", "body_carry_frames", "hand_L_carry", "hand_R_carry"]
+    names = [
+        "body_detected", "body_det_score", "n_hands_real", "n_hands_synthetic", "n_hands_recrop", "body_vis_mean", "body_vis_min", "hand_L_flag", "hand_R_flag",
+        "body_jitter_px", "hand_L_jitter_px", "hand_R_jitter_px", "body_smooth_delta_px", "hand_L_smooth_delta_px", "hand_R_smooth_delta_px", "bone_correction_px",
+        "angle_corrections_n", "body_carry", "body_carry_frames", "hand_L_carry", "hand_R_carry", "hand_arm_match_dist_L", "hand_arm_match_dist_R", "inference_ms",
+    ]
+    return StructType(_KEY_FIELDS + [StructField(n, IntegerType() if n in whole else DoubleType()) for n in names])
+
+
+def detail_schema() -> StructType:
+    """Of the per-keypoint detail table."""
+    return StructType.fromDDL("frame_idx int, person_idx int, part string, kp_idx int, x_raw double, y_raw double, x_smooth double, y_smooth double, visibility double, jitter_px double")

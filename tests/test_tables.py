@@ -197,3 +197,27 @@ def test_sources_are_processed_by_a_function(spark):
 def test_entry_runs(spark, sf_dir):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_metrics_summary(spark):
+    assert (len(schema.metrics_schema()), len(schema.detail_schema())) == (28, 10)
+    names = [f.name for f in schema.metrics_schema()]
+    rows = [tuple({"video": "v", "frame_idx": i, "timestamp_sec": i / 30, "person_idx": 0, "body_carry": int(i in (2, 3, 6)), "body_jitter_px": float(i), "body_detected": int(i != 6)}.get(n) for n in names) for i in range(8)]
+    r = aggregate.quality_summary(spark.createDataFrame(rows, schema.metrics_schema())).first()
+    assert len(r) == 28 and (r.n_frames, r.body_detection_rate, r.body_jitter_median, r.body_jitter_p95, r.body_carry_pct, r.mean_carry_streak, r.hand_L_match_max) == (8, 0.875, 3.5, 6.65, 0.375, 1.5, None)
+
+
+def test_registry_families_and_census(spark):
+    base = [("a/1_left_cap_l.mp4", 10, 1280, 30.0), ("a/1_right_cap_l.mp4", 20, 1280, 25.0), ("a/1_left_cap_l (1).mp4", 5, 640, 30.0), ("b/odd.mp4", 1, 640, 30.0), ("b/readme.txt", 1, 0, 0.0)]
+    df = spark.createDataFrame(base, "source_path string, size_bytes bigint, reported_width int, reported_avg_fps double")
+    df = df.withColumns({"reported_height": F.lit(720), "reported_frame_count": F.lit(90), "reported_rotation_deg": F.lit(0), "reported_fourcc": F.lit("avc1"), "content_sha256": F.sha2("source_path", 256), "probe_ok": F.lit(True), "readable": F.lit(True)})
+    yes = F.lit(True)
+    df = census.dispositions(df.withColumn("exclusion", census.exclusion_reason(F.col("source_path"), yes, yes, ~yes, yes)))
+    assets = census.asset_table(df.withColumn("probe_status", F.when(F.col("exclusion").isNull(), "opened").otherwise("skipped")))
+    rows = {r.source_path: r for r in assets.collect()}
+    assert len(assets.columns) == 24 and list(rows) == sorted(rows) and rows["b/odd.mp4"].disposition == "quarantined" and rows["b/readme.txt"].reason_code == "unsupported_extension"
+    captures = census.capture_table(assets)
+    c = captures.first()
+    assert len(captures.columns) == 20 and (c.capture_id, c.n_assets, c.views, c.view_conflict, c.reported_fps_spread_hz, c.reported_resolution_agree) == ("s01-cap-l", 3, "left|right", True, 5.0, False)
+    found = {(r.section, r.key): r.n for r in census.census(assets, captures).collect()}
+    assert found["assets", "discovered"] == 5 and found["dispositions", "canonical"] == 3 and found["captures", "with_view_conflict"] == 1 and found["view_coverage", "2"] == 1 and found["captures", "frame_parity_within_5pct"] == 1

@@ -126,7 +126,7 @@ def pearson_spearman(spark, sf_dir):
     return rounded(_correlations(spark, sf_dir))
 
 
-@register("bh_adjust", f"WITH {_RANKED}, p AS (SELECT nation, exp(-abs(pearson_r) * sqrt(n)) AS p FROM co), q AS (SELECT *, p * count(p) OVER () / row_number() OVER (ORDER BY p) AS q FROM p) SELECT nation, round(p, 6) + 0.0 AS p, round(least(1.0, min(q) OVER (ORDER BY p DESC, q DESC ROWS UNBOUNDED PRECEDING)), 6) + 0.0 AS p_adjusted FROM q")
+@register("bh_adjust", f"WITH {_RANKED}, p AS (SELECT nation, exp(-abs(pearson_r) * sqrt(n)) AS p FROM co), q AS (SELECT *, p * count(p) OVER () / row_number() OVER (ORDER BY p) AS q FROM p) SELECT nation, round(p, 6) + 0.0 AS p, CASE WHEN p IS NOT NULL THEN round(least(1.0, min(q) OVER (ORDER BY p DESC, q DESC ROWS UNBOUNDED PRECEDING)), 6) + 0.0 END AS p_adjusted FROM q")
 def bh_adjust(spark, sf_dir):
     df = _correlations(spark, sf_dir).select("nation", F.exp(-F.abs("pearson_r") * F.sqrt("n")).alias("p"), F.lit(1).alias("family"))
     return rounded(stats.benjamini_hochberg(df, ["family"], "p").drop("family"))

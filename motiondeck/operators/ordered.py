@@ -135,3 +135,11 @@ def baseline_deltas(df: DataFrame, keys: list[str], order: list[str], value: str
     df = df.withColumns({"baseline": base, "baseline_sd": spread}).withColumn("delta", F.col(value) - F.col("baseline"))
     pct = 100 * ratio(F.col("delta"), F.abs("baseline"), 1e-12)
     return df.withColumns({"pct_change": pct, "flagged": F.when(F.col("baseline_sd") > 1e-12, F.abs("delta") > flag_sd * F.col("baseline_sd"))})
+
+
+def carried(w: WindowSpec, value: str, frame: str, most: int) -> tuple[Column, Column]:
+    """(value, age): the last known value for up to ``most`` frames after it was seen, and how many frames old it is."""
+    seen = F.when(F.col(value).isNotNull(), F.struct(F.col(frame).alias("f"), F.col(value).alias("v")))
+    last = F.last(seen, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    age = F.col(frame) - last["f"]
+    return F.when(age <= most, last["v"]), F.when(age <= most, age)

@@ -221,3 +221,22 @@ def test_registry_families_and_census(spark):
     assert len(captures.columns) == 20 and (c.capture_id, c.n_assets, c.views, c.view_conflict, c.reported_fps_spread_hz, c.reported_resolution_agree) == ("s01-cap-l", 3, "left|right", True, 5.0, False)
     found = {(r.section, r.key): r.n for r in census.census(assets, captures).collect()}
     assert found["assets", "discovered"] == 5 and found["dispositions", "canonical"] == 3 and found["captures", "with_view_conflict"] == 1 and found["view_coverage", "2"] == 1 and found["captures", "frame_parity_within_5pct"] == 1
+
+
+def test_report_files(spark, tmp_path):
+    from motiondeck.sources import reports
+
+    df = spark.createDataFrame([("max_bone_length_cv", 0.2), ("max_cheirality_rate", float("nan"))], "metric string, value double")
+    checks = grading.grade(df, grading.bands(spark)).withColumn("k", F.lit(0))
+    reports.write_report(str(tmp_path / "r"), grading.verdict(checks, ["k"]), checks)
+    got = json.loads((tmp_path / "r.json").read_text())
+    assert got["verdicts"][0]["verdict"] == "FAIL" and {c["metric"]: c["value"] for c in got["checks"]} == {"max_bone_length_cv": 0.2, "max_cheirality_rate": None}
+    assert (tmp_path / "r.md").read_text().startswith("# FAIL\n") and sorted(p.name for p in tmp_path.iterdir()) == ["r.json", "r.md"]
+
+
+def test_values_are_carried_for_a_while(spark):
+    from motiondeck.operators import ordered
+
+    df = spark.createDataFrame([(0, i, 1.0 if i == 1 else None) for i in range(5)], "k int, i int, v double")
+    v, age = ordered.carried(ordered.series(["k"], ["i"]), "v", "i", 2)
+    assert [(r.v, r.a) for r in df.select(v.alias("v"), age.alias("a")).collect()] == [(None, None), (1.0, 0), (1.0, 1), (1.0, 2), (None, None)]

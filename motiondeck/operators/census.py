@@ -68,10 +68,14 @@ def histogram(df: DataFrame, value: Column, vocabulary: list[str] | None = None)
     return F.broadcast(words).join(counts, "value", "left").select("value", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@F.pandas_udf(StringType())
-def asset_id(path: pd.Series) -> pd.Series:
-    """A keyed 64-bit digest of a path."""
-    return path.map(lambda p: None if p is None else "a-" + hashlib.blake2b(p.encode("utf-8", "surrogateescape"), digest_size=8, person=b"pose3cam-asset").hexdigest())
+def asset_id(path: Column | str, person: bytes = b"motiondeck-asset") -> Column:
+    """A keyed 64-bit digest of a path. ``person`` (at most 16 bytes) keeps the digests of one registry apart from others'."""
+
+    @F.pandas_udf(StringType())
+    def digest(paths: pd.Series) -> pd.Series:
+        return paths.map(lambda p: None if p is None else "a-" + hashlib.blake2b(p.encode("utf-8", "surrogateescape"), digest_size=8, person=person).hexdigest())
+
+    return digest(path)
 
 
 def multiset_differences(a: DataFrame, b: DataFrame) -> DataFrame:

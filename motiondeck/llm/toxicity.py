@@ -90,11 +90,15 @@ class SubwordSoftmax:
         n = np.bincount(who, minlength=len(words))
         return np.bincount(who, self.values[what], len(words)) / np.maximum(n, 1)
 
-    def scores(self, texts: list[str | None], known: dict[str, float]) -> np.ndarray:
-        """known: logits of words met before by the same task."""
+    def scores(self, texts: list[str | None], known: dict[str, float], rows: int = 500) -> np.ndarray:
+        """known: logits of words met before by the same task. ``rows`` texts are held as words at a time."""
+        parts = [self._scores(texts[at : at + rows], known) for at in range(0, len(texts), rows)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def _scores(self, texts: list[str | None], known: dict[str, float]) -> np.ndarray:
         lists = [_word_list(t) for t in texts]
         fresh = list({w for ws in lists for w in ws if w not in known})
-        if len(known) + len(fresh) > 1_500_000:
+        if len(known) + len(fresh) > 500_000:
             known.clear()
             fresh = list({w for ws in lists for w in ws})
         for at in range(0, len(fresh), 20000):

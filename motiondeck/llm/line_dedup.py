@@ -1,7 +1,7 @@
 """Line dedup: lines that are the same up to small edits occur once in the corpus.
 
 Lines (split at \\n) are normalised: lower case, runs of characters that are neither letters nor digits become
-one space. A 64-bit SimHash of a normalised line's words is cut into ``blocks`` pieces; lines at most
+one space. A 64-bit SimHash of a normalised line's distinct words is cut into ``blocks`` pieces; lines at most
 ``distance`` bits apart agree in at least ``blocks - distance`` pieces, so every choice of that many
 pieces is a key and lines that share a key are candidates. Candidates within the distance are verified
 by edit similarity, 1 - levenshtein / longer length >= ``similarity``. Of each connected group of lines
@@ -22,12 +22,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
-from motiondeck.llm.common import materialize, mix64, table
-from motiondeck.llm.links import components, filter_bits, in_filter, linked, sized
+from motiondeck.llm.common import materialize, mix64, table, temporary
+from motiondeck.llm.links import FILTER_BITS, SMALL, components, filter_bits, in_filter, linked, sized
 
 _GAP = re.compile(r"[\W_]+")
 
@@ -47,13 +47,22 @@ def word_hashes(words: list[str]) -> np.ndarray:
 
 
 def simhashes(lines: list[str], chunk: int = 500) -> np.ndarray:
-    """One 64-bit SimHash a normalised line (none may be empty): the sign of the sum over its words, bit by bit."""
+    """One 64-bit SimHash a normalised line (none may be empty): the sign of the sum over its distinct words, bit by bit.
+
+    Eight bits are summed at a time, as the bytes of one 64-bit number, over at most 255 words.
+    """
     out = [np.zeros(0, dtype=np.int64)]
     for at in range(0, len(lines), chunk):
-        words = [line.split(" ") for line in lines[at : at + chunk]]
+        words = [list(dict.fromkeys(line.split(" "))) for line in lines[at : at + chunk]]
         counts = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        bits = np.unpackbits(word_hashes([w for ws in words for w in ws]).view(np.uint8).reshape(-1, 8), axis=1)
-        sums = np.add.reduceat(bits, np.cumsum(counts) - counts, axis=0, dtype=np.int32)
+        lanes = np.unpackbits(word_hashes([w for ws in words for w in ws]).view(np.uint8).reshape(-1, 8), axis=1).view(np.uint64)
+        parts = -(-counts // 255)
+        of = np.repeat(np.arange(len(counts)), parts)
+        inner = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+        starts = np.repeat(np.cumsum(counts) - counts, parts) + 255 * inner
+        sums = np.add.reduceat(lanes, starts, axis=0).view(np.uint8).astype(np.int64)
+        if len(of) > len(counts):
+            sums = np.add.reduceat(sums, np.cumsum(parts) - parts, axis=0)
         out.append(np.packbits(2 * sums > counts[:, None], axis=1).view(np.int64).ravel())
     return np.concatenate(out)
 
@@ -69,6 +78,10 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
+def _short(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, line, id, sim) of every line with a letter or digit; sim only where a task meets the line first."""
     known: set[bytes] = set()
@@ -91,58 +104,130 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(wanted):
+    """(id, plain) of lines at flagged places; id is the first 8 bytes of the digest."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set[bytes] = set()
+        known: set[int] = set()
         bits = wanted.value
         for batch in _slices(batches):
             ids, lines = [], []
-            for t in batch.column("text").to_pylist():
-                for line in t.split("\n") if t else ():
-                    if plain := normal(line):
-                        i = _digest(plain)
-                        if i not in known and in_filter(bits, i):
+            for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                base = (-1 if d is None else d) % FILTER_BITS * 1000003
+                for k, line in enumerate(t.split("\n") if t else ()):
+                    if in_filter(bits, (base + k * 7919) % FILTER_BITS) and (plain := normal(line)):
+                        i = _short(_digest(plain))
+                        if i not in known:
                             known.add(i)
                             ids.append(i)
                             lines.append(plain)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(lines, pa.string())], names=["id", "plain"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], names=["id", "plain"])
 
     return run
 
 
-def block_keys(sim, blocks: int, distance: int):
-    """An array of keys: every choice of blocks - distance pieces of the fingerprint."""
+def edit_distance(a: str, b: str, limit: int) -> int:
+    """Levenshtein distance, or some number over limit if it is over: what both ends share is left out, the rest is
+    one bit-parallel recurrence (a bit a character of a, all of a column at once)."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:  # the longest common prefix, by bisection
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[:mid] == b[:mid] else (lo, mid - 1)
+    a, b = a[lo:], b[lo:]
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[-mid:] == b[-mid:] else (lo, mid - 1)
+    a, b = a[: len(a) - lo], b[: len(b) - lo]
+    if not a or not b or abs(len(a) - len(b)) > limit:
+        return max(len(a), len(b))
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, distance = full, 0, len(a)
+    for c in b:
+        eq = where.get(c, 0)
+        diagonal = (((eq & up) + up) ^ up) | eq | down
+        more, less = down | (full & ~(diagonal | up)), up & diagonal
+        distance += bool(more & top) - bool(less & top)
+        more, less = more << 1 & full | 1, less << 1 & full
+        up, down = less | (full & ~(diagonal | more)), more & diagonal
+    return distance
+
+
+def _alike(similarity: float):
+    """Pairs whose lines differ by at most a share of the longer one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), strict=True):
+                most = max(len(x), len(y)) * round(1000 - 1000 * similarity) // 1000
+                keep.append(edit_distance(x, y, most) <= most)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def block_masks(blocks: int, distance: int) -> list[int]:
+    """Every choice of blocks - distance pieces of a 64-bit fingerprint."""
     edges = [64 * k // blocks for k in range(blocks + 1)]
-    masks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges, edges[1:], strict=False)]
-    keys = []
-    for n, chosen in enumerate(combinations(masks, blocks - distance)):
-        mask = sum(chosen)
-        keys.append(F.xxhash64(F.lit(n), sim.bitwiseAND(F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask))))
-    return F.array(*keys)
+    pieces = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges, edges[1:], strict=False)]
+    return [sum(chosen) for chosen in combinations(pieces, blocks - distance)]
+
+
+def rest_masks(mask: int, distance: int) -> list[int]:
+    """The bits outside a mask in distance + 1 pieces: two fingerprints within the distance agree in one of them."""
+    bits = [b for b in range(64) if not mask >> b & 1]
+    cut = [len(bits) * k // (distance + 1) for k in range(distance + 2)]
+    return [sum(1 << b for b in bits[lo:hi]) for lo, hi in zip(cut, cut[1:], strict=False)]
+
+
+def _lit(mask: int) -> Column:
+    return F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("bigint")
+
+
+def line_buckets(sims: DataFrame, blocks: int, distance: int) -> DataFrame:
+    """(key, id, sim, n) of keys that two lines or more share. Crowded keys are split once more, by the pieces of what the key leaves out."""
+    masks = block_masks(blocks, distance)
+    keys = F.array(*[F.xxhash64(F.lit(n), F.col("sim").bitwiseAND(_lit(m))) for n, m in enumerate(masks)])
+    found = materialize(sized(sims.select("id", "sim", F.posexplode(keys).alias("which", "key")), ["sim", "which"]))
+    rest = [rest_masks(m, distance) for m in masks]
+    split = [F.xxhash64(F.col("key"), F.lit(k), F.col("sim").bitwiseAND(F.get(F.array(*[_lit(r[k]) for r in rest]), F.col("which")))) for k in range(distance + 1)]
+    crowded = found.where(F.col("n") > SMALL).select("id", "sim", F.explode(F.array(*split)).alias("key"))
+    return materialize(found.where(F.col("n") <= SMALL).select("key", "id", "sim", "n").unionAll(sized(crowded, ["sim"]).select("key", "id", "sim", "n")))
 
 
 def dropped_lines(docs: DataFrame, *, blocks: int = 5, distance: int = 3, similarity: float = 0.8) -> DataFrame:
     """(doc_id, line) of every occurrence that goes."""
+    with temporary(docs.sparkSession):
+        return materialize(_dropped(docs, blocks, distance, similarity), keep=True)
+
+
+def _dropped(docs: DataFrame, blocks: int, distance: int, similarity: float) -> DataFrame:
     sc = docs.sparkSession.sparkContext
-    found = materialize(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_occurrences, "doc_id bigint, line int, id binary, sim bigint"))
-    rows = found.where("sim is not null").select("id", "sim", F.explode(block_keys(F.col("sim"), blocks, distance)).alias("key"))
-    buckets = materialize(sized(rows, ["sim"]))
+    docs = docs.select(F.col("doc_id").cast("bigint"), "text")
+    found = materialize(docs.mapInArrow(_occurrences, "doc_id bigint, line int, id binary, sim bigint"))
+    short = F.conv(F.hex(F.substring("id", 1, 8)), 16, -10).cast("bigint")
+    firsts = found.where("sim is not null").select(short.alias("id"), "sim", "doc_id", "line")
+    buckets = line_buckets(firsts.select("id", "sim"), blocks, distance)
 
     def prepare(ids: DataFrame):
-        wanted = sc.broadcast(filter_bits(ids))
-        texts = materialize(docs.select("text").mapInArrow(_texts(wanted), "id binary, plain string").groupBy("id").agg(F.first("plain").alias("plain")))
+        places = firsts.join(ids.distinct(), "id", "left_semi")
+        slot = F.pmod(F.pmod(F.coalesce("doc_id", F.lit(-1)), F.lit(FILTER_BITS)) * 1000003 + F.col("line") * F.lit(7919).cast("bigint"), F.lit(FILTER_BITS))
+        wanted = sc.broadcast(filter_bits(places, slot))
+        texts = materialize(docs.mapInArrow(_texts(wanted), "id bigint, plain string").groupBy("id").agg(F.first("plain").alias("plain")))
 
         def verify(pairs: DataFrame) -> DataFrame:
             both = pairs.join(texts.select(F.col("id").alias("a"), F.col("plain").alias("pa")), "a").join(texts.select(F.col("id").alias("b"), F.col("plain").alias("pb")), "b")
-            longer = F.greatest(F.length("pa"), F.length("pb"))
-            both = both.withColumn("most", F.floor(longer * F.lit(round(1000 - 1000 * similarity)) / 1000).cast("int"))
-            return both.where(F.expr("levenshtein(pa, pb, most) >= 0")).select("a", "b")
+            return both.select("a", "b", "pa", "pb").mapInArrow(_alike(similarity), "a bigint, b bigint")
 
         return verify
 
     groups = components(linked(buckets, ["sim"], lambda x, y: F.bit_count(x("sim").bitwiseXOR(y("sim"))) <= distance, prepare))
-    seen = found.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first"))
-    seen = seen.join(groups, "id", "left").where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "id"))
-    seen = materialize(seen.select("id", "root", "first"))
+    seen = found.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first")).withColumn("short", short)
+    seen = seen.join(groups.withColumnRenamed("id", "short"), "short", "left").where("n > 1 or root is not null")
+    seen = materialize(seen.select("id", F.coalesce(F.col("root").cast("string"), F.hex("id")).alias("root"), "first"))
     first = seen.groupBy("root").agg(F.min("first").alias("stays"))
     repeated = seen.join(first, "root").select("id", "stays")
     return found.select("doc_id", "line", "id").join(repeated, "id").where(~F.struct("doc_id", "line").eqNullSafe(F.col("stays"))).select("doc_id", "line")

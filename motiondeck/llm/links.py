@@ -1,25 +1,42 @@
 """Links between members of shared buckets, and the connected groups that links make.
 
 A candidate table has rows (key, id, ...): two ids are worth comparing when they share a key. Small
-buckets are compared pair by pair. A large bucket is not: in each round its smallest unassigned id, the
-hub, is verified against the bucket, and what links to it is assigned. Whatever two clusters of a bucket
-are then still in different connected groups are compared member by member, so no link that would join
-two groups is missed, while members of one group are never paired with one another needlessly.
+buckets are compared pair by pair. A large bucket is not: round by round one of its members, the hub, is
+verified against those not yet assigned, and what links to it is assigned; the next hub is another one of
+the assigned. Whatever members of a bucket are then still in different connected groups are compared with each
+other, so no link that would join two groups is missed, while members of one group are not paired
+with one another needlessly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motiondeck.llm.common import materialize
 
 #: Buckets up to this size are compared pair by pair.
-SMALL = 8
+SMALL = 32
 #: Rounds of hubs before the comparison across groups, which is exact whatever is left.
-ROUNDS = 6
+ROUNDS = 12
+#: Bits of the filter that spares a shuffle of contents nobody needs; beyond its size it only spares less.
+FILTER_BITS = 1 << 23
+
+
+def filter_bits(df: DataFrame, slot: Column) -> np.ndarray:
+    """A bitmap (1 MB) of the slots (0 to FILTER_BITS - 1) of df's rows, built by Spark from 64-bit words."""
+    words = df.select(slot.cast("int").alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("bits"))
+    got = words.toArrow()
+    out = np.zeros(FILTER_BITS >> 6, dtype=np.uint64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().astype(np.int64).view(np.uint64)
+    return out
+
+
+def in_filter(bits: np.ndarray, slot: int) -> bool:
+    return bool(int(bits[slot >> 6]) >> (slot & 63) & 1)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -44,13 +61,16 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionAll(roots)
 
 
-def linked(buckets: DataFrame, attributes: list[str], admissible: Callable, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked(buckets: DataFrame, attributes: list[str], admissible: Callable, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], fits: Callable | None = None, enough: Callable | None = None) -> DataFrame:
     """Links (a, b) that connect all ids which any chain of verified pairs within buckets connects.
 
     buckets: distinct (key, id, *attributes) of buckets with two members or more, and ``n``, their size.
     admissible(x, y): a Column from two functions that name the attributes of either side; it may only
     refuse pairs that are linked through no key or are admitted by another one.
-    verify(pairs): the rows (a, b) of pairs that are links.
+    prepare(ids) gets all ids that may be compared (column id, repeats possible) and returns verify;
+    verify(pairs) returns the rows (a, b) of pairs that are links.
+    fits(x, y): a Column, whether two ids can be a link by their first attribute alone.
+    enough(n, x, y): a Column, by their first attribute too, whether two ids that share at most n keys can be a link at all.
     """
 
     def side(df: DataFrame, prefix: str) -> DataFrame:
@@ -63,24 +83,42 @@ def linked(buckets: DataFrame, attributes: list[str], admissible: Callable, veri
         return found.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
 
     small = buckets.where(F.col("n") <= SMALL)
-    links = materialize(verify(materialize(pairs_of(small, small, F.col("x_id") < F.col("y_id")))))
+    if enough is None:
+        pairs = pairs_of(small, small, F.col("x_id") < F.col("y_id"))
+    else:
+        can = fits(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}"))
+        met = side(small, "x").join(side(small, "y"), "key").where((F.col("x_id") < F.col("y_id")) & can).withColumn("ok", ok)
+        met = met.groupBy(F.col("x_id").alias("a"), F.col("y_id").alias("b")).agg(F.count("*").alias("n"), F.max("ok").alias("ok"), *[F.first(f"{s}_{c}").alias(f"{s}_{c}") for s in "xy" for c in attributes[:1]])
+        crowd = materialize(buckets.where(F.col("n") > SMALL).groupBy("id").agg(F.count("*").alias("m")))
+        met = met.join(crowd.select(F.col("id").alias("a"), F.col("m").alias("m_a")), "a", "left").join(crowd.select(F.col("id").alias("b"), F.col("m").alias("m_b")), "b", "left")
+        most = F.col("n") + F.least(F.coalesce("m_a", F.lit(0)), F.coalesce("m_b", F.lit(0)))
+        pairs = met.where("ok").where(enough(most, lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}"))).select("a", "b")
+    pairs = materialize(pairs)
+    verify = prepare(pairs.select(F.explode(F.array("a", "b")).alias("id")).unionAll(buckets.where(F.col("n") > SMALL).select("id")))
+    links = materialize(verify(pairs))
     large = materialize(buckets.where(F.col("n") > SMALL).select("key", "id", *attributes, F.lit(False).alias("done")))
     if large.isEmpty():
         return links
     seen = None
-    for _ in range(ROUNDS):
-        hubs = large.where(~F.col("done")).groupBy("key").agg(F.min("id").alias("hub"))
-        held = large.join(hubs, "key")
-        pairs = held.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    row = F.struct("id", *attributes)
+    for r in range(ROUNDS):
+        lot = F.xxhash64(F.lit(r), "id")  # another order of the ids in each round, the same in all buckets
+        hubs = large.groupBy("key").agg(
+            F.min_by(row, F.when(F.col("done"), lot)).alias("of_done"), F.min_by(row, F.when(~F.col("done"), lot)).alias("of_rest"),
+            F.count_if("done").alias("n_done"), F.count_if(~F.col("done")).alias("n_rest"),
+        )
+        hubs = hubs.where("n_rest > 0").withColumn("fresh", F.col("n_done") < 2)
+        hubs = hubs.withColumn("h", F.when(F.col("fresh"), F.col("of_rest")).otherwise(F.col("of_done")))
+        held = materialize(large.join(hubs.select("key", "fresh", F.col("h.id").alias("hub"), *[F.col(f"h.{c}").alias(f"hub_{c}") for c in attributes]), "key", "left"))
+        tried = held.where(F.col("hub").isNotNull() & (F.col("id") != F.col("hub")) & (F.col("fresh") | ~F.col("done")) & admissible(lambda c: F.col(f"hub_{c}"), F.col))
+        pairs = tried.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
         pairs = materialize(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            break
-        new = verify(pairs)
-        links = materialize(links.unionAll(new))
+        links = materialize(links.unionAll(verify(pairs)))
         seen = materialize(pairs if seen is None else seen.unionAll(pairs))
         yes = links.select(F.col("a").alias("hub"), F.col("b").alias("id")).unionAll(links.select(F.col("b").alias("hub"), F.col("a").alias("id"))).distinct()
-        rest = large.join(hubs, "key", "left").join(yes.withColumn("hit", F.lit(True)), ["hub", "id"], "left")
-        large = materialize(rest.select("key", "id", *attributes, (F.col("done") | F.coalesce(F.col("hit"), F.lit(False)) | F.coalesce(F.col("id") == F.col("hub"), F.lit(False))).alias("done")))
+        found = held.join(yes.withColumn("hit", F.lit(True)), ["hub", "id"], "left")
+        done = (F.col("done") & ~F.coalesce("fresh", F.lit(False))) | F.coalesce("hit", F.lit(False)) | F.coalesce(F.col("id") == F.col("hub"), F.lit(False))
+        large = materialize(found.select("key", "id", *attributes, done.alias("done")))
         if large.where(~F.col("done")).isEmpty():
             break
     grouped = large.join(components(links), "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -91,7 +129,7 @@ def linked(buckets: DataFrame, attributes: list[str], admissible: Callable, veri
     attributes = [*attributes, "root"]
     odd = grouped.where("root <> main")
     across = pairs_of(odd, grouped, F.col("x_root") != F.col("y_root"))
-    across = materialize(across.join(seen, ["a", "b"], "left_anti") if seen is not None else across)
+    across = materialize(across.join(seen, ["a", "b"], "left_anti"))
     return links.unionAll(verify(across))
 
 

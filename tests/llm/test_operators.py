@@ -193,6 +193,16 @@ def edit(a, b):
     return row[-1]
 
 
+@pytest.mark.parametrize("seed", range(200))
+def test_edit_distance(seed):
+    rng = random.Random(seed)
+    a = "".join(rng.choice("abc") for _ in range(rng.randint(0, 20)))
+    b = "".join(rng.choice("abc") for _ in range(rng.randint(0, 20))) if rng.random() < 0.5 else a[:7] + "c" + a[9:]
+    limit = rng.randint(0, 20)
+    found = line_dedup.edit_distance(a, b, limit)
+    assert found == edit(a, b) or found > limit and edit(a, b) > limit
+
+
 def brute_dropped(rows, distance=3, similarity=0.8):
     lines = [(d, k, line_dedup.normal(x)) for d, t in rows for k, x in enumerate(t.split("\n")) if line_dedup.normal(x)]
     sims = line_dedup.simhashes([x for _, _, x in lines]).view(np.uint64)

@@ -174,6 +174,14 @@ def test_join_on_awkward_rows_and_an_empty_table(awkward):
     assert kept.columns == awkward.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "5", "7", "8", "None"]
 
 
+def test_unlinked_rows_of_null_or_repeated_ids_stay(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, b + " z"), (1, c), (2, c), (2, d), (2, d + " y"), (3, a), (4, ""), (4, ""), (None, ""), (None, None)]
+    kept = ngram_join.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    expected = [(None, b), (1, c), (2, d), (3, a), (4, ""), (4, ""), (None, ""), (None, None)]
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter(expected)
+
+
 def test_connected_groups(spark):
     ids = [i.to_bytes(16, "big") for i in range(40)]
     pairs = [(i, i + 1) for i in range(19)] + [(25, 39), (39, 30)]

@@ -129,8 +129,12 @@ def pack(found: DataFrame, *, capacity: int, slack: int | None = None, fan_in: i
         if parts == 1 or not n:
             done.append(bins)
             break
+        fewer = max(1, -(-parts // fan_in), -(-n // most_items))
+        if fewer >= parts:
+            done.append(bins)
+            break
         done.append(bins.where("full"))
-        items, parts = left.select("fill", "members"), max(1, -(-parts // fan_in), -(-n // most_items))
+        items, parts = left.select("fill", "members"), fewer
     out = done[0]
     for x in done[1:]:
         out = out.unionAll(x)

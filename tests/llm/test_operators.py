@@ -14,6 +14,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from motiondeck.llm.common import materialize
 from motiondeck.llm import host_rules, lang_ecoc, line_dedup, links, ngram_join, order_minhash, packing, page_diff, piece_nbest, quality_gam, queries, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -351,6 +352,15 @@ def test_packing_in_rounds(spark):
     assert len(out) == 3000 and max(fill.values()) <= 64 and len(fill) <= 1.1 * sum(r[3] for r in rows) / 64
 
 
+def test_packing_ends_when_too_many_bins_stay_underfull(spark):
+    rows = [(i, 0, 0, 40, i) for i in range(60)]
+    with pytest.MonkeyPatch.context() as patch:
+        rounds = []
+        patch.setattr(packing, "materialize", lambda df, **o: rounds.append(df) or (materialize(df, **o) if len(rounds) < 12 else pytest.fail("no end")))
+        out = packing.pack(spark.createDataFrame(rows, packing.PIECE), capacity=64, first_items=5, most_items=10).collect()
+    assert sorted(r.doc_id for r in out) == list(range(60)) and len({r.sequence_id for r in out}) == 60
+
+
 def test_best_fit_and_cuts():
     assert packing.best_fit([6, 5, 4, 3, 2], 10) == [[0, 2], [1, 3, 4]]
     assert packing.cut(np.zeros(5), 2) == [(0, 1), (1, 2), (3, 2)] and packing.cut(np.zeros(4), 2) == [(0, 2), (2, 2)] and packing.cut(np.zeros(1), 2) == [(0, 1)]

@@ -3,7 +3,9 @@
 Lines (split at \\n) are normalised: lower case, runs of characters that are neither letters nor digits become
 one space. A 64-bit SimHash of a normalised line's distinct words is cut into ``blocks`` pieces; lines at most
 ``distance`` bits apart agree in at least ``blocks - distance`` pieces, so every choice of that many
-pieces is a key and lines that share a key are candidates. Candidates within the distance are verified
+pieces is a key and lines that share a key are candidates. A small edit moves many of those bits in a line of few words, so
+``grams`` (on in ``dedup_lines``) adds keys of character n-grams: bands of minima (MinHash) of all n-grams,
+and for lines of at most ``TINY`` characters all that deletions can leave, which misses no pair of them. Candidates are verified
 by edit similarity, 1 - levenshtein / longer length >= ``similarity``. Of each connected group of lines
 the occurrence with the smallest (doc_id, line number) stays and all others are removed; equal
 normalised lines are one group from the start.
@@ -16,6 +18,7 @@ Only doc_id and text are read; other columns pass through ``dedup_lines`` untouc
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from itertools import combinations
@@ -30,6 +33,15 @@ from motiondeck.llm.common import materialize, mix64, table, temporary
 from motiondeck.llm.links import FILTER_BITS, SMALL, components, filter_bits, in_filter, linked, sized
 
 _GAP = re.compile(r"[\W_]+")
+#: Up to this length (characters) lines are found by deletions, exactly.
+TINY = 14
+#: Minima of n-grams a line; as many bits are its sketch.
+MINIMA = 64
+#: Bits of two sketches that may differ: half of them do in lines without a common n-gram.
+SKETCH = 24
+#: (shortest line, longest line, n, minima a band): pairs of a similarity of 0.8 or more are both within one of them.
+GRAMS = [(1, 40, 4, 3), (32, 1 << 31, 5, 4)]
+_ODD, _FLIP = np.frombuffer(mix64(np.arange(1, MINIMA + 1, dtype=np.uint64)).tobytes(), dtype=np.uint32).reshape(-1, 2).T[:, :, None]
 
 
 def normal(line: str) -> str:
@@ -67,6 +79,66 @@ def simhashes(lines: list[str], chunk: int = 500) -> np.ndarray:
     return np.concatenate(out)
 
 
+def minima(lines: list[str], n: int) -> np.ndarray:
+    """For each line MINIMA minima over its n-grams (the whole line if shorter), each under another permutation of their hashes."""
+    codes = np.frombuffer("".join(x + "\n" * n for x in lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    lens = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
+    at = np.cumsum(lens + n) - lens - n
+    h = np.zeros(len(codes) - n + 1, dtype=np.uint64)
+    for k in range(n):
+        h = mix64(h + codes[k : len(h) + k] + np.uint64(1)) if k else mix64(codes[: len(h)] + np.uint64(1))
+    h = (mix64(h) >> np.uint64(32)).astype(np.uint32)
+    bounds = np.column_stack([at, at + np.maximum(1, lens - n + 1)]).ravel()
+    h = np.append(h, np.zeros(n, dtype=np.uint32))
+    return np.column_stack([np.minimum.reduceat((h ^ flip) * (odd | np.uint32(1)), bounds)[::2] for odd, flip in zip(_ODD, _FLIP, strict=True)])
+
+
+def deletions(line: str, similarity: float) -> set[str]:
+    """What is left of a line after as many deletions as there may be edits to any line of at most TINY characters."""
+    share = round(1000 - 1000 * similarity)
+    most = max((m * share // 1000 for m in range(len(line), TINY + 1) if m - len(line) <= m * share // 1000), default=0)
+    found = last = {line}
+    for _ in range(most):
+        last = {x[:i] + x[i + 1 :] for x in last for i in range(len(x))}
+        found = found | last
+    return found
+
+
+def gram_keys(lines: list[str], similarity: float, chunk: int = 500) -> pa.Array:
+    """The keys of each line (none may be empty) with its sketch and the bits that may differ."""
+    owners, keys, sims, most = [], [], [], []
+    for at in range(0, len(lines), chunk):
+        part = lines[at : at + chunk]
+        for kind, (lo, hi, n, size) in enumerate(GRAMS):
+            of = np.array([i for i, x in enumerate(part) if lo <= len(x) <= hi], dtype=np.int64)
+            if not len(of):
+                continue
+            low = minima([part[i] for i in of], n)
+            bands = MINIMA // size
+            h = np.full((len(of), bands), kind, dtype=np.uint64)
+            for k in range(size):
+                h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + low[:, k : bands * size : size] + np.arange(bands, dtype=np.uint64))
+            sketch = np.packbits((low >> np.uint32(13) & np.uint32(1)).astype(np.uint8), axis=1).view(np.int64).ravel()
+            owners.append(np.repeat(of + at, bands))
+            keys.append(h.view(np.int64).ravel())
+            sims.append(np.repeat(sketch, bands))
+            most.append(np.full(h.size, SKETCH, dtype=np.int32))
+        for i, x in enumerate(part):
+            if len(x) <= TINY:
+                left = [_short(_digest(v + "\n")) for v in deletions(x, similarity)]
+                owners.append(np.full(len(left), i + at))
+                keys.append(np.array(left, dtype=np.int64))
+                sims.append(np.zeros(len(left), dtype=np.int64))
+                most.append(np.full(len(left), 64, dtype=np.int32))
+    if not owners:
+        return pa.array([[] for _ in lines], _KEYS)
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    ends = np.cumsum(np.bincount(owner, minlength=len(lines)))
+    flat = [pa.array(np.concatenate(x)[order]) for x in (keys, sims, most)]
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.StructArray.from_arrays(flat, ["key", "sim", "most"]))
+
+
 def _digest(line: str) -> bytes:
     return hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
@@ -82,8 +154,12 @@ def _short(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "big", signed=True)
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, line, id, sim) of every line with a letter or digit; sim only where a task meets the line first."""
+_KEYS = pa.list_(pa.struct([("key", pa.int64()), ("sim", pa.int64()), ("most", pa.int32())]))
+OCCURRENCE = "doc_id bigint, line int, id binary, sim bigint, size int, grams array<struct<key: bigint, sim: bigint, most: int>>"
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch], similarity: float, grams: bool) -> Iterator[pa.RecordBatch]:
+    """OCCURRENCE of every line with a letter or digit; sim, size and grams only where a task meets the line first."""
     known: set[bytes] = set()
     for batch in _slices(batches):
         docs, numbers, ids, fresh, where = [], [], [], [], []
@@ -100,7 +176,14 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ids.append(i)
         sims, valid = np.zeros(len(ids), dtype=np.int64), np.ones(len(ids), dtype=bool)
         sims[where], valid[where] = simhashes(fresh), False
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(ids, pa.binary()), pa.array(sims, mask=valid)], names=["doc_id", "line", "id", "sim"])
+        sizes, counts = np.zeros(len(ids), dtype=np.int32), np.zeros(len(ids) + 1, dtype=np.int32)
+        sizes[where] = list(map(len, fresh))
+        found = gram_keys(fresh if grams else [], similarity)
+        if grams:
+            counts[np.array(where, dtype=np.int64) + 1] = np.diff(found.offsets.to_numpy())
+        keys = pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), found.values.cast(_KEYS.value_type))
+        columns = [pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(ids, pa.binary()), pa.array(sims, mask=valid), pa.array(sizes, mask=valid), keys]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "id", "sim", "size", "grams"])
 
 
 def _texts(wanted):
@@ -188,29 +271,48 @@ def _lit(mask: int) -> Column:
 
 
 def line_buckets(sims: DataFrame, blocks: int, distance: int) -> DataFrame:
-    """(key, id, sim, n) of keys that two lines or more share. Crowded keys are split once more, by the pieces of what the key leaves out."""
+    """(key, id, sim, size, most, n) of keys that two lines or more share. Crowded keys are split once more, by the pieces of what the key leaves out."""
     masks = block_masks(blocks, distance)
     keys = F.array(*[F.xxhash64(F.lit(n), F.col("sim").bitwiseAND(_lit(m))) for n, m in enumerate(masks)])
-    found = materialize(sized(sims.select("id", "sim", F.posexplode(keys).alias("which", "key")), ["sim", "which"]))
+    found = materialize(sized(sims.select("id", "sim", "size", F.posexplode(keys).alias("which", "key")), ["sim", "size", "which"]))
     rest = [rest_masks(m, distance) for m in masks]
     split = [F.xxhash64(F.col("key"), F.lit(k), F.col("sim").bitwiseAND(F.get(F.array(*[_lit(r[k]) for r in rest]), F.col("which")))) for k in range(distance + 1)]
-    crowded = found.where(F.col("n") > SMALL).select("id", "sim", F.explode(F.array(*split)).alias("key"))
-    return materialize(found.where(F.col("n") <= SMALL).select("key", "id", "sim", "n").unionAll(sized(crowded, ["sim"]).select("key", "id", "sim", "n")))
+    crowded = found.where(F.col("n") > SMALL).select("id", "sim", "size", F.explode(F.array(*split)).alias("key"))
+    columns = ["key", "id", "sim", "size", F.lit(distance).alias("most"), "n"]
+    return materialize(found.where(F.col("n") <= SMALL).select(*columns).unionAll(sized(crowded, ["sim", "size"]).select(*columns)))
+
 
+def gram_buckets(firsts: DataFrame, similarity: float) -> DataFrame:
+    """The same of the n-gram keys. Crowded keys are split by length, into classes of which two similar lines share one."""
+    rows = firsts.select("id", "size", F.explode("grams").alias("g")).select("id", "size", "g.*")
+    found = materialize(sized(rows, ["sim", "size", "most"]))
+    step = F.floor(F.log("size") / F.lit(-math.log(similarity)) * F.lit(1 - 1e-9)) if 0 < similarity < 1 else F.lit(0)
+    classes = F.array(*[F.xxhash64(F.col("key"), (step + k).cast("bigint")) for k in (0, 1)])
+    crowded = found.where(F.col("n") > SMALL).select("id", "sim", "size", "most", F.explode(classes).alias("key"))
+    columns = ["key", "id", "sim", "size", "most", "n"]
+    return materialize(found.where(F.col("n") <= SMALL).select(*columns).unionAll(sized(crowded, ["sim", "size", "most"]).select(*columns)))
 
-def dropped_lines(docs: DataFrame, *, blocks: int = 5, distance: int = 3, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, line) of every occurrence that goes."""
+
+def dropped_lines(docs: DataFrame, *, blocks: int = 5, distance: int = 3, similarity: float = 0.8, grams: bool = False) -> DataFrame:
+    """(doc_id, line) of every occurrence that goes; without ``grams`` lines are linked within the SimHash distance only."""
     with temporary(docs.sparkSession):
-        return materialize(_dropped(docs, blocks, distance, similarity), keep=True)
+        return materialize(_dropped(docs, blocks, distance, similarity, grams), keep=True)
 
 
-def _dropped(docs: DataFrame, blocks: int, distance: int, similarity: float) -> DataFrame:
+def _dropped(docs: DataFrame, blocks: int, distance: int, similarity: float, grams: bool) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
-    found = materialize(docs.mapInArrow(_occurrences, "doc_id bigint, line int, id binary, sim bigint"))
+    found = materialize(docs.mapInArrow(lambda batches: _occurrences(batches, similarity, grams), OCCURRENCE))
     short = F.conv(F.hex(F.substring("id", 1, 8)), 16, -10).cast("bigint")
-    firsts = found.where("sim is not null").select(short.alias("id"), "sim", "doc_id", "line")
-    buckets = line_buckets(firsts.select("id", "sim"), blocks, distance)
+    firsts = found.where("sim is not null").select(short.alias("id"), "sim", "size", "grams", "doc_id", "line")
+    buckets = line_buckets(firsts.select("id", "sim", "size"), blocks, distance)
+    if grams:
+        buckets = buckets.unionAll(gram_buckets(firsts, similarity))
+    share = round(1000 - 1000 * similarity)
+
+    def admissible(x, y):
+        near = F.bit_count(x("sim").bitwiseXOR(y("sim"))) <= x("most")
+        return near & (1000 * F.abs(x("size") - y("size")) <= share * F.greatest(x("size"), y("size")).cast("bigint"))
 
     def prepare(ids: DataFrame):
         places = firsts.join(ids.distinct(), "id", "left_semi")
@@ -224,7 +326,7 @@ def _dropped(docs: DataFrame, blocks: int, distance: int, similarity: float) ->
 
         return verify
 
-    groups = components(linked(buckets, ["sim"], lambda x, y: F.bit_count(x("sim").bitwiseXOR(y("sim"))) <= distance, prepare))
+    groups = components(linked(buckets, ["sim", "size", "most"], admissible, prepare))
     seen = found.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first")).withColumn("short", short)
     seen = seen.join(groups.withColumnRenamed("id", "short"), "short", "left").where("n > 1 or root is not null")
     seen = materialize(seen.select("id", F.coalesce(F.col("root").cast("string"), F.hex("id")).alias("root"), "first"))
@@ -233,9 +335,9 @@ def _dropped(docs: DataFrame, blocks: int, distance: int, similarity: float) ->
     return found.select("doc_id", "line", "id").join(repeated, "id").where(~F.struct("doc_id", "line").eqNullSafe(F.col("stays"))).select("doc_id", "line")
 
 
-def dedup_lines(docs: DataFrame, **options) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, grams: bool = True, **options) -> DataFrame:
     """docs with the lines that go taken out of text, and two more columns, the numbers of its ``__lines`` and of those ``__gone``."""
-    gone = dropped_lines(docs, **options).distinct().groupBy("doc_id").agg(F.collect_list("line").alias("__drop")).withColumnRenamed("doc_id", "__id")
+    gone = dropped_lines(docs, grams=grams, **options).distinct().groupBy("doc_id").agg(F.collect_list("line").alias("__drop")).withColumnRenamed("doc_id", "__id")
     joined = docs.join(gone, docs.doc_id.cast("bigint").eqNullSafe(F.col("__id")), "left").drop("__id")
     schema = StructType([*docs.schema.fields]).add("__lines", IntegerType()).add("__gone", IntegerType())
 

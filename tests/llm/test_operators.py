@@ -248,6 +248,33 @@ def test_dropped_lines_are_those_of_all_pairs(spark):
     assert sorted((r.doc_id, r.line) for r in found) == brute_dropped(rows)
 
 
+def test_small_edits_are_found_whatever_the_length(spark):
+    """Against brute force on edit similarity alone."""
+    rng, lines = random.Random(11), []
+    for n in [4, 5, 7, 8, 9, 10, 12, 14, *range(20, 200, 9)]:
+        base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        base = " ".join(base[i : i + 6] for i in range(0, n, 6))
+        i = rng.randrange(len(base))
+        words = base.split()
+        words[rng.randrange(len(words))] = "0123"
+        lines += [base, base[:i] + "7" + base[i + 1 :], *([" ".join(words)] if n > 60 else [])]
+    rows = list(enumerate(lines))
+    found = line_dedup.dropped_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), grams=True).collect()
+    assert sorted((r.doc_id, r.line) for r in found) == brute_dropped(rows, distance=64)
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows[-6:], "doc_id bigint, text string")).collect()
+    assert sum(r.__getitem__("__gone") for r in out) == 4
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_tiny_lines_share_what_deletions_leave(seed):
+    rng = random.Random(seed)
+    lines = ["".join(rng.choice("ab") for _ in range(rng.randint(1, line_dedup.TINY))) for _ in range(120)]
+    left = [line_dedup.deletions(x, 0.8) for x in lines]
+    for i, a in enumerate(lines):
+        for j, b in enumerate(lines[:i]):
+            assert edit(a, b) > 0.2 * max(len(a), len(b)) + 1e-9 or left[i] & left[j]
+
+
 def test_lines_of_awkward_rows(awkward):
     out = line_dedup.dedup_lines(awkward)
     rows = {(r.doc_id, r.source): r for r in out.collect()}

@@ -26,16 +26,18 @@ from motiondeck.llm.common import materialize, table
 
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 BIN = "full boolean, fill int, members array<struct<doc_id: bigint, piece: int, start: bigint, length: bigint, ids_crc32: bigint>>"
+#: The special tokens that ``byte_bpe_50k.json`` adds to the ranks.
+SPECIAL = {"<|endoftext|>": 50256}
 _MEMBER = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
 def encoder(ranks_path: str):
-    """The byte-level BPE of a rank file; strings of special tokens in a text are ordinary text."""
+    """The byte-level BPE of a rank file; as in ``byte_bpe_50k.json``, the string of a special token in a text is that token."""
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
 def cut(ids: np.ndarray, capacity: int) -> list[tuple[int, int]]:
@@ -54,7 +56,7 @@ def pieces(docs: DataFrame, *, capacity: int, ranks_path: str, separator: int =
         for batch in batches:
             out = []
             for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.append(encode(t or "", disallowed_special=()).astype("<u4"), np.array([separator], "<u4"))
+                ids = np.append(encode(t or "", allowed_special="all").astype("<u4"), np.array([separator], "<u4"))
                 out += [(d, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cut(ids, capacity))]
             columns = list(zip(*out, strict=True)) or [[]] * 5
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]

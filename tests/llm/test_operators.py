@@ -369,6 +369,16 @@ def test_packing_is_whole_and_tight(spark, docs):
     assert len(by_seq) <= 1.02 * -(-sum(map(len, ids.values())) // 2048) + 1
 
 
+def test_special_tokens_are_those_of_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken")).encode_to_numpy
+    for text in ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext|", "", AWKWARD[-1][1]]:
+        assert encode(text, allowed_special="all").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert encode("a <|endoftext|> b", allowed_special="all").tolist() == [64, 220, 50256, 275]
+
+
 def test_packing_in_rounds(spark):
     rng = random.Random(1)
     rows = [(i, 0, 0, rng.randint(1, 60), 0) for i in range(3000)]

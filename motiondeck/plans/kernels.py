@@ -20,8 +20,8 @@ RIG = {
 
 @register("optimal_match")
 def optimal_match(spark, sf_dir):
-    """Within each label, pairs of an even and an odd vector closer than a threshold in the first plane, as many as
-    possible and then as near as possible."""
+    """Within each label and block of 100 ids, which stands for a frame, pairs of an even and an odd vector closer than a
+    threshold in the first plane, as many as possible and then as near as possible. Pairs across blocks are not considered."""
     d = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
     a, b = d.where("vec_id % 2 = 0"), d.where("vec_id % 2 = 1")
     block = (F.col("vec_id") / 100).cast("int").alias("block")

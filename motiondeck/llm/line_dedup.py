@@ -1,96 +1,177 @@
 """Line dedup: lines that are the same up to small edits occur once in the corpus.
 
-Lines (split at \\n) are normalised: lower case, runs of characters that are neither letters nor digits become
-one space. A 64-bit SimHash of a normalised line's distinct words is cut into ``blocks`` pieces; lines at most
-``distance`` bits apart agree in at least ``blocks - distance`` pieces, so every choice of that many
-pieces is a key and lines that share a key are candidates. A small edit moves many of those bits in a line of few words, so
-``grams`` (on in ``dedup_lines``) adds keys of character n-grams: bands of minima (MinHash) of all n-grams,
-and for lines of at most ``TINY`` characters all that deletions can leave, which misses no pair of them. Candidates are verified
+Lines (split at \\n) are normalised: letters and digits in lower case, character by character, and one space for each run of others
+between them. A normalised line has a fingerprint of SimHash blocks, 64 bits each. A block is the SimHash (the bitwise majority) of
+four words of the line that it draws by minimum hash, longer words first, so an edit changes the few blocks that draw an edited word and
+leaves the others alone: lines whose fingerprints differ in all blocks but one still agree in that one (pigeonhole), and lines
+that agree in a block are candidates. (A SimHash of all words of a line moves in most of its blocks with any edit: of lines with one
+word of ten replaced, one in thirty stays within 3 of 64 bits.) Short lines, and those with few words for their length, have blocks that draw character n-grams,
+and for lines of at most ``TINY`` characters all that deletions can leave are keys too, which misses no pair of them. A plain SimHash of all words spares
+the verification of candidates that differ in over ``SKETCH`` bits; lines of fewer than ``WORDY`` words have none. Candidates are verified
 by edit similarity, 1 - levenshtein / longer length >= ``similarity``. Of each connected group of lines
 the occurrence with the smallest (doc_id, line number) stays and all others are removed; equal
 normalised lines are one group from the start.
 
 Lines without a letter or digit are never removed. Null text stays null, has no lines. Rows that repeat a doc_id
 are the same document: a line stays in each of them or in none. A null doc_id sorts first.
-Only doc_id and text are read; other columns pass through ``dedup_lines`` untouched.
+Only doc_id and text are read; other columns pass through ``dedup_lines`` untouched, whatever their names but ``__lines``, ``__gone``, ``__drop`` and ``__id``.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
-import re
 from collections.abc import Iterator
-from itertools import combinations
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
+from motiondeck.llm.align import within
 from motiondeck.llm.common import materialize, mix64, table, temporary
-from motiondeck.llm.links import FILTER_BITS, SMALL, components, filter_bits, in_filter, linked, sized
+from motiondeck.llm.links import SMALL, components, filter_bits, filter_size, in_filter, linked, sized
 
-_GAP = re.compile(r"[\W_]+")
 #: Up to this length (characters) lines are found by deletions, exactly.
 TINY = 14
-#: Minima of n-grams a line; as many bits are its sketch.
-MINIMA = 64
-#: Bits of two sketches that may differ: half of them do in lines without a common n-gram.
-SKETCH = 24
-#: (shortest line, longest line, n, minima a band): pairs of a similarity of 0.8 or more are both within one of them.
-GRAMS = [(1, 40, 4, 3), (32, 1 << 31, 5, 4)]
-_ODD, _FLIP = np.frombuffer(mix64(np.arange(1, MINIMA + 1, dtype=np.uint64)).tobytes(), dtype=np.uint32).reshape(-1, 2).T[:, :, None]
-
-
-def normal(line: str) -> str:
-    return _GAP.sub(" ", line.lower()).strip()
-
-
-def word_hashes(words: list[str]) -> np.ndarray:
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    lens = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    at = np.cumsum(lens) - lens
-    place = (np.arange(len(codes)) - np.repeat(at, lens)).astype(np.uint64)
-    return mix64(np.add.reduceat(mix64(codes + (place << np.uint64(32)) + np.uint64(1)), at))
-
-
-def simhashes(lines: list[str], chunk: int = 500) -> np.ndarray:
-    """One 64-bit SimHash a normalised line (none may be empty): the sign of the sum over its distinct words, bit by bit.
-
-    Eight bits are summed at a time, as the bytes of one 64-bit number, over at most 255 words.
-    """
-    out = [np.zeros(0, dtype=np.int64)]
-    for at in range(0, len(lines), chunk):
-        words = [list(dict.fromkeys(line.split(" "))) for line in lines[at : at + chunk]]
-        counts = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        lanes = np.unpackbits(word_hashes([w for ws in words for w in ws]).view(np.uint8).reshape(-1, 8), axis=1).view(np.uint64)
+#: Up to this length blocks draw n-grams of characters, from WORDS_FROM on they draw words; a pair of a similarity of 0.8 is within one of them.
+SHORT, WORDS_FROM = 64, 32
+#: A line of more characters a word than this draws n-grams too, such as one in a script without spaces.
+LONG_WORDS = 12
+#: Blocks of words and of n-grams, how many each draws, and n.
+BLOCKS, DRAWS, GRAM_BLOCKS, GRAM_DRAWS, GRAM = 8, 4, 16, 3, 4
+#: Words of fewer characters are mostly those that any line may have; a block draws them only for want of others.
+BRIEF = 5
+#: Bits in which the SimHashes of candidates of at least WORDY words may differ.
+SKETCH, WORDY = 18, 8
+#: Keys of more lines than this are first held against one of them.
+PAIRWISE = 4
+#: Lines that a task remembers to have met, so as to give keys once.
+REMEMBERED = 1 << 19
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+
+
+@cache
+def letters() -> np.ndarray:
+    """For every code point its lower case if that is one letter or digit (itself if it is more), 1 for \\n, else 0; 4 MB."""
+    out = np.zeros(0x110000, dtype=np.uint32)
+    for i in range(0x110000):
+        c = chr(i)
+        if c.isalnum():
+            low = c.lower()
+            out[i] = ord(low) if len(low) == 1 else i
+    out[ord("\n")] = 1
+    return out
+
+
+class Lines:
+    """The normalised lines of texts, those with a letter or digit: ``number`` (of all lines, one after another),
+    the hashes of their ``words``, the ``first`` and the ``counts`` of each line's words, and their ``sizes`` in characters."""
+
+    def __init__(self, texts: list[str], of: np.ndarray):
+        codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        mapped = of[codes]
+        inside = mapped > 1
+        before = np.zeros(len(mapped), dtype=bool)
+        before[1:] = inside[:-1]
+        starts = np.flatnonzero(inside & ~before)
+        breaks = mapped == 1
+        self.starts = np.concatenate([[0], np.flatnonzero(breaks) + 1])  # of lines, in all that was joined
+        chars = mapped[inside]
+        at = np.cumsum(inside, dtype=np.int64)[starts] - 1
+        line = np.cumsum(breaks, dtype=np.int64)[starts]
+        lens = np.diff(np.append(at, len(chars)))
+        self.brief = lens < BRIEF
+        self.words = np.zeros(0, dtype=np.uint64)
+        if len(at):
+            place = (np.arange(len(chars)) - np.repeat(at, lens)).astype(np.uint64)
+            self.words = mix64(np.add.reduceat(mix64(chars + (place << np.uint64(32))), at))
+        self.first = np.flatnonzero(np.diff(line, prepend=-1))
+        self.number = line[self.first]
+        self.counts = np.diff(np.append(self.first, len(at)))
+        self.sizes = (np.add.reduceat(lens, self.first) if len(at) else np.zeros(0, dtype=np.int64)) + self.counts - 1
+        # characters with a space after each word
+        self._flat = np.full(len(chars) + len(at), ord(" "), dtype=np.uint32)
+        self._flat[np.arange(len(chars)) + np.repeat(np.arange(len(at)), lens)] = chars
+        self._from = at[self.first] + self.first if len(at) else at
+
+    def __len__(self) -> int:
+        return len(self.number)
+
+    def text(self, i: int) -> str:
+        return self._flat[self._from[i] : self._from[i] + self.sizes[i]].tobytes().decode("utf-32-le", "surrogatepass")
+
+    def ids(self) -> tuple[np.ndarray, np.ndarray]:
+        """A 128-bit hash of each line in two halves."""
+        if not len(self):
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        k = (np.arange(len(self.words)) - np.repeat(self.first, self.counts)).astype(np.uint64)
+        one = np.add.reduceat(mix64(self.words + k * _GOLDEN), self.first)
+        two = np.add.reduceat(mix64((self.words ^ _GOLDEN) * (k + k + np.uint64(1))), self.first)
+        return one.view(np.int64), two.view(np.int64)
+
+    def simhashes(self, some: np.ndarray) -> np.ndarray:
+        """64-bit SimHashes of some lines: the sign of the sum over their words, bit by bit. Eight bits are summed
+        at a time, as the bytes of one 64-bit number, over at most 255 words."""
+        if not len(some):
+            return np.zeros(0, dtype=np.int64)
+        counts, words = self.counts[some], self.words[self._of(some)]
+        first = np.cumsum(counts) - counts
+        lanes = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1).view(np.uint64)
         parts = -(-counts // 255)
         of = np.repeat(np.arange(len(counts)), parts)
         inner = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
-        starts = np.repeat(np.cumsum(counts) - counts, parts) + 255 * inner
-        sums = np.add.reduceat(lanes, starts, axis=0).view(np.uint8).astype(np.int64)
+        sums = np.add.reduceat(lanes, first[of] + 255 * inner, axis=0).view(np.uint8).astype(np.int64)
         if len(of) > len(counts):
             sums = np.add.reduceat(sums, np.cumsum(parts) - parts, axis=0)
-        out.append(np.packbits(2 * sums > counts[:, None], axis=1).view(np.int64).ravel())
-    return np.concatenate(out)
+        return np.packbits(2 * sums > counts[:, None], axis=1).view(np.int64).ravel()
+
+    def _of(self, some: np.ndarray) -> np.ndarray:
+        """The places of the words of some lines."""
+        counts = self.counts[some]
+        return np.repeat(self.first[some] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+    def word_blocks(self, some: np.ndarray) -> np.ndarray:
+        counts, at = self.counts[some], self._of(some)
+        return drawn(self.words[at], np.cumsum(counts) - counts, BLOCKS, DRAWS, 0, self.brief[at])
+
+    def gram_blocks(self, some: np.ndarray) -> np.ndarray:
+        """Blocks that draw n-grams, or the whole line if it is shorter."""
+        sizes = self.sizes[some]
+        ends = np.cumsum(sizes + GRAM)
+        at = ends - sizes - GRAM
+        flat = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.uint64)
+        place = np.repeat(at - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        flat[place] = self._flat[np.repeat(self._from[some] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+        grams = np.zeros(max(0, len(flat) - GRAM + 1), dtype=np.uint64)
+        for k in range(GRAM):
+            grams = mix64(grams + flat[k : k + len(grams)] + np.uint64(1))
+        counts = np.maximum(1, sizes - GRAM + 1)
+        first = np.cumsum(counts) - counts
+        return drawn(grams[np.repeat(at - first, counts) + np.arange(counts.sum())], first, GRAM_BLOCKS, GRAM_DRAWS, 1)
+
+
+def drawn(hashes: np.ndarray, first: np.ndarray, blocks: int, draws: int, kind: int, late: np.ndarray | None = None) -> np.ndarray:
+    """A row a line (its hashes begin at first), a column a block: the SimHash of the ``draws`` (three or four) hashes that are the
+    least under as many permutations, with the number of the block mixed in. Late ones come in the last eighth of the order."""
+    out = np.zeros((len(first), blocks), dtype=np.uint64)
+    low = hashes.astype(np.uint32)
+    shift, top = (np.uint32(0), np.uint32(0)) if late is None else (late * np.uint32(3), late * np.uint32(7 << 29))
+    lots = mix64(np.arange(1, blocks * draws + 1, dtype=np.uint64))
+    odd, flip = lots.astype(np.uint32) | np.uint32(1), (lots >> np.uint64(32)).astype(np.uint32)
+    for b in range(blocks if len(first) else 0):
+        x, y, z, *w = (mix64(np.minimum.reduceat((low ^ flip[k]) * odd[k] >> shift | top, first).astype(np.uint64) + np.uint64(1)) for k in range(b * draws, (b + 1) * draws))
+        bits = x & y & (z | w[0]) | z & w[0] & (x | y) if w else x & y | y & z | x & z
+        out[:, b] = mix64(bits + np.uint64(2 * b + kind))
+    return out
 
 
-def minima(lines: list[str], n: int) -> np.ndarray:
-    """For each line MINIMA minima over its n-grams (the whole line if shorter), each under another permutation of their hashes."""
-    codes = np.frombuffer("".join(x + "\n" * n for x in lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    lens = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
-    at = np.cumsum(lens + n) - lens - n
-    h = np.zeros(len(codes) - n + 1, dtype=np.uint64)
-    for k in range(n):
-        h = mix64(h + codes[k : len(h) + k] + np.uint64(1)) if k else mix64(codes[: len(h)] + np.uint64(1))
-    h = (mix64(h) >> np.uint64(32)).astype(np.uint32)
-    bounds = np.column_stack([at, at + np.maximum(1, lens - n + 1)]).ravel()
-    h = np.append(h, np.zeros(n, dtype=np.uint32))
-    return np.column_stack([np.minimum.reduceat((h ^ flip) * (odd | np.uint32(1)), bounds)[::2] for odd, flip in zip(_ODD, _FLIP, strict=True)])
+def normal(line: str) -> str:
+    """A line in normal form, empty if it has no letter or digit."""
+    found = Lines([line], letters())
+    return found.text(0) if len(found) else ""
 
 
 def deletions(line: str, similarity: float) -> set[str]:
@@ -104,221 +185,143 @@ def deletions(line: str, similarity: float) -> set[str]:
     return found
 
 
-def gram_keys(lines: list[str], similarity: float, chunk: int = 500) -> pa.Array:
-    """The keys of each line (none may be empty) with its sketch and the bits that may differ."""
-    owners, keys, sims, most = [], [], [], []
-    for at in range(0, len(lines), chunk):
-        part = lines[at : at + chunk]
-        for kind, (lo, hi, n, size) in enumerate(GRAMS):
-            of = np.array([i for i, x in enumerate(part) if lo <= len(x) <= hi], dtype=np.int64)
-            if not len(of):
-                continue
-            low = minima([part[i] for i in of], n)
-            bands = MINIMA // size
-            h = np.full((len(of), bands), kind, dtype=np.uint64)
-            for k in range(size):
-                h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + low[:, k : bands * size : size] + np.arange(bands, dtype=np.uint64))
-            sketch = np.packbits((low >> np.uint32(13) & np.uint32(1)).astype(np.uint8), axis=1).view(np.int64).ravel()
-            owners.append(np.repeat(of + at, bands))
-            keys.append(h.view(np.int64).ravel())
-            sims.append(np.repeat(sketch, bands))
-            most.append(np.full(h.size, SKETCH, dtype=np.int32))
-        for i, x in enumerate(part):
-            if len(x) <= TINY:
-                left = [_short(_digest(v + "\n")) for v in deletions(x, similarity)]
-                owners.append(np.full(len(left), i + at))
-                keys.append(np.array(left, dtype=np.int64))
-                sims.append(np.zeros(len(left), dtype=np.int64))
-                most.append(np.full(len(left), 64, dtype=np.int32))
-    if not owners:
-        return pa.array([[] for _ in lines], _KEYS)
+def line_keys(lines: Lines, some: np.ndarray, similarity: float) -> pa.Array:
+    """The keys of some lines: their blocks, and what deletions leave of tiny ones."""
+    sizes, counts = lines.sizes[some], lines.counts[some]
+    wordy = np.flatnonzero(sizes >= WORDS_FROM)
+    short = np.flatnonzero((sizes <= SHORT) | (sizes > LONG_WORDS * counts))
+    owners = [np.repeat(wordy, BLOCKS), np.repeat(short, GRAM_BLOCKS)]
+    keys = [lines.word_blocks(some[wordy]).ravel(), lines.gram_blocks(some[short]).ravel()]
+    for i in np.flatnonzero(sizes <= TINY).tolist():
+        left = [xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in deletions(lines.text(some[i]), similarity)]
+        owners.append(np.full(len(left), i))
+        keys.append(np.array(left, dtype=np.uint64))
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
-    ends = np.cumsum(np.bincount(owner, minlength=len(lines)))
-    flat = [pa.array(np.concatenate(x)[order]) for x in (keys, sims, most)]
-    return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.StructArray.from_arrays(flat, ["key", "sim", "most"]))
+    ends = np.cumsum(np.bincount(owner, minlength=len(some)))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(np.concatenate(keys)[order].view(np.int64)))
 
 
-def _digest(line: str) -> bytes:
-    return hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+OCCURRENCE = "doc_id bigint, line int, id bigint, tail bigint, sim bigint, size int, keys array<bigint>"
+_OCCURRENCE = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("id", pa.int64()), ("tail", pa.int64()), ("sim", pa.int64()), ("size", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that a task holds the lines of few documents at a time."""
+def _numbered(batches: Iterator[pa.RecordBatch], of: np.ndarray, rows: int = 500) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, Lines]]:
+    """For a few documents at a time (a task holds no more): where the doc_id is null, and of each normalised line its doc_id, its number in the document and the lines."""
     for batch in batches:
         for at in range(0, len(batch), rows):
-            yield batch.slice(at, rows)
-
-
-def _short(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "big", signed=True)
-
-
-_KEYS = pa.list_(pa.struct([("key", pa.int64()), ("sim", pa.int64()), ("most", pa.int32())]))
-OCCURRENCE = "doc_id bigint, line int, id binary, sim bigint, size int, grams array<struct<key: bigint, sim: bigint, most: int>>"
-
-
-def _occurrences(batches: Iterator[pa.RecordBatch], similarity: float, grams: bool) -> Iterator[pa.RecordBatch]:
-    """OCCURRENCE of every line with a letter or digit; sim, size and grams only where a task meets the line first."""
-    known: set[bytes] = set()
-    for batch in _slices(batches):
-        docs, numbers, ids, fresh, where = [], [], [], [], []
-        for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            for k, line in enumerate(t.split("\n") if t else ()):
-                if plain := normal(line):
-                    i = _digest(plain)
-                    if i not in known:
-                        known.add(i)
-                        fresh.append(plain)
-                        where.append(len(ids))
-                    docs.append(d)
-                    numbers.append(k)
-                    ids.append(i)
-        sims, valid = np.zeros(len(ids), dtype=np.int64), np.ones(len(ids), dtype=bool)
-        sims[where], valid[where] = simhashes(fresh), False
-        sizes, counts = np.zeros(len(ids), dtype=np.int32), np.zeros(len(ids) + 1, dtype=np.int32)
-        sizes[where] = list(map(len, fresh))
-        found = gram_keys(fresh if grams else [], similarity)
-        if grams:
-            counts[np.array(where, dtype=np.int64) + 1] = np.diff(found.offsets.to_numpy())
-        keys = pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), found.values.cast(_KEYS.value_type))
-        columns = [pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(ids, pa.binary()), pa.array(sims, mask=valid), pa.array(sizes, mask=valid), keys]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "id", "sim", "size", "grams"])
-
-
-def _texts(wanted):
-    """(id, plain) of lines at flagged places; id is the first 8 bytes of the digest."""
+            part = batch.slice(at, rows)
+            part = part.filter(part.column("text").is_valid())
+            texts = part.column("text").to_pylist()
+            if not texts:
+                continue
+            lines = Lines(texts, of)
+            ends = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1)
+            first = np.searchsorted(lines.starts, np.append(0, ends[:-1]))  # of each document among all lines
+            doc = np.searchsorted(first, lines.number, side="right") - 1
+            ids = part.column("doc_id")
+            yield ids.is_null().to_numpy(zero_copy_only=False)[doc], ids.fill_null(-1).to_numpy(zero_copy_only=False)[doc], lines.number - first[doc], lines
+
+
+def _occurrences(of, similarity: float):
+    """OCCURRENCE of every line with a letter or digit; size and keys are null where the task has met the line (it remembers
+    up to REMEMBERED lines at a time; giving keys once more changes nothing)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
-        bits = wanted.value
-        for batch in _slices(batches):
-            ids, lines = [], []
-            for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                base = (-1 if d is None else d) % FILTER_BITS * 1000003
-                for k, line in enumerate(t.split("\n") if t else ()):
-                    if in_filter(bits, (base + k * 7919) % FILTER_BITS) and (plain := normal(line)):
-                        i = _short(_digest(plain))
-                        if i not in known:
-                            known.add(i)
-                            ids.append(i)
-                            lines.append(plain)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], names=["id", "plain"])
+        for none, doc, number, lines in _numbered(batches, of.value):
+            ids, tails = lines.ids()
+            some = np.sort(np.unique(ids, return_index=True)[1])
+            some = some[[i not in known for i in ids[some].tolist()]] if known else some
+            if len(known) + len(some) > REMEMBERED:
+                known.clear()
+            known.update(ids[some].tolist())
+            fresh = np.zeros(len(ids), dtype=bool)
+            fresh[some] = True
+            sims, few = np.zeros(len(ids), dtype=np.int64), np.ones(len(ids), dtype=bool)
+            wordy = some[lines.counts[some] >= WORDY]
+            sims[wordy], few[wordy] = lines.simhashes(wordy), False
+            keys = line_keys(lines, some, similarity)
+            counts = np.zeros(len(ids) + 1, dtype=np.int32)
+            counts[some + 1] = np.diff(keys.offsets.to_numpy())
+            keys = pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), keys.values, mask=pa.array(~fresh))
+            columns = [pa.array(doc, mask=none), pa.array(number, pa.int32()), pa.array(ids), pa.array(tails), pa.array(sims, mask=few), pa.array(lines.sizes, pa.int32(), mask=~fresh), keys]
+            yield pa.RecordBatch.from_arrays(columns, schema=_OCCURRENCE)
 
     return run
 
 
-def edit_distance(a: str, b: str, limit: int) -> int:
-    """Levenshtein distance, or some number over limit if it is over: what both ends share is left out, the rest is
-    one bit-parallel recurrence (a bit a character of a, all of a column at once)."""
-    lo, hi = 0, min(len(a), len(b))
-    while lo < hi:  # the longest common prefix, by bisection
-        mid = (lo + hi + 1) // 2
-        lo, hi = (mid, hi) if a[:mid] == b[:mid] else (lo, mid - 1)
-    a, b = a[lo:], b[lo:]
-    lo, hi = 0, min(len(a), len(b))
-    while lo < hi:
-        mid = (lo + hi + 1) // 2
-        lo, hi = (mid, hi) if a[-mid:] == b[-mid:] else (lo, mid - 1)
-    a, b = a[: len(a) - lo], b[: len(b) - lo]
-    if not a or not b or abs(len(a) - len(b)) > limit:
-        return max(len(a), len(b))
-    where: dict[str, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << i
-    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, distance = full, 0, len(a)
-    for c in b:
-        eq = where.get(c, 0)
-        diagonal = (((eq & up) + up) ^ up) | eq | down
-        more, less = down | (full & ~(diagonal | up)), up & diagonal
-        distance += bool(more & top) - bool(less & top)
-        more, less = more << 1 & full | 1, less << 1 & full
-        up, down = less | (full & ~(diagonal | more)), more & diagonal
-    return distance
+def _slot(doc_id, line, size: int):
+    """The place in a filter of a line of a document, of numpy arrays as of Columns."""
+    return (doc_id % size * 1000003 + line * 7919) % size
 
 
-def _alike(similarity: float):
-    """Pairs whose lines differ by at most a share of the longer one."""
+def _texts(of, wanted, size: int):
+    """(id, plain) of lines at flagged places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), strict=True):
-                most = max(len(x), len(y)) * round(1000 - 1000 * similarity) // 1000
-                keep.append(edit_distance(x, y, most) <= most)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for _, doc, number, lines in _numbered(batches, of.value):
+            some = np.flatnonzero(in_filter(wanted.value, _slot(doc, number.astype(np.int64), size)))
+            ids = lines.ids()[0]
+            some = some[np.unique(ids[some], return_index=True)[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array([lines.text(i) for i in some.tolist()], pa.string())], names=["id", "plain"])
 
     return run
 
+def _alike(similarity: float):
+    """Pairs whose lines differ by at most a share of the longer one."""
+    share = round(1000 - 1000 * similarity)
 
-def block_masks(blocks: int, distance: int) -> list[int]:
-    """Every choice of blocks - distance pieces of a 64-bit fingerprint."""
-    edges = [64 * k // blocks for k in range(blocks + 1)]
-    pieces = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges, edges[1:], strict=False)]
-    return [sum(chosen) for chosen in combinations(pieces, blocks - distance)]
-
-
-def rest_masks(mask: int, distance: int) -> list[int]:
-    """The bits outside a mask in distance + 1 pieces: two fingerprints within the distance agree in one of them."""
-    bits = [b for b in range(64) if not mask >> b & 1]
-    cut = [len(bits) * k // (distance + 1) for k in range(distance + 2)]
-    return [sum(1 << b for b in bits[lo:hi]) for lo, hi in zip(cut, cut[1:], strict=False)]
-
-
-def _lit(mask: int) -> Column:
-    return F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("bigint")
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 5000):
+                part = batch.slice(at, 5000)
+                pairs = list(zip(part.column("pa").to_pylist(), part.column("pb").to_pylist(), strict=True))
+                keep = within(pairs, [max(len(x), len(y)) * share // 1000 for x, y in pairs])
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-def line_buckets(sims: DataFrame, blocks: int, distance: int) -> DataFrame:
-    """(key, id, sim, size, most, n) of keys that two lines or more share. Crowded keys are split once more, by the pieces of what the key leaves out."""
-    masks = block_masks(blocks, distance)
-    keys = F.array(*[F.xxhash64(F.lit(n), F.col("sim").bitwiseAND(_lit(m))) for n, m in enumerate(masks)])
-    found = materialize(sized(sims.select("id", "sim", "size", F.posexplode(keys).alias("which", "key")), ["sim", "size", "which"]))
-    rest = [rest_masks(m, distance) for m in masks]
-    split = [F.xxhash64(F.col("key"), F.lit(k), F.col("sim").bitwiseAND(F.get(F.array(*[_lit(r[k]) for r in rest]), F.col("which")))) for k in range(distance + 1)]
-    crowded = found.where(F.col("n") > SMALL).select("id", "sim", "size", F.explode(F.array(*split)).alias("key"))
-    columns = ["key", "id", "sim", "size", F.lit(distance).alias("most"), "n"]
-    return materialize(found.where(F.col("n") <= SMALL).select(*columns).unionAll(sized(crowded, ["sim", "size"]).select(*columns)))
+    return run
 
 
-def gram_buckets(firsts: DataFrame, similarity: float) -> DataFrame:
-    """The same of the n-gram keys. Crowded keys are split by length, into classes of which two similar lines share one."""
-    rows = firsts.select("id", "size", F.explode("grams").alias("g")).select("id", "size", "g.*")
-    found = materialize(sized(rows, ["sim", "size", "most"]))
+def line_buckets(firsts: DataFrame, similarity: float) -> DataFrame:
+    """(key, id, sim, size, n) of keys that two lines or more share. Crowded keys are split by length, into classes of which two similar lines share one."""
+    found = materialize(sized(firsts.select(F.explode("keys").alias("key"), "id"), []))
+    facts = firsts.groupBy("id").agg(F.min("sim").alias("sim"), F.min("size").alias("size"))
+    found = materialize(found.join(facts.join(found.select("id").distinct(), "id", "left_semi"), "id"))
     step = F.floor(F.log("size") / F.lit(-math.log(similarity)) * F.lit(1 - 1e-9)) if 0 < similarity < 1 else F.lit(0)
     classes = F.array(*[F.xxhash64(F.col("key"), (step + k).cast("bigint")) for k in (0, 1)])
-    crowded = found.where(F.col("n") > SMALL).select("id", "sim", "size", "most", F.explode(classes).alias("key"))
-    columns = ["key", "id", "sim", "size", "most", "n"]
-    return materialize(found.where(F.col("n") <= SMALL).select(*columns).unionAll(sized(crowded, ["sim", "size", "most"]).select(*columns)))
+    crowded = found.where(F.col("n") > SMALL).select("id", "sim", "size", F.explode(classes).alias("key"))
+    columns = ["key", "id", "sim", "size", "n"]
+    return materialize(found.where(F.col("n") <= SMALL).select(*columns).unionAll(sized(crowded, ["sim", "size"]).select(*columns)))
 
 
-def dropped_lines(docs: DataFrame, *, blocks: int = 5, distance: int = 3, similarity: float = 0.8, grams: bool = False) -> DataFrame:
-    """(doc_id, line) of every occurrence that goes; without ``grams`` lines are linked within the SimHash distance only."""
+def dropped_lines(docs: DataFrame, *, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, line) of every occurrence that goes."""
     with temporary(docs.sparkSession):
-        return materialize(_dropped(docs, blocks, distance, similarity, grams), keep=True)
+        return materialize(_dropped(docs, similarity), keep=True)
 
 
-def _dropped(docs: DataFrame, blocks: int, distance: int, similarity: float, grams: bool) -> DataFrame:
+def _dropped(docs: DataFrame, similarity: float) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
-    found = materialize(docs.mapInArrow(lambda batches: _occurrences(batches, similarity, grams), OCCURRENCE))
-    short = F.conv(F.hex(F.substring("id", 1, 8)), 16, -10).cast("bigint")
-    firsts = found.where("sim is not null").select(short.alias("id"), "sim", "size", "grams", "doc_id", "line")
-    buckets = line_buckets(firsts.select("id", "sim", "size"), blocks, distance)
-    if grams:
-        buckets = buckets.unionAll(gram_buckets(firsts, similarity))
+    of = sc.broadcast(letters())
+    found = materialize(docs.mapInArrow(_occurrences(of, similarity), OCCURRENCE))
+    firsts = found.where("size is not null")
     share = round(1000 - 1000 * similarity)
 
+    def fits(x, y):
+        return 1000 * F.abs(x("size") - y("size")) <= share * F.greatest(x("size"), y("size")).cast("bigint")
+
     def admissible(x, y):
-        near = F.bit_count(x("sim").bitwiseXOR(y("sim"))) <= x("most")
-        return near & (1000 * F.abs(x("size") - y("size")) <= share * F.greatest(x("size"), y("size")).cast("bigint"))
+        near = F.bit_count(x("sim").bitwiseXOR(y("sim"))) <= SKETCH
+        return F.coalesce(near, F.lit(True)) & fits(x, y)
 
     def prepare(ids: DataFrame):
-        places = firsts.join(ids.distinct(), "id", "left_semi")
-        slot = F.pmod(F.pmod(F.coalesce("doc_id", F.lit(-1)), F.lit(FILTER_BITS)) * 1000003 + F.col("line") * F.lit(7919).cast("bigint"), F.lit(FILTER_BITS))
-        wanted = sc.broadcast(filter_bits(places, slot))
-        texts = materialize(docs.mapInArrow(_texts(wanted), "id bigint, plain string").groupBy("id").agg(F.first("plain").alias("plain")))
+        places = materialize(firsts.join(ids.distinct(), "id", "left_semi").select("doc_id", "line"))
+        size = filter_size(places.count())
+        slot = F.pmod(F.pmod(F.coalesce("doc_id", F.lit(-1)), F.lit(size)) * 1000003 + F.col("line").cast("bigint") * 7919, F.lit(size))
+        wanted = sc.broadcast(filter_bits(places, slot, size))
+        texts = materialize(docs.mapInArrow(_texts(of, wanted, size), "id bigint, plain string").groupBy("id").agg(F.first("plain").alias("plain")))
 
         def verify(pairs: DataFrame) -> DataFrame:
             both = pairs.join(texts.select(F.col("id").alias("a"), F.col("plain").alias("pa")), "a").join(texts.select(F.col("id").alias("b"), F.col("plain").alias("pb")), "b")
@@ -326,18 +329,20 @@ def _dropped(docs: DataFrame, blocks: int, distance: int, similarity: float, gra
 
         return verify
 
-    groups = components(linked(buckets, ["sim", "size", "most"], admissible, prepare))
-    seen = found.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first")).withColumn("short", short)
-    seen = seen.join(groups.withColumnRenamed("id", "short"), "short", "left").where("n > 1 or root is not null")
-    seen = materialize(seen.select("id", F.coalesce(F.col("root").cast("string"), F.hex("id")).alias("root"), "first"))
-    first = seen.groupBy("root").agg(F.min("first").alias("stays"))
-    repeated = seen.join(first, "root").select("id", "stays")
-    return found.select("doc_id", "line", "id").join(repeated, "id").where(~F.struct("doc_id", "line").eqNullSafe(F.col("stays"))).select("doc_id", "line")
+    groups = components(linked(line_buckets(firsts, similarity), ["sim", "size"], admissible, prepare, pairwise=PAIRWISE, rounds=8))
+    seen = found.groupBy("id", "tail").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first"))
+    seen = materialize(seen.join(groups, "id", "left").where("n > 1 or root is not null").select("id", "tail", "root", "first"))
+    # a line that is linked to none is a group of its own
+    group = [F.coalesce("root", "id").alias("root"), F.when(F.col("root").isNull(), F.col("tail")).alias("of")]
+    seen = seen.select("id", "tail", *group, "first")
+    stays = seen.groupBy("root", "of").agg(F.min("first").alias("stays")).withColumnsRenamed({"root": "r", "of": "o"})
+    repeated = seen.join(stays, (F.col("root") == F.col("r")) & F.col("of").eqNullSafe(F.col("o"))).select("id", "tail", "stays")
+    return found.select("doc_id", "line", "id", "tail").join(repeated, ["id", "tail"]).where(~F.struct("doc_id", "line").eqNullSafe(F.col("stays"))).select("doc_id", "line")
 
 
-def dedup_lines(docs: DataFrame, *, grams: bool = True, **options) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, similarity: float = 0.8) -> DataFrame:
     """docs with the lines that go taken out of text, and two more columns, the numbers of its ``__lines`` and of those ``__gone``."""
-    gone = dropped_lines(docs, grams=grams, **options).distinct().groupBy("doc_id").agg(F.collect_list("line").alias("__drop")).withColumnRenamed("doc_id", "__id")
+    gone = dropped_lines(docs, similarity=similarity).distinct().groupBy("doc_id").agg(F.collect_list("line").alias("__drop")).withColumnRenamed("doc_id", "__id")
     joined = docs.join(gone, docs.doc_id.cast("bigint").eqNullSafe(F.col("__id")), "left").drop("__id")
     schema = StructType([*docs.schema.fields]).add("__lines", IntegerType()).add("__gone", IntegerType())
 

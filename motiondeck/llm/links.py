@@ -1,9 +1,9 @@
 """Links between members of shared buckets, and the connected groups that links make.
 
 A candidate table has rows (key, id, ...): two ids are worth comparing when they share a key. Small
-buckets are compared pair by pair. A large bucket is not: round by round one of its members, the hub, is
-verified against those not yet assigned, and what links to it is assigned; the next hub is another one of
-the assigned. Whatever members of a bucket are then still in different connected groups are compared with each
+buckets are compared pair by pair. A large bucket is not: round by round a hub is
+verified against the rest of its bucket, and what links to it leaves the rest; the next hub is one of those that left, or, if none
+did, one of the rest. Whatever members of a bucket are then still in different connected groups are compared with each
 other, so no link that would join two groups is missed, while members of one group are not paired
 with one another needlessly.
 """
@@ -22,21 +22,26 @@ from motiondeck.llm.common import materialize
 SMALL = 32
 #: Rounds of hubs before the comparison across groups, which is exact whatever is left.
 ROUNDS = 12
-#: Bits of the filter that spares a shuffle of contents nobody needs; beyond its size it only spares less.
-FILTER_BITS = 1 << 23
+#: Bits of the filter that spares a shuffle of contents nobody needs, for few members and at most (16 MB); beyond its size it only spares less.
+FILTER_BITS, MOST_BITS = 1 << 23, 1 << 27
 
 
-def filter_bits(df: DataFrame, slot: Column) -> np.ndarray:
-    """A bitmap (1 MB) of the slots (0 to FILTER_BITS - 1) of df's rows, built by Spark from 64-bit words."""
+def filter_size(members: int) -> int:
+    return min(MOST_BITS, max(FILTER_BITS, 1 << (16 * members).bit_length()))
+
+
+def filter_bits(df: DataFrame, slot: Column, size: int = FILTER_BITS) -> np.ndarray:
+    """A bitmap of the slots (0 to size - 1) of df's rows, built by Spark from 64-bit words."""
     words = df.select(slot.cast("int").alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("bits"))
     got = words.toArrow()
-    out = np.zeros(FILTER_BITS >> 6, dtype=np.uint64)
+    out = np.zeros(size >> 6, dtype=np.uint64)
     out[got.column("word").to_numpy()] = got.column("bits").to_numpy().astype(np.int64).view(np.uint64)
     return out
 
 
-def in_filter(bits: np.ndarray, slot: int) -> bool:
-    return bool(int(bits[slot >> 6]) >> (slot & 63) & 1)
+def in_filter(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    slots = slots.astype(np.uint64)
+    return (bits[slots >> np.uint64(6)] >> (slots & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -48,9 +53,11 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written out, so that a join on a node with most of the edges can be split
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         edges = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = edges.groupBy("u").agg(F.min("v").alias("m"))
+        edges = materialize(edges)
+        low = materialize(edges.groupBy("u").agg(F.min("v").alias("m")))
         joined = edges.join(low, "u")
         edges = materialize(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -61,7 +68,7 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionAll(roots)
 
 
-def linked(buckets: DataFrame, attributes: list[str], admissible: Callable, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], fits: Callable | None = None, enough: Callable | None = None) -> DataFrame:
+def linked(buckets: DataFrame, attributes: list[str], admissible: Callable, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], fits: Callable | None = None, enough: Callable | None = None, pairwise: int = SMALL, rounds: int = ROUNDS) -> DataFrame:
     """Links (a, b) that connect all ids which any chain of verified pairs within buckets connects.
 
     buckets: distinct (key, id, *attributes) of buckets with two members or more, and ``n``, their size.
@@ -71,6 +78,7 @@ def linked(buckets: DataFrame, attributes: list[str], admissible: Callable, prep
     verify(pairs) returns the rows (a, b) of pairs that are links.
     fits(x, y): a Column, whether two ids can be a link by their first attribute alone.
     enough(n, x, y): a Column, by their first attribute too, whether two ids that share at most n keys can be a link at all.
+    pairwise: buckets up to this size are compared pair by pair at once. Larger ones have a round of hubs, and those over SMALL up to ``rounds``.
     """
 
     def side(df: DataFrame, prefix: str) -> DataFrame:
@@ -82,44 +90,43 @@ def linked(buckets: DataFrame, attributes: list[str], admissible: Callable, prep
         found = side(left, "x").join(side(right, "y"), "key").where(also & ok)
         return found.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
 
-    small = buckets.where(F.col("n") <= SMALL)
+    small = buckets.where(F.col("n") <= pairwise)
     if enough is None:
         pairs = pairs_of(small, small, F.col("x_id") < F.col("y_id"))
     else:
         can = fits(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}"))
         met = side(small, "x").join(side(small, "y"), "key").where((F.col("x_id") < F.col("y_id")) & can).withColumn("ok", ok)
         met = met.groupBy(F.col("x_id").alias("a"), F.col("y_id").alias("b")).agg(F.count("*").alias("n"), F.max("ok").alias("ok"), *[F.first(f"{s}_{c}").alias(f"{s}_{c}") for s in "xy" for c in attributes[:1]])
-        crowd = materialize(buckets.where(F.col("n") > SMALL).groupBy("id").agg(F.count("*").alias("m")))
+        crowd = materialize(buckets.where(F.col("n") > pairwise).groupBy("id").agg(F.count("*").alias("m")))
         met = met.join(crowd.select(F.col("id").alias("a"), F.col("m").alias("m_a")), "a", "left").join(crowd.select(F.col("id").alias("b"), F.col("m").alias("m_b")), "b", "left")
         most = F.col("n") + F.least(F.coalesce("m_a", F.lit(0)), F.coalesce("m_b", F.lit(0)))
         pairs = met.where("ok").where(enough(most, lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}"))).select("a", "b")
     pairs = materialize(pairs)
-    verify = prepare(pairs.select(F.explode(F.array("a", "b")).alias("id")).unionAll(buckets.where(F.col("n") > SMALL).select("id")))
+    verify = prepare(pairs.select(F.explode(F.array("a", "b")).alias("id")).unionAll(buckets.where(F.col("n") > pairwise).select("id")))
     links = materialize(verify(pairs))
-    large = materialize(buckets.where(F.col("n") > SMALL).select("key", "id", *attributes, F.lit(False).alias("done")))
-    if large.isEmpty():
+    large = materialize(buckets.where(F.col("n") > pairwise).select("key", "id", *attributes, "n"))
+    rest, left = large, None
+    if rest.isEmpty():
         return links
     seen = None
     row = F.struct("id", *attributes)
-    for r in range(ROUNDS):
+    for r in range(rounds):
         lot = F.xxhash64(F.lit(r), "id")  # another order of the ids in each round, the same in all buckets
-        hubs = large.groupBy("key").agg(
-            F.min_by(row, F.when(F.col("done"), lot)).alias("of_done"), F.min_by(row, F.when(~F.col("done"), lot)).alias("of_rest"),
-            F.count_if("done").alias("n_done"), F.count_if(~F.col("done")).alias("n_rest"),
-        )
-        hubs = hubs.where("n_rest > 0").withColumn("fresh", F.col("n_done") < 2)
-        hubs = hubs.withColumn("h", F.when(F.col("fresh"), F.col("of_rest")).otherwise(F.col("of_done")))
-        held = materialize(large.join(hubs.select("key", "fresh", F.col("h.id").alias("hub"), *[F.col(f"h.{c}").alias(f"hub_{c}") for c in attributes]), "key", "left"))
-        tried = held.where(F.col("hub").isNotNull() & (F.col("id") != F.col("hub")) & (F.col("fresh") | ~F.col("done")) & admissible(lambda c: F.col(f"hub_{c}"), F.col))
-        pairs = tried.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        hubs = rest.groupBy("key").agg(F.min_by(row, lot).alias("h"))
+        if left is not None:
+            others = left.groupBy("key").agg(F.min_by(row, lot).alias("other"))
+            hubs = hubs.join(others, "key", "left").select("key", F.coalesce("other", "h").alias("h"))
+        tried = materialize(rest.join(hubs.select("key", F.col("h.id").alias("hub"), *[F.col(f"h.{c}").alias(f"hub_{c}") for c in attributes]), "key"))
+        pairs = tried.where((F.col("id") != F.col("hub")) & admissible(lambda c: F.col(f"hub_{c}"), F.col))
+        pairs = pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
         pairs = materialize(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
         links = materialize(links.unionAll(verify(pairs)))
         seen = materialize(pairs if seen is None else seen.unionAll(pairs))
         yes = links.select(F.col("a").alias("hub"), F.col("b").alias("id")).unionAll(links.select(F.col("b").alias("hub"), F.col("a").alias("id"))).distinct()
-        found = held.join(yes.withColumn("hit", F.lit(True)), ["hub", "id"], "left")
-        done = (F.col("done") & ~F.coalesce("fresh", F.lit(False))) | F.coalesce("hit", F.lit(False)) | F.coalesce(F.col("id") == F.col("hub"), F.lit(False))
-        large = materialize(found.select("key", "id", *attributes, done.alias("done")))
-        if large.where(~F.col("done")).isEmpty():
+        found = tried.join(yes.withColumn("hit", F.lit(True)), ["hub", "id"], "left").withColumn("hit", F.coalesce("hit", F.col("id") == F.col("hub")))
+        found = materialize(found.select("key", "id", *attributes, "n", "hit"))
+        rest, left = found.where(~F.col("hit") & (F.col("n") > SMALL)).drop("hit"), found.where("hit").drop("hit")
+        if rest.isEmpty():
             break
     grouped = large.join(components(links), "id", "left").withColumn("root", F.coalesce("root", "id"))
     main = grouped.groupBy("key").agg(F.mode("root", deterministic=True).alias("main"), F.count_distinct("root").alias("roots")).where("roots > 1").drop("roots")
@@ -135,6 +142,7 @@ def linked(buckets: DataFrame, attributes: list[str], admissible: Callable, prep
 
 def sized(rows: DataFrame, keep: list[str]) -> DataFrame:
     """Distinct (key, id, *keep) of keys with two ids or more, with their number n; one shuffle by key."""
-    once = rows.repartition("key").groupBy("key", "id").agg(*[F.min(c).alias(c) for c in keep])
+    once = rows.repartition("key")
+    once = once.groupBy("key", "id").agg(*[F.min(c).alias(c) for c in keep]) if keep else once.select("key", "id").distinct()
     w = Window.partitionBy("key")
     return once.withColumn("n", F.count("*").over(w)).where("n > 1")

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motiondeck.llm.align import common
 from motiondeck.llm.common import shuffle_parts, table
 
 MAIN, OPEN, CHROME = 0, 1, 2
@@ -114,39 +115,6 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
     return out
 
 
-def common(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-    """Positions of a longest common subsequence, by the bit-parallel recurrence with all rows kept."""
-    lo = 0
-    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
-        lo += 1
-    hi = 0
-    while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
-        hi += 1
-    x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
-    where: dict[int, int] = {}
-    for j, v in enumerate(y):
-        where[v] = where.get(v, 0) | 1 << j
-    full = (1 << len(y)) - 1
-    row, rows = full, []
-    for v in x:
-        u = row & where.get(v, 0)
-        row = ((row + u) | (row - u)) & full
-        rows.append(row)
-    i, j, pairs = len(x), len(y), []
-    while i and j:
-        if rows[i - 1] >> (j - 1) & 1:
-            j -= 1
-        else:
-            i -= 1
-            if not (i and not rows[i - 1] >> (j - 1) & 1):
-                j -= 1
-                pairs.append((i, j))
-    pairs.reverse()
-    one = [*range(lo), *(lo + p for p, _ in pairs), *range(len(a) - hi, len(a))]
-    two = [*range(lo), *(lo + q for _, q in pairs), *range(len(b) - hi, len(b))]
-    return one, two
-
-
 def shared_lines(hashes: list[int], sizes: list[int], other: list[int], other_sizes: list[int]) -> list[int]:
     """Positions of the lines shared with another page, none if it is a copy."""
     one, two = common(hashes, other)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from motiondeck.llm.common import materialize
-from motiondeck.llm import host_rules, lang_ecoc, line_dedup, links, ngram_join, order_minhash, packing, page_diff, piece_nbest, quality_gam, queries, toxicity
+from motiondeck.llm import align, host_rules, lang_ecoc, line_dedup, links, ngram_join, order_minhash, packing, page_diff, piece_nbest, quality_gam, queries, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Nulls, empties, ties, repeats, a long text, columns whose names clash with those used inside.
@@ -208,13 +208,13 @@ def test_edit_distance(seed):
     a = "".join(rng.choice("abc") for _ in range(rng.randint(0, 20)))
     b = "".join(rng.choice("abc") for _ in range(rng.randint(0, 20))) if rng.random() < 0.5 else a[:7] + "c" + a[9:]
     limit = rng.randint(0, 20)
-    found = line_dedup.edit_distance(a, b, limit)
+    found = align.edit_distance(a, b, limit)
     assert found == edit(a, b) or found > limit and edit(a, b) > limit
 
 
-def brute_dropped(rows, distance=3, similarity=0.8):
+def brute_dropped(rows, similarity=0.8):
+    """All pairs by edit similarity alone."""
     lines = [(d, k, line_dedup.normal(x)) for d, t in rows for k, x in enumerate(t.split("\n")) if line_dedup.normal(x)]
-    sims = line_dedup.simhashes([x for _, _, x in lines]).view(np.uint64)
     parent = list(range(len(lines)))
 
     def find(x):
@@ -224,7 +224,7 @@ def brute_dropped(rows, distance=3, similarity=0.8):
 
     for i, (_, _, a) in enumerate(lines):
         for j, (_, _, b) in enumerate(lines[:i]):
-            if a == b or int(sims[i] ^ sims[j]).bit_count() <= distance and edit(a, b) <= (1 - similarity) * max(len(a), len(b)) + 1e-9:
+            if a == b or 5 * abs(len(a) - len(b)) <= max(len(a), len(b)) and edit(a, b) <= (1 - similarity) * max(len(a), len(b)) + 1e-9:
                 parent[find(i)] = find(j)
     first = {}
     for i, (d, k, _) in enumerate(lines):
@@ -232,16 +232,17 @@ def brute_dropped(rows, distance=3, similarity=0.8):
     return sorted((d, k) for i, (d, k, _) in enumerate(lines) if first[find(i)] != (d, k))
 
 
-def test_dropped_lines_are_those_of_all_pairs(spark):
-    rng, pool, rows = random.Random(3), [], []
-    for _ in range(40):
-        pool.append(syllables(rng, rng.randint(1, 40)))
-    for d in range(30):
+@pytest.mark.parametrize(("seed", "pool", "docs"), [(3, 40, 30), (4, 2, 45)])
+def test_dropped_lines_are_those_of_all_pairs(spark, seed, pool, docs):
+    """With two base lines their keys are crowded, and hubs and comparisons across groups find the links."""
+    rng, rows = random.Random(seed), []
+    pool = [syllables(rng, rng.randint(20, 40)) for _ in range(pool)]
+    for d in range(docs):
         lines = []
         for _ in range(rng.randint(1, 6)):
             w = rng.choice(pool).split()
-            if rng.random() < 0.4:
-                w[rng.randrange(len(w))] += rng.choice("xyz")
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                w[rng.randrange(len(w))] = rng.choice("xyz") * 3
             lines.append(" ".join(w).title() if rng.random() < 0.3 else " ".join(w))
         rows.append((d, "\n".join([*lines, "--"])))
     found = line_dedup.dropped_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
@@ -249,7 +250,6 @@ def test_dropped_lines_are_those_of_all_pairs(spark):
 
 
 def test_small_edits_are_found_whatever_the_length(spark):
-    """Against brute force on edit similarity alone."""
     rng, lines = random.Random(11), []
     for n in [4, 5, 7, 8, 9, 10, 12, 14, *range(20, 200, 9)]:
         base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
@@ -258,13 +258,61 @@ def test_small_edits_are_found_whatever_the_length(spark):
         words = base.split()
         words[rng.randrange(len(words))] = "0123"
         lines += [base, base[:i] + "7" + base[i + 1 :], *([" ".join(words)] if n > 60 else [])]
+    lines += ["漢" * 20 + "字".join("甲乙丙丁戊己庚辛壬癸"), "漢" * 20 + "字".join("甲乙丙丁戊己庚辛壬子")]
     rows = list(enumerate(lines))
-    found = line_dedup.dropped_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), grams=True).collect()
-    assert sorted((r.doc_id, r.line) for r in found) == brute_dropped(rows, distance=64)
-    out = line_dedup.dedup_lines(spark.createDataFrame(rows[-6:], "doc_id bigint, text string")).collect()
+    found = line_dedup.dropped_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.line) for r in found) == brute_dropped(rows)
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows[-8:-2], "doc_id bigint, text string")).collect()
     assert sum(r.__getitem__("__gone") for r in out) == 4
 
 
+def test_recall_on_given_lines(docs):
+    """The share of edited lines that agree in a key with their originals: a tenth of their words replaced, but one at least, or one character."""
+    rng = random.Random(2)
+    lines = list({line_dedup.normal(x) for r in docs.where("text is not null").limit(150).collect() for x in r.text.split("\n")})
+    lines = [x for x in lines if len(x) >= 20]
+
+    def replaced(x):
+        w = x.split()
+        for i in rng.sample(range(len(w)), max(1, len(w) // 10)):
+            w[i] = "".join(rng.choice("qwertz") for _ in w[i])
+        return " ".join(w)
+
+    def typo(x):
+        i = rng.randrange(len(x))
+        return f"{x[:i]}7{x[i + 1:]}"
+
+    def keys(some):
+        found = line_dedup.Lines(some, line_dedup.letters())
+        return [set(k) for k in line_dedup.line_keys(found, np.arange(len(found)), 0.8).to_pylist()]
+
+    for change in (replaced, typo):
+        pairs = [(a, b) for a in lines if align.edit_distance(a, b := change(a), len(a)) <= 0.2 * max(len(a), len(b))]
+        hits = [bool(x & y) for x, y in zip(keys([a for a, _ in pairs]), keys([b for _, b in pairs]), strict=True)]
+        assert len(hits) > 500 and sum(hits) > 0.95 * len(hits)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_fingerprints_of_lines_do_not_depend_on_their_company(seed):
+    rng = random.Random(seed)
+    texts = ["\n".join(" ".join("".join(rng.choice("aB ,1İß漢_") for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(1, 5))) for _ in range(8)]
+    together, of = line_dedup.Lines(texts, line_dedup.letters()), []
+    every = [x for t in texts for x in t.split("\n")]
+    for n, x in enumerate(every):
+        alone = line_dedup.Lines([x], line_dedup.letters())
+        assert len(alone) == any(c.isalnum() for c in x)
+        if len(alone):
+            at = len(of)
+            of.append(n)
+            one = np.arange(1)
+            assert together.text(at) == alone.text(0) == " ".join("".join(c if len(c.lower()) > 1 else c.lower() for c in w) for w in re.findall(r"[^\W_]+", x))
+            assert [h[at] for h in together.ids()] == [h[0] for h in alone.ids()] and together.sizes[at] == len(alone.text(0))
+            assert (together.gram_blocks(np.arange(len(together)))[at] == alone.gram_blocks(one)[0]).all() and (together.word_blocks(np.array([at])) == alone.word_blocks(one)).all()
+            words = alone.words.tolist()
+            assert int(alone.simhashes(one)[0]) & ((1 << 64) - 1) == int.from_bytes(bytes(sum((2 * sum(int(w).to_bytes(8, "little")[b] >> (7 - k) & 1 for w in words) > len(words)) << (7 - k) for k in range(8)) for b in range(8)), "little")
+    assert together.number.tolist() == of
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_tiny_lines_share_what_deletions_leave(seed):
     rng = random.Random(seed)
@@ -275,6 +323,29 @@ def test_tiny_lines_share_what_deletions_leave(seed):
             assert edit(a, b) > 0.2 * max(len(a), len(b)) + 1e-9 or left[i] & left[j]
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_many_distances_at_once(seed):
+    rng, pairs = random.Random(seed), []
+    for _ in range(200):
+        a = "".join(rng.choice("ab漢" if seed % 2 else "abcdefgh") for _ in range(rng.choice([0, 1, 5, 63, 64, 65, 128, 130])))
+        b = list(a)
+        for _ in range(rng.randint(0, 40)):
+            at = rng.randint(0, len(b))
+            b[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "z", "bb"])
+        pairs.append((a, "".join(b)) if rng.random() < 0.5 else ("".join(b), a))
+    limits = [rng.randint(0, 30) for _ in pairs]
+    assert align.within(pairs, limits).tolist() == [edit(*x) <= limit for x, limit in zip(pairs, limits, strict=True)]
+    assert align.within([("ab" * 600, "b" + "ab" * 600), ("a" * 1100, "b" * 1100)], [1, 9]).tolist() == [True, False]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_likely_distance_is_never_too_small(seed):
+    rng = random.Random(seed)
+    a = " ".join("".join(rng.choice("ab") for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 8)))
+    b = " ".join(w if rng.random() < 0.7 else rng.choice("abc") * 2 for w in a.split()) if rng.random() < 0.7 else "ab a"
+    assert align.likely_distance(a, b) >= edit(a, b) and align.likely_distance(a, a) == 0
+
+
 def test_lines_of_awkward_rows(awkward):
     out = line_dedup.dedup_lines(awkward)
     rows = {(r.doc_id, r.source): r for r in out.collect()}
@@ -461,7 +532,7 @@ def test_host_rules_match_the_oracle(spark, sf_dir, awkward):
     wanted = sorted(c.execute(f"SELECT {', '.join(order)} FROM ({host_rules.ORACLE})").fetchall())
     assert sorted(tuple(r) for r in host_rules.op10_host_rules(spark, sf_dir).select(*order).collect()) == wanted
     rows = {(r.doc_id, r.n_words, r.n_repeat_words) for r in host_rules.base_columns(awkward).collect()}
-    assert {(1, 0, 0), (3, 0, 0), (5, 12, 0)} <= rows
+    assert {(1, 0, 0), (3, 0, 0), (5, 13, 0)} <= rows
 
 
 @pytest.mark.parametrize("seed", range(5))
@@ -477,15 +548,19 @@ def test_repeated_words_by_brute_force(spark, seed):
 
 
 def test_a_bad_host_takes_its_documents_along_and_a_small_one_is_shrunk(spark):
-    rows = [("bad", i < 90) for i in range(100)] + [("good", i < 5) for i in range(100)] + [("small", True)]
-    out = host_rules.apply_rules(spark.createDataFrame(rows, "source string, base_failed boolean"))
+    """Held against the oracle's SQL for hosts; the verdicts differ from those of the documents alone."""
+    rows = [("bad", i < 60) for i in range(100)] + [("good", i < 5) for i in range(200)] + [(None, i < 4) for i in range(100)] + [("small", True), ("small", False)]
+    judged = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "source string, base_failed boolean, kept string, host_rate double")
+    out = host_rules.apply_rules(judged)
     kept = {(r.source, r.base_failed): r.kept for r in out.collect()}
-    assert kept["bad", False] is False and kept["good", False] is True
-    assert out.where("source = 'small'").first().host_rate < 1
-    assert host_rules.beta_prior(0, 0, 0, 0, 0, 10.0) == (0.0, 10.0)
-
-
-# the pipeline
+    assert kept == {("bad", False): False, ("bad", True): False, ("good", False): True, ("good", True): False, (None, False): True, (None, True): False, ("small", False): True, ("small", True): False}
+    assert 0.15 < out.where("source = 'small'").first().host_rate < 0.3 and out.count() == len(rows)
+    c = duckdb.connect()
+    c.execute("CREATE TABLE judged (source VARCHAR, base_failed BOOLEAN)")
+    c.executemany("INSERT INTO judged VALUES (?, ?)", rows)
+    sql = "WITH " + host_rules.ORACLE[host_rules.ORACLE.index("hosts AS"):].split("SELECT doc_id, n_words")[0] + " SELECT source, passes FROM rates"
+    assert dict(c.execute(sql).fetchall()) == {r.source: r.passes for r in host_rules.host_rates(judged).collect()} == {"bad": False, "good": True, None: True, "small": True}
+    assert host_rules.apply_rules(judged.limit(0)).count() == 0
 
 
 def test_stages_keep_columns_and_take_effect(spark, sf_dir, docs):

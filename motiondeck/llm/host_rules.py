@@ -6,9 +6,11 @@ fitted to all hosts by moments, and the shrunk rate decides for the host. The ve
 document of a failing host goes even if it passes itself. The prior is fitted from sums over hosts, one
 row whatever the number of hosts.
 
-A null text has no words and fails. Repeated rows count each. A host of few documents stays near the
-corpus rate. Hosts fail when their shrunk rate is above ``most``; with one host, or hosts that do not differ more
-than chance, the prior is as strong as ``strongest`` documents.
+A null text has no words and fails. Repeated rows count each. The prior weighs as much as ``WEAKEST`` documents at least, so a host of
+few documents stays near the corpus rate, and at most as an average host, so a host's own documents count against it; with one
+host, or hosts that do not differ more than chance, it is that strong. A host fails when its shrunk rate is above twice the corpus rate, but
+not below ``BAR[0]`` and in any case above ``BAR[1]``. Without documents there is no host. Columns of other names pass
+``apply_rules``; ``host_rate`` and ``kept`` are replaced.
 """
 
 from __future__ import annotations
@@ -19,6 +21,12 @@ from pyspark.sql import functions as F
 from motiondeck.llm.common import WORD, materialize, table
 
 
+#: The least weight of the prior, in documents.
+WEAKEST = 10.0
+#: The lowest and the highest rate above which a host fails.
+BAR = (0.25, 0.5)
+
+
 def _contains(values: Column, x: Column, steps: int = 26) -> Column:
     """Whether sorted array values holds x, by binary search."""
     powers = F.array(*[F.lit(1 << p) for p in range(steps - 1, -1, -1)])
@@ -54,35 +62,37 @@ def base_columns(docs: DataFrame, window: int = 5) -> DataFrame:
     return df.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def beta_prior(n: float, failed: float, hosts: float, squares: float, rates: float, strongest: float) -> tuple[float, float]:
+def beta_prior(n: float, failed: float, hosts: float, squares: float, rates: float) -> tuple[float, float]:
     """Mean and weight (in documents) of the prior by moments, from sums over hosts.
 
     squares: sum of n_docs squared; rates: sum of n_failed squared / n_docs. What the hosts' rates vary
     beyond binomial chance is the prior's own variance.
     """
     if not n:
-        return 0.0, strongest
+        return 0.0, WEAKEST
     m = failed / n
     over = max(0.0, (rates - failed * m) - (hosts - 1) * m * (1 - m))
     room = (n - squares / n) * m * (1 - m)
     rho = over / room if room > 0 else 0.0
-    return m, min(strongest, max(0.0, 1 / rho - 1)) if rho > 0 else strongest
+    return m, max(WEAKEST, min(n / hosts, 1 / rho - 1 if rho > 0 else n / hosts))
 
 
-def host_rates(judged: DataFrame, strongest: float = 1e6) -> DataFrame:
-    """(source, n_docs, n_failed, rate): the shrunk failure rate of every host."""
+def host_rates(judged: DataFrame) -> DataFrame:
+    """(source, n_docs, n_failed, rate, passes): the shrunk failure rate of every host and whether it is low enough."""
     hosts = materialize(judged.groupBy("source").agg(F.count("*").alias("n_docs"), F.count_if("base_failed").alias("n_failed")))
     n, f = F.col("n_docs").cast("double"), F.col("n_failed").cast("double")
     sums = hosts.agg(F.sum(n), F.sum(f), F.count("*"), F.sum(n * n), F.sum(f * f / n)).first()
-    mean, weight = beta_prior(*(float(x or 0) for x in sums), strongest)
-    return hosts.withColumn("rate", (f + mean * weight) / (n + weight))
+    mean, weight = beta_prior(*(float(x or 0) for x in sums))
+    bar = min(BAR[1], max(BAR[0], 2 * mean))
+    return hosts.withColumn("rate", (f + mean * weight) / (n + weight)).withColumn("passes", F.col("rate") <= bar)
 
 
-def apply_rules(judged: DataFrame, *, most: float = 0.5) -> DataFrame:
+def apply_rules(judged: DataFrame) -> DataFrame:
     """judged (source, base_failed and any others) with ``host_rate`` and ``kept``."""
-    rates = host_rates(judged.select("source", "base_failed")).select(F.col("source").alias("__of"), F.col("rate").alias("host_rate"))
-    found = judged.join(rates, F.col("source").eqNullSafe(F.col("__of")), "left").drop("__of")
-    return found.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= most))
+    rates = host_rates(judged.select("source", "base_failed")).select(F.col("source").alias("__of"), F.col("rate").alias("__rate"), "passes")
+    found = judged.join(rates.withColumnRenamed("passes", "__passes"), F.col("source").eqNullSafe(F.col("__of")), "left")
+    found = found.withColumns({"host_rate": F.col("__rate"), "kept": ~F.col("base_failed") & F.col("__passes")})
+    return found.drop("__of", "__rate", "__passes")
 
 
 def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,8 +117,8 @@ judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base
 hosts AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (base_failed) AS DOUBLE) AS f FROM judged GROUP BY source),
 sums AS (SELECT sum(n) AS n, sum(f) AS f, count(*) AS hosts, sum(n * n) AS nn, sum(f * f / n) AS ff, sum(f) / sum(n) AS m FROM hosts),
 rho AS (SELECT m, CASE WHEN (n - nn / n) * m * (1 - m) > 0 THEN greatest(0, ff - f * m - (hosts - 1) * m * (1 - m)) / ((n - nn / n) * m * (1 - m)) ELSE 0 END AS rho FROM sums),
-prior AS (SELECT m, CASE WHEN rho > 0 THEN least(1e6, greatest(0, 1 / rho - 1)) ELSE 1e6 END AS w FROM rho),
-rates AS (SELECT source, (f + m * w) / (n + w) AS rate FROM hosts, prior)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AS kept
+prior AS (SELECT rho.m, greatest(10, least(n / hosts, CASE WHEN rho > 0 THEN 1 / rho - 1 ELSE n / hosts END)) AS w FROM rho, sums),
+rates AS (SELECT source, (f + m * w) / (n + w) <= least(0.5, greatest(0.25, 2 * m)) AS passes FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND passes AS kept
 FROM judged JOIN rates ON judged.source IS NOT DISTINCT FROM rates.source
 """

@@ -27,7 +27,14 @@ from pyspark.sql import functions as F
 
 from motiondeck.llm.common import code_points, fold, mix64, table
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: Numerals such as superscripts and fractions are words to the pattern, but no letters.
+_WORDS = re.compile(r"[^\W\d_]+")
+
+
+def has_letter(text: str) -> bool:
+    return any(any(map(str.isalpha, m[0])) for m in _WORDS.finditer(text))
+
+
 DIM = 1 << 13
 LONGEST = 4
 
@@ -87,7 +94,7 @@ class EcocModel:
 
     def predict(self, texts: list[str | None], letters: np.ndarray) -> tuple[list[str], list[float], list[bool]]:
         langs, scores, unsure = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
-        live = [i for i, t in enumerate(texts) if self.langs and t and _LETTER.search(t)]
+        live = [i for i, t in enumerate(texts) if self.langs and t and has_letter(t)]
         for at in range(0, len(live), 256):
             part = live[at : at + 256]
             found = self.decode(np.stack([vector(texts[i], letters) for i in part]))

@@ -9,7 +9,8 @@ carry the same article. A neighbour that shares over half of both pages' text is
 template, and deletes nothing.
 
 Null html is empty and gives an empty text. Null urls are one host. Repeated rows are copies of one
-another. Unclosed elements end with the page. Character references are decoded, white space inside a
+another. The content of scripts, styles and the like is skipped up to their end tag. Elements whose end tag may be left out (p, li, td and so on) end
+where the next one begins or their parent ends; other unclosed elements end with the page. Very long html is one page's memory in its task. Character references are decoded, white space inside a
 block becomes one space, blocks are trimmed and joined by \\n.
 """
 
@@ -32,17 +33,28 @@ MAIN, OPEN, CHROME = 0, 1, 2
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_RAW = {"script", "style", "template", "noscript", "svg", "iframe", "object", "textarea", "select", "title", "head", "canvas", "audio", "video", "math"}
+_RAW = {"script", "style", "template", "noscript", "svg", "iframe", "object", "textarea", "select", "title", "canvas", "audio", "video", "math"}
+_ENDS = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in _RAW}
 _ASIDE = {"nav", "footer", "aside", "form", "menu", "button", "dialog"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 _SPACING = {"br", "td", "th"}
 _VOID = {"br", "hr", "img", "input", "link", "meta", "source", "col", "area", "base", "embed", "param", "track", "wbr"}
 _SIDE_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "menu", "menubar"}
+#: Elements whose end tag may be left out: what begins after them ends them, within the nearest of some parents.
+_LIST, _ROW = {"ul", "ol", "menu"}, {"table", "thead", "tbody", "tfoot"}
+_IMPLIED = {"li": ({"li"}, _LIST), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, _ROW), "td": ({"td", "th"}, {"tr", *_ROW}), "th": ({"td", "th"}, {"tr", *_ROW}), "option": ({"option"}, {"select"})}
+#: What a paragraph cannot hold.
+_ENDS_P = {"p", "div", "ul", "ol", "dl", "li", "table", "section", "article", "main", "aside", "nav", "header", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "pre", "blockquote", "figure", "address", "fieldset", "details", "menu", "dd", "dt", "td", "tr", "th"}
+_HEADING = {"header", "hgroup", "h1", "h2", "h3", "h4", "h5", "h6"}
+#: Words of class and id: such an element is no main text; of layout: nor is that, unless it holds an article or main.
 _SIDE_WORD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|header|masthead|footer|sidebar|side|aside|breadcrumbs?|cookies?\w*|consent|gdpr|notice\w*|popup|modal|overlay|"
-    r"comments?|commentlist|discussion|replies|disqus\w*|share|sharing|social\w*|related|recommend\w*|newsletter|subscribe\w*|signup|login|search\w*|widget\w*|pagination|pager|toolbar|copyright)(?=$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|cookies?\w*|consent|gdpr|notice\w*|popup|modal|overlay|"
+    r"comments?|commentlist|discussion|replies|disqus\w*|share|sharing|social\w*|related|recommend\w*|newsletter|subscribe\w*|signup|login|pagination|pager|breadcrumbs?|copyright)(?=$|[\s_-])",
     re.I,
 )
+_LAYOUT_WORD = re.compile(r"(?:^|[\s_-])(?:banner|nav\w*|menu\w*|header|masthead|footer|sidebar|side|aside|search\w*|widget\w*|toolbar)(?=$|[\s_-])", re.I)
+#: A class such as has-sidebar tells of something else on the page.
+_ABOUT = re.compile(r"(?<!\S)(?:has|with|without|no|is)[_-]\S*", re.I)
 _SPACE = re.compile(r"\s+")
 _URL = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)([^?#]*)")
 
@@ -52,65 +64,113 @@ def url_key(url: str | None) -> tuple[str, str]:
     return (m[1].lower(), m[2].rstrip("/")) if m else ("", url or "")
 
 
-def _side(name: str, tag: str, in_main: bool) -> bool:
+_PLAIN, _MAIN, _SOFT, _HARD = range(4)
+
+
+def _kind(name: str, tag: str, in_main: bool) -> int:
+    """What an element says of its content: main text, layout (unless main text is within), no main text at all, or nothing."""
+    if name in ("article", "main"):
+        return _MAIN
     if name in _ASIDE or name == "header" and not in_main:
-        return True
-    if "=" not in tag or name in ("html", "body", "article", "main"):
-        return False
+        return _HARD
+    if "=" not in tag or name in ("html", "body"):
+        return _PLAIN
+    kind = _PLAIN
     for m in _ATTRIBUTE.finditer(tag):
         value = m[2] or m[3] or m[4] or ""
-        if m[1].lower() == "role" and value.lower() in _SIDE_ROLE or m[1].lower() != "role" and _SIDE_WORD.search(value):
-            return True
-    return False
+        if m[1].lower() == "role":
+            if value.lower() in _SIDE_ROLE:
+                return _HARD
+            continue
+        value = _ABOUT.sub("", value)
+        if _SIDE_WORD.search(value):
+            return _HARD
+        if not (in_main and name in _HEADING) and _LAYOUT_WORD.search(value):
+            kind = _SOFT
+    return kind
 
 
 def lines_of(page: str | None) -> list[tuple[str, int]]:
     """(line, region) of every block with text, in page order."""
     out: list[tuple[str, int]] = []
     held: list[str] = []
-    raw = side = ""  # the element whose content is skipped, or is chrome, and how deep it is nested in itself
-    depth = main = 0
+    page = page or ""
+    open_: list[tuple[str, int]] = []  # the elements we are in, with their kinds
+    counts, region = [0] * 4, OPEN
 
     def close():
         if held:
             text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
             held.clear()
             if text:
-                out.append((text, CHROME if side else MAIN if main else OPEN))
-
-    for m in _TOKEN.finditer(page or ""):
-        token = m[0]
+                out.append((text, region))
+
+    def decide():
+        """Main text within layout is main text; within what is none it is not; layout within main text is none."""
+        nonlocal region
+        if counts[_HARD]:
+            region = CHROME
+        else:
+            region = next((MAIN if k == _MAIN else CHROME for _, k in reversed(open_) if k), OPEN) if counts[_MAIN] or counts[_SOFT] else OPEN
+
+    def leave(size: int):
+        kinds = [k for _, k in open_[size:]]
+        del open_[size:]
+        if any(kinds):
+            close()
+            for k in kinds:
+                counts[k] -= 1
+            decide()
+
+    def imply(ended: set[str], parents: set[str]):
+        """Ends the elements of some names that the nearest of their parents holds."""
+        for i in range(len(open_) - 1, -1, -1):
+            if open_[i][0] in parents:
+                break
+            if open_[i][0] in ended:
+                leave(i)
+
+    at = 0
+    while m := _TOKEN.match(page, at):
+        token, at = m[0], m.end()
         if token[0] != "<" or token == "<":
-            if not raw:
-                held.append(token)
+            held.append(token)
             continue
         named = _NAME.match(token)
         if not named:
             continue
         name, ends = named[1].lower(), token[1] == "/"
-        if raw:
-            if name == raw and ends:
-                raw = ""
-            continue
-        if name in _RAW and not ends:
-            if not token.endswith("/>"):
-                raw = name
+        if name in _RAW:
+            # the token may have run past the end of the tag, over quotes in a script
+            if not ends and not token.endswith("/>"):
+                last = _ENDS[name].search(page, named.end() + m.start())
+                if last:
+                    at = last.end()
+                elif name in ("script", "style"):
+                    at = len(page)
             continue
         if name in _SPACING:
             held.append(" ")
         elif name not in _INLINE:
             close()
-        if side:
-            if name == side:
-                depth += -1 if ends else 1
-                if not depth:
-                    close()
-                    side = ""
-        elif not ends and name not in _VOID and not token.endswith("/>") and _side(name, token, main > 0):
+        if ends:
+            for i in range(len(open_) - 1, -1, -1):
+                if open_[i][0] == name:
+                    leave(i)
+                    break
+            continue
+        if name in _ENDS_P:
+            imply({"p"}, {"div", "section", "article", "main", "aside", "td", "th", "li", "blockquote", "body", "button", "figure"})
+        if name in _IMPLIED:
+            imply(*_IMPLIED[name])
+        if name in _VOID or token.endswith("/>"):
+            continue
+        kind = _kind(name, token, counts[_MAIN] > 0)
+        open_.append((name, kind))
+        if kind:
             close()
-            side, depth = name, 1
-        elif name in ("article", "main"):
-            main = max(0, main + (-1 if ends else 1))
+            counts[kind] += 1
+            decide()
     close()
     return out
 
@@ -211,17 +271,18 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch_of(done)
 
 
-def extract(pages: DataFrame, sample: int = 20_000) -> DataFrame:
+def extract(pages: DataFrame, sample: int = 20_000, range_bytes: int = 1 << 24) -> DataFrame:
     """page_id, url, text, n_lines, n_shared of every page.
 
     Ranges of (host, path) come from a hash sample of at most about ``sample`` keys, so a host with most of
     the pages has most of the ranges; the first and last page of each range are also lent, as line hashes,
-    to the ranges beside it. How pages fall into ranges does not change the result.
+    to the ranges beside it. A range holds about ``range_bytes`` of html at most. How pages fall into ranges does not change the result.
     """
     keyed = pages.select(F.col("page_id").cast("bigint"), "url", F.xxhash64("html").alias("tie"), "html")
     keys = keyed.select("page_id", "url", "tie")
-    every = max(1, keys.count() // sample)
-    parts = 4 * shuffle_parts(pages.sparkSession)
+    rows, size = keyed.agg(F.count("*"), F.sum(F.octet_length("html"))).first()
+    every = max(1, rows // sample)
+    parts = max(4 * shuffle_parts(pages.sparkSession), (size or 0) // range_bytes)
     some = sorted(_key(*r) for r in keys.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(every)) == 0).collect())
     marks = sorted({some[len(some) * k // parts] for k in range(1, parts)}) if some else []
     ends: dict[int, list[tuple]] = {}

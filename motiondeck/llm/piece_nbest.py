@@ -12,7 +12,7 @@ backward are made for all distinct parts of a batch at once, in numpy, and tell
 second-best segmentation loses. Only the N - 1 parts of a text that lose least can differ in its N
 best, so A-star runs for those alone, and their lists are merged.
 
-Ties of score are broken by the segmentation of smaller ids. A null text is one of no
+Ties of score are broken in one way that depends on the part alone. A null text is one of no
 pieces with one segmentation. Decoding any of the segmentations returns the text. Rows repeat as in the
 input; only doc_id and text are read.
 """
@@ -22,6 +22,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,20 +114,39 @@ def edges(pieces: Pieces, part: str) -> list[list[tuple[int, float, int]]]:
 
 
 def nbest(pieces: Pieces, part: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-    """The n best segmentations of a part, as (score, piece ids; -1 for a spelt character), best first."""
+    """The n best segmentations of a part, as (score, piece ids; -1 for a spelt character), best first.
+
+    What is on the agenda costs exactly what its best completion does, so an entry is put there only if it is among as many
+    cheapest ones as are still wanted. Paths are kept as their last piece and the path after it: time and memory grow with
+    the length of the part.
+    """
     lattice = edges(pieces, part)
     ahead = [0.0] + [0.0] * len(part)
     for e in range(1, len(part) + 1):
         ahead[e] = max(ahead[s] + w for s, w, _ in lattice[e])
-    agenda = [(-ahead[-1], (), len(part), 0.0)]
+    pushed = 0
+    agenda = [(-ahead[-1], 0, None, len(part), 0.0)]
+    low = [-ahead[-1]]  # the least costs on the agenda, as many as are wanted
     found: list[tuple[float, tuple[int, ...]]] = []
     while agenda and len(found) < n:
-        _, ids, at, behind = heapq.heappop(agenda)
+        _, _, path, at, behind = heapq.heappop(agenda)
+        if low:
+            del low[0]
         if not at:
-            found.append((behind, ids))
+            ids = []
+            while path is not None:
+                i, path = path
+                ids.append(i)
+            found.append((behind, tuple(ids)))
+            del low[n - len(found) :]
             continue
         for s, w, i in lattice[at]:
-            heapq.heappush(agenda, (-(ahead[s] + w + behind), (i, *ids), s, behind + w))
+            cost = -(ahead[s] + w + behind)
+            if len(low) < n - len(found) or cost < low[-1]:
+                insort(low, cost)
+                del low[n - len(found) :]
+                pushed -= 1  # of equals the latest comes first
+                heapq.heappush(agenda, (cost, pushed, (i, path), s, behind + w))
     return found
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -71,6 +72,18 @@ def test_nbest_scores_are_those_of_all_paths_and_decode(encoder):
         assert len({i for _, i in found}) == len(found) and all(encoder.decode(i) == text for _, i in found)
 
 
+def test_long_unbroken_text_takes_little_memory(encoder):
+    text = "".join(random.Random(1).choice("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/") for _ in range(20_000))
+    tracemalloc.start()
+    try:
+        found = next(iter(piece_nbest.Encoder(public_tokenizers.path("piece_bpe_32k.model"), 4).encode([text])))
+        assert tracemalloc.get_traced_memory()[1] < 500e6
+    finally:
+        tracemalloc.stop()
+    assert len({ids for _, ids in found}) == 4 and all(encoder.decode(ids) == text for _, ids in found)
+    assert [s for s, _ in found] == sorted((s for s, _ in found), reverse=True)
+
+
 def test_pieces_on_awkward_rows(awkward):
     rows = piece_nbest.encode_nbest(awkward).collect()
     assert all(r.decodes for r in rows) and Counter((r.doc_id, r["rank"]) for r in rows)[4, 0] == 2
@@ -94,6 +107,10 @@ def test_languages_held_out(spark, sf_dir, docs):
     assert (found.lang == found.lang_pred).mean() > 0.95 and found.score.between(0, 1).all()
 
 
+def test_numerals_are_no_letters():
+    assert not any(map(lang_ecoc.has_letter, ["", "²³ ½", "12 _ 3", "٣ Ⅷ"])) and all(map(lang_ecoc.has_letter, ["²a", "漢", "_é_"]))
+
+
 def test_languages_of_awkward_rows(awkward):
     model = lang_ecoc.fit(["the cat and the dog"] * 3 + ["le chat et le chien"] * 3, ["en"] * 3 + ["fr"] * 3)
     rows = {(r.doc_id, r.lang_pred) for r in lang_ecoc.identify(awkward, model).collect()}
@@ -364,6 +381,29 @@ def test_page_regions():
     assert page_diff.lines_of(None) == [] and page_diff.lines_of("plain <") == [("plain <", page_diff.OPEN)]
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<script>for(i=0;i<n;i++){a('x')}</script><article><p>Text", "Text"),
+    ("<html><head><title>t</title><meta charset=utf-8><body><article><p>Text</article>", "Text"),
+    ("<body><p class=notice>Old browser<article><p>Text</p></article>", "Text"),
+    ("<ul><li class='menu-item'>Home<li>About</ul><main><p>Text<p>More</main>", "Text\nMore"),
+    ("<div class='content has-sidebar'><article>Text<div class=sidebar>No</div> end</article></div>", "Text\nend"),
+    ("<div id=header-wrapper><div>Top</div><article>Text</article></div>", "Text"),
+    ("<article><header class='entry-header'><h1 class=post-header>Title</h1></header>Text</article>", "Title\nText"),
+    ("<section id=comments><article>Reader</article></section><article>Text<p class=related>No<p>Yes</article>", "Text\nYes"),
+    ("<aside><article>Teaser</article></aside><article>A &lt; B<script>if (a<b) '</p>'", "A < B"),
+    ("<article><style>p{}</STYLE >Text<svg><text>x</text></svg> on<textarea>", "Text on"),
+    ("<table><tr><td class=ad>No<td>No<tr><td>x</table><article><table><tr><td>a<td>b</table></article>", "a b"),
+])
+def test_no_article_is_lost(page, text):
+    assert "\n".join(x for x, r in page_diff.lines_of(page) if r == page_diff.MAIN) == text
+
+
+def test_very_long_and_deep_pages():
+    page = "<div>" * 3000 + "<article>" + "<p>word &amp; word" * 50000 + "</article>"
+    found = page_diff.lines_of(page)
+    assert len(found) == 50000 and set(found) == {("word & word", page_diff.MAIN)}
+
+
 @pytest.mark.parametrize("seed", range(60))
 def test_common_subsequence_is_longest(seed):
     rng = random.Random(seed)

@@ -43,18 +43,16 @@ def quality_summary(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     return row.join(F.broadcast(streak), F.lit(True))  # one row each
 
 
-def nearest_index_quantile(values: Column | str, fraction: float) -> Column:
-    """sorted[min(n - 1, floor(fraction * n))] of a group, 4 decimals: neither interpolated nor nearest-rank."""
-    held = F.array_sort(F.collect_list(values))
-    n = F.size(held)
-    return F.round(F.get(held, F.least(n - 1, F.floor(F.lit(fraction) * n)).cast("int")), 4)
-
-
 def nearest_index_quantiles(df: DataFrame, keys: list[str], value: str, fractions: list[float]) -> DataFrame:
-    """The same for groups of any size, by rank in place of a collected array."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    ranked = df.where(F.col(value).isNotNull()).withColumns({"__i": F.row_number().over(w) - 1, "__n": F.count("*").over(Window.partitionBy(*keys))})
-    return ranked.groupBy(*keys).agg(*[F.round(F.max(F.when(F.col("__i") == F.least(F.col("__n") - 1, F.floor(F.lit(f) * F.col("__n"))), F.col(value))), 4).alias(f"q{round(100 * f)}") for f in fractions])
+    """(keys, q..): sorted[min(n - 1, floor(fraction * n))] of each group, 4 decimals: neither interpolated nor nearest-rank.
+
+    Equal values are counted before the shuffle, so a window holds distinct values and their running counts in place of the group's rows.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = counted.withColumns({"__upto": upto, "__n": F.sum("__c").over(Window.partitionBy(*keys))})
+    place = lambda f: F.least(F.col("__n") - 1, F.floor(F.lit(f) * F.col("__n")))
+    return counted.groupBy(*keys).agg(*[F.round(F.min(F.when(F.col("__upto") > place(f), F.col(value))), 4).alias(f"q{round(100 * f)}") for f in fractions])
 
 
 def null_rates(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
@@ -183,9 +181,18 @@ def coverage_qa(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def mobility_verdict(amplitude: Column, speed: Column, rows: Column) -> Column:
-    """A finger's screen by the amplitude of its flexion and its mean speed."""
-    return F.when(rows < 2, "insufficient").when((amplitude < 40) & (speed < 60), "reduced").when(amplitude < 40, "stiff").when(speed < 60, "slow").otherwise("normal")
+def mobility_verdict(amplitude: Column, speed: Column, rows: Column, amplitude_min: float = 40.0, speed_min: float = 60.0) -> Column:
+    """A finger's screen by the amplitude of its flexion and its mean speed, over ``rows`` frames that have both."""
+    return F.when(rows < 2, "insufficient valid observations").when((amplitude < amplitude_min) | (speed < speed_min), "finger mobility problem").otherwise("good mobility")
+
+
+def finger_mobility(df: DataFrame, keys: list[str], flexion: str, speed: str, **limits) -> DataFrame:
+    """(keys, n, amplitude, mean_speed, diagnostic) over the rows that have both a flexion and its speed; NULL below two of them."""
+    both = F.col(flexion).isNotNull() & F.col(speed).isNotNull()
+    seen = df.where(both).groupBy(*keys).agg(F.count("*").alias("n"), (F.max(flexion) - F.min(flexion)).alias("amplitude"), F.avg(F.abs(F.col(speed))).alias("mean_speed"))
+    found = df.select(*keys).distinct().join(seen, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    found = found.withColumns({c: F.when(F.col("n") >= 2, F.col(c)) for c in ("amplitude", "mean_speed")})
+    return found.withColumn("diagnostic", mobility_verdict(F.col("amplitude"), F.col("mean_speed"), F.col("n"), **limits))
 
 
 def weighted_centroid(value: str, weight: str) -> Column:

@@ -93,33 +93,36 @@ def without_overlap(candidates: DataFrame, kept: DataFrame, keys: list[str], nea
 
 
 def suppress(boxes: np.ndarray, scores: np.ndarray, limit: float, weighted: bool) -> list[tuple[np.ndarray, float, list[int]]]:
-    """Greedy clusters by falling score: (box, score, members); a weighted box is its members' score-weighted mean."""
+    """Greedy clusters by falling score: (values, score, members). boxes may hold more values after x1, y1, x2, y2; a weighted
+    cluster's are its members' score-weighted mean, plain if the weights sum to nothing. Sides below 0 are 0."""
     left, out = list(np.argsort(-scores, kind="stable")), []
     while left:
-        top = boxes[left[0]]
-        some = boxes[left]
+        top, some = boxes[left[0], :4], boxes[left][:, :4]
         w = np.clip(np.minimum(top[2:], some[:, 2:]) - np.maximum(top[:2], some[:, :2]), 0, None).prod(1)
-        area = (some[:, 2:] - some[:, :2]).prod(1)
+        area = np.clip(some[:, 2:] - some[:, :2], 0, None).prod(1)
         union = area[0] + area - w
         close = np.where(union > 0, w / np.where(union > 0, union, 1), 0) > limit
         close[0] = True
         members = [int(i) for i, c in zip(left, close, strict=True) if c]
         weights = scores[members]
-        box = (boxes[members] * weights[:, None]).sum(0) / weights.sum() if weighted and weights.sum() > 0 else top
-        out.append((box, float(scores[members].max()), members))
+        if not (np.isfinite(weights.sum()) and weights.sum() > 0):
+            weights = np.ones(len(members))
+        out.append((np.average(boxes[members], axis=0, weights=weights) if weighted else boxes[members[0]], float(scores[members[0]]), members))
         left = [i for i, c in zip(left, close, strict=True) if not c]
     return out
 
 
-def non_maximum_suppression(df: DataFrame, keys: list[str], limit: float = 0.3, weighted: bool = True) -> DataFrame:
-    """(keys, x1, y1, x2, y2, score, members) of each group's clusters of overlapping boxes (det_id, x1, y1, x2, y2, score)."""
+def non_maximum_suppression(df: DataFrame, keys: list[str], limit: float = 0.3, weighted: bool = True, also: list[str] = ()) -> DataFrame:
+    """(keys, x1, y1, x2, y2, also, score, members) of each group's clusters of overlapping boxes (det_id, x1, y1, x2, y2, score);
+    also: columns such as keypoint coordinates that are merged with the boxes. A group is a frame."""
     kinds = dict(df.dtypes)
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", x1 double, y1 double, x2 double, y2 double, score double, members int"
+    values = ["x1", "y1", "x2", "y2", *also]
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + "".join(f", `{c}` double" for c in values) + ", score double, members int"
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("det_id")
-        found = suppress(g[["x1", "y1", "x2", "y2"]].to_numpy(float), g["score"].to_numpy(float), limit, weighted)
-        out = pd.DataFrame([(*b, s, len(m)) for b, s, m in found], columns=["x1", "y1", "x2", "y2", "score", "members"])
+        found = suppress(g[values].to_numpy(float), g["score"].to_numpy(float), limit, weighted)
+        out = pd.DataFrame([(*b, s, len(m)) for b, s, m in found], columns=[*values, "score", "members"])
         for k in reversed(keys):
             out.insert(0, k, g[k].iloc[0])
         return out

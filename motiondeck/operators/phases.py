@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from motiondeck.operators.grid import spectral_arc_length
 from motiondeck.operators.ordered import fill_forward_back, running_median, series, smoothness, step_length, with_runs
 
 
@@ -65,7 +66,7 @@ def phases(df: DataFrame, keys: list[str], *, aperture: str = "aperture", shorte
 
 
 def phase_table(df: DataFrame, keys: list[str], *, time: str = "t", symmetry: str | None = None, fs: str = "fs") -> DataFrame:
-    """A row a phase run: its frames, duration, speeds, path and jerk, and the sums of its movement."""
+    """A row a phase run: its frames, duration, speeds, path, jerk and spectral arc length, and the sums of its movement."""
     own = [*keys, "movement_idx"]
     df = with_runs(df, series(own, ["frame"]), F.col("phase"), "phase_run")
     part = [*own, "phase_run"]
@@ -79,10 +80,13 @@ def phase_table(df: DataFrame, keys: list[str], *, time: str = "t", symmetry: st
         )
         return facts.join(shape, group, "left")
 
-    found = table(part, "p_").join(table(own, "m_"), own)
+    # a phase is some tens of frames: its speeds are one array
+    held = df.groupBy(*part).agg(F.first(fs).alias("__fs"), F.transform(F.array_sort(F.collect_list(F.struct("frame", "speed"))), lambda x: x["speed"]).alias("__speeds"))
+    arcs = spectral_arc_length(held, "__speeds", "__fs", "p_sal").select(*part, "p_sal")
+    found = table(part, "p_").join(arcs, part, "left").join(table(own, "m_"), own)
     return found.select(
         *own, F.col("p_phase").alias("phase"), F.col("p_start").alias("start_frame"), F.col("p_end").alias("end_frame"), F.round("p_dur", 4).alias("duration_sec"),
-        F.round("p_peak", 6).alias("peak_velocity"), F.round("p_mean", 6).alias("mean_velocity"), F.round(F.coalesce("p_path", F.lit(0.0)), 6).alias("path_length"), F.round("p_nj", 4).alias("smoothness_nj"),
+        F.round("p_peak", 6).alias("peak_velocity"), F.round("p_mean", 6).alias("mean_velocity"), F.round(F.coalesce("p_path", F.lit(0.0)), 6).alias("path_length"), F.round("p_nj", 4).alias("smoothness_nj"), F.round("p_sal", 4).alias("smoothness_sal"),
         F.round("p_sym", 4).alias("mean_reach_symmetry"), F.round("m_dur", 4).alias("movement_duration_sec"), F.col("m_runs").cast("int").alias("movement_n_phases"),
         F.round("m_peak", 6).alias("movement_peak_velocity"), F.round(F.coalesce("m_path", F.lit(0.0)), 6).alias("movement_path_length"), F.round("m_eff", 4).alias("movement_efficiency"),
     )

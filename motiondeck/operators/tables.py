@@ -106,15 +106,19 @@ def hash_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     return df.orderBy(F.xxhash64(key), key).limit(most)
 
 
-def interval_of_frames(df: DataFrame, keys: list[str], frame: str, expected: str) -> DataFrame:
-    """Rows whose frame is one of the expected ones, for indices that start at 0 or at 1, whichever covers more (0 if equal and present)."""
-    f = F.col(frame)
+def interval_of_frames(df: DataFrame, keys: list[str], frame: str, expected: str, offset: str | None = None) -> DataFrame:
+    """Rows whose frame is one of the expected ones after ``offset`` discarded ones, for indices that start at 0 or at 1, whichever
+    covers more (if equal, 0 if the series has a frame 0); counted from the start of the interval."""
     w = Window.partitionBy(*keys)
+    has_zero = F.count_if(F.col(frame) == 0).over(w) > 0
+    if offset is not None:
+        df = df.withColumns({"__zero": has_zero, frame: F.col(frame) - F.col(offset)})
+        has_zero = F.col("__zero")
+    f = F.col(frame)
     zero, one = F.count_if((f >= 0) & (f < F.col(expected))).over(w), F.count_if((f >= 1) & (f <= F.col(expected))).over(w)
-    has_zero = F.count_if(f == 0).over(w) > 0
     base = F.when(zero > one, 0).when(one > zero, 1).when(has_zero, 0).otherwise(1)
     df = df.withColumn("__base", base)
-    return df.where((f >= F.col("__base")) & (f < F.col(expected) + F.col("__base"))).withColumn(frame, f - F.col("__base")).drop("__base")
+    return df.where((f >= F.col("__base")) & (f < F.col(expected) + F.col("__base"))).withColumn(frame, f - F.col("__base")).drop("__base", "__zero")
 
 
 def fusable_frames(counts: DataFrame, keys: list[str], n: str, least: int = 2) -> DataFrame:

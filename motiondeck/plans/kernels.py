@@ -63,10 +63,10 @@ def bone_smoothing(spark, sf_dir):
 
     def step(state, row):
         p = np.array([[row["p0_x"], row["p0_y"]], [row["p1_x"], row["p1_y"]]])
-        state, q = filters.bone_step(state, p, [(0, 1)])
-        return state, [(int(row["vec_id"]), float(state.get("0", 0.0)), float(np.hypot(*(q[1] - q[0]))))]
+        state, q, off = filters.bone_step(state, p, [(0, 1)])
+        return state, [(int(row["vec_id"]), float(state.get("0", 0.0)), float(np.hypot(*(q[1] - q[0]))), off)]
 
-    return rounded(filters.run_grouped(df, ["label"], ["vec_id"], step, "vec_id bigint, learned double, length double"))
+    return rounded(filters.run_grouped(df, ["label"], ["vec_id"], step, "vec_id bigint, learned double, length double, moved double"))
 
 
 @register("track_smoothing")

@@ -139,31 +139,42 @@ def track_step(state: dict | None, t: float, found: list[tuple[np.ndarray, np.nd
     return {"tracks": after, "next": number}, rows
 
 
-def bone_step(state: dict | None, points: np.ndarray, bones: list[tuple[int, int]], *, rate: float = 0.05, tolerance: float = 0.4, passes: int = 8, distal: float = 0.8) -> tuple[dict, np.ndarray]:
-    """Learned bone lengths (a moving average of clipped lengths) and points moved towards them; z is left alone."""
-    lengths, p = dict(state or {}), points.copy()
+def bone_step(state: dict | None, points: np.ndarray, bones: list[tuple[int, int]], *, valid: np.ndarray | None = None, rate: float = 0.05, tolerance: float = 0.4, passes: int = 8, distal: float = 0.8) -> tuple[dict, np.ndarray, float]:
+    """The next lengths, the points with bones of a wrong length set right, and the sum of what they were off by; z is left alone.
+
+    A bone's length is a moving average of lengths clipped to the tolerance. One that is off by more than
+    the tolerance is set to the length known before this frame, the distal end taking most of the move, until all that were seen
+    before fit. A bone with an invalid end neither learns nor moves; the first time that it is seen only sets its length.
+    """
+    before, p, off = dict(state or {}), points.copy(), 0.0
+    lengths, known = dict(before), []
+    ok = np.isfinite(points[:, :2]).all(1) & (True if valid is None else np.asarray(valid, bool))
     for n, (a, b) in enumerate(bones):
         d = float(np.hypot(*(p[b, :2] - p[a, :2])))
-        if np.isfinite(d) and d > 1e-9:
-            old = lengths.get(str(n))
-            lengths[str(n)] = d if old is None else old + rate * (float(np.clip(d, old * (1 - tolerance), old * (1 + tolerance))) - old)
-    for _ in range(passes):
-        moved = 0.0
-        for n, (a, b) in enumerate(bones):
+        if ok[a] and ok[b] and d > 1e-6:
+            old = before.get(str(n))
+            if old is None:
+                lengths[str(n)] = d
+            elif old > 1e-6:
+                known.append((a, b, old, abs(d - old) > tolerance * old))
+                lengths[str(n)] = old + rate * (float(np.clip(d, max(1e-6, old * (1 - tolerance)), old * (1 + tolerance))) - old)
+    for _ in range(passes if any(wrong for *_, wrong in known) else 0):
+        moved = False
+        for a, b, length, _ in known:
             v = p[b, :2] - p[a, :2]
-            d = np.hypot(*v)
-            if str(n) in lengths and np.isfinite(d) and d > 1e-9:
-                shift = v / d * (lengths[str(n)] - d)
+            d = float(np.hypot(*v))
+            if d >= 1e-6 and abs(d - length) > tolerance * length:
+                shift = v / d * (length - d)
                 p[b, :2] += distal * shift
                 p[a, :2] -= (1 - distal) * shift
-                moved = max(moved, float(np.hypot(*shift)))
-        if moved < 1e-6:
+                off, moved = off + abs(d - length), True
+        if not moved:
             break
-    return lengths, p
+    return lengths, p, off
 
 
 def detection_step(state: list | None, found: list[dict], *, reach: float = 0.10, alpha: float = 0.35, carry: int = 3, decay: float = 0.7) -> tuple[list, list[dict]]:
-    """Boxes blended with those of the frame before; a lost one is carried a few frames, moved on and fading."""
+    """Boxes blended with those of the frame before; a lost one is carried a few frames, moved on by its last step (to the new place, unblended) and fading."""
     old = state or []
     cost = np.array([[np.hypot(f["cx"] - o["cx"], f["cy"] - o["cy"]) for o in old] for f in found], float).reshape(len(found), len(old))
     of = dict(assignment(cost, reach))
@@ -171,7 +182,7 @@ def detection_step(state: list | None, found: list[dict], *, reach: float = 0.10
     for i, f in enumerate(found):
         o = old[of[i]] if i in of else None
         x, y = (alpha * f[c] + (1 - alpha) * o[c] if o else f[c] for c in ("cx", "cy"))
-        out.append({"cx": x, "cy": y, "score": f["score"], "vx": x - o["cx"] if o else 0.0, "vy": y - o["cy"] if o else 0.0, "carried": 0})
+        out.append({"cx": x, "cy": y, "score": f["score"], "vx": f["cx"] - o["cx"] if o else 0.0, "vy": f["cy"] - o["cy"] if o else 0.0, "carried": 0})
     for j, o in enumerate(old):
         if j not in of.values() and o["carried"] < carry:
             out.append({**o, "cx": o["cx"] + o["vx"], "cy": o["cy"] + o["vy"], "score": o["score"] * decay, "carried": o["carried"] + 1})

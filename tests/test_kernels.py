@@ -49,6 +49,8 @@ def test_weighted_suppression_merges(spark):
     df = spark.createDataFrame([(0, 1, 0.0, 0.0, 2.0, 2.0, 0.9), (0, 2, 0.2, 0.0, 2.2, 2.0, 0.3), (0, 3, 5.0, 5.0, 6.0, 6.0, 0.5)], "k int, det_id int, x1 double, y1 double, x2 double, y2 double, score double")
     rows = matching.non_maximum_suppression(df, ["k"]).orderBy("x1").collect()
     assert [(r.members, r.score) for r in rows] == [(2, 0.9), (1, 0.5)] and rows[0].x1 == pytest.approx(0.05)
+    merged = matching.non_maximum_suppression(df.withColumn("px", F.col("x1") * 2), ["k"], also=["px"]).orderBy("x1").first()
+    assert merged.px == pytest.approx(0.1)
 
 
 def test_savgol_keeps_cubics_and_handles_gaps():
@@ -135,12 +137,33 @@ def test_tracks_are_born_carried_and_forgotten():
 
 
 def test_bone_length_survives_an_outlier():
-    state = None
+    state, bone = None, [(0, 1)]
     for d in [10.0] * 5 + [100.0] + [10.0] * 2:
-        state, _ = filters.bone_step(state, np.array([[0.0, 0, 1], [d, 0, 2]]), [(0, 1)])
+        state, q, off = filters.bone_step(state, np.array([[0.0, 0, 1], [d, 0, 2]]), bone)
     assert abs(state["0"] - 10) < 0.4
-    _, q = filters.bone_step({"0": 10.0}, np.array([[0.0, 0, 1], [12.0, 0, 2]]), [(0, 1)], rate=0.0)
-    assert q[1, 0] - q[0, 0] == pytest.approx(10, abs=1e-3) and list(q[:, 2]) == [1, 2]
+    long = np.array([[0.0, 0, 1], [16.0, 0, 2]])
+    after, q, off = filters.bone_step({"0": 10.0}, long, bone)
+    assert q[1, 0] - q[0, 0] == pytest.approx(10) and q[0, 0] == pytest.approx(1.2) and off == pytest.approx(6) and list(q[:, 2]) == [1, 2]
+    assert after["0"] == pytest.approx(10.2)  # learns from the clipped length, moves to the one before
+    within = np.array([[0.0, 0, 1], [13.0, 0, 2]])
+    for state, points, valid in [(None, long, None), ({"0": 10.0}, within, None), ({"0": 10.0}, long, [True, False])]:
+        after, q, off = filters.bone_step(state, points, bone, valid=valid)
+        assert np.array_equal(q, points) and off == 0
+    assert after == {"0": 10.0}
+
+
+def test_a_lost_detection_moves_on_by_its_last_unblended_step():
+    state, _ = filters.detection_step(None, [{"cx": 0.10, "cy": 0.5, "score": 1.0}])
+    state, out = filters.detection_step(state, [{"cx": 0.16, "cy": 0.5, "score": 1.0}])
+    assert out[0]["cx"] == pytest.approx(0.121)
+    _, out = filters.detection_step(state, [])
+    assert out[0]["cx"] == pytest.approx(0.121 + 0.06)
+
+
+def test_suppression_without_weight_is_the_plain_mean():
+    boxes = np.array([[0.0, 0, 2, 2, 5], [0.2, 0, 2.2, 2, 7], [3, 3, 2, 4, 1]])
+    found = matching.suppress(boxes, np.zeros(3), 0.3, True)
+    assert np.allclose(found[0][0], [0.1, 0, 2.1, 2, 6]) and [m for *_, m in found] == [[0, 1], [2]]
 
 
 def test_detections_are_carried_and_fade():

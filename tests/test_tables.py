@@ -71,9 +71,23 @@ def test_multisets(spark):
 
 
 def test_quantile_by_index(spark):
-    df = spark.createDataFrame([(float(v),) for v in (4, 1, 3, 2)], "v double").withColumn("k", F.lit(0))
-    row = df.agg(aggregate.nearest_index_quantile("v", 0.5).alias("a"), aggregate.nearest_index_quantile("v", 1.0).alias("b")).first()
-    assert (row.a, row.b) == (3.0, 4.0) and aggregate.nearest_index_quantiles(df, ["k"], "v", [0.5]).first().q50 == 3.0
+    df = spark.createDataFrame([(k, float(v)) for k, vs in enumerate([(4, 1, 3, 2), (5, 5, 5, 1, 2, 9)]) for v in vs] + [(0, None)], "k int, v double")
+    found = aggregate.nearest_index_quantiles(df, ["k"], "v", [0.0, 0.5, 0.9, 1.0]).orderBy("k").collect()
+    assert [(r.q0, r.q50, r.q90, r.q100) for r in found] == [(1.0, 3.0, 4.0, 4.0), (1.0, 5.0, 9.0, 9.0)]
+
+
+def test_finger_mobility_misses_either_limit(spark):
+    rows = [("fine", 0.0, 70.0), ("fine", 50.0, -70.0), ("stiff", 0.0, 70.0), ("stiff", 30.0, 70.0), ("slow", 0.0, 50.0), ("slow", 50.0, 50.0), ("few", 0.0, 70.0), ("few", 90.0, None), ("none", None, 1.0)]
+    found = aggregate.finger_mobility(spark.createDataFrame(rows, "k string, flexion double, speed double"), ["k"], "flexion", "speed").collect()
+    problem, few = "finger mobility problem", "insufficient valid observations"
+    assert {r.k: r.diagnostic for r in found} == {"fine": "good mobility", "stiff": problem, "slow": problem, "few": few, "none": few}
+    assert {r.k: r.amplitude for r in found}["few"] is None
+
+
+def test_interval_of_frames_after_an_offset(spark):
+    for frames, kept in [(range(0, 8), [0, 1, 2]), (range(1, 9), [0, 1, 2]), ([3, 4], [0, 1]), ([3, 4, 5], [0, 1, 2])]:
+        df = spark.createDataFrame([("a", f, 3, 2) for f in frames], "k string, frame int, expected int, lost int")
+        assert sorted(r.frame for r in tables.interval_of_frames(df, ["k"], "frame", "expected", "lost").collect()) == kept
 
 
 def test_summaries(spark):

@@ -91,15 +91,15 @@ def window_corr(spark, sf_dir):
     return rounded(windows(spark, sf_dir).groupBy(*_KEYS).agg(grid.guarded_corr("value", "k").alias("r")))
 
 
-@register("sal_dft", f"""WITH {SIG}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM sig), v AS (SELECT user_id, list(value ORDER BY i) AS v, max(value) AS pk, count(*) AS n FROM r WHERE i <= 32 GROUP BY 1),
-f AS (SELECT user_id, n, k, sqrt(pow(list_sum(list_transform(v, lambda x, j: x * cos(2 * pi() * k * (j - 1) / n))), 2) + pow(list_sum(list_transform(v, lambda x, j: x * sin(2 * pi() * k * (j - 1) / n))), 2)) AS a FROM v, LATERAL (SELECT unnest(generate_series(0, n // 2)) AS k)),
-m AS (SELECT user_id, max(a) AS top FROM f GROUP BY 1), d AS (SELECT f.user_id, n, k, a / top AS a, a / top - lag(a / top) OVER (PARTITION BY f.user_id ORDER BY k) AS da FROM f JOIN m USING (user_id))
-SELECT user_id, round(-sum(sqrt(pow(30.0 / 2 / (n // 2) / 10.0, 2) + pow(da, 2))), 6) + 0.0 AS sal FROM d WHERE k >= 1 AND k <= floor(10.0 / (30.0 / 2 / (n // 2)) + 1e-12) GROUP BY user_id""")
+@register("sal_dft", f"""WITH {SIG}, r AS (SELECT *, CAST(floor(t / 864000) AS BIGINT) AS span, row_number() OVER (PARTITION BY user_id, floor(t / 864000) ORDER BY t, event_id) AS i FROM sig), v AS (SELECT user_id, span, list(value ORDER BY i) AS v, count(*) AS n FROM r GROUP BY 1, 2 HAVING count(*) >= 4),
+f AS (SELECT user_id, span, n, k, sqrt(pow(list_sum(list_transform(v, lambda x, j: x * cos(2 * pi() * k * (j - 1) / n))), 2) + pow(list_sum(list_transform(v, lambda x, j: x * sin(2 * pi() * k * (j - 1) / n))), 2)) AS a FROM v, LATERAL (SELECT unnest(generate_series(0, n // 2)) AS k)),
+m AS (SELECT user_id, span, max(a) AS top FROM f GROUP BY 1, 2), d AS (SELECT f.user_id, f.span, n, k, a / top AS a, a / top - lag(a / top) OVER (PARTITION BY f.user_id, f.span ORDER BY k) AS da FROM f JOIN m ON f.user_id = m.user_id AND f.span = m.span)
+SELECT user_id, span, round(-sum(sqrt(pow(30.0 / 2 / (n // 2) / 10.0, 2) + pow(da, 2))), 6) + 0.0 AS sal FROM d WHERE k >= 1 AND k <= floor(10.0 / (30.0 / 2 / (n // 2)) + 1e-12) GROUP BY user_id, span""")
 def sal_dft(spark, sf_dir):
-    w = ordered.series(["user_id"], ["t", "event_id"])
-    first = sig(spark, sf_dir).withColumn("i", F.row_number().over(w)).where("i <= 32")
-    held = first.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda x: x["value"]).alias("v"))
-    return rounded(grid.spectral_arc_length(held.withColumn("fs", F.lit(30.0)), "v", "fs", "sal").select("user_id", "sal"))
+    """Every span of ten days of a user is one series: all rows count, and an array holds one span."""
+    held = sig(spark, sf_dir).withColumn("span", F.floor(F.col("t") / 864000)).groupBy("user_id", "span")
+    held = held.agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "event_id", "value"))), lambda x: x["value"]).alias("v")).where(F.size("v") >= 4)
+    return rounded(grid.spectral_arc_length(held.withColumn("fs", F.lit(30.0)), "v", "fs", "sal").select("user_id", "span", "sal"))
 
 
 _SPEED = f"""{TRJ}, o AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey {TRJ_ORDER}) AS frame, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2) + pow(z - lag(z) OVER w, 2)), 0.0) AS raw FROM trj WINDOW w AS (PARTITION BY l_suppkey {TRJ_ORDER})),

@@ -3,7 +3,7 @@
 A candidate table has rows (key, id, ...): two ids are worth comparing when they share a key. Small
 buckets are compared pair by pair. A large bucket is not: round by round a hub is
 verified against the rest of its bucket, and what links to it leaves the rest; the next hub is one of those that left, or, if none
-did, one of the rest. Whatever members of a bucket are then still in different connected groups are compared with each
+did, one of the rest; of these the one whose buckets have the most members in all. Whatever members of a bucket are then still in different connected groups are compared with each
 other, so no link that would join two groups is missed, while members of one group are not paired
 with one another needlessly.
 """
@@ -109,9 +109,12 @@ def linked(buckets: DataFrame, attributes: list[str], admissible: Callable, prep
     if rest.isEmpty():
         return links
     seen = None
+    # what the others were copied from shares more keys with them than they do with one another
+    weight = rest.groupBy("id").agg(F.sum("n").alias("weight"))
+    rest = materialize(rest.join(weight, "id"))
     row = F.struct("id", *attributes)
-    for r in range(rounds):
-        lot = F.xxhash64(F.lit(r), "id")  # another order of the ids in each round, the same in all buckets
+    for _ in range(rounds):
+        lot = F.struct(-F.col("weight"), F.xxhash64("id"))  # the same in all buckets
         hubs = rest.groupBy("key").agg(F.min_by(row, lot).alias("h"))
         if left is not None:
             others = left.groupBy("key").agg(F.min_by(row, lot).alias("other"))
@@ -124,8 +127,8 @@ def linked(buckets: DataFrame, attributes: list[str], admissible: Callable, prep
         seen = materialize(pairs if seen is None else seen.unionAll(pairs))
         yes = links.select(F.col("a").alias("hub"), F.col("b").alias("id")).unionAll(links.select(F.col("b").alias("hub"), F.col("a").alias("id"))).distinct()
         found = tried.join(yes.withColumn("hit", F.lit(True)), ["hub", "id"], "left").withColumn("hit", F.coalesce("hit", F.col("id") == F.col("hub")))
-        found = materialize(found.select("key", "id", *attributes, "n", "hit"))
-        rest, left = found.where(~F.col("hit") & (F.col("n") > SMALL)).drop("hit"), found.where("hit").drop("hit")
+        found = materialize(found.select("key", "id", *attributes, "n", "weight", "hub", "hit"))
+        rest, left = found.where(~F.col("hit") & (F.col("n") > SMALL)).drop("hub", "hit"), found.where("hit and id <> hub").drop("hub", "hit")
         if rest.isEmpty():
             break
     grouped = large.join(components(links), "id", "left").withColumn("root", F.coalesce("root", "id"))

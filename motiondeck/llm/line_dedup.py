@@ -7,7 +7,8 @@ leaves the others alone: lines whose fingerprints differ in all blocks but one s
 that agree in a block are candidates. (A SimHash of all words of a line moves in most of its blocks with any edit: of lines with one
 word of ten replaced, one in thirty stays within 3 of 64 bits.) Short lines, and those with few words for their length, have blocks that draw character n-grams,
 and for lines of at most ``TINY`` characters all that deletions can leave are keys too, which misses no pair of them. A plain SimHash of all words spares
-the verification of candidates that differ in over ``SKETCH`` bits; lines of fewer than ``WORDY`` words have none. Candidates are verified
+the verification of candidates that differ in over ``SKETCH`` bits, and the words drawn that of those with over ``UNLIKE`` other draws of 32 (lines that
+share a long passage and little else); lines of fewer than ``WORDY`` words have neither, those that draw n-grams have no such words. Candidates are verified
 by edit similarity, 1 - levenshtein / longer length >= ``similarity``. Of each connected group of lines
 the occurrence with the smallest (doc_id, line number) stays and all others are removed; equal
 normalised lines are one group from the start.
@@ -26,7 +27,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
@@ -46,6 +47,8 @@ BLOCKS, DRAWS, GRAM_BLOCKS, GRAM_DRAWS, GRAM = 8, 4, 16, 3, 4
 BRIEF = 5
 #: Bits in which the SimHashes of candidates of at least WORDY words may differ.
 SKETCH, WORDY = 18, 8
+#: Draws, of the BLOCKS * DRAWS of a line's words, in which such candidates may differ. A fifth of the words replaced makes some nine differ.
+UNLIKE = 14
 #: Keys of more lines than this are first held against one of them.
 PAIRWISE = 4
 #: Lines that a task remembers to have met, so as to give keys once.
@@ -133,7 +136,8 @@ class Lines:
         counts = self.counts[some]
         return np.repeat(self.first[some] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
 
-    def word_blocks(self, some: np.ndarray) -> np.ndarray:
+    def word_blocks(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Blocks that draw words, and four bits of every draw, 16 draws a number."""
         counts, at = self.counts[some], self._of(some)
         return drawn(self.words[at], np.cumsum(counts) - counts, BLOCKS, DRAWS, 0, self.brief[at])
 
@@ -150,22 +154,26 @@ class Lines:
             grams = mix64(grams + flat[k : k + len(grams)] + np.uint64(1))
         counts = np.maximum(1, sizes - GRAM + 1)
         first = np.cumsum(counts) - counts
-        return drawn(grams[np.repeat(at - first, counts) + np.arange(counts.sum())], first, GRAM_BLOCKS, GRAM_DRAWS, 1)
+        return drawn(grams[np.repeat(at - first, counts) + np.arange(counts.sum())], first, GRAM_BLOCKS, GRAM_DRAWS, 1)[0]
 
 
-def drawn(hashes: np.ndarray, first: np.ndarray, blocks: int, draws: int, kind: int, late: np.ndarray | None = None) -> np.ndarray:
+def drawn(hashes: np.ndarray, first: np.ndarray, blocks: int, draws: int, kind: int, late: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A row a line (its hashes begin at first), a column a block: the SimHash of the ``draws`` (three or four) hashes that are the
-    least under as many permutations, with the number of the block mixed in. Late ones come in the last eighth of the order."""
+    least under as many permutations, with the number of the block mixed in. Late ones come in the last eighth of the order.
+    Then four bits of each draw, 16 draws a number."""
     out = np.zeros((len(first), blocks), dtype=np.uint64)
+    bits_of = np.zeros((len(first), blocks * draws // 16), dtype=np.uint64)
     low = hashes.astype(np.uint32)
     shift, top = (np.uint32(0), np.uint32(0)) if late is None else (late * np.uint32(3), late * np.uint32(7 << 29))
     lots = mix64(np.arange(1, blocks * draws + 1, dtype=np.uint64))
     odd, flip = lots.astype(np.uint32) | np.uint32(1), (lots >> np.uint64(32)).astype(np.uint32)
     for b in range(blocks if len(first) else 0):
-        x, y, z, *w = (mix64(np.minimum.reduceat((low ^ flip[k]) * odd[k] >> shift | top, first).astype(np.uint64) + np.uint64(1)) for k in range(b * draws, (b + 1) * draws))
+        x, y, z, *w = got = [mix64(np.minimum.reduceat((low ^ flip[k]) * odd[k] >> shift | top, first).astype(np.uint64) + np.uint64(1)) for k in range(b * draws, (b + 1) * draws)]
+        for k, draw in enumerate(got, b * draws):
+            bits_of[:, k // 16] |= (draw & np.uint64(15)) << np.uint64(k % 16 * 4)
         bits = x & y & (z | w[0]) | z & w[0] & (x | y) if w else x & y | y & z | x & z
         out[:, b] = mix64(bits + np.uint64(2 * b + kind))
-    return out
+    return out, bits_of.view(np.int64)
 
 
 def normal(line: str) -> str:
@@ -185,13 +193,15 @@ def deletions(line: str, similarity: float) -> set[str]:
     return found
 
 
-def line_keys(lines: Lines, some: np.ndarray, similarity: float) -> pa.Array:
-    """The keys of some lines: their blocks, and what deletions leave of tiny ones."""
+def line_keys(lines: Lines, some: np.ndarray, similarity: float) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The keys of some lines: their blocks, and what deletions leave of tiny ones. Then which of them draw words alone, and the bits of these draws."""
     sizes, counts = lines.sizes[some], lines.counts[some]
     wordy = np.flatnonzero(sizes >= WORDS_FROM)
     short = np.flatnonzero((sizes <= SHORT) | (sizes > LONG_WORDS * counts))
     owners = [np.repeat(wordy, BLOCKS), np.repeat(short, GRAM_BLOCKS)]
-    keys = [lines.word_blocks(some[wordy]).ravel(), lines.gram_blocks(some[short]).ravel()]
+    blocks, draws = lines.word_blocks(some[wordy])
+    long = ~np.isin(wordy, short)
+    keys = [blocks.ravel(), lines.gram_blocks(some[short]).ravel()]
     for i in np.flatnonzero(sizes <= TINY).tolist():
         left = [xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in deletions(lines.text(some[i]), similarity)]
         owners.append(np.full(len(left), i))
@@ -199,11 +209,11 @@ def line_keys(lines: Lines, some: np.ndarray, similarity: float) -> pa.Array:
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
     ends = np.cumsum(np.bincount(owner, minlength=len(some)))
-    return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(np.concatenate(keys)[order].view(np.int64)))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(np.concatenate(keys)[order].view(np.int64))), wordy[long], draws[long]
 
 
-OCCURRENCE = "doc_id bigint, line int, id bigint, tail bigint, sim bigint, size int, keys array<bigint>"
-_OCCURRENCE = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("id", pa.int64()), ("tail", pa.int64()), ("sim", pa.int64()), ("size", pa.int32()), ("keys", pa.list_(pa.int64()))])
+OCCURRENCE = "doc_id bigint, line int, id bigint, tail bigint, sim bigint, draw1 bigint, draw2 bigint, size int, keys array<bigint>"
+_OCCURRENCE = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("id", pa.int64()), ("tail", pa.int64()), ("sim", pa.int64()), ("draw1", pa.int64()), ("draw2", pa.int64()), ("size", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
 
 def _numbered(batches: Iterator[pa.RecordBatch], of: np.ndarray, rows: int = 500) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, Lines]]:
@@ -241,11 +251,14 @@ def _occurrences(of, similarity: float):
             sims, few = np.zeros(len(ids), dtype=np.int64), np.ones(len(ids), dtype=bool)
             wordy = some[lines.counts[some] >= WORDY]
             sims[wordy], few[wordy] = lines.simhashes(wordy), False
-            keys = line_keys(lines, some, similarity)
+            keys, worded, bits = line_keys(lines, some, similarity)
+            draws, none_drawn = np.zeros((len(ids), 2), dtype=np.int64), few.copy()
+            none_drawn[some] = True
+            draws[some[worded]], none_drawn[some[worded]] = bits, few[some[worded]]
             counts = np.zeros(len(ids) + 1, dtype=np.int32)
             counts[some + 1] = np.diff(keys.offsets.to_numpy())
             keys = pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), keys.values, mask=pa.array(~fresh))
-            columns = [pa.array(doc, mask=none), pa.array(number, pa.int32()), pa.array(ids), pa.array(tails), pa.array(sims, mask=few), pa.array(lines.sizes, pa.int32(), mask=~fresh), keys]
+            columns = [pa.array(doc, mask=none), pa.array(number, pa.int32()), pa.array(ids), pa.array(tails), pa.array(sims, mask=few), *(pa.array(d, mask=none_drawn) for d in draws.T.copy()), pa.array(lines.sizes, pa.int32(), mask=~fresh), keys]
             yield pa.RecordBatch.from_arrays(columns, schema=_OCCURRENCE)
 
     return run
@@ -283,16 +296,27 @@ def _alike(similarity: float):
     return run
 
 
+#: What decides, before any text is read, whether two lines can be alike.
+FACTS = ["sim", "size", "draw1", "draw2"]
+
+
+def unlike(x: Column, y: Column) -> Column:
+    """How many of the 16 draws in two numbers differ."""
+    z = x.bitwiseXOR(y)
+    z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
+    return F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseAND(F.lit(0x1111111111111111)))
+
+
 def line_buckets(firsts: DataFrame, similarity: float) -> DataFrame:
-    """(key, id, sim, size, n) of keys that two lines or more share. Crowded keys are split by length, into classes of which two similar lines share one."""
+    """(key, id, *FACTS, n) of keys that two lines or more share. Crowded keys are split by length, into classes of which two similar lines share one."""
     found = materialize(sized(firsts.select(F.explode("keys").alias("key"), "id"), []))
-    facts = firsts.groupBy("id").agg(F.min("sim").alias("sim"), F.min("size").alias("size"))
+    facts = firsts.groupBy("id").agg(*[F.min(c).alias(c) for c in FACTS])
     found = materialize(found.join(facts.join(found.select("id").distinct(), "id", "left_semi"), "id"))
     step = F.floor(F.log("size") / F.lit(-math.log(similarity)) * F.lit(1 - 1e-9)) if 0 < similarity < 1 else F.lit(0)
     classes = F.array(*[F.xxhash64(F.col("key"), (step + k).cast("bigint")) for k in (0, 1)])
-    crowded = found.where(F.col("n") > SMALL).select("id", "sim", "size", F.explode(classes).alias("key"))
-    columns = ["key", "id", "sim", "size", "n"]
-    return materialize(found.where(F.col("n") <= SMALL).select(*columns).unionAll(sized(crowded, ["sim", "size"]).select(*columns)))
+    crowded = found.where(F.col("n") > SMALL).select("id", *FACTS, F.explode(classes).alias("key"))
+    columns = ["key", "id", *FACTS, "n"]
+    return materialize(found.where(F.col("n") <= SMALL).select(*columns).unionAll(sized(crowded, FACTS).select(*columns)))
 
 
 def dropped_lines(docs: DataFrame, *, similarity: float = 0.8) -> DataFrame:
@@ -314,7 +338,8 @@ def _dropped(docs: DataFrame, similarity: float) -> DataFrame:
 
     def admissible(x, y):
         near = F.bit_count(x("sim").bitwiseXOR(y("sim"))) <= SKETCH
-        return F.coalesce(near, F.lit(True)) & fits(x, y)
+        same = unlike(x("draw1"), y("draw1")) + unlike(x("draw2"), y("draw2")) <= UNLIKE
+        return F.coalesce(near, F.lit(True)) & F.coalesce(same, F.lit(True)) & fits(x, y)
 
     def prepare(ids: DataFrame):
         places = materialize(firsts.join(ids.distinct(), "id", "left_semi").select("doc_id", "line"))
@@ -329,7 +354,7 @@ def _dropped(docs: DataFrame, similarity: float) -> DataFrame:
 
         return verify
 
-    groups = components(linked(line_buckets(firsts, similarity), ["sim", "size"], admissible, prepare, pairwise=PAIRWISE, rounds=8))
+    groups = components(linked(line_buckets(firsts, similarity), FACTS, admissible, prepare, pairwise=PAIRWISE, rounds=8))
     seen = found.groupBy("id", "tail").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first"))
     seen = materialize(seen.join(groups, "id", "left").where("n > 1 or root is not null").select("id", "tail", "root", "first"))
     # a line that is linked to none is a group of its own

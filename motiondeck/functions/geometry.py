@@ -130,9 +130,9 @@ def iou(a: list[Column], b: list[Column]) -> Column:
     return F.when(union > 0, w * h / F.when(union > 0, union)).otherwise(0.0)
 
 
-def anchor_box(x: Column, y: Column, grid: int, dx: Column, dy: Column, scale: float) -> Point:
+def anchor_box(x: Column, y: Column, grid: int, dx: Column, dy: Column, scale: float, logit: Column) -> Point:
     """Centre of a detection decoded from its anchor cell, and its score from a logit."""
-    return (x + 0.5) / grid + dx / scale, (y + 0.5) / grid + dy / scale, F.lit(1.0)
+    return (x + 0.5) / grid + dx / scale, (y + 0.5) / grid + dy / scale, sigmoid(logit)
 
 
 def unletterbox(x: Column, y: Column, scale: Column, pad_x: Column, pad_y: Column) -> tuple[Column, Column]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motiondeck.sources.schema import SYMMETRIC_BONES
+
 
 def left_without_collisions(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """left with right's columns that left has not."""
@@ -91,14 +93,22 @@ def observed_only(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.where("not carried").withColumn("position", F.row_number().over(w) - 1)
 
 
-def evenly(df: DataFrame, order: list[str], most: int) -> DataFrame:
-    """At most ``most`` rows, spaced evenly by rank."""
-    n = df.count()
-    if n <= most:
-        return df
-    steps = [round(i * (n - 1) / max(1, most - 1)) + 1 for i in range(most)]
-    ranked = df.withColumn("__n", F.row_number().over(Window.orderBy(*order)))
-    return ranked.join(F.broadcast(df.sparkSession.createDataFrame([(s,) for s in sorted(set(steps))], "__n int")), "__n", "left_semi").drop("__n")
+def evenly(df: DataFrame, order: list[str], most: int, coarse: Column) -> DataFrame:
+    """At most ``most`` rows, spaced evenly by rank.
+
+    coarse never falls as the order rises (such as the day of a time): rows are ranked within its values, of which only the counts are put in one order."""
+    df = df.withColumn("__c", coarse)
+    counts = df.groupBy("__c").agg(F.count("*").alias("__k"))
+    before = counts.select(F.col("__c").alias("__b"), (F.sum("__k").over(Window.orderBy("__c")) - F.col("__k")).alias("__before"), F.sum("__k").over(Window.partitionBy()).alias("__all"))
+    rank = F.row_number().over(Window.partitionBy("__c").orderBy(*order)) - 1 + F.col("__before")
+    ranked = df.join(before, F.col("__c").eqNullSafe(F.col("__b"))).withColumn("__r", rank)
+    last, steps = F.col("__all") - 1, max(1, most - 1)
+    # row r is wanted if some step i has i * last / steps, to the nearest whole number (halves to the even one), = r
+    at = F.col("__r") * steps / last
+    hit = (F.rint(F.floor(at) * last / steps) == F.col("__r")) | (F.rint(F.ceil(at) * last / steps) == F.col("__r"))
+    few = F.col("__all") <= most
+    wanted = few | (F.col("__r") == 0) if most == 1 else few | F.coalesce(hit, F.lit(False))
+    return ranked.where(wanted if most > 0 else F.lit(False)).drop("__c", "__b", "__before", "__all", "__r")
 
 
 def hash_sample(df: DataFrame, key: str, most: int) -> DataFrame:
@@ -144,6 +154,78 @@ def hand_sides(df: DataFrame, keys: list[str], sure: float = 0.6) -> DataFrame:
     return df.withColumn("side", side).drop("__n", "__ok", "__kinds", "__rank")
 
 
+def scored(features: DataFrame, scores: DataFrame, key: str, names: list[str]) -> tuple[DataFrame, list[str]]:
+    """Features of recordings that have scores, with these, and which of the features vary among them (three known values, a deviation)."""
+    joined = features.join(scores.select(key, *names), key)
+    from motiondeck.operators.aggregate import variable_features
+
+    return joined, variable_features(joined, [c for c in features.columns if c != key], least=3, most_na=1.0)
+
+
+def dated(features: DataFrame, sessions: DataFrame, key: str, patient: str, date: str) -> DataFrame:
+    """Features of recordings that have a session, with its patient and date."""
+    return features.join(sessions.select(key, patient, date), key)
+
+
+def longitudinal(long: DataFrame, patient: str, date: str, tie: str) -> DataFrame:
+    """long (feature, value) with ``position``, a row's place in its patient's feature by date."""
+    return long.withColumn("position", F.row_number().over(Window.partitionBy(patient, "feature").orderBy(date, tie)))
+
+
+def top_pairs(correlations: DataFrame, n: int = 10, value: str = "rho") -> DataFrame:
+    """The n pairs (feature, score) of the largest known correlation by size; ties by name."""
+    return correlations.where(F.col(value).isNotNull()).orderBy(F.abs(value).desc(), "feature", "score").limit(n)
+
+
+def stacked(tables: list[DataFrame]) -> DataFrame:
+    """All rows of all tables by column name; a column that a table has not is NULL there."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
+
+
+def recode(column: Column, labels: dict[str, str]) -> Column:
+    """The label of a value, or the value where it has none."""
+    found = F.lit(None).cast("string")
+    for k, v in labels.items():
+        found = F.when(column == k, v).otherwise(found)
+    return F.coalesce(found, column)
+
+
+def symmetry_by_bone(lengths: DataFrame, keys: list[str], frame: str, pairs: list[tuple[str, str]] = SYMMETRIC_BONES) -> DataFrame:
+    """(keys, bone, rel_diff): mean |L - R| over their middle, of the frames (of a table label, length) that have both sides.
+
+    A bone named in two schemes takes the pair that is listed last. No join: both sides of a frame meet in one group."""
+    sides = F.create_map(*[F.lit(x) for left, right in pairs for i, label in enumerate((left, right)) for x in (label, f"{left}|{i}")])
+    df = lengths.withColumn("__s", F.split(F.try_element_at(sides, F.col("label")), r"\|")).where("__s is not null")
+    side = lambda i: F.max(F.when(F.col("__s")[1] == i, F.col("length")))
+    both = df.groupBy(*keys, frame, F.col("__s")[0].alias("__pair")).agg(side("0").alias("__l"), side("1").alias("__r"))
+    mid = (F.col("__l") + F.col("__r")) / 2
+    found = both.groupBy(*keys, "__pair").agg(F.avg(F.abs(F.col("__l") - F.col("__r")) / F.when(mid > 1e-9, mid)).alias("rel_diff"), F.count(mid).alias("__n")).where("__n > 0")
+    bone = F.replace(F.replace("__pair", F.lit("left_"), F.lit("")), F.lit("body_"), F.lit(""))
+    order = F.array_position(F.array(*[F.lit(left) for left, _ in pairs]), F.col("__pair"))
+    return found.groupBy(*keys, bone.alias("bone")).agg(F.max_by("rel_diff", order).alias("rel_diff"))
+
+
+def world_frames(df: DataFrame, keys: list[str], frame: str, position: str, expected: str) -> DataFrame:
+    """One row a frame, the last of the source, of the ``expected`` ones that start at 0 or at 1, whichever covers more (if equal, 0 if there
+    is a frame 0); indices stay as they are. All frames if none are expected."""
+    last = F.row_number().over(Window.partitionBy(*keys, frame).orderBy(F.col(position).desc()))
+    df = df.withColumn("__n", last).where("__n = 1").drop("__n")
+    w, f, n = Window.partitionBy(*keys), F.col(frame), F.col(expected)
+    covers = lambda base: F.count_if((f >= base) & (f < n + base)).over(w)
+    base = F.when(covers(0) > covers(1), 0).when(covers(1) > covers(0), 1).when(F.count_if(f == 0).over(w) > 0, 0).otherwise(1)
+    b = F.col("__base")
+    return df.withColumn("__base", base).where((n <= 0) | (f >= b) & (f < n + b)).drop("__base")
+
+
+def hand_confidences(scores: Column, known: Column, start: int, count: int = 21) -> Column:
+    """The scores of a hand's points between 0 and 1, 0 where a point or its score is unknown; NULL for an absent hand."""
+    own = F.zip_with(F.slice(scores, start + 1, count), F.slice(known, start + 1, count), lambda s, k: F.when(k & s.isNotNull() & ~F.isnan(s), F.greatest(F.lit(0.0), F.least(F.lit(1.0), s))).otherwise(F.lit(0.0)))
+    return F.when(hand_present(scores, start, count), own)
+
+
 def remap_points(points: Column, indices: list[int]) -> Column:
     """The points of another scheme, picked by index."""
     return F.transform(F.array(*map(F.lit, indices)), lambda i: F.get(points, i))

@@ -129,16 +129,6 @@ def triangulate(spark, sf_dir):
     return rounded(found.drop("session"), 4)
 
 
-@register("joint_clamp")
-def joint_clamp(spark, sf_dir):
-    """Three points of each vector with the angle at the middle one held between 30 and 120 degrees."""
-    pts = F.array(*[F.struct(*[F.col(f"p{i}_{c}").alias(c) for c in "xyz"]) for i in range(3)])
-    df = kpt(spark, sf_dir).select("vec_id", pts.alias("points"))
-    found = matching.clamp_joints(df, "points", [(0, 1, 2, [2], 30.0, 120.0)])
-    last = F.get("points", F.lit(2))
-    return rounded(found.select("vec_id", "clamps", last["x"].alias("x"), last["y"].alias("y")))
-
-
 def _hand_table(spark, sf_dir):
     """The vectors as a landmark table: a recording a label, a frame a vector, 21 points of a left hand."""
     from motiondeck.sources.schema import hand_column

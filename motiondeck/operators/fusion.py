@@ -66,89 +66,98 @@ def undistort(px: np.ndarray, k: np.ndarray, d: np.ndarray, rounds: int = 20) ->
     return np.column_stack([x[:, 0] * k[0, 0] + k[0, 2], x[:, 1] * k[1, 1] + k[1, 2]])
 
 
-def triangulate(ps: np.ndarray, pts: np.ndarray, weights: np.ndarray) -> np.ndarray | None:
-    """Weighted linear triangulation by singular values; None below two views."""
-    if len(ps) < 2:
-        return None
-    w = np.sqrt(weights)[:, None]
-    a = np.concatenate([w * (pts[:, :1] * ps[:, 2] - ps[:, 0]), w * (pts[:, 1:] * ps[:, 2] - ps[:, 1])])
-    x = np.linalg.svd(a)[2][-1]
-    return x[:3] / x[3] if abs(x[3]) > 1e-12 else None
+def triangulate(ps: np.ndarray, pts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Weighted linear triangulation by singular values: (n, 3) points of pts (n, views, 2) and weights (n, views) of cameras ps;
+    NaN below two views of some weight or for a point at infinity."""
+    w = np.sqrt(weights)[..., None]
+    a = np.concatenate([w * (pts[..., :1] * ps[:, 2] - ps[:, 0]), w * (pts[..., 1:] * ps[:, 2] - ps[:, 1])], axis=1)
+    x = np.linalg.svd(a)[2][:, -1]
+    ok = (np.abs(x[:, 3]) > 1e-12) & ((weights > 0).sum(axis=1) >= 2)
+    return np.where(ok[:, None], x[:, :3] / np.where(ok, x[:, 3], 1)[:, None], np.nan)
 
 
 def residuals(ps: np.ndarray, pts: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(pixel errors, depths) of a point in every view."""
-    h = ps @ np.append(x, 1.0)
-    return np.hypot(*(h[:, :2] / h[:, 2:] - pts).T), h[:, 2]
+    """(pixel errors, depths) of points (n, 3) in every view, both (n, views)."""
+    h = np.einsum("vij,nj->nvi", ps, np.column_stack([x, np.ones(len(x))]))
+    return np.hypot(*np.moveaxis(h[..., :2] / h[..., 2:] - pts, -1, 0)), h[..., 2]
 
 
-def ray_angle(centres: np.ndarray, x: np.ndarray) -> float:
-    """The largest acute angle between the rays from the cameras to a point, in degrees."""
-    rays = x - centres
-    rays = rays / np.linalg.norm(rays, axis=1, keepdims=True)
-    return max((float(np.degrees(np.arccos(np.clip(abs(a @ b), 0, 1)))) for a, b in combinations(rays, 2)), default=0.0)
+def ray_angle(centres: np.ndarray, x: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """The largest acute angle between the rays from the used cameras to each point, in degrees."""
+    rays = x[:, None] - centres
+    rays = rays / np.linalg.norm(rays, axis=2, keepdims=True)
+    out = np.zeros(len(x))
+    for a, b in combinations(range(len(centres)), 2):
+        angle = np.degrees(np.arccos(np.clip(np.abs((rays[:, a] * rays[:, b]).sum(axis=1)), 0, 1)))
+        out = np.where(use[:, a] & use[:, b], np.maximum(out, angle), out)
+    return out
 
 
 def refine(ps: np.ndarray, pts: np.ndarray, weights: np.ndarray, x: np.ndarray, delta: float = 2.0, rounds: int = 8) -> np.ndarray:
-    """Reweighted Gauss-Newton steps under a Huber loss, halved while they do not improve; never worse than the start."""
+    """Reweighted Gauss-Newton steps of many points at once under a Huber loss, halved while they do not improve; never worse than
+    the start. A view of weight 0 has no part in it."""
 
-    def loss(p):
-        e = residuals(ps, pts, p)[0]
-        return float((weights * np.where(e <= delta, 0.5 * e * e, delta * (e - delta / 2))).sum())
+    def loss(p, of):
+        e = residuals(ps, pts[of], p)[0]
+        return np.where(weights[of] > 0, weights[of] * np.where(e <= delta, 0.5 * e * e, delta * (e - delta / 2)), 0.0).sum(axis=1)
 
-    best = loss(x)
+    x = x.copy()
+    best = loss(x, np.arange(len(x)))
+    going = np.flatnonzero(np.isfinite(best))
     for _ in range(rounds):
-        h = ps @ np.append(x, 1.0)
-        err = (h[:, :2] / h[:, 2:] - pts).ravel()
-        j = ((ps[:, :2, :3] * h[:, 2, None, None] - ps[:, 2:, :3] * h[:, :2, None]) / h[:, 2, None, None] ** 2).reshape(-1, 3)
-        e = np.repeat(np.hypot(*err.reshape(-1, 2).T), 2)
-        w = np.repeat(weights, 2) * np.where(e <= delta, 1, delta / np.maximum(e, 1e-12))
-        try:
-            step = np.linalg.solve(j.T @ (w[:, None] * j) + 1e-12 * np.eye(3), -j.T @ (w * err))
-        except np.linalg.LinAlgError:
+        if not len(going):
             break
+        h = np.einsum("vij,nj->nvi", ps, np.column_stack([x[going], np.ones(len(going))]))
+        err = h[..., :2] / h[..., 2:] - pts[going]
+        j = (ps[:, :2, :3] * h[..., 2, None, None] - ps[:, 2:, :3] * h[..., :2, None]) / h[..., 2, None, None] ** 2
+        e = np.hypot(err[..., 0], err[..., 1])
+        w = weights[going] * np.where(e <= delta, 1, delta / np.maximum(e, 1e-12))
+        normal = np.einsum("nv,nvki,nvkj->nij", w, j, j) + 1e-12 * np.eye(3)
+        step = -np.linalg.solve(normal, np.einsum("nv,nvki,nvk->ni", w, j, err)[..., None])[..., 0]
+        better = np.zeros(len(going), dtype=bool)
         for _ in range(6):
-            if loss(x + step) < best:
+            left = np.flatnonzero(~better)
+            if not len(left):
                 break
-            step = step / 2
-        else:
-            break
-        x, best = x + step, loss(x + step)
-        if np.linalg.norm(step) < 1e-10:
-            break
+            new = loss(x[going[left]] + step[left], going[left])
+            won = new < best[going[left]]
+            best[going[left[won]]] = new[won]
+            better[left[won]] = True
+            step[left[~won]] /= 2
+        x[going[better]] += step[better]
+        going = going[better & (np.linalg.norm(step, axis=1) >= 1e-10)]
     return x
 
 
-def fuse_views(ps: np.ndarray, centres: np.ndarray, pts: np.ndarray, conf: np.ndarray, gate_px: float = 20.0, gate_deg: float = 1.0):
-    """(x, y, z, error, views, cheirality, angle) of a keypoint, None if no pair of views agrees on a point.
+def fuse_views(ps: np.ndarray, centres: np.ndarray, pts: np.ndarray, conf: np.ndarray, gate_px: float = 20.0, gate_deg: float = 1.0) -> tuple[np.ndarray, ...]:
+    """(points, errors, views, cheirality, angles) of keypoints pts (n, views, 2) that the same cameras saw; NaN points if no pair of views agrees.
 
     Each pair of views is a hypothesis; the one with most views inside the gate wins, then the largest summed
     confidence, then points in front of the cameras, then the least truncated error; ties keep the first.
     """
-    best = None
-    for pair in combinations(range(len(ps)), 2):
-        x = triangulate(ps[list(pair)], pts[list(pair)], conf[list(pair)])
-        if x is None:
-            continue
+    n, views = conf.shape
+    use, rank = np.zeros((n, views), dtype=bool), np.full((n, 4), -np.inf)
+    for pair in combinations(range(views), 2):
+        only = np.zeros((n, views))
+        only[:, pair] = conf[:, pair]
+        x = triangulate(ps, pts, only)
         e, depth = residuals(ps, pts, x)
         inside = np.isfinite(e) & (e <= gate_px)
-        if inside.sum() < 2:
-            continue
-        rank = (int(inside.sum()), float(conf[inside].sum()), bool((depth[inside] > 0).all()), -float(np.minimum(e, gate_px).sum()))
-        if best is None or rank > best[0]:
-            best = (rank, inside)
-    if best is None:
-        return None
-    use = best[1]
-    x = triangulate(ps[use], pts[use], conf[use])
-    if x is None:
-        return None
-    x = refine(ps[use], pts[use], conf[use], x)
-    e, depth = residuals(ps[use], pts[use], x)
-    angle = ray_angle(centres[use], x)
-    if e.mean() > gate_px or angle < gate_deg:
-        return None
-    return (*x.tolist(), float(e.mean()), int(use.sum()), int((depth > 0).all()), angle)
+        front = (~inside | (depth > 0)).all(axis=1)
+        new = np.column_stack([inside.sum(axis=1), np.where(inside, conf, 0).sum(axis=1), front, -np.where(np.isfinite(e), np.minimum(e, gate_px), gate_px).sum(axis=1)])
+        first = np.argmax(new != rank, axis=1)  # the first place in which they differ; if none, equal
+        at = np.arange(n)
+        wins = (new[at, first] > rank[at, first]) & (inside.sum(axis=1) >= 2)
+        rank[wins], use[wins] = new[wins], inside[wins]
+    weights = np.where(use, conf, 0.0)
+    x = refine(ps, pts, weights, triangulate(ps, pts, weights))
+    e, depth = residuals(ps, pts, x)
+    count = use.sum(axis=1)
+    error = np.where(use, e, 0).sum(axis=1) / np.maximum(count, 1)
+    angle = ray_angle(centres, x, use)
+    failed = (count < 2) | ~np.isfinite(error) | (error > gate_px) | ~(angle >= gate_deg)
+    x[failed] = np.nan
+    return x, error, np.where(failed, 0, count), (~use | (depth > 0)).all(axis=1), angle
 
 
 def fuse(observations: DataFrame, cameras: dict[str, dict], *, least: int = 2) -> DataFrame:
@@ -166,14 +175,20 @@ def fuse(observations: DataFrame, cameras: dict[str, dict], *, least: int = 2) -
 
     @F.pandas_udf("x double, y double, z double, reproj_err_px double, n_views int, cheirality_ok int, triangulation_angle_deg double")
     def solve(views: pd.Series) -> pd.DataFrame:
-        rows = []
-        for vs in views:
-            found = None
+        # keypoints that the same cameras saw are solved together
+        rows: list[tuple] = [(None, None, None, None, 0, None, None)] * len(views)
+        alike: dict[tuple, list[int]] = {}
+        for i, vs in enumerate(views):
             if len(vs) >= least:
-                own = [setup[v["camera"]] for v in vs]
-                pts = np.concatenate([undistort(np.array([[v["px"], v["py"]]]), s[2], s[3]) for v, s in zip(vs, own, strict=True)])
-                found = fuse_views(np.stack([s[0] for s in own]), np.stack([s[1] for s in own]), pts, np.array([v["confidence"] for v in vs], float))
-            rows.append(found or (None, None, None, None, 0, None, None))
+                alike.setdefault(tuple(v["camera"] for v in vs), []).append(i)
+        for names, some in alike.items():
+            own = [setup[c] for c in names]
+            seen = np.array([[(v["px"], v["py"], v["confidence"]) for v in views.iloc[i]] for i in some], float)
+            pts = np.stack([undistort(seen[:, k, :2], s[2], s[3]) for k, s in enumerate(own)], axis=1)
+            x, error, count, front, angle = fuse_views(np.stack([s[0] for s in own]), np.stack([s[1] for s in own]), pts, seen[..., 2])
+            for k, i in enumerate(some):
+                if count[k]:
+                    rows[i] = (*x[k].tolist(), float(error[k]), int(count[k]), int(front[k]), float(angle[k]))
         return pd.DataFrame(rows, columns=["x", "y", "z", "reproj_err_px", "n_views", "cheirality_ok", "triangulation_angle_deg"])
 
     out = grouped.withColumn("s", solve("views"))

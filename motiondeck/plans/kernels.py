@@ -1,13 +1,14 @@
-"""Queries of numeric kernels and recursive filters over the given tables. SQL has no form for them; tests hold them against brute force."""
+"""Queries of numeric kernels and recursive filters over the given tables. Most have no form in SQL; tests hold those against brute force."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from motiondeck.catalog import register
 from motiondeck.operators import features, fusion, matching
-from motiondeck.plans.proxies import kpt, rounded, sig, table
+from motiondeck.plans.proxies import KPT, kpt, rounded, sig, table
 from motiondeck.streaming import filters
 
 #: A rig of three cameras that looks along z.
@@ -57,8 +58,6 @@ def one_euro(spark, sf_dir):
 @register("bone_smoothing")
 def bone_smoothing(spark, sf_dir):
     """Learned length of one bone from vector to vector of a label."""
-    import numpy as np
-
     df = kpt(spark, sf_dir).select("label", "vec_id", "p0_x", "p0_y", "p1_x", "p1_y")
 
     def step(state, row):
@@ -72,8 +71,6 @@ def bone_smoothing(spark, sf_dir):
 @register("track_smoothing")
 def track_smoothing(spark, sf_dir):
     """Events of a user as detections in frames of four: tracked, smoothed and carried."""
-    import numpy as np
-
     s = sig(spark, sf_dir)
     df = s.groupBy("user_id", F.floor(F.col("event_id") / 400).alias("frame")).agg(F.array_sort(F.collect_list(F.struct("event_id", "value", "k"))).alias("dets"))
 
@@ -112,13 +109,29 @@ def source_clock(spark, sf_dir):
     return rounded(filters.run_grouped(df, ["user_id"], ["t", "event_id"], step, "event_id bigint, clock double"))
 
 
-@register("triangulate")
-def triangulate(spark, sf_dir):
-    """Points of the vectors seen by three cameras and fused again: position, error, views, angle."""
-    import numpy as np
+def _centre(cam: dict) -> list[float]:
+    p = fusion.projection(np.array(cam["K"], float), np.array(cam["rvec"], float), np.array(cam["tvec"], float))
+    return (-np.linalg.solve(p[:, :3], p[:, 3])).tolist()
+
+
+def _rays(one: str, two: str) -> str:
+    """SQL of the acute angle between the rays of two cameras."""
+    a, b = ([f"({c} - ({v!r}))" for c, v in zip("xyz", _centre(RIG[n]), strict=True)] for n in (one, two))
+    dot = lambda p, q: "(" + " + ".join(f"{i} * {j}" for i, j in zip(p, q, strict=True)) + ")"
+    return f"degrees(acos(least(1.0, abs({dot(a, b)}) / sqrt({dot(a, a)} * {dot(b, b)}))))"
 
+
+#: The points themselves are what fusing their exact views has to give back.
+_FUSED = f"""WITH {KPT}, p AS (SELECT vec_id AS frame, unnest([{", ".join(f"'p{i}'" for i in range(21))}]) AS keypoint, {", ".join(f"unnest([{', '.join(f'p{i}_{c}' for i in range(21))}]) AS {c}" for c in "xyz")} FROM kpt)
+SELECT frame, keypoint, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y, round(z, 4) + 0.0 AS z, 0.0 AS reproj_err_px, CASE WHEN frame % 10 = 0 THEN 2 ELSE 3 END AS candidate_n_views, CASE WHEN frame % 10 = 0 THEN 2 ELSE 3 END AS n_views, 1 AS cheirality_ok,
+round(CASE WHEN frame % 10 = 0 THEN {_rays("a", "b")} ELSE greatest({_rays("a", "b")}, {_rays("a", "c")}, {_rays("b", "c")}) END, 4) + 0.0 AS triangulation_angle_deg FROM p"""
+
+
+@register("triangulate", _FUSED)
+def triangulate(spark, sf_dir):
+    """All points of the vectors seen by three cameras and fused again: position, error, views, angle."""
     k = kpt(spark, sf_dir)
-    pts = k.select(F.lit("s").alias("session"), F.col("vec_id").alias("frame"), F.inline(F.array(*[F.struct(F.lit(f"p{i}").alias("keypoint"), *[F.col(f"p{i}_{c}").alias(c) for c in "xyz"]) for i in range(5)])))
+    pts = k.select(F.lit("s").alias("session"), F.col("vec_id").alias("frame"), F.inline(F.array(*[F.struct(F.lit(f"p{i}").alias("keypoint"), *[F.col(f"p{i}_{c}").alias(c) for c in "xyz"]) for i in range(21)])))
     views = []
     for name, cam in RIG.items():
         p = fusion.projection(np.array(cam["K"], float), np.array(cam["rvec"], float), np.array(cam["tvec"], float))

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from motiondeck.operators.matching import assignment
 
@@ -201,19 +202,26 @@ Step = Callable[[dict | None, pd.Series], tuple[dict, list[tuple]]]
 
 
 def run_grouped(df: DataFrame, keys: list[str], order: list[str], step: Step, schema: str) -> DataFrame:
-    """A step function over each group's rows in order. One group's rows are one task's; groups run side by side."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        state, rows = None, []
-        for row in g.sort_values(order, kind="stable").to_dict("records"):
-            state, out = step(state, row)
-            rows += [(*[row[k] for k in keys], *r) for r in out]
-        return pd.DataFrame(rows, columns=names)
+    """A step function over each group's rows in order. A task streams through sorted rows and holds a batch and one group's state, so a
+    group of any size fits; groups run side by side. Rows whose order is NULL come last."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for batch in batches:
+            rows = []
+            for row in batch.to_dict("records"):
+                own = tuple(None if v != v else v for v in (row[k] for k in keys))
+                if own != key:
+                    key, state = own, None
+                state, out = step(state, row)
+                rows += [(*own, *r) for r in out]
+            yield pd.DataFrame(rows, columns=names)
 
     kinds = dict(df.dtypes)
     whole = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], schema])
     names = [*keys, *[x.split()[0].strip("`") for x in schema.split(", ")]]
-    return df.groupBy(*keys).applyInPandas(run, whole)
+    by = [*keys, *[F.col(c).asc_nulls_last() for c in order]]
+    return df.repartition(*keys).sortWithinPartitions(*by).mapInPandas(run, whole)
 
 
 def run_stream(df: DataFrame, keys: list[str], order: list[str], step: Step, schema: str, idle_ms: int | None = None) -> DataFrame:

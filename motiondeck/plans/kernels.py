@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from motiondeck.catalog import register
 from motiondeck.operators import features, fusion, matching
-from motiondeck.plans.proxies import KPT, kpt, rounded, sig, table
+from motiondeck.plans.proxies import KPT, SIG, kpt, rounded, sig, table
 from motiondeck.streaming import filters
 
 #: A rig of three cameras that looks along z.
@@ -42,8 +42,18 @@ def weighted_nms(spark, sf_dir):
     return rounded(matching.non_maximum_suppression(boxes, ["user_id"]))
 
 
-@register("savgol")
+def _cubic_weights() -> str:
+    """SQL list: for each place of a window of 11, the weights that fit a cubic to the window and read it off there."""
+    x = np.arange(-5, 6)
+    fits = [np.polyfit(x, np.eye(11)[j], 3) for j in range(11)]
+    return "[" + ", ".join("[" + ", ".join(repr(float(np.polyval(f, at))) for f in fits) + "]" for at in x) + "]"
+
+
+@register("savgol", f"""WITH {SIG}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS i FROM sig), v AS (SELECT user_id, list(value ORDER BY i) AS v, count(*) AS n FROM r GROUP BY 1),
+p AS (SELECT event_id, i, v, CAST(least(greatest(i - 5, 0), n - 11) AS BIGINT) AS s FROM r JOIN v USING (user_id)), w AS (SELECT {_cubic_weights()} AS w)
+SELECT event_id, round(list_sum(list_transform(list_zip(w[i - s + 1], v[s + 1:s + 11]), lambda z: z[1] * z[2])), 6) + 0.0 AS smooth FROM p, w""")
 def savgol(spark, sf_dir):
+    """Each user's values in windows of 11 events; no user of the given tables has fewer, and none a missing value."""
     df = sig(spark, sf_dir).select("user_id", "event_id", "t", "value")
     return rounded(matching.savgol_series(df, ["user_id"], ["t", "event_id"], ["value"]).select("event_id", F.col("value").alias("smooth")))
 
@@ -95,7 +105,9 @@ def detection_smoothing(spark, sf_dir):
     return rounded(filters.run_grouped(df, ["label"], ["vec_id"], step, "vec_id bigint, box int, cx double, cy double, score double, carried int"))
 
 
-@register("source_clock")
+@register("source_clock", f"""WITH RECURSIVE {SIG}, r AS (SELECT user_id, event_id, floor(t / 36000) AS media, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS n FROM sig),
+c AS (SELECT user_id, event_id, n, media AS clock FROM r WHERE n = 0 UNION ALL SELECT r.user_id, r.event_id, r.n, CASE WHEN r.media > c.clock THEN r.media WHEN r.n / 30.0 > c.clock THEN r.n / 30.0 ELSE c.clock + 1 / 30.0 END FROM c JOIN r ON r.user_id = c.user_id AND r.n = c.n + 1)
+SELECT user_id, event_id, round(clock, 6) + 0.0 AS clock FROM c""")
 def source_clock(spark, sf_dir):
     """A strictly increasing time of each user's events, from whole hours where they advance."""
     df = sig(spark, sf_dir).select("user_id", "event_id", "t", F.floor(F.col("t") / 36000).cast("double").alias("media"))

@@ -34,4 +34,4 @@ def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["sliding_windows"](spark, sf_dir)
 
 
-from motiondeck.plans import cohort, frames, kernels, relational, windows  # noqa: E402, F401  importing a plan registers its queries
+from motiondeck.plans import cohort, frames, kernels, recovery, relational, windows  # noqa: E402, F401  importing a plan registers its queries

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from motiondeck.catalog import register
-from motiondeck.operators import features, fusion, matching
+from motiondeck.operators import features, fusion, graph, matching
 from motiondeck.plans.proxies import KPT, SIG, kpt, rounded, sig, table
 from motiondeck.streaming import filters
 
@@ -21,25 +21,32 @@ RIG = {
 
 @register("optimal_match")
 def optimal_match(spark, sf_dir):
-    """Within each label and block of 100 ids, which stands for a frame, pairs of an even and an odd vector closer than a
-    threshold in the first plane, as many as possible and then as near as possible. Pairs across blocks are not considered."""
-    d = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
-    a, b = d.where("vec_id % 2 = 0"), d.where("vec_id % 2 = 1")
-    block = (F.col("vec_id") / 100).cast("int").alias("block")
-    a = a.select("label", block, F.col("vec_id").alias("left_id"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    b = b.select("label", block, F.col("vec_id").alias("right_id"), "x", "y")
-    cost = F.sqrt(F.pow(F.col("ax") - F.col("x"), 2) + F.pow(F.col("ay") - F.col("y"), 2))
-    pairs = a.join(b, ["label", "block"]).withColumn("cost", cost).where("cost < 0.2")
-    return rounded(matching.match(pairs, ["label", "block"], "left_id", "right_id", threshold=0.2))
-
-
-@register("weighted_nms")
+    """Within each label, which stands for a frame, pairs of an even and an odd vector whose first points are closer than a threshold,
+    as many as possible and then as near as possible."""
+    d = kpt(spark, sf_dir).select("label", "vec_id", "p0_x", "p0_y", "p0_z")
+    a = d.where("vec_id % 2 = 0").select("label", F.col("vec_id").alias("left_id"), *[F.col(f"p0_{c}").alias(f"a{c}") for c in "xyz"])
+    b = d.where("vec_id % 2 = 1").select("label", F.col("vec_id").alias("right_id"), *[F.col(f"p0_{c}").alias(c) for c in "xyz"])
+    pairs = graph.near_pairs(a, b, ["label"], ["ax", "ay", "az"], ["x", "y", "z"], 0.03)
+    return rounded(matching.match(pairs, ["label"], "left_id", "right_id"))
+
+
+_BOXES = f"WITH RECURSIVE {SIG}, b AS (SELECT user_id, CAST(floor(t / 86400) AS BIGINT) AS day, event_id AS det_id, value % 10 AS x1, CAST(k % 10 AS DOUBLE) AS y1, 0.1 + k / 100 AS score FROM sig)"
+#: Boxes have sides of 3, so two meet in (3 - dx)(3 - dy), if both are positive, of 18 less that.
+_NMS = f"""{_BOXES}, g AS (SELECT user_id, day, list(struct_pack(s := -score, i := det_id, x := x1, y := y1) ORDER BY score DESC, det_id) AS l FROM b GROUP BY 1, 2),
+met AS (SELECT user_id, day, list_filter(l, lambda q: q.i = l[1].i OR greatest(0, 3 - abs(q.x - l[1].x)) * greatest(0, 3 - abs(q.y - l[1].y)) > 0.3 * (18 - greatest(0, 3 - abs(q.x - l[1].x)) * greatest(0, 3 - abs(q.y - l[1].y)))) AS c, l FROM g
+UNION ALL SELECT user_id, day, list_filter(r, lambda q: q.i = r[1].i OR greatest(0, 3 - abs(q.x - r[1].x)) * greatest(0, 3 - abs(q.y - r[1].y)) > 0.3 * (18 - greatest(0, 3 - abs(q.x - r[1].x)) * greatest(0, 3 - abs(q.y - r[1].y)))), r
+FROM (SELECT user_id, day, list_filter(l, lambda q: NOT list_contains(list_transform(c, lambda z: z.i), q.i)) AS r FROM met) WHERE len(r) > 0),
+w AS (SELECT user_id, day, -c[1].s AS score, len(c) AS members, list_sum(list_transform(c, lambda q: -q.s)) AS total, list_sum(list_transform(c, lambda q: -q.s * q.x)) AS sx, list_sum(list_transform(c, lambda q: -q.s * q.y)) AS sy FROM met)
+SELECT user_id, day, round(sx / total, 6) + 0.0 AS x1, round(sy / total, 6) + 0.0 AS y1, round(sx / total + 3, 6) + 0.0 AS x2, round(sy / total + 3, 6) + 0.0 AS y2, round(score, 6) + 0.0 AS score, CAST(members AS INT) AS members FROM w"""
+
+
+@register("weighted_nms", _NMS)
 def weighted_nms(spark, sf_dir):
-    """Boxes of the events of each day's hours, merged where they overlap."""
+    """Boxes of the events of a user's day, which stands for a frame, merged where they overlap."""
     s = sig(spark, sf_dir)
     x, y = F.col("value") % 10, (F.col("k") % 10).cast("double")
-    boxes = s.select("user_id", F.col("event_id").alias("det_id"), x.alias("x1"), y.alias("y1"), (x + 3).alias("x2"), (y + 3).alias("y2"), (0.1 + F.col("k") / 100).alias("score"))
-    return rounded(matching.non_maximum_suppression(boxes, ["user_id"]))
+    boxes = s.select("user_id", F.floor(F.col("t") / 86400).cast("bigint").alias("day"), F.col("event_id").alias("det_id"), x.alias("x1"), y.alias("y1"), (x + 3).alias("x2"), (y + 3).alias("y2"), (0.1 + F.col("k") / 100).alias("score"))
+    return rounded(matching.non_maximum_suppression(boxes, ["user_id", "day"]))
 
 
 def _cubic_weights() -> str:

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from motiondeck.operators.matching import assignment
 
@@ -219,7 +220,7 @@ def run_grouped(df: DataFrame, keys: list[str], order: list[str], step: Step, sc
 
     kinds = dict(df.dtypes)
     whole = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], schema])
-    names = [*keys, *[x.split()[0].strip("`") for x in schema.split(", ")]]
+    names = StructType.fromDDL(whole).names
     by = [*keys, *[F.col(c).asc_nulls_last() for c in order]]
     return df.repartition(*keys).sortWithinPartitions(*by).mapInPandas(run, whole)
 
@@ -247,7 +248,7 @@ def run_stream(df: DataFrame, keys: list[str], order: list[str], step: Step, sch
 
     kinds = dict(df.dtypes)
     whole = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], schema])
-    names = [*keys, *[x.split()[0].strip("`") for x in schema.split(", ")]]
+    names = StructType.fromDDL(whole).names
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
     return df.groupBy(*keys).applyInPandasWithState(run, whole, "state string", "append", timeout)
 

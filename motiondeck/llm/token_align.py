@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -35,8 +36,9 @@ from pyspark.sql import functions as F
 from motiondeck.llm.chunks import new_ids, pack, sums, unpack
 from motiondeck.llm.common import materialize, table
 
-#: Links in a chunk; stretches that a task remembers, and the longest that it does; rows that are held as stretches at a time.
-LINKS, KNOWN, LONGEST, ROWS = 1 << 20, 150_000, 64, 200
+#: Links in a chunk; stretches that a task remembers, the longest that it does, and the characters of longer ones after which it starts anew;
+#: rows that are held as stretches at a time.
+LINKS, KNOWN, LONGEST, KEPT, ROWS = 1 << 20, 400_000, 64, 1 << 22, 200
 #: A pair (a, b) is b * WIDTH + a; both vocabularies have fewer ids.
 WIDTH = 1 << 20
 MARK = "▁"
@@ -50,18 +52,38 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
 
-def refined_ends(coarse: list[tuple[int, int]], lengths: list[int]) -> list[int]:
-    """Byte ends of tokens from coarse byte spans.
+def refined_ends(begins: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The byte ends of a text's tokens from coarse spans (begins, ends) of bytes.
 
-    A span's end is a cut if the span holds something and the next one does not begin before that end. Tokens
-    up to a cut that have no cut of their own (parts of one character) end where their decoded bytes do.
+    A span's end is a cut if the span holds something and the next one does not begin before that end. Tokens up to a cut that have no cut
+    of their own (parts of one character) end where their decoded bytes (lengths) do.
     """
-    ends, at = [], 0
-    for k, ((begin, end), n) in enumerate(zip(coarse, lengths, strict=True)):
-        sure = end > begin and (k + 1 == len(coarse) or coarse[k + 1][0] >= end)
-        at = end if sure else at + n
-        ends.append(at)
-    return ends
+    n, total = len(ends), np.cumsum(lengths)
+    sure = ends > begins
+    sure[:-1] &= begins[1:] >= ends[:-1]
+    last = np.maximum.accumulate(np.where(sure, np.arange(n), -1)) if n else np.zeros(0, int)
+    known = np.maximum(last, 0)
+    return np.where(last >= 0, ends[known] + total - total[known], total) if n else ends
+
+
+class _Vocabulary:
+    """Bytes of every id, one after the other, and its decimal digits with what follows it in a group."""
+
+    def __init__(self, pieces: list[bytes], end: str) -> None:
+        self.lengths = np.array([len(p) for p in pieces], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.frombuffer(b"".join(pieces), np.uint8)
+        self.within = np.array([f"{i}," for i in range(len(pieces))], object)
+        self.closing = np.array([f"{i}{end}" for i in range(len(pieces))], object)
+        self.digits = np.array([len(str(i)) + 1 for i in range(len(pieces))], np.int64)
+
+    def spell(self, ids: np.ndarray) -> np.ndarray:
+        n = self.lengths[ids]
+        return self.flat[np.repeat(self.starts[ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+
+def _in_each(counts: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return sums(values.astype(np.int64), counts)
 
 
 class Aligner:
@@ -78,57 +100,67 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         of = byte_level()
-        self.a_bytes = {i: bytes(of[c] for c in t) if all(c in of for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        known = {i: bytes(of[c] for c in t) if all(c in of for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        self.a_words = _Vocabulary([known.get(i, b"") for i in range(max(known) + 1)], "|")
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.b_words = _Vocabulary([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)], ";")
         #: Whether texts may be cut at single spaces.
         self.cuts = not any(MARK in p[1:] and p.strip(MARK) for p in pieces)
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.made: list[tuple[int, int, str] | None] = []  # tokens of A, of B, groups; None: the bytes differ
+        self.groups: list[str | None] = []  # None: the bytes differ
+        self.counts: list[np.ndarray] = []  # rows of (tokens of A, of B, links)
         self.links: list[np.ndarray] = []
 
     def stretches(self, text: str) -> list[str]:
         return _CUT.split(text) if self.cuts else [text]
 
-    def groups(self, text: str, ids: list[int], offsets: list[tuple[int, int]], pieces: list[tuple[int, int, int]]) -> tuple[list[tuple[list[int], list[int]]], bool]:
-        """The groups of one stretch (without its space), and whether both sides spell it."""
-        data = b" " + text.encode()
-        mine = [self.a_bytes[i] for i in ids]
-        yours = [self.b_bytes[p[0]] for p in pieces]
-        if b"".join(mine) != data or b"".join(yours) != data:
-            return [], False
-        if len(data) == len(text) + 1:
-            a_ends = refined_ends(offsets, [len(x) for x in mine])
-        else:
-            at = np.cumsum([0, 1, *(len(c.encode()) for c in text)]).tolist()
-            a_ends = refined_ends([(at[s], at[e]) for s, e in offsets], [len(x) for x in mine])
-        b_ends = refined_ends([(s + (k > 0), e + 1) for k, (_, s, e) in enumerate(pieces)], [len(x) for x in yours])
-        shared = set(a_ends).intersection(b_ends)
-        out, i, j = [], 0, 0
-        for end in sorted(shared):
-            first, second = i, j
-            while i < len(a_ends) and a_ends[i] <= end:
-                i += 1
-            while j < len(b_ends) and b_ends[j] <= end:
-                j += 1
-            out.append((ids[first:i], [p[0] for p in pieces[second:j]]))
-        return out, True
+    def _keep(self, fresh: list[str], groups: list[str | None], counts: np.ndarray, links: np.ndarray) -> None:
+        n = len(self.groups)
+        self.number.update(zip(fresh, range(n, n + len(fresh)), strict=True))
+        self.groups += groups
+        self.counts.append(counts)
+        self.links.append(links)
 
     def learn(self, fresh: list[str]) -> None:
-        coded = self.a.encode_batch([" " + s for s in fresh], add_special_tokens=False)
-        for s, a, b in zip(fresh, coded, self.b.encode(fresh, return_type="proto"), strict=True):
-            ids, pieces = a.ids, [(p.id, p.begin, p.end) for p in b.pieces]
-            found, spelt = self.groups(s, ids, a.offsets, pieces)
-            self.number[s] = len(self.made)
-            if not spelt:
-                self.made.append(None)
-                self.links.append(np.zeros(0, np.int64))
-                continue
-            self.made.append((len(ids), len(pieces), ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in found)))
-            self.links.append(np.array([y[-1] * WIDTH + x[-1] for x, y in found], np.int64))
+        """Encodes stretches (without their space) and finds their groups, all at once: with their spaces they are one text, which falls
+        apart at those (no stretch may begin or end with white space unless it is alone). Where its tokens do not spell it, halves of it are tried, down to the stretches that are not spelt."""
+        if not fresh:
+            return
+        text = " ".join(fresh)
+        coded, proto = self.a.encode(" " + text, add_special_tokens=False), self.b.encode(text, return_type="proto")
+        a_ids = np.array(coded.ids, np.int64)
+        spans = np.fromiter(chain.from_iterable(coded.offsets), np.int64).reshape(-1, 2)
+        b_all = np.fromiter((x for q in proto.pieces for x in (q.id, q.end)), np.int64).reshape(-1, 2)
+        b_ids = b_all[:, 0]
+        data = np.frombuffer((" " + text).encode(), np.uint8)
+        if not all(int(w.lengths[ids].sum()) == len(data) and (w.spell(ids) == data).all() for w, ids in ((self.a_words, a_ids), (self.b_words, b_ids))):
+            if len(fresh) == 1:
+                self._keep(fresh, [None], np.zeros((1, 3), np.int64), np.zeros(0, np.int64))
+            else:
+                self.learn(fresh[: len(fresh) // 2])
+                self.learn(fresh[len(fresh) // 2 :])
+            return
+        chars = np.frombuffer((" " + text).encode("utf-32-le"), np.uint32)
+        place = np.concatenate([[0], np.cumsum(1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000))])
+        stop = place[np.cumsum(np.array(list(map(len, fresh))) + 1)]
+        a_ends = refined_ends(place[spans[:, 0]], place[spans[:, 1]], self.a_words.lengths[a_ids])
+        # B's spans follow one another; the space in front is the first piece's
+        b_ends = refined_ends(np.concatenate([[0], b_all[:-1, 1] + 1]), b_all[:, 1] + 1, self.b_words.lengths[b_ids])
+        n_a, n_b = (np.diff(np.searchsorted(x, stop, "right"), prepend=0) for x in (a_ends, b_ends))
+        at = np.minimum(np.searchsorted(b_ends, a_ends), len(b_ends) - 1)
+        a_cut = b_ends[at] == a_ends
+        b_cut = np.zeros(len(b_ends), bool)
+        b_cut[at[a_cut]] = True
+        links = b_ids[b_cut] * WIDTH + a_ids[a_cut]
+        group = np.concatenate([2 * (np.cumsum(a_cut) - a_cut), 2 * (np.cumsum(b_cut) - b_cut) + 1])
+        order = np.argsort(group, kind="stable")
+        texts = np.concatenate([np.where(cut, w.closing[ids], w.within[ids]) for cut, w, ids in ((a_cut, self.a_words, a_ids), (b_cut, self.b_words, b_ids))])
+        whole = "".join(texts[order].tolist())
+        long = np.cumsum(_in_each(n_a, self.a_words.digits[a_ids]) + _in_each(n_b, self.b_words.digits[b_ids])).tolist()
+        self._keep(fresh, [whole[i : j - 1] for i, j in zip([0, *long], long, strict=False)], np.column_stack([n_a, n_b, _in_each(n_a, a_cut)]), links)
 
     def align(self, texts: list[str | None]) -> tuple[list[tuple[int, int, int, str]], list[np.ndarray]]:
         """(tokens of A, tokens of B, links, groups) and the linked pairs of each text."""
@@ -136,29 +168,34 @@ class Aligner:
         if len(self.number) > KNOWN:
             self.forget()
         fresh = list({s for x in lists for s in x if s not in self.number})
-        for at in range(0, len(fresh), 2000):
-            self.learn(fresh[at : at + 2000])
-        sizes = np.array([len(x) for x in self.links] or [0], np.int64)
-        flat = np.concatenate(self.links) if self.links else np.zeros(0, np.int64)
-        starts = np.cumsum(sizes) - sizes
-        number, made = self.number, self.made
+        joins = [s for s in fresh if self.cuts and not s[0].isspace() and not s[-1].isspace()]
+        for some in (joins[k : k + 4000] for k in range(0, len(joins), 4000)):
+            self.learn(some)
+        for s in fresh:
+            if s not in self.number:
+                self.learn([s])
+        self.counts, self.links = [np.concatenate(self.counts) if self.counts else np.zeros((0, 3), np.int64)], [np.concatenate(self.links) if self.links else np.zeros(0, np.int64)]
+        n = self.counts[0][:, 2]
+        starts, number, groups = np.cumsum(n) - n, self.number, self.groups
         rows, links = [], []
         for x in lists:
             at = [number[s] for s in x]
-            parts = [made[k] for k in at]
+            parts = [groups[k] for k in at]
             if not parts or None in parts:
                 rows.append((0, 0, 0, ""))
                 links.append(np.zeros(0, np.int64))
                 continue
             where = np.array(at)
-            n = sizes[where]
-            total = int(n.sum())
-            take = np.repeat(starts[where] - (np.cumsum(n) - n), n) + np.arange(total)
-            rows.append((sum(p[0] for p in parts), sum(p[1] for p in parts), total, ";".join(p[2] for p in parts)))
-            links.append(flat[take])
-        for s in [s for s in fresh if len(s) > LONGEST]:
-            k = number.pop(s)
-            made[k], self.links[k] = None, np.zeros(0, np.int64)
+            each = n[where]
+            take = np.repeat(starts[where] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+            rows.append((*map(int, self.counts[0][where].sum(axis=0)), ";".join(parts)))
+            links.append(self.links[0][take])
+        long = [s for s in fresh if len(s) > LONGEST]
+        if sum(map(len, long)) > KEPT:
+            self.forget()
+        else:
+            for s in long:
+                self.groups[number.pop(s)] = None
         return rows, links
 
 

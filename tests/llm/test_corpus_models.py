@@ -198,8 +198,13 @@ def test_stretches_are_whole_texts_cut_where_nothing_joins():
 
 
 def test_ends_inside_a_character_come_from_bytes():
-    assert token_align.refined_ends([(0, 4), (1, 4), (1, 4), (4, 6)], [2, 1, 1, 2]) == [2, 3, 4, 6]
-    assert token_align.refined_ends([(0, 1), (1, 1), (1, 1), (1, 4)], [1, 1, 1, 1]) == [1, 2, 3, 4]
+    def ends(spans, lengths):
+        begin, end = np.array(spans).T
+        return token_align.refined_ends(begin, end, np.array(lengths)).tolist()
+
+    assert ends([(0, 4), (1, 4), (1, 4), (4, 6)], [2, 1, 1, 2]) == [2, 3, 4, 6]
+    assert ends([(0, 1), (1, 1), (1, 1), (1, 4)], [1, 1, 1, 1]) == [1, 2, 3, 4]
+    assert ends([(0, 0), (0, 3)], [1, 2]) == [1, 3]
 
 
 def test_alignment_of_awkward_rows(spark, monkeypatch):

@@ -123,7 +123,8 @@ def temporal_jitter_mm(df: DataFrame, keys: list[str], frame: str) -> DataFrame:
 def grid_coverage(x: Column, y: Column, width: Column, height: Column, cols: int = 8, rows: int = 6) -> Column:
     """The share of a picture's cells that hold a point."""
     cell = lambda v, size, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(v / size * n)))
-    return F.count_distinct(cell(y, height, rows) * cols + cell(x, width, cols)) / F.lit(cols * rows)
+    known = x.isNotNull() & y.isNotNull()  # greatest and least pass over NULL
+    return F.count_distinct(F.when(known, cell(y, height, rows) * cols + cell(x, width, cols))) / F.lit(cols * rows)
 
 
 def count_parity(counts: Column) -> Column:

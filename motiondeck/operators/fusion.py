@@ -6,7 +6,8 @@ batch holds thousands of groups. Calibration is a small table (a row a camera) g
 
 from __future__ import annotations
 
-from itertools import combinations
+from dataclasses import dataclass
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
@@ -67,8 +68,8 @@ def undistort(px: np.ndarray, k: np.ndarray, d: np.ndarray, rounds: int = 20) ->
 
 
 def triangulate(ps: np.ndarray, pts: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Weighted linear triangulation by singular values: (n, 3) points of pts (n, views, 2) and weights (n, views) of cameras ps;
-    NaN below two views of some weight or for a point at infinity."""
+    """Weighted linear triangulation by singular values: (n, 3) points of ideal pixels pts (n, views, 2) and weights (n, views) of cameras
+    ps; NaN below two views of some weight or for a point at infinity."""
     w = np.sqrt(weights)[..., None]
     a = np.concatenate([w * (pts[..., :1] * ps[:, 2] - ps[:, 0]), w * (pts[..., 1:] * ps[:, 2] - ps[:, 1])], axis=1)
     x = np.linalg.svd(a)[2][:, -1]
@@ -76,119 +77,170 @@ def triangulate(ps: np.ndarray, pts: np.ndarray, weights: np.ndarray) -> np.ndar
     return np.where(ok[:, None], x[:, :3] / np.where(ok, x[:, 3], 1)[:, None], np.nan)
 
 
-def residuals(ps: np.ndarray, pts: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(pixel errors, depths) of points (n, 3) in every view, both (n, views)."""
-    h = np.einsum("vij,nj->nvi", ps, np.column_stack([x, np.ones(len(x))]))
-    return np.hypot(*np.moveaxis(h[..., :2] / h[..., 2:] - pts, -1, 0)), h[..., 2]
+@dataclass(frozen=True)
+class Rig:
+    """Cameras side by side: matrices K [R | t] and K, distortion, and what follows from them."""
 
+    p: np.ndarray
+    k: np.ndarray
+    d: tuple[np.ndarray, ...]
 
-def ray_angle(centres: np.ndarray, x: np.ndarray, use: np.ndarray) -> np.ndarray:
-    """The largest acute angle between the rays from the used cameras to each point, in degrees."""
-    rays = x[:, None] - centres
-    rays = rays / np.linalg.norm(rays, axis=2, keepdims=True)
-    out = np.zeros(len(x))
-    for a, b in combinations(range(len(centres)), 2):
+    @classmethod
+    def of(cls, cameras: list[dict]) -> Rig:
+        p = [projection(np.array(c["K"], float), np.array(c["rvec"], float), np.array(c["tvec"], float)) for c in cameras]
+        return cls(np.stack(p), np.stack([np.array(c["K"], float) for c in cameras]), tuple(np.array(c.get("distortion", [0.0]), float) for c in cameras))
+
+    def pixels(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pixels as the lenses bend them, depths) of points (n, 3): (n, views, 2) and (n, views)."""
+        h = np.einsum("vij,nj->nvi", self.p, np.column_stack([x, np.ones(len(x))]))
+        ideal = h[..., :2] / h[..., 2:]
+        for v, d in enumerate(self.d):
+            if np.any(d):
+                k = self.k[v]
+                bent = distort((ideal[:, v] - k[:2, 2]) / k[[0, 1], [0, 1]], d)
+                ideal[:, v] = bent * k[[0, 1], [0, 1]] + k[:2, 2]
+        return ideal, h[..., 2]
+
+    def ideal(self, pixels: np.ndarray) -> np.ndarray:
+        return np.stack([undistort(pixels[:, v], self.k[v], d) if np.any(d) else pixels[:, v] for v, d in enumerate(self.d)], axis=1)
+
+    def rays(self, ideal: np.ndarray) -> np.ndarray:
+        """Unit rays into the world through ideal pixels (n, views, 2)."""
+        back = np.linalg.inv(self.p[:, :, :3])
+        r = np.einsum("vij,nvj->nvi", back, np.concatenate([ideal, np.ones_like(ideal[..., :1])], axis=2))
+        return r / np.linalg.norm(r, axis=2, keepdims=True)
+
+    def some(self, views: list[int]) -> Rig:
+        return Rig(self.p[views], self.k[views], tuple(self.d[v] for v in views))
+
+
+def errors(rig: Rig, pixels: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(differences, their sizes, depths) of points and what was seen of them, in pixels of the real lenses; unknown sizes are infinite."""
+    seen, depth = rig.pixels(x)
+    off = seen - pixels
+    size = np.hypot(off[..., 0], off[..., 1])
+    return off, np.where(np.isfinite(size), size, np.inf), depth
+
+
+def ray_angle(rays: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """The largest acute angle between the rays of used views, in degrees."""
+    out = np.zeros(len(rays))
+    for a, b in combinations(range(rays.shape[1]), 2):
         angle = np.degrees(np.arccos(np.clip(np.abs((rays[:, a] * rays[:, b]).sum(axis=1)), 0, 1)))
         out = np.where(use[:, a] & use[:, b], np.maximum(out, angle), out)
     return out
 
 
-def refine(ps: np.ndarray, pts: np.ndarray, weights: np.ndarray, x: np.ndarray, delta: float = 2.0, rounds: int = 8) -> np.ndarray:
-    """Reweighted Gauss-Newton steps of many points at once under a Huber loss, halved while they do not improve; never worse than
-    the start. A view of weight 0 has no part in it."""
+def refine(rig: Rig, pixels: np.ndarray, weights: np.ndarray, x: np.ndarray, delta: float, rounds: int = 8) -> np.ndarray:
+    """Damped, reweighted Gauss-Newton steps of many points at once, in pixels of the real lenses, under a Huber loss that turns linear at delta.
+
+    A step is at most a quarter of the point's distance from the origin (or of 1) and is halved up to three times; it is taken if neither
+    the loss nor the mean error gets worse. All views count.
+    """
 
-    def loss(p, of):
-        e = residuals(ps, pts[of], p)[0]
-        return np.where(weights[of] > 0, weights[of] * np.where(e <= delta, 0.5 * e * e, delta * (e - delta / 2)), 0.0).sum(axis=1)
+    def judge(size: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        huber = np.where(size <= delta, 0.5 * size * size, delta * (size - 0.5 * delta))
+        return np.where(np.isfinite(size).all(axis=1), (weights[of] * huber).sum(axis=1), np.inf), size.mean(axis=1)
 
     x = x.copy()
-    best = loss(x, np.arange(len(x)))
-    going = np.flatnonzero(np.isfinite(best))
+    off, size, _ = errors(rig, pixels, x)
+    loss, mean = judge(size, np.arange(len(x)))
+    going = np.flatnonzero(np.isfinite(loss))
     for _ in range(rounds):
         if not len(going):
             break
-        h = np.einsum("vij,nj->nvi", ps, np.column_stack([x[going], np.ones(len(going))]))
-        err = h[..., :2] / h[..., 2:] - pts[going]
-        j = (ps[:, :2, :3] * h[..., 2, None, None] - ps[:, 2:, :3] * h[..., :2, None]) / h[..., 2, None, None] ** 2
-        e = np.hypot(err[..., 0], err[..., 1])
-        w = weights[going] * np.where(e <= delta, 1, delta / np.maximum(e, 1e-12))
-        normal = np.einsum("nv,nvki,nvkj->nij", w, j, j) + 1e-12 * np.eye(3)
-        step = -np.linalg.solve(normal, np.einsum("nv,nvki,nvk->ni", w, j, err)[..., None])[..., 0]
-        better = np.zeros(len(going), dtype=bool)
-        for _ in range(6):
-            left = np.flatnonzero(~better)
+        at = x[going]
+        eps = 1e-5 * np.maximum(1.0, np.linalg.norm(at, axis=1))
+        slopes = [(rig.pixels(at + eps[:, None] * axis)[0] - rig.pixels(at - eps[:, None] * axis)[0]) / (2 * eps[:, None, None]) for axis in np.eye(3)]
+        j = np.stack(slopes, axis=-1)
+        w = weights[going] * np.where(size[going] > delta, delta / np.maximum(size[going], 1e-300), 1.0)
+        normal = np.einsum("nv,nvki,nvkj->nij", w, j, j)
+        normal += (1e-8 * np.maximum(1.0, np.trace(normal, axis1=1, axis2=2) / 3))[:, None, None] * np.eye(3)
+        step = -np.linalg.solve(normal, np.einsum("nv,nvki,nvk->ni", w, j, off[going])[..., None])[..., 0]
+        length = np.linalg.norm(step, axis=1)
+        step *= np.minimum(1.0, 0.25 * np.maximum(1.0, np.linalg.norm(at, axis=1)) / np.maximum(length, 1e-15))[:, None]
+        open_ = np.isfinite(step).all(axis=1) & (length >= 1e-8)
+        moved = np.zeros(len(going), dtype=bool)
+        for part in (1.0, 0.5, 0.25, 0.125):
+            left = np.flatnonzero(open_ & ~moved)
             if not len(left):
                 break
-            new = loss(x[going[left]] + step[left], going[left])
-            won = new < best[going[left]]
-            best[going[left[won]]] = new[won]
-            better[left[won]] = True
-            step[left[~won]] /= 2
-        x[going[better]] += step[better]
-        going = going[better & (np.linalg.norm(step, axis=1) >= 1e-10)]
+            new = at[left] + part * step[left]
+            o, s, _ = errors(rig, pixels[going[left]], new)
+            new_loss, new_mean = judge(s, going[left])
+            won = (new_loss <= loss[going[left]] + 1e-12) & (new_mean <= mean[going[left]] + 1e-12)
+            of = going[left[won]]
+            x[of], off[of], size[of], loss[of], mean[of] = new[won], o[won], s[won], new_loss[won], new_mean[won]
+            moved[left[won]] = True
+        going = going[moved]
     return x
 
 
-def fuse_views(ps: np.ndarray, centres: np.ndarray, pts: np.ndarray, conf: np.ndarray, gate_px: float = 20.0, gate_deg: float = 1.0) -> tuple[np.ndarray, ...]:
-    """(points, errors, views, cheirality, angles) of keypoints pts (n, views, 2) that the same cameras saw; NaN points if no pair of views agrees.
+def fuse_views(rig: Rig, pixels: np.ndarray, conf: np.ndarray, gate_px: float = 20.0, gate_deg: float = 1.0) -> tuple[np.ndarray, ...]:
+    """(points, mean errors, views, cheirality, angles) of keypoints (n, views, 2) that the same cameras saw; NaN points where fusion fails.
 
-    Each pair of views is a hypothesis; the one with most views inside the gate wins, then the largest summed
-    confidence, then points in front of the cameras, then the least truncated error; ties keep the first.
+    Each pair of views is a hypothesis; the one with most views inside the gate wins, then the largest summed confidence, then most views
+    that see it in front, then the least weighted truncated squared error; ties keep the first. Its views are triangulated again
+    and refined. It fails below two views, below the least angle between rays, or if a view ends outside the gate; then views
+    are those of the consensus, or all if there is none.
     """
     n, views = conf.shape
+    ideal = rig.ideal(pixels)
     use, rank = np.zeros((n, views), dtype=bool), np.full((n, 4), -np.inf)
+    at = np.arange(n)
     for pair in combinations(range(views), 2):
         only = np.zeros((n, views))
         only[:, pair] = conf[:, pair]
-        x = triangulate(ps, pts, only)
-        e, depth = residuals(ps, pts, x)
-        inside = np.isfinite(e) & (e <= gate_px)
-        front = (~inside | (depth > 0)).all(axis=1)
-        new = np.column_stack([inside.sum(axis=1), np.where(inside, conf, 0).sum(axis=1), front, -np.where(np.isfinite(e), np.minimum(e, gate_px), gate_px).sum(axis=1)])
+        x = triangulate(rig.p, ideal, only)
+        _, size, depth = errors(rig, pixels, x)
+        inside = size <= gate_px
+        new = np.column_stack([inside.sum(axis=1), np.where(inside, conf, 0).sum(axis=1), (inside & (depth > 0)).sum(axis=1), -(conf * np.minimum(size, gate_px) ** 2).sum(axis=1)])
         first = np.argmax(new != rank, axis=1)  # the first place in which they differ; if none, equal
-        at = np.arange(n)
-        wins = (new[at, first] > rank[at, first]) & (inside.sum(axis=1) >= 2)
+        wins = (new[at, first] > rank[at, first]) & np.isfinite(x).all(axis=1)
         rank[wins], use[wins] = new[wins], inside[wins]
-    weights = np.where(use, conf, 0.0)
-    x = refine(ps, pts, weights, triangulate(ps, pts, weights))
-    e, depth = residuals(ps, pts, x)
     count = use.sum(axis=1)
-    error = np.where(use, e, 0).sum(axis=1) / np.maximum(count, 1)
-    angle = ray_angle(centres, x, use)
-    failed = (count < 2) | ~np.isfinite(error) | (error > gate_px) | ~(angle >= gate_deg)
-    x[failed] = np.nan
-    return x, error, np.where(failed, 0, count), (~use | (depth > 0)).all(axis=1), angle
+    angle = np.where(count >= 2, ray_angle(rig.rays(ideal), use), np.nan)
+    points, error, front = np.full((n, 3), np.nan), np.full(n, np.nan), np.zeros(n, dtype=bool)
+    good = (count >= 2) & (angle >= gate_deg)
+    for kind in np.unique(use[good], axis=0):
+        own, of = np.flatnonzero(kind), np.flatnonzero(good & (use == kind).all(axis=1))
+        part, seen, weights = rig.some(own.tolist()), pixels[of][:, own], conf[of][:, own]
+        x = refine(part, seen, weights, triangulate(part.p, ideal[of][:, own], weights), gate_px)
+        _, size, depth = errors(part, seen, x)
+        fits = np.isfinite(x).all(axis=1) & (size.max(axis=1) <= gate_px)
+        points[of[fits]], error[of[fits]], front[of[fits]] = x[fits], size[fits].mean(axis=1), (depth[fits] > 0).all(axis=1)
+    return points, error, np.where(count >= 2, count, views), front, angle
 
 
 def fuse(observations: DataFrame, cameras: dict[str, dict], *, least: int = 2) -> DataFrame:
     """(session, frame, keypoint, x, y, z, reproj_err_px, candidate_n_views, n_views, cheirality_ok, triangulation_angle_deg).
 
     observations has a row a view: session, frame, keypoint, camera, px, py, confidence. cameras: name -> K, rvec, tvec, distortion.
-    Views without a position or with confidence 0 are no candidates. A keypoint that fails keeps its row, NULL.
+    Views without a position or with confidence 0 are no candidates. A keypoint that fails keeps its row, its position NULL.
     """
-    setup = {}
-    for name, c in cameras.items():
-        p = projection(np.array(c["K"], float), np.array(c["rvec"], float), np.array(c["tvec"], float))
-        setup[name] = (p, -np.linalg.solve(p[:, :3], p[:, 3]), np.array(c["K"], float), np.array(c.get("distortion", [0.0]), float))
-    views = F.array_sort(F.collect_list(F.when(F.col("px").isNotNull() & F.col("py").isNotNull() & (F.col("confidence") > 0) & F.col("camera").isin(list(setup)), F.struct("camera", "px", "py", "confidence"))))
+    views = F.array_sort(F.collect_list(F.when(F.col("px").isNotNull() & F.col("py").isNotNull() & (F.col("confidence") > 0) & F.col("camera").isin(list(cameras)), F.struct("camera", "px", "py", "confidence"))))
     grouped = observations.groupBy("session", "frame", "keypoint").agg(views.alias("views"))
 
     @F.pandas_udf("x double, y double, z double, reproj_err_px double, n_views int, cheirality_ok int, triangulation_angle_deg double")
     def solve(views: pd.Series) -> pd.DataFrame:
         # keypoints that the same cameras saw are solved together
-        rows: list[tuple] = [(None, None, None, None, 0, None, None)] * len(views)
+        rows: list[tuple] = [(None, None, None, None, len(vs), None, None) for vs in views]
+        sizes = views.map(len).to_numpy()
+        flat = pd.DataFrame.from_records(chain.from_iterable(views), columns=["camera", "px", "py", "confidence"])
+        starts = np.cumsum(sizes) - sizes
+        values = flat[["px", "py", "confidence"]].to_numpy(float)
+        names = flat["camera"].to_numpy(object)
         alike: dict[tuple, list[int]] = {}
-        for i, vs in enumerate(views):
-            if len(vs) >= least:
-                alike.setdefault(tuple(v["camera"] for v in vs), []).append(i)
-        for names, some in alike.items():
-            own = [setup[c] for c in names]
-            seen = np.array([[(v["px"], v["py"], v["confidence"]) for v in views.iloc[i]] for i in some], float)
-            pts = np.stack([undistort(seen[:, k, :2], s[2], s[3]) for k, s in enumerate(own)], axis=1)
-            x, error, count, front, angle = fuse_views(np.stack([s[0] for s in own]), np.stack([s[1] for s in own]), pts, seen[..., 2])
+        for i, (k, n) in enumerate(zip(starts.tolist(), sizes.tolist(), strict=True)):
+            if n >= least:
+                alike.setdefault(tuple(names[k : k + n]), []).append(i)
+        for seen_by, some in alike.items():
+            seen = values[starts[some][:, None] + np.arange(len(seen_by))]
+            rig = Rig.of([cameras[c] for c in seen_by])
+            x, error, count, front, angle = fuse_views(rig, seen[..., :2], np.clip(seen[..., 2], 0, 1))
+            known = np.isfinite(x).all(axis=1)
             for k, i in enumerate(some):
-                if count[k]:
-                    rows[i] = (*x[k].tolist(), float(error[k]), int(count[k]), int(front[k]), float(angle[k]))
+                rows[i] = (*x[k].tolist(), float(error[k]), int(count[k]), int(front[k]), float(angle[k])) if known[k] else (None, None, None, None, int(count[k]), 0, float(angle[k]) if np.isfinite(angle[k]) else None)
         return pd.DataFrame(rows, columns=["x", "y", "z", "reproj_err_px", "n_views", "cheirality_ok", "triangulation_angle_deg"])
 
     out = grouped.withColumn("s", solve("views"))

@@ -31,7 +31,9 @@ CAPTURE_THRESHOLDS = [
     ("max_frame_count_disparity", 0.05, 0.20, "max"),
     ("min_subject_detection_rate", 0.80, 0.50, "min"),
 ]
-INFORMATIONAL = ["min_throughput_fps"]
+#: Floors: below them a check fails, there is nothing between.
+FLOORS = [("n_views_floor", 2.0, 2.0, "min"), ("charuco_frames_floor", 8.0, 8.0, "min")]
+INFORMATIONAL = ["min_throughput_fps", "max_symmetry_rel_diff"]
 
 
 def bands(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:

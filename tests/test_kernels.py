@@ -60,7 +60,8 @@ def test_savgol_keeps_cubics_and_handles_gaps():
     short, long = y.copy(), y.copy()
     short[10:13] = np.nan
     long[10:20] = np.nan
-    assert np.isnan(matching.savgol(short)[10:13]).all() and np.isfinite(matching.savgol(short)[13:]).all()
+    assert np.isfinite(matching.savgol(short)).all() and abs(matching.savgol(short)[11] - y[11]) < 5
+    assert np.isnan(matching.savgol(long)[10:20]).all()
     assert np.allclose(np.delete(matching.savgol(long), range(10, 20)), np.delete(y, range(10, 20)))
     assert np.array_equal(matching.savgol(np.array([1.0, 5.0, 2.0])), [1.0, 5.0, 2.0])
 

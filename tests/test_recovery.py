@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from motiondeck.operators import fallback, graph, matching
+from motiondeck.operators import fallback, fusion, grading, graph, matching, report
 from motiondeck.plans import recovery
 from motiondeck.streaming import wholebody
 from motiondeck.streaming.filters import Euro, euro_step
@@ -327,3 +327,126 @@ def test_subject_is_the_largest_of_a_frame(spark):
 def test_whole_body_query_covers_all_vectors(spark, sf_dir):
     frames = recovery.body_frames(spark, sf_dir).agg(F.sum(F.size("people"))).first()[0]
     assert frames == spark.read.parquet(f"{sf_dir}/embeddings.parquet").count() and json.dumps(frames)
+
+
+# fusion of doubtful views
+
+
+def brute_consensus(rig, pixels, conf, gate):
+    """The views that the rule chooses for one keypoint, hypothesis by hypothesis."""
+    ideal, best, chosen = rig.ideal(pixels[None]), None, []
+    for a in range(len(conf)):
+        for b in range(a + 1, len(conf)):
+            w = np.zeros((1, len(conf)))
+            w[0, [a, b]] = conf[[a, b]]
+            x = fusion.triangulate(rig.p, ideal, w)
+            if not np.isfinite(x).all():
+                continue
+            _, size, depth = fusion.errors(rig, pixels[None], x)
+            ok = size[0] <= gate
+            score = (int(ok.sum()), float(conf[ok].sum()), int((ok & (depth[0] > 0)).sum()), -float((conf * np.minimum(size[0], gate) ** 2).sum()))
+            if best is None or score > best:
+                best, chosen = score, ok
+    return np.array(chosen)
+
+
+def test_consensus_is_that_of_brute_force_and_refinement_reaches_the_best_fit():
+    rng = np.random.default_rng(12)
+    rig = fusion.Rig.of(list(recovery.BENT.values()))
+    truth = rng.uniform(-0.6, 0.6, (120, 3))
+    pixels = rig.pixels(truth)[0] + rng.normal(0, 1.0, (120, 4, 2))
+    conf = rng.uniform(0.2, 1.0, (120, 4))
+    for i in range(0, 120, 3):
+        pixels[i, rng.integers(4)] += rng.choice([-1, 1], 2) * rng.uniform(40, 200, 2)
+    for i in range(0, 120, 10):
+        pixels[i] += rng.uniform(-300, 300, (4, 2))  # nothing fits
+    x, error, count, front, angle = fusion.fuse_views(rig, pixels, conf)
+    hard = 0
+    for i in range(120):
+        use = brute_consensus(rig, pixels[i], conf[i], 20.0)
+        if use.sum() < 2:
+            assert np.isnan(x[i]).all() and count[i] == 4
+            continue
+        assert count[i] == use.sum()
+        if not np.isfinite(x[i]).all():
+            hard += 1
+            continue
+        own = rig.some(np.flatnonzero(use).tolist())
+        seed = fusion.triangulate(own.p, rig.ideal(pixels[i][None])[:, use], conf[i][None][:, use])
+        loss = lambda p, own=own, use=use, i=i: (conf[i][use] * fusion.errors(own, pixels[i][None][:, use], p)[1][0] ** 2).sum()
+        assert loss(x[i][None]) <= loss(seed) + 1e-9 and error[i] <= 20 and (front[i] or i % 10 == 0)
+        assert error[i] <= fusion.errors(own, pixels[i][None][:, use], seed)[1].mean() + 1e-9
+    assert hard < 12 and np.isfinite(x).all(axis=1).sum() > 90
+    good = np.setdiff1d(np.arange(120), np.arange(0, 120, 3))
+    good = good[good % 10 != 0]
+    assert np.median(np.linalg.norm(x[good] - truth[good], axis=1)) < 0.01 and np.nanmin(angle[good]) > 1
+
+
+def test_refinement_moves_points_that_the_query_disturbs(spark, sf_dir):
+    rows = recovery.disturbed_views(spark, sf_dir).where("noisy").groupBy("frame", "keypoint").agg(F.sort_array(F.collect_list(F.struct("camera", "px", "py"))).alias("v")).limit(200).collect()
+    rig = fusion.Rig.of(list(recovery.BENT.values()))
+    pixels = np.array([[(v.px, v.py) for v in r.v] for r in rows])
+    assert len(rows) == 200
+    conf = np.full(pixels.shape[:2], 0.9)
+    seed = fusion.triangulate(rig.p, rig.ideal(pixels), conf)
+    fitted = fusion.refine(rig, pixels, conf, seed, 20.0)
+    moved = np.linalg.norm(fitted - seed, axis=1)
+    assert np.median(moved) > 1e-5 and np.allclose(fusion.errors(rig, pixels, fitted)[1], recovery.NOISE_PX, atol=1e-3)
+
+
+def test_failed_fusion_tells_why(spark):
+    schema = "session string, frame int, keypoint string, camera string, px double, py double, confidence double"
+    rig = fusion.Rig.of(list(recovery.BENT.values()))
+    at = rig.pixels(np.array([[0.1, 0.2, 0.0]]))[0][0]
+    rows = [("s", 0, "far", c, float(p), float(q), 0.9) for c, (p, q) in zip("abcd", at + [[0, 0], [0, 300], [0, -300], [250, 500]], strict=True)]
+    rows += [("s", 0, "one", "a", 1.0, 1.0, 0.9), ("s", 0, "none", "a", None, 1.0, 0.9), ("s", 0, "none", "other", 1.0, 1.0, 0.9)]
+    found = {r.keypoint: r for r in fusion.fuse(spark.createDataFrame(rows, schema), recovery.BENT).collect()}
+    assert all(found[k].x is None and found[k].reproj_err_px is None for k in ("one", "none"))
+    assert [found[k].candidate_n_views for k in ("far", "one", "none")] == [4, 1, 0] and found["far"].n_views in (2, 4)
+    assert (found["far"].x is None) == (found["far"].reproj_err_px is None)
+
+
+# reports
+
+
+def test_tracking_finds_the_interval_and_charges_absent_frames(spark):
+    cameras = spark.createDataFrame([("s", "zero", 4, 2, 2), ("s", "one", 4, 2, None), ("s", "tie", 4, 0, 2), ("s", "gone", 4, None, 2), ("s", "empty", 0, 0, None)], "session string, camera string, expected_frames int, sync_offset int, keypoints int")
+    rows = [("s", "zero", f, k, 1.0, 1.0, 0.2 if f == 3 else 0.9) for f in range(0, 6) for k in (0, 1)]
+    rows += [("s", "one", f, k, 1.0, 1.0, 0.9) for f in range(3, 7) for k in (0, 1)]
+    rows += [("s", "tie", f, 0, 1.0 if f else float("nan"), 1.0, 0.0 if f == 2 else 0.9) for f in range(0, 4)] + [("s", "tie", 4, 0, 1.0, 1.0, 0.1)]
+    found = {r.camera: r for r in report.tracking(spark.createDataFrame(rows, "session string, camera string, frame int, keypoint int, x double, y double, confidence double"), cameras, ["session"]).collect()}
+    assert (found["zero"].observed_frames, found["zero"].dropped_frames, found["zero"].detection_rate, found["zero"].low_confidence_fraction) == (4, 0, 1.0, 0.25)
+    assert (found["one"].observed_frames, found["one"].detection_rate) == (4, 1.0)
+    assert (found["tie"].observed_frames, found["tie"].dropped_frames, found["tie"].detection_rate) == (4, 2, 2 / 8)
+    assert (found["gone"].observed_frames, found["gone"].dropped_frames, found["gone"].detection_rate, found["gone"].low_confidence_fraction) == (0, 4, 0.0, None)
+    assert found["empty"].detection_rate is None
+    worst = report.worst_cameras(spark.createDataFrame([("s", None, None), ("s", 0.5, float("nan"))], "session string, detection_rate double, low_confidence_fraction double"), ["session"]).first()
+    assert (worst.worst_detection_rate, worst.worst_low_confidence_fraction) == (0.5, None)
+
+
+def test_expected_frames_and_keypoints_that_never_fuse(spark):
+    counts = spark.createDataFrame([("s", 10), ("s", 8), ("s", 12), ("t", 5)], "session string, expected_frames int")
+    expected = report.expected_fused(counts, ["session"])
+    assert {r.session: r.expected_frames for r in expected.collect()} == {"s": 10, "t": 0}
+    rows = [("s", f, "good", 1.0, 2.0, 3, 3, True, True) for f in range(1, 11)] + [("s", f, "tried", None, None, 2, 2, False, False) for f in range(1, 11)] + [("s", f, "blind", None, None, 0, 0, False, False) for f in range(1, 11)] + [("s", 40, "good", 1.0, 2.0, 3, 3, True, True)]
+    df = spark.createDataFrame(rows, "session string, frame int, keypoint string, x double, reproj_err_px double, n_views int, candidate_n_views int, cheirality_ok boolean, trusted boolean").withColumns({"y": F.col("x"), "z": F.col("x"), "triangulation_angle_deg": F.col("x") * 5})
+    found = report.fusion(df, expected, ["session"]).first()
+    assert (found.n_frames_fused, found.fused_frame_fraction, found.n_active_keypoints, found.trusted_keypoint_fraction, found.unfused_keypoint_fraction, found.n_views_min) == (10, 1.0, 2, 0.5, 0.5, 3)
+    old = report.fusion(df.drop("triangulation_angle_deg", "candidate_n_views"), expected, ["session"], angles=False, candidates=False)
+    names = {r.check for r in report.fusion_checks(old, ["session"]).collect()}
+    assert "fusion.triangulation_angle_deg_p05" not in names and "fusion.view_rejection_fraction" not in names and len(names) == 8
+
+
+def test_grades_floors_and_what_is_missing(spark):
+    rows = [("s", "fusion.n_views_min", "n_views_floor", 1.0), ("s", "timing.throughput_fps", "min_throughput_fps", 0.1), ("s", "agreement.mean_symmetry_rel_diff", "max_symmetry_rel_diff", 9.0), ("t", "calibration.reprojection_error_px", "calib_reproj_rms_px", None), ("t", "timing.throughput_fps", "min_throughput_fps", 0.1)]
+    made = spark.createDataFrame(rows, "session string, check string, metric string, value double")
+    found = report.graded(made, ["session"])
+    assert {(r.session, r.check.split(".")[0]): (r.grade, r.informational) for r in found.collect()} == {("s", "fusion"): ("FAIL", False), ("s", "timing"): ("FAIL", True), ("s", "agreement"): ("FAIL", True), ("t", "calibration"): ("WARN", False), ("t", "timing"): ("FAIL", True)}
+    assert {r.session: r.verdict for r in grading.verdict(found, ["session"]).collect()} == {"s": "FAIL", "t": "WARN"}
+    gone = report.missing_sections(made, made, ["session"], ["calibration", "fusion", "timing"]).collect()
+    assert sorted(map(tuple, gone)) == [("s", "calibration"), ("t", "fusion")]
+
+
+def test_all_bands_are_reached(spark, sf_dir):
+    used = {r.metric for r in recovery.session_report(spark, sf_dir).select("metric").distinct().collect()}
+    assert used == {m for m, *_ in grading.THRESHOLDS} | {"n_views_floor"}

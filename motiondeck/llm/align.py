@@ -6,35 +6,57 @@ import numpy as np
 
 
 def common(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-    """Positions of a longest common subsequence, by the bit-parallel recurrence with all rows kept."""
+    """Positions of a longest common subsequence, by the bit-parallel recurrence; of its rows one in a square root of their number is kept and those between are made again when the path comes by."""
     lo = 0
     while lo < min(len(a), len(b)) and a[lo] == b[lo]:
         lo += 1
     hi = 0
     while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
         hi += 1
-    x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
+    # lines that the other side does not have are in no common subsequence
+    there = set(a[lo : len(a) - hi]) & set(b[lo : len(b) - hi])
+    xs, ys = ([k for k in range(lo, len(s) - hi) if s[k] in there] for s in (a, b))
     where: dict[int, int] = {}
-    for j, v in enumerate(y):
-        where[v] = where.get(v, 0) | 1 << j
-    full = (1 << len(y)) - 1
-    row, rows = full, []
-    for v in x:
-        u = row & where.get(v, 0)
-        row = ((row + u) | (row - u)) & full
-        rows.append(row)
-    i, j, pairs = len(x), len(y), []
+    for j, k in enumerate(ys):
+        where[b[k]] = where.get(b[k], 0) | 1 << j
+    full = (1 << len(ys)) - 1
+
+    def after(row: int, i: int) -> int:
+        u = row & where[a[xs[i]]]
+        return ((row + u) | (row - u)) & full
+
+    every = max(64, int(len(xs) ** 0.5))
+    row, marks = full, []
+    for i in range(len(xs)):
+        if i % every == 0:
+            marks.append(row)
+        row = after(row, i)
+    rows: list[int] = []  # rows[k] stands before item k of the stretch that begins at ``start``
+    start = len(xs)
+
+    def before(i: int) -> int:
+        """The row before item i; only rows of one stretch between two marks are held."""
+        nonlocal rows, start
+        if not start <= i < start + len(rows):
+            start = i // every * every
+            rows = [marks[i // every]]
+            for k in range(start, min(start + every, len(xs)) - 1):
+                rows.append(after(rows[-1], k))
+        return rows[i - start]
+
+    i, j, pairs, now = len(xs), len(ys), [], row
     while i and j:
-        if rows[i - 1] >> (j - 1) & 1:
+        if now >> (j - 1) & 1:
             j -= 1
-        else:
-            i -= 1
-            if not (i and not rows[i - 1] >> (j - 1) & 1):
-                j -= 1
-                pairs.append((i, j))
+            continue
+        i -= 1
+        now = before(i)
+        if now >> (j - 1) & 1:
+            j -= 1
+            pairs.append((xs[i], ys[j]))
     pairs.reverse()
-    one = [*range(lo), *(lo + p for p, _ in pairs), *range(len(a) - hi, len(a))]
-    two = [*range(lo), *(lo + q for _, q in pairs), *range(len(b) - hi, len(b))]
+    one = [*range(lo), *(p for p, _ in pairs), *range(len(a) - hi, len(a))]
+    two = [*range(lo), *(q for _, q in pairs), *range(len(b) - hi, len(b))]
     return one, two
 
 

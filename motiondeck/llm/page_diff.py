@@ -1,17 +1,23 @@
 """HTML extraction by differencing each page with the pages of nearest URL.
 
 A page becomes text lines, one for each block of its markup, each with its region: ``main`` (inside
-article or main), ``chrome`` (inside navigation, footer, aside, form, script, advert, notice, comments and the like)
-or ``open``. Pages are sorted by (host, path); each is aligned by longest common subsequence of its
-lines with the page before and the page after it on the same host, and lines shared with either are
-what the site repeats. Shared open lines and all chrome lines are deleted; main lines stay, since two pages may
-carry the same article. A neighbour that shares over half of both pages' text is a copy, not a
+article or main), ``chrome`` (inside navigation, footer, aside, form, script, advert, notice, comments and the like),
+``side`` (inside what a class or id calls layout: header, sidebar, search and so on) or ``open``. Pages are sorted by (host, path);
+each is aligned by longest common subsequence of its lines with the page before and the page after it on the same host, and
+lines shared with either are what the site repeats. Shared open lines and all chrome lines are deleted; main lines stay,
+since two pages may carry the same article. Side lines go too, unless the page has no main and no open line left:
+then those stay that no neighbour shares. A neighbour that shares over half of both pages' text is a copy, not a
 template, and deletes nothing.
 
+A class or id marks chrome only if one of its names is made of such words alone (``comments``, ``ad-box``, ``related-posts``); a name with
+any other word (``related-work``, ``share-price``, ``cookie-recipe``) marks nothing. An article that is itself a comment or an
+advert, or whose role is complementary, is chrome.
+
 Null html is empty and gives an empty text. Null urls are one host. Repeated rows are copies of one
 another. The content of scripts, styles and the like is skipped up to their end tag. Elements whose end tag may be left out (p, li, td and so on) end
 where the next one begins or their parent ends; other unclosed elements end with the page. Very long html is one page's memory in its task. Character references are decoded, white space inside a
-block becomes one space, blocks are trimmed and joined by \\n.
+block becomes one space, blocks are trimmed and joined by \\n. Reading a page takes time in proportion to its length: a tag without an end is text,
+a quote without a second one is no quote, an end tag without an open element is passed over.
 """
 
 from __future__ import annotations
@@ -19,6 +25,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,9 +35,9 @@ from pyspark.sql import functions as F
 from motiondeck.llm.align import common
 from motiondeck.llm.common import shuffle_parts, table
 
-MAIN, OPEN, CHROME = 0, 1, 2
+MAIN, OPEN, CHROME, SIDE = 0, 1, 2, 3
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S)
+_IN_TAG = re.compile(r">|=\s*([\"'])")
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _RAW = {"script", "style", "template", "noscript", "svg", "iframe", "object", "textarea", "select", "title", "canvas", "audio", "video", "math"}
@@ -46,13 +53,18 @@ _IMPLIED = {"li": ({"li"}, _LIST), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "
 #: What a paragraph cannot hold.
 _ENDS_P = {"p", "div", "ul", "ol", "dl", "li", "table", "section", "article", "main", "aside", "nav", "header", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "pre", "blockquote", "figure", "address", "fieldset", "details", "menu", "dd", "dt", "td", "tr", "th"}
 _HEADING = {"header", "hgroup", "h1", "h2", "h3", "h4", "h5", "h6"}
-#: Words of class and id: such an element is no main text; of layout: nor is that, unless it holds an article or main.
+#: Words of a class or id that mark no main text, words that may stand beside them, and words of layout.
 _SIDE_WORD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|cookies?\w*|consent|gdpr|notice\w*|popup|modal|overlay|"
-    r"comments?|commentlist|discussion|replies|disqus\w*|share|sharing|social\w*|related|recommend\w*|newsletter|subscribe\w*|signup|login|pagination|pager|breadcrumbs?|copyright)(?=$|[\s_-])",
-    re.I,
+    r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|cookies?\w*|consent|gdpr|notice\w*|popup|modal|overlay|"
+    r"comments?|commentlist|replies|disqus\w*|share|sharing|social\w*|related|recommend\w*|newsletter|subscribe\w*|signup|login|pagination|pager|breadcrumbs?|copyright"
+)
+_BESIDE = re.compile(
+    r"\d*|area|articles?|bar|block|bottom|box|button|buttons|center|column|container|content|entry|foot|footer|form|frame|header|heading|icons?|inner|item|items|js|label|large|layer|left|link|links|list|main|media|"
+    r"module|outer|page|panel|popular|post|posts|region|respond|right|row|section|site|slot|small|space|stories|story|text|title|thread|toolbar|top|unit|us|user|widget|widgets|wrap|wrapper|zone"
 )
+_OWN_WORD = re.compile(r"ads?|advert\w*|sponsor\w*|promo\w*|comments?|replies")
 _LAYOUT_WORD = re.compile(r"(?:^|[\s_-])(?:banner|nav\w*|menu\w*|header|masthead|footer|sidebar|side|aside|search\w*|widget\w*|toolbar)(?=$|[\s_-])", re.I)
+_NAME_PART = re.compile(r"[_-]+")
 #: A class such as has-sidebar tells of something else on the page.
 _ABOUT = re.compile(r"(?<!\S)(?:has|with|without|no|is)[_-]\S*", re.I)
 _SPACE = re.compile(r"\s+")
@@ -67,15 +79,23 @@ def url_key(url: str | None) -> tuple[str, str]:
 _PLAIN, _MAIN, _SOFT, _HARD = range(4)
 
 
+def _made_of(value: str, words: re.Pattern) -> bool:
+    """Whether a name in a class or id has one of the words, and no other word but those that may stand beside them."""
+    for name in value.lower().split():
+        parts = _NAME_PART.split(name)
+        if any(words.fullmatch(x) for x in parts) and all(words.fullmatch(x) or _SIDE_WORD.fullmatch(x) or _BESIDE.fullmatch(x) for x in parts):
+            return True
+    return False
+
+
 def _kind(name: str, tag: str, in_main: bool) -> int:
     """What an element says of its content: main text, layout (unless main text is within), no main text at all, or nothing."""
-    if name in ("article", "main"):
-        return _MAIN
+    own = name in ("article", "main")
     if name in _ASIDE or name == "header" and not in_main:
         return _HARD
+    kind = _MAIN if own else _PLAIN
     if "=" not in tag or name in ("html", "body"):
-        return _PLAIN
-    kind = _PLAIN
+        return kind
     for m in _ATTRIBUTE.finditer(tag):
         value = m[2] or m[3] or m[4] or ""
         if m[1].lower() == "role":
@@ -83,19 +103,67 @@ def _kind(name: str, tag: str, in_main: bool) -> int:
                 return _HARD
             continue
         value = _ABOUT.sub("", value)
-        if _SIDE_WORD.search(value):
+        if _made_of(value, _OWN_WORD if own else _SIDE_WORD):
             return _HARD
-        if not (in_main and name in _HEADING) and _LAYOUT_WORD.search(value):
+        if not own and not (in_main and name in _HEADING) and _LAYOUT_WORD.search(value):
             kind = _SOFT
     return kind
 
 
+class _Scanner:
+    """The tokens of a page, each character read a bounded number of times."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.at = page, 0
+        self.gone: set[str] = set()  # what the rest of the page does not have
+
+    def _find(self, what: str, start: int) -> int:
+        if what in self.gone:
+            return -1
+        found = self.page.find(what, start)
+        if found < 0:
+            self.gone.add(what)
+        return found
+
+    def _tag_end(self) -> int:
+        """Behind the tag that begins here; -1 if nothing ends it."""
+        at = self.at + 1
+        while self._find(">", at) >= 0:
+            m = _IN_TAG.search(self.page, at)
+            if m[0] == ">":
+                return m.end()
+            second = self._find(m[1], m.end())
+            at = m.end() if second < 0 else second + 1
+        return -1
+
+    def __iter__(self) -> Iterator[str]:
+        page, n = self.page, len(self.page)
+        while self.at < n:
+            begin = self.at
+            if page[begin] != "<":
+                end = self._find("<", begin)
+                self.at = n if end < 0 else end
+            elif page.startswith("<!--", begin) or page.startswith("<![CDATA[", begin):
+                close = "-->" if page[begin + 2] == "-" else "]]>"
+                end = self._find(close, begin + 4)
+                self.at = n if end < 0 else end + 3
+            elif page.startswith(("<!", "<?"), begin):
+                end = self._find(">", begin)
+                self.at = begin + 1 if end < 0 else end + 1
+            else:
+                letter = page[begin + 1 : begin + 3].lstrip("/")[:1]
+                end = self._tag_end() if letter.isascii() and letter.isalpha() else -1
+                self.at = begin + 1 if end < 0 else end
+            yield page[begin : self.at]
+
+
 def lines_of(page: str | None) -> list[tuple[str, int]]:
     """(line, region) of every block with text, in page order."""
     out: list[tuple[str, int]] = []
     held: list[str] = []
     page = page or ""
     open_: list[tuple[str, int]] = []  # the elements we are in, with their kinds
+    names: Counter[str] = Counter()
     counts, region = [0] * 4, OPEN
 
     def close():
@@ -111,10 +179,11 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
         if counts[_HARD]:
             region = CHROME
         else:
-            region = next((MAIN if k == _MAIN else CHROME for _, k in reversed(open_) if k), OPEN) if counts[_MAIN] or counts[_SOFT] else OPEN
+            region = next((MAIN if k == _MAIN else CHROME if counts[_MAIN] else SIDE for _, k in reversed(open_) if k), OPEN) if counts[_MAIN] or counts[_SOFT] else OPEN
 
     def leave(size: int):
         kinds = [k for _, k in open_[size:]]
+        names.subtract(n for n, _ in open_[size:])
         del open_[size:]
         if any(kinds):
             close()
@@ -124,15 +193,16 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
 
     def imply(ended: set[str], parents: set[str]):
         """Ends the elements of some names that the nearest of their parents holds."""
+        if not any(names[x] for x in ended):
+            return
         for i in range(len(open_) - 1, -1, -1):
             if open_[i][0] in parents:
                 break
             if open_[i][0] in ended:
                 leave(i)
 
-    at = 0
-    while m := _TOKEN.match(page, at):
-        token, at = m[0], m.end()
+    scanner, unended = _Scanner(page), set()
+    for token in scanner:
         if token[0] != "<" or token == "<":
             held.append(token)
             continue
@@ -141,23 +211,24 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
             continue
         name, ends = named[1].lower(), token[1] == "/"
         if name in _RAW:
-            # the token may have run past the end of the tag, over quotes in a script
-            if not ends and not token.endswith("/>"):
-                last = _ENDS[name].search(page, named.end() + m.start())
+            if not ends and not token.endswith("/>") and name not in unended:
+                # from behind the name on: a script may hold what looks like a tag's end, or the tag may have none
+                begin = scanner.at - len(token)
+                last = _ENDS[name].search(page, named.end() + begin)
                 if last:
-                    at = last.end()
-                elif name in ("script", "style"):
-                    at = len(page)
+                    scanner.at = last.end()
+                else:
+                    unended.add(name)
+                    if name in ("script", "style"):
+                        scanner.at = len(page)
             continue
         if name in _SPACING:
             held.append(" ")
         elif name not in _INLINE:
             close()
         if ends:
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == name:
-                    leave(i)
-                    break
+            if names[name]:
+                leave(next(i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name))
             continue
         if name in _ENDS_P:
             imply({"p"}, {"div", "section", "article", "main", "aside", "td", "th", "li", "blockquote", "body", "button", "figure"})
@@ -167,6 +238,7 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
             continue
         kind = _kind(name, token, counts[_MAIN] > 0)
         open_.append((name, kind))
+        names[name] += 1
         if kind:
             close()
             counts[kind] += 1
@@ -250,7 +322,8 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for other in (before, after):
             if other is not None and other["host"] == page["host"] and other["bucket"] == page["bucket"]:
                 shared.update(shared_lines(page["hashes"], page["sizes"], other["hashes"], other["sizes"]))
-        kept = [x for i, (x, r) in enumerate(zip(page["lines"], page["regions"], strict=True)) if r == MAIN or r == OPEN and i not in shared]
+        found = list(enumerate(zip(page["lines"], page["regions"], strict=True)))
+        kept = [x for i, (x, r) in found if r == MAIN or r == OPEN and i not in shared] or [x for i, (x, r) in found if r == SIDE and i not in shared]
         return page["page_id"], page["url"], "\n".join(kept), len(page["lines"]), len(shared)
 
     def batch_of(done: list[tuple]) -> pa.RecordBatch:
@@ -271,12 +344,13 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch_of(done)
 
 
-def extract(pages: DataFrame, sample: int = 20_000, range_bytes: int = 1 << 24) -> DataFrame:
+def extract(pages: DataFrame, sample: int = 100_000, range_bytes: int = 1 << 24) -> DataFrame:
     """page_id, url, text, n_lines, n_shared of every page.
 
     Ranges of (host, path) come from a hash sample of at most about ``sample`` keys, so a host with most of
     the pages has most of the ranges; the first and last page of each range are also lent, as line hashes,
-    to the ranges beside it. A range holds about ``range_bytes`` of html at most. How pages fall into ranges does not change the result.
+    to the ranges beside it. A range holds about ``range_bytes`` of html, more where the sample's keys give fewer ranges than that (beyond 1.6 TB);
+    tasks sort their range on disk and stream it, so that bounds no memory. How pages fall into ranges does not change the result.
     """
     keyed = pages.select(F.col("page_id").cast("bigint"), "url", F.xxhash64("html").alias("tie"), "html")
     keys = keyed.select("page_id", "url", "tie")

@@ -2,14 +2,14 @@
 
 A text is cut into symbols (runs of up to ``symbol`` characters other than ASCII white space, so a word
 or a part of a long one). Every run of ``k`` symbols is a k-mer; equal ones are numbered by occurrence.
-The hash of (k-mer, number) puts it into one of ``slots`` slots and orders it there. Of each slot the
-``tuple_len`` smallest are taken, put in the order they have in the text, and hashed as a tuple: two
-texts agree in a slot only if the same k-mers come there in the same order, so the share of agreeing
-slots falls with edit distance, rearrangements included. All slots come out of one sort of one array.
-
-The fingerprint is the hex of the slots' tuple hashes, in slot order. Null or white-space-only texts have
-the empty fingerprint; likeness of two empty ones is 1, of an empty and another 0. Texts with fewer than
-k symbols are one k-mer. Rows that repeat a doc_id follow one another in the order of a hash of their
+The hash of (k-mer, number) puts it on a circle of ``slots`` equal slots. A slot's tuple are the ``tuple_len`` k-mers
+that come first from the slot's start on, its own ones or, where it has too few (short texts), those of the slots after it; they are
+put in the order they have in the text and hashed: two texts agree in a slot only if the same k-mers come there in the
+same order, so the share of agreeing slots falls with edit distance, rearrangements included. All slots come out of one sort of one array.
+
+The fingerprint is the hex of the slots' tuple hashes, in slot order; every text with a symbol has all slots. Null or
+white-space-only texts have the empty fingerprint; likeness of two empty ones is 1, of an empty and another 0. Texts with fewer than
+k symbols are one k-mer, and of fewer k-mers than ``tuple_len`` the tuple has all. Rows that repeat a doc_id follow one another in the order of a hash of their
 text. A null doc_id sorts first. Columns other than doc_id and text are not read.
 """
 
@@ -43,7 +43,7 @@ def _each(n: Column, f) -> Column:
 
 def signature(df: DataFrame, text: str, out: str, *, k: int = 3, symbol: int = 8, slots: int = 64, tuple_len: int = 2) -> DataFrame:
     """df with the array of slot hashes of a text column; a slot's number is in the top bits of its hash."""
-    s, h, a, b, c, d = (f"__{out}_{x}" for x in "shabcd")
+    s, h, a, b, c = (f"__{out}_{x}" for x in "shabc")
     shift = 64 - (slots - 1).bit_length()
     df = df.withColumn(s, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]{1," + str(symbol) + "}"), F.lit(0)))
     df = df.withColumn(h, F.transform(s, lambda x: F.xxhash64(x))).drop(s)
@@ -61,12 +61,15 @@ def signature(df: DataFrame, text: str, out: str, *, k: int = 3, symbol: int = 8
     df = df.withColumn(b, F.sort_array(_each(F.size(a), lambda i: _with_pos(F.xxhash64(_high(at(a, i)), number(i)), _low(at(a, i))))))
     slot = lambda x: F.shiftright(x, shift)
     df = df.drop(a).withColumn(c, F.filter(b, lambda x, i: (i < tuple_len) | (slot(x) != slot(F.get(F.col(b), i - tuple_len))))).drop(b)
-    starts = F.filter(_each(F.size(c), lambda i: i), lambda i: (i == 0) | (slot(at(c, i)) != slot(at(c, i - 1))))
-    df = df.withColumn(d, starts)
-    ordered = lambda i: F.sort_array(F.transform(F.filter(F.slice(F.col(c), i + 1, tuple_len), lambda x: slot(x) == slot(at(c, i))), lambda x: F.shiftleft(_low(x), 64 - _POS - 1).bitwiseOR(F.shiftrightunsigned(x, _POS + 1))))
-    tuple_hash = lambda i: F.xxhash64(F.transform(ordered(i), lambda y: y.bitwiseAND(F.lit((1 << (64 - _POS - 1)) - 1))))
-    found = F.transform(F.col(d), lambda i: F.shiftleft(slot(at(c, i)), shift).bitwiseOR(F.shiftrightunsigned(tuple_hash(i), 64 - shift)))
-    return df.withColumn(out, found).drop(c, d)
+    size = F.size(c)
+    steps = F.array(*[F.lit(1 << p) for p in range((slots * tuple_len).bit_length() - 1, -1, -1)])
+    # of the few that are left, how many lie before a slot
+    before = lambda x: F.aggregate(steps, F.lit(0), lambda acc, p: F.when((acc + p <= size) & (slot(at(c, acc + p - 1)) < x), acc + p).otherwise(acc))
+    turned = lambda y: F.shiftleft(_low(y), 64 - _POS - 1).bitwiseOR(F.shiftrightunsigned(y, _POS + 1))
+    members = lambda x: F.transform(F.sequence(F.lit(0), F.least(size, F.lit(tuple_len)) - 1), lambda j: turned(at(c, F.pmod(before(x) + j, size))))
+    tuple_hash = lambda x: F.xxhash64(F.transform(F.sort_array(members(x)), lambda y: y.bitwiseAND(F.lit((1 << (64 - _POS - 1)) - 1))))
+    whole = F.transform(F.sequence(F.lit(-(slots // 2)), F.lit(slots // 2 - 1)), lambda x: F.shiftleft(x.cast("bigint"), shift).bitwiseOR(F.shiftrightunsigned(tuple_hash(x), 64 - shift)))
+    return df.withColumn(out, F.when(size > 0, whole).otherwise(F.array().cast("array<bigint>"))).drop(c)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -90,7 +93,9 @@ def with_next(docs: DataFrame, columns: list[str], parts: int) -> DataFrame:
     ids = docs.select(at.alias("__at"))
     cuts = F.array(*[F.lit(f / parts) for f in range(1, max(2, parts))])
     marks = sorted(set(ids.agg(F.percentile_approx("__at.d", cuts, 10000)).first()[0] or [0]))
-    bucket = F.size(F.filter(F.array(*map(F.lit, marks)), lambda m: m < F.col("__at.d")))
+    bounds = F.split(F.lit(",".join(map(str, marks))), ",").cast("array<bigint>")  # folded into one constant
+    steps = F.array(*[F.lit(1 << p) for p in range(len(marks).bit_length() - 1, -1, -1)])
+    bucket = F.aggregate(steps, F.lit(0), lambda acc, p: F.when((acc + p <= len(marks)) & (F.get(bounds, acc + p - 1) < F.col("__at.d")), acc + p).otherwise(acc))
     firsts = ids.withColumn("__bucket", bucket).groupBy("__bucket").agg(F.min("__at").alias("__first"))
     firsts = firsts.withColumn("__before", F.coalesce(F.lag("__bucket").over(Window.orderBy("__bucket")), F.max("__bucket").over(Window.partitionBy())))
     keyed = docs.withColumn("__at", at).withColumn("__bucket", bucket).join(F.broadcast(firsts), "__bucket")

@@ -12,7 +12,10 @@ The document score is calibrated by a two-parameter logistic fit on the worst wi
 Because pooling and softmax are linear, a trained model collapses into one number for each hashed
 n-gram; scoring sums those numbers.
 
-Fitted on at most ``max_toxic`` and ``max_clean`` labelled documents (smallest hash of doc_id first).
+Fitted on at most ``max_toxic`` and ``max_clean`` labelled documents (smallest hash of doc_id first), and of their windows on at most
+``most`` positive and ``most`` negative ones at a time: in the first round all windows of toxic documents (a seeded draw of ``most``
+beyond that) and a seeded draw of twice as many clean windows, 2,000 at least; later the strongest of toxic documents, the hardest
+of clean ones and a seeded draw of ``most`` / 2 clean ones. These are bounds of training alone; scoring reads every window of every text.
 Null or empty texts have no windows and get the score of the neutral window 0. Repeated rows stay
 repeated; a null doc_id is scored but never trained on; columns beyond doc_id and text are not read.
 """

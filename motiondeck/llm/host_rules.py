@@ -10,7 +10,7 @@ A null text has no words and fails. Repeated rows count each. The prior weighs a
 few documents stays near the corpus rate, and at most as an average host, so a host's own documents count against it; with one
 host, or hosts that do not differ more than chance, it is that strong. A host fails when its shrunk rate is above twice the corpus rate, but
 not below ``BAR[0]`` and in any case above ``BAR[1]``. Without documents there is no host. Columns of other names pass
-``apply_rules``; ``host_rate`` and ``kept`` are replaced.
+``apply_rules``; ``host_rate`` and ``kept`` are replaced, as are ``__hash``, ``__win``, ``__twice``, ``__at``, ``__sorted`` and ``__lines`` by ``base_columns``.
 """
 
 from __future__ import annotations
@@ -96,7 +96,8 @@ def apply_rules(judged: DataFrame) -> DataFrame:
 
 
 def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = base_columns(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
+    # the rules are the work: written once, they serve the hosts and the result
+    judged = materialize(base_columns(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text"), keep=True)
     return apply_rules(judged).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

@@ -65,14 +65,37 @@ def savgol(spark, sf_dir):
     return rounded(matching.savgol_series(df, ["user_id"], ["t", "event_id"], ["value"]).select("event_id", F.col("value").alias("smooth")))
 
 
-@register("one_euro")
+#: One row of a user after the other: what was seen first, the capped step, the speed, the cut-off, the blend.
+_EURO = f"""WITH RECURSIVE {SIG}, r AS (SELECT user_id, t / 3600 AS t, value AS x, k / 100 AS y, pow(k / 100, 2) AS w, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS n FROM sig),
+c AS (SELECT user_id, n, t, x, y, CAST(0.0 AS DOUBLE) AS vx, CAST(0.0 AS DOUBLE) AS vy, w > 0 AS met, CAST(NULL AS DOUBLE) AS speed FROM r WHERE n = 1
+UNION ALL SELECT user_id, n, t, px + rx / (rx + 1) * ex * w, py + ry / (ry + 1) * ey * w, ux, uy, met, s2 FROM (
+SELECT *, (abs(ux) * 0.5 + cut) * 2 * pi() * dt AS rx, (abs(uy) * 0.5 + cut) * 2 * pi() * dt AS ry FROM (
+SELECT *, 0.05 + greatest(0, least(1, (s2 - 2.0) / 8.0)) * 0.25 AS cut FROM (
+SELECT *, CASE WHEN speed IS NULL THEN sqrt(ux * ux + uy * uy) * dt ELSE speed + 0.1 * (sqrt(ux * ux + uy * uy) * dt - speed) END AS s2 FROM (
+SELECT *, vx + (ex * (a / dt) + vx * (1 - a) - vx) * w AS ux, vy + (ey * (a / dt) + vy * (1 - a) - vy) * w AS uy FROM (
+SELECT *, CASE WHEN size > 30 THEN vx * dt + ox * (30 / size) ELSE ox + vx * dt END AS ex, CASE WHEN size > 30 THEN vy * dt + oy * (30 / size) ELSE oy + vy * dt END AS ey, dt / (dt + 1 / (2 * pi())) AS a FROM (
+SELECT *, sqrt(ox * ox + oy * oy) AS size FROM (
+SELECT *, x - px - vx * dt AS ox, y - py - vy * dt AS oy FROM (
+SELECT r.user_id, r.n, r.t, r.x, r.y, r.w, greatest(r.t - c.t, 1e-6) AS dt, CASE WHEN r.w > 0 AND NOT c.met THEN r.x ELSE c.x END AS px, CASE WHEN r.w > 0 AND NOT c.met THEN r.y ELSE c.y END AS py,
+CASE WHEN r.w > 0 AND NOT c.met THEN 0.0 ELSE c.vx END AS vx, CASE WHEN r.w > 0 AND NOT c.met THEN 0.0 ELSE c.vy END AS vy, c.met OR r.w > 0 AS met, c.speed FROM c JOIN r ON r.user_id = c.user_id AND r.n = c.n + 1)))))))))
+SELECT user_id, round(t, 6) + 0.0 AS t, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM c"""
+
+
+@register("one_euro", _EURO)
 def one_euro(spark, sf_dir):
     df = sig(spark, sf_dir).select("user_id", "event_id", (F.col("t") / 3600).alias("t"), F.col("value").alias("x"), (F.col("k") / 100).alias("y"), (F.col("k") / 100).alias("conf"))
     found = filters.run_grouped(df, ["user_id"], ["t", "event_id"], filters.euro_of(["x", "y"], "t", "conf"), "t double, x double, y double")
     return rounded(found)
 
 
-@register("bone_smoothing")
+_BONES = f"""WITH RECURSIVE {KPT}, r AS (SELECT label, vec_id, sqrt(pow(p1_x - p0_x, 2) + pow(p1_y - p0_y, 2)) AS d, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM kpt),
+c AS (SELECT label, vec_id, n, d AS learned, d AS length, CAST(0.0 AS DOUBLE) AS moved FROM r WHERE n = 1
+UNION ALL SELECT r.label, r.vec_id, r.n, c.learned + 0.05 * (greatest(0.6 * c.learned, least(1.4 * c.learned, r.d)) - c.learned), CASE WHEN abs(r.d - c.learned) > 0.4 * c.learned THEN c.learned ELSE r.d END, CASE WHEN abs(r.d - c.learned) > 0.4 * c.learned THEN abs(r.d - c.learned) ELSE 0.0 END
+FROM c JOIN r ON r.label = c.label AND r.n = c.n + 1)
+SELECT label, vec_id, round(learned, 6) + 0.0 AS learned, round(length, 6) + 0.0 AS length, round(moved, 6) + 0.0 AS moved FROM c"""
+
+
+@register("bone_smoothing", _BONES)
 def bone_smoothing(spark, sf_dir):
     """Learned length of one bone from vector to vector of a label."""
     df = kpt(spark, sf_dir).select("label", "vec_id", "p0_x", "p0_y", "p1_x", "p1_y")

@@ -119,9 +119,52 @@ def movement_runs(spark, sf_dir):
     return rounded(found)
 
 
-@register("phase_table")
+#: The state machine as islands of frames: closing and opening runs of the smoothed aperture, the first that count, and what lies between.
+_PHASES = f"""{_SPEED},
+h0 AS (SELECT mv.l_suppkey, CAST(movement_idx AS INT) AS movement_idx, s.frame, x, y, z, speed, median(z) OVER (PARTITION BY mv.l_suppkey, movement_idx ORDER BY s.frame ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS ap FROM mv JOIN s ON s.l_suppkey = mv.l_suppkey AND s.frame BETWEEN m_start AND m_end),
+h1 AS (SELECT *, coalesce(ap - lag(ap) OVER w, 0.0) AS d0, max(ap) OVER m - min(ap) OVER m AS rng, count(*) OVER m AS n FROM h0 WINDOW w AS (PARTITION BY l_suppkey, movement_idx ORDER BY frame), m AS (PARTITION BY l_suppkey, movement_idx)),
+h2 AS (SELECT *, median(d0) OVER (PARTITION BY l_suppkey, movement_idx ORDER BY frame ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS d FROM h1),
+h3 AS (SELECT *, CASE WHEN d < -0.05 * rng THEN -1 WHEN d > 0.05 * rng THEN 1 ELSE 0 END AS way FROM h2),
+h4 AS (SELECT *, frame - row_number() OVER (PARTITION BY l_suppkey, movement_idx, way ORDER BY frame) AS island FROM h3),
+hr AS (SELECT l_suppkey, movement_idx, way, min(frame) AS a, max(frame) AS b, any_value(rng) AS rng, any_value(n) AS n FROM h4 GROUP BY l_suppkey, movement_idx, way, island HAVING max(frame) - min(frame) + 1 >= 3),
+hg AS (SELECT l_suppkey, movement_idx, min(a) AS ga, arg_min(b, a) AS gb FROM hr WHERE way = -1 AND rng >= 1e-8 AND n >= 6 GROUP BY 1, 2),
+ho AS (SELECT hg.l_suppkey, hg.movement_idx, min(a) AS ra FROM hg JOIN hr ON hr.l_suppkey = hg.l_suppkey AND hr.movement_idx = hg.movement_idx WHERE way = 1 AND a > gb GROUP BY 1, 2),
+ph AS (SELECT h4.l_suppkey, h4.movement_idx, frame, x, y, z, speed, CASE WHEN ga IS NULL OR frame < ga THEN 'REACH' WHEN frame <= gb THEN 'GRASP' WHEN frame >= ra THEN 'RELEASE' WHEN ra IS NULL OR ra - gb >= 3 THEN 'TRANSPORT' ELSE 'REACH' END AS phase
+FROM h4 LEFT JOIN hg ON hg.l_suppkey = h4.l_suppkey AND hg.movement_idx = h4.movement_idx LEFT JOIN ho ON ho.l_suppkey = h4.l_suppkey AND ho.movement_idx = h4.movement_idx)"""
+
+
+@register("movement_phases", f"WITH {_PHASES} SELECT l_suppkey, movement_idx, CAST(frame AS INT) AS frame, phase FROM ph")
+def movement_phases(spark, sf_dir):
+    """The phase of every frame of the movements, with z as the grasp's aperture."""
+    return phases.phases(_movements(spark, sf_dir), ["l_suppkey"], aperture="z").select("l_suppkey", "movement_idx", "frame", "phase")
+
+
+def _shape(group: str, prefix: str) -> str:
+    """SQL of path, jerk and facts of groups of frames, a second a frame."""
+    w = f"(PARTITION BY {group} ORDER BY frame)"
+    third = " + ".join(f"pow({c} - 3 * lag({c}, 1) OVER w + 3 * lag({c}, 2) OVER w - lag({c}, 3) OVER w, 2)" for c in "xyz")
+    step = "sqrt(" + " + ".join(f"pow({c} - lag({c}) OVER w, 2)" for c in "xyz") + ")"
+    ends = "sqrt(" + " + ".join(f"pow(arg_max({c}, frame) - arg_min({c}, frame), 2)" for c in "xyz") + ")"
+    return f"""{prefix}s AS (SELECT *, {step} AS step, {third} AS jerk FROM pr WINDOW w AS {w}),
+{prefix}t AS (SELECT {group}, any_value(phase) AS phase, min(frame) AS lo, max(frame) AS hi, count(*) AS n, max(speed) AS peak, avg(speed) AS mean, coalesce(sum(step), 0.0) AS path, sum(jerk) AS jerk, {ends} AS straight, count(DISTINCT phase || CAST(phase_run AS VARCHAR)) AS runs FROM {prefix}s GROUP BY {group})"""
+
+
+_PHASE_TABLE = f"""WITH {_PHASES}, pr AS (SELECT *, frame - row_number() OVER (PARTITION BY l_suppkey, movement_idx, phase ORDER BY frame) AS phase_run FROM (SELECT * FROM ph) q),
+{_shape("l_suppkey, movement_idx, phase, phase_run", "p").replace("any_value(phase) AS phase, ", "")}, {_shape("l_suppkey, movement_idx", "m")},
+pv AS (SELECT l_suppkey, movement_idx, phase, phase_run, list(speed ORDER BY frame) AS v, count(*) AS n, max(abs(speed)) AS top FROM pr GROUP BY 1, 2, 3, 4 HAVING count(*) >= 4),
+pf AS (SELECT l_suppkey, movement_idx, phase, phase_run, n, top, k, sqrt(pow(list_sum(list_transform(v, lambda q, j: q * cos(2 * pi() * k * (j - 1) / n))), 2) + pow(list_sum(list_transform(v, lambda q, j: q * sin(2 * pi() * k * (j - 1) / n))), 2)) AS a FROM pv, LATERAL (SELECT unnest(generate_series(0, n // 2)) AS k)),
+pa AS (SELECT *, a / max(a) OVER (PARTITION BY l_suppkey, movement_idx, phase, phase_run) AS r FROM pf),
+pd AS (SELECT *, r - lag(r) OVER (PARTITION BY l_suppkey, movement_idx, phase, phase_run ORDER BY k) AS dr FROM pa),
+pz AS (SELECT l_suppkey, movement_idx, phase, phase_run, CASE WHEN any_value(top) < 1e-10 THEN 0.0 ELSE -sum(sqrt(pow(1.0 / (n // 2), 2) + pow(dr, 2))) FILTER (k >= 1) END AS sal FROM pd GROUP BY 1, 2, 3, 4)
+SELECT pt.l_suppkey, pt.movement_idx, pt.phase, CAST(pt.lo AS INT) AS start_frame, CAST(pt.hi AS INT) AS end_frame, round(CAST(pt.hi - pt.lo AS DOUBLE), 4) AS duration_sec, round(pt.peak, 6) AS peak_velocity, round(pt.mean, 6) AS mean_velocity, round(pt.path, 6) AS path_length,
+round(CASE WHEN pt.n >= 5 AND pt.path >= 1e-10 THEN sqrt(pow(pt.n - 1, 5) / (2 * pow(pt.path, 2)) * pt.jerk) END, 4) AS smoothness_nj, round(sal, 4) AS smoothness_sal, CAST(NULL AS DOUBLE) AS mean_reach_symmetry, round(CAST(mt.hi - mt.lo AS DOUBLE), 4) AS movement_duration_sec, CAST(mt.runs AS INT) AS movement_n_phases,
+round(mt.peak, 6) AS movement_peak_velocity, round(mt.path, 6) AS movement_path_length, round(CASE WHEN mt.n >= 2 AND mt.straight > 1e-10 THEN mt.path / mt.straight END, 4) AS movement_efficiency
+FROM pt JOIN mt ON mt.l_suppkey = pt.l_suppkey AND mt.movement_idx = pt.movement_idx LEFT JOIN pz ON pz.l_suppkey = pt.l_suppkey AND pz.movement_idx = pt.movement_idx AND pz.phase = pt.phase AND pz.phase_run = pt.phase_run"""
+
+
+@register("phase_table", _PHASE_TABLE)
 def phase_table(spark, sf_dir):
-    """Phases of the movements with z as the grasp's aperture; the state machine has no plain SQL form."""
+    """Phases of the movements with z as the grasp's aperture: the whole table."""
     df = phases.phases(_movements(spark, sf_dir).withColumn("t", F.col("frame").cast("double")), ["l_suppkey"], aperture="z")
     return phases.phase_table(df, ["l_suppkey"])
 

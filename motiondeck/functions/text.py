@@ -134,3 +134,8 @@ def artifact_tags(kind: str, sha256: str, qualification: str) -> dict[str, Colum
     from motiondeck.sources.schema import ARTIFACT_TAGS
 
     return {n: F.lit(v) for n, v in zip(ARTIFACT_TAGS, values, strict=True)}
+
+
+def utc_stamp(at: Column) -> Column:
+    """A time stamp as ISO text in UTC to the second, whatever the session's time zone."""
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), at.cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -106,12 +106,6 @@ def cv(value: str) -> Column:
     return F.when((F.count(value) >= 2) & (F.avg(value) > 1e-9), F.stddev_pop(value) / F.when(F.avg(value) > 1e-9, F.avg(value)))
 
 
-def symmetry_difference(left: str, right: str) -> Column:
-    """Mean of |L - R| over their middle."""
-    mid = (F.col(left) + F.col(right)) / 2
-    return F.avg(ratio(F.abs(F.col(left) - F.col(right)), mid))
-
-
 def temporal_jitter_mm(df: DataFrame, keys: list[str], frame: str) -> DataFrame:
     """(keys, jitter_mm): the median size of second differences over three frames in a row, in millimetres."""
     w = Window.partitionBy(*keys).orderBy(frame)
@@ -132,31 +126,6 @@ def count_parity(counts: Column) -> Column:
     return F.when(F.max(counts) > 0, (F.max(counts) - F.min(counts)) / F.when(F.max(counts) > 0, F.max(counts))).otherwise(F.lit(1.0))
 
 
-def tracking_measures(df: DataFrame, keys: list[str], expected: Column, floor: float = 0.3) -> DataFrame:
-    """Per camera of a long table (frame, x, y, confidence): observed and dropped frames, detection rate, low-confidence share."""
-    seen = F.col("x").isNotNull() & F.col("y").isNotNull() & (F.col("confidence") > 0)
-    found = df.groupBy(*keys).agg(
-        F.count_distinct(F.when(seen, F.col("frame"))).alias("observed_frames"), F.count_if(seen).alias("detected"), F.count_distinct("keypoint").alias("keypoints"),
-        F.count_if(seen & (F.col("confidence") < floor)).alias("low"), F.first(expected).alias("expected_frames"),
-    )
-    total = F.col("expected_frames") * F.col("keypoints")
-    return found.select(*keys, "observed_frames", (F.col("expected_frames") - F.col("observed_frames")).alias("dropped_frames"), ratio(F.col("detected"), total).alias("detection_rate"), ratio(F.col("low"), F.col("detected")).alias("low_confidence_fraction"))
-
-
-def fusion_measures(df: DataFrame, expected_frames: Column) -> DataFrame:
-    """One row for a long fused table: error, view, angle and rejection figures over the keypoints that any frame attempted."""
-    active = F.max((F.col("candidate_n_views") >= 2).cast("int")).over(Window.partitionBy("keypoint")) == 1
-    df = df.withColumn("__active", active).where("__active")
-    ok = F.col("x").isNotNull()
-    return df.agg(
-        F.percentile("reproj_err_px", 0.5).alias("reproj_median_px"), F.percentile("reproj_err_px", 0.95).alias("reproj_p95_px"), F.max("reproj_err_px").alias("reproj_max_px"),
-        F.median(F.when(ok, F.col("n_views"))).alias("n_views_median"), F.min(F.when(ok, F.col("n_views"))).alias("n_views_min"), F.avg(F.when(ok, 1 - F.col("cheirality_ok"))).alias("cheirality_rate"),
-        F.percentile("triangulation_angle_deg", 0.05).alias("angle_p05_deg"), F.median("triangulation_angle_deg").alias("angle_median_deg"), F.median("candidate_n_views").alias("candidate_median"),
-        F.try_divide(F.sum(F.when(ok, F.col("candidate_n_views") - F.col("n_views"))), F.sum(F.when(ok, F.col("candidate_n_views")))).alias("view_rejection_fraction"),
-        F.avg((~ok).cast("double")).alias("unfused_fraction"), F.try_divide(F.count_distinct(F.when(ok, F.col("frame"))), F.first(expected_frames)).alias("fused_frame_fraction"),
-    )
-
-
 def latency_summary(df: DataFrame, warmup: int = 3) -> DataFrame:
     """Warm-up mean, then mean, median, p95 and effective rate of the calls after it (seq, latency_ms)."""
     steady = F.when(F.col("seq") >= warmup, F.col("latency_ms"))
@@ -199,3 +168,17 @@ def finger_mobility(df: DataFrame, keys: list[str], flexion: str, speed: str, **
 def weighted_centroid(value: str, weight: str) -> Column:
     """sum(w x) / sum(w); the plain mean if all weights are 0."""
     return F.coalesce(F.try_divide(F.sum(F.col(value) * F.col(weight)), F.when(F.sum(weight) != 0, F.sum(weight))), F.avg(value))
+
+
+def quality_findings(df: DataFrame, keys: list[str], columns: list[str], expected: DataFrame | None = None, most: float = 0.5) -> DataFrame:
+    """(keys, feature, finding, value) of what makes a table doubtful: ``missing`` (more than ``most`` of a group's cells), ``constant`` (a column without
+    variance over the whole table; keys NULL), ``no_rows`` (expected keys that the table lacks)."""
+    cells = lambda make: F.array(*[make(c) for c in columns])
+    found = lambda name, c, value: F.struct(F.lit(c).alias("feature"), F.lit(name).alias("finding"), value.cast("double").alias("value"))
+    gone = df.groupBy(*keys).agg(cells(lambda c: found("missing", c, F.avg(F.col(c).isNull().cast("double")))).alias("f")).select(*keys, F.inline("f")).where(F.col("value") > most)
+    still = df.agg(cells(lambda c: found("constant", c, F.coalesce(F.max(c) - F.min(c), F.lit(0)))).alias("f")).select(*[F.lit(None).cast(dict(df.dtypes)[k]).alias(k) for k in keys], F.inline("f")).where("value = 0")
+    out = gone.unionByName(still)
+    if expected is not None:
+        none = expected.select(*keys).distinct().join(df.select(*keys).distinct(), keys, "left_anti")
+        out = out.unionByName(none.select(*keys, F.lit(None).cast("string").alias("feature"), F.lit("no_rows").alias("finding"), F.lit(0.0).alias("value")))
+    return out

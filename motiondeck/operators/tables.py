@@ -260,3 +260,8 @@ def metadata_findings(meta: DataFrame, recordings: DataFrame, key: str, dates: l
     for r in rows[1:]:
         out = out.union(r)
     return out.where("n > 0")
+
+
+def live_tracks(df: DataFrame, least_age: int) -> DataFrame:
+    """Tracks of several subjects that were detected in their frame and are old enough: carried ghosts and brief ones go."""
+    return df.where(~F.col("carried") & (F.col("age") >= least_age))

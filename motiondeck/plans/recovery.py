@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from motiondeck.catalog import register
-from motiondeck.operators import fallback, fusion, grading, matching, report
+from motiondeck.operators import fallback, fusion, grading, matching, report, schemes, tables
 from motiondeck.plans.proxies import KPT, SIG, kpt, rounded, sig, table
 from motiondeck.streaming import wholebody
 
@@ -261,3 +261,25 @@ def capture_grades(spark, sf_dir):
     subjects = report.tracking(camera_points(spark, sf_dir), rig_cameras(spark, sf_dir), ["label"])
     checks = report.capture_checks(boards, boards.select("label", "camera", "frames"), subjects, session_figures(spark, sf_dir), ["label"])
     return rounded(report.graded(checks, ["label"], capture=True).drop("severity"))
+
+
+_SCHEMES = {"arms": schemes.ARM, "body": schemes.BODY}
+_MAPPED = "SELECT vec_id, " + ", ".join(
+    f"round(list_sum(list_transform([{', '.join(map(str, which))}], lambda k, i: i * CAST(embedding[k % 64 + 1] AS DOUBLE) * 100)), 4) + 0.0 AS {name}_x, "
+    f"round(list_sum(list_transform([{', '.join(map(str, which))}], lambda k, i: i * least(1.0, abs(CAST(embedding[(5 * k + 2) % 64 + 1] AS DOUBLE)) * 5))), 4) + 0.0 AS {name}_vis"
+    for name, which in _SCHEMES.items()
+) + ", " + ", ".join(f"list_sum(list_transform(range({start}, {start + 21}), lambda k: least(1.0, abs(CAST(embedding[(5 * k + 2) % 64 + 1] AS DOUBLE)) * 5))) / 21 > 0.5 AS {side}" for side, (start, _) in schemes.HANDS.items()) + " FROM embeddings"
+
+
+@register("mapped_people", _MAPPED)
+def mapped_people(spark, sf_dir):
+    """People of 133 points in the arm and the body scheme: sums of places and visibilities weighted by position, and which hands score above a half."""
+    e = table(spark, sf_dir, "embeddings")
+    at = lambda k: F.get("embedding", F.lit(k % 64)).cast("double")
+    people = e.select("vec_id", F.lit(0).alias("person_idx"), F.array(*[F.struct((at(i) * 100).alias("x"), at(3 * i + 1).alias("y")) for i in range(133)]).alias("points"), F.array(*[F.least(F.lit(1.0), F.abs(at(5 * i + 2)) * 5) for i in range(133)]).alias("scores"))
+    weigh = lambda c, of: F.aggregate(F.transform(c, lambda p, i: of(p) * (i + 1)), F.lit(0.0), lambda a, b: a + b)
+    found = people.select("vec_id", *[tables.hand_present(F.col("scores"), start, least=0.5).alias(side) for side, (start, _) in schemes.HANDS.items()])
+    for name in _SCHEMES:
+        own = schemes.bodies(people, ["vec_id"], name).select("vec_id", weigh("points", lambda p: p["x"]).alias(f"{name}_x"), weigh("vis", lambda v: v).alias(f"{name}_vis"))
+        found = found.join(own, "vec_id")
+    return rounded(found, 4)

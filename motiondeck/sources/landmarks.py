@@ -73,14 +73,6 @@ def frame_rows(frames: DataFrame, names: list[str]) -> DataFrame:
     return frames.select(*KEYS, *cells)
 
 
-def detail_rows(frames: DataFrame) -> DataFrame:
-    """A row a keypoint from arrays of raw and smoothed points."""
-    exploded = frames.select("frame_idx", "person_idx", "part", "smooth", F.posexplode("raw").alias("kp_idx", "r"))
-    s = F.get("smooth", F.col("kp_idx"))
-    moved = F.sqrt(F.pow(F.col("r.x") - s["x"], 2) + F.pow(F.col("r.y") - s["y"], 2))
-    return exploded.select("frame_idx", "person_idx", "part", "kp_idx", F.col("r.x").alias("x_raw"), F.col("r.y").alias("y_raw"), s["x"].alias("x_smooth"), s["y"].alias("y_smooth"), F.col("r.vis").alias("visibility"), moved.alias("jitter_px"))
-
-
 def diagnostic_rows(df: DataFrame) -> DataFrame:
     """A diagnostic table with its arrays as JSON cells; ``read_diagnostics`` undoes it."""
     return df.withColumns({c: F.to_json(c) for c in ("body_track_ages", "hand_track_ages", "detections")})
@@ -129,3 +121,20 @@ def templates(recordings: DataFrame) -> tuple[DataFrame, DataFrame]:
     videos = recordings.select("video").distinct()
     null = F.lit(None)
     return videos.select("video", *[null.cast("double").alias(c) for c in ("GRASSP", "UEMS", "SCIM")]), videos.select("video", null.cast("string").alias("patient_id"), null.cast("date").alias("session_date"))
+
+
+def smooth_landmarks(df: DataFrame, window: int = 11, order: int = 3) -> DataFrame:
+    """A landmark table with its coordinates smoothed, recording by recording and person by person; a coordinate whose ``_vis`` or ``_conf`` is not above 0
+    has no say. All other columns, the evidence too, are as they were."""
+    from motiondeck.operators.matching import savgol_series
+
+    coordinates = [c for c in df.columns if c.endswith(("_x", "_y", "_z"))]
+    evidence = {c: e for c in coordinates for e in (f"{c[:-2]}_conf", f"{c[:-2]}_vis") if e in df.columns}
+    keys = [k for k in ("video", "person_idx") if k in df.columns]
+    return savgol_series(df, keys, ["frame_idx"], coordinates, window, order, evidence) if coordinates else df
+
+
+def smooth_csv(spark: SparkSession, source: str, target: str, window: int = 11, order: int = 3) -> None:
+    """A landmark CSV smoothed into another: numbers with six decimals, unknown ones blank, rows by recording, frame and person."""
+    df = smooth_landmarks(read_csv(spark, source), window, order)
+    write_csv(df, target, 6, [c for c in ("video", "frame_idx", "person_idx") if c in df.columns])

@@ -96,10 +96,6 @@ def hand_column(side: str, point: int, coordinate: str) -> str:
     return f"{side}_hand_{point}_{coordinate}"
 
 
-def keypoint_of(column: str) -> str:
-    return re.sub(r"_(x|y|z|vis|conf)(_m)?$", "", column)
-
-
 def column_or_null(df: DataFrame, name: str) -> Column:
     """The column as double, NULL throughout if the table lacks it."""
     return F.col(name).cast("double") if name in df.columns else F.lit(None).cast("double")

@@ -104,12 +104,6 @@ def test_temporal_jitter_does_not_bridge_gaps(spark):
     assert aggregate.temporal_jitter_mm(df, ["k"], "frame").first().jitter_mm == pytest.approx(2.0)
 
 
-def test_tracking_counts_missing_frames_as_dropped(spark):
-    df = spark.createDataFrame([("a", f, kp, 0.5, 0.5, c) for f in range(8) for kp, c in (("n", 0.9), ("m", 0.2 if f else 0.0))], "cam string, frame int, keypoint string, x double, y double, confidence double")
-    r = aggregate.tracking_measures(df, ["cam"], F.lit(10)).first()
-    assert (r.observed_frames, r.dropped_frames, r.detection_rate) == (8, 2, 15 / 20) and r.low_confidence_fraction == pytest.approx(7 / 15)
-
-
 def test_reconcile_compare_and_sides(spark):
     a, b = spark.createDataFrame([("x", 1.0), ("y", 0.0)], "metric string, value double"), spark.createDataFrame([("x", 1.5), ("z", 2.0)], "metric string, value double")
     rows = {r.metric: (r.delta, r.pct) for r in tables.compare_runs(a, b).collect()}

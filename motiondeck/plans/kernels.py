@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from motiondeck.catalog import register
 from motiondeck.operators import features, fusion, graph, matching
 from motiondeck.plans.proxies import KPT, SIG, kpt, rounded, sig, table
+from motiondeck.sources.schema import BODY_WINDOW_METRICS
 from motiondeck.streaming import filters
 
 #: A rig of three cameras that looks along z.
@@ -197,6 +198,116 @@ def _hand_table(spark, sf_dir):
     return df.select(F.concat(F.lit("v"), "label").alias("video"), "frame_idx", (F.col("frame_idx") / 30).alias("timestamp_sec"), F.lit(0).alias("person_idx"), *cells, *conf)
 
 
+#: The body's points are those of a vector in threes: shoulders, elbows, wrists, index bases, hips, then four of each hand.
+_BODY = {f"body_{s}_{k}": 2 * i + (s == "right") for i, k in enumerate(("shoulder", "elbow", "wrist", "index", "hip")) for s in ("left", "right")}
+_HAND = {f"{s}_hand_{k}": 10 + 4 * (s == "right") + i for s in ("left", "right") for i, k in enumerate((0, 4, 8, 20))}
+
+
+def _body_table(spark, sf_dir):
+    """The vectors as a 2D body table: a recording a label, a frame a vector, ten points of the body and four of each hand; every ninth
+    frame lacks the left wrist, every eleventh the right hand."""
+    e, w = kpt(spark, sf_dir), Window.partitionBy("label").orderBy("vec_id")
+    df = e.withColumn("frame_idx", (F.row_number().over(w) - 1).cast("int"))
+    cells = [F.col(f"p{i}_{c}").alias(f"{n}_{c}") for n, i in (_BODY | _HAND).items() for c in "xyz"]
+    lost = lambda n: (F.col("vec_id") % 9 == 0) if n == "body_left_wrist" else (F.col("vec_id") % 11 == 0) if n.startswith("right_hand") else F.lit(False)
+    seen = [F.when(lost(n), 0.0).otherwise(0.9).alias(f"{n}_{'conf' if '_hand_' in n else 'vis'}") for n in _BODY | _HAND]
+    return df.select(F.concat(F.lit("v"), "label").alias("video"), "frame_idx", (F.col("frame_idx") / 30).alias("timestamp_sec"), F.lit(0).alias("person_idx"), *cells, *seen)
+
+
+def _frame_sql() -> tuple[str, str]:
+    """SQL of the 54 columns: the tables of points ``bt`` and features ``ft``, and what is taken from them."""
+    at = lambda n, c: f"{n}_{c}"
+    dist = lambda a, b: "sqrt(" + " + ".join(f"pow({at(a, c)} - {at(b, c)}, 2)" for c in "xyz") + ")"
+    moved = lambda a: "sqrt(" + " + ".join(f"pow({at(a, c)} - lag({at(a, c)}) OVER w, 2)" for c in "xyz") + ")"
+    over = lambda a, b, least: f"CASE WHEN {b} > {least} THEN {a} / {b} END"
+
+    def angle(a: str, b: str, c: str) -> str:
+        dot = " + ".join(f"({at(a, k)} - {at(b, k)}) * ({at(c, k)} - {at(b, k)})" for k in "xyz")
+        return f"CASE WHEN {dist(a, b)} * {dist(c, b)} > 1e-12 THEN degrees(acos(greatest(-1.0, least(1.0, ({dot}) / ({dist(a, b)} * {dist(c, b)}))))) END"
+
+    cells = {}
+    for s, o in (("left", "right"), ("right", "left")):
+        b, h = (lambda k, s=s: f"body_{s}_{k}"), (lambda k, s=s: f"{s}_hand_{k}")
+        reach = dist(b("shoulder"), b("wrist"))
+        values = [angle(b("shoulder"), b("elbow"), b("wrist")), angle(b("elbow"), b("wrist"), b("index")), angle(h(8), h(0), h(20)), reach, over(reach, dist(b("shoulder"), f"body_{o}_shoulder"), "1e-6"), dist(h(4), h(8)), dist(h(4), h(20)), moved(b("wrist")), moved(h(8))]
+        cells |= {f"{s}_{n}": v for n, v in zip(features.FRAME_METRICS, values, strict=True)}
+    mid = lambda c: f"((body_left_shoulder_{c} + body_right_shoulder_{c}) / 2 - (body_left_hip_{c} + body_right_hip_{c}) / 2)"
+    turn = "(atan2(body_right_shoulder_y - body_left_shoulder_y, body_right_shoulder_x - body_left_shoulder_x) - atan2(body_right_hip_y - body_left_hip_y, body_right_hip_x - body_left_hip_x))"
+    width = "sqrt(pow(body_right_shoulder_x - body_left_shoulder_x, 2) + pow(body_right_shoulder_y - body_left_shoulder_y, 2))"
+    trunk = [f"degrees(atan2(abs({mid('x')}), abs({mid('y')})))", f"degrees(atan2({mid('x')}, -{mid('y')}))", "CAST(NULL AS DOUBLE)", f"degrees(atan2(sin{turn}, cos{turn}))", over("(body_left_shoulder_y - body_right_shoulder_y)", width, "1e-6")]
+    cells |= dict(zip(features.TRUNK, trunk, strict=True))
+    lost = lambda n: "vec_id % 9 = 0" if n == "body_left_wrist" else "vec_id % 11 = 0" if n.startswith("right_hand") else "false"
+    points = ", ".join(f"CASE WHEN NOT ({lost(n)}) THEN p{i}_{c} END AS {n}_{c}" for n, i in (_BODY | _HAND).items() for c in "xyz")
+    two = ""
+    for m in features.FRAME_METRICS:
+        a, b = f"abs(left_{m})", f"abs(right_{m})"
+        some = f"{a} + {b} > 1e-12"
+        two += f", round(CASE WHEN {some} THEN least({a}, {b}) / greatest({a}, {b}) END, 6) + 0.0 AS {m}_symmetry_ratio, round(CASE WHEN {some} THEN ({b} - {a}) / ({a} + {b}) END, 6) + 0.0 AS {m}_dominance_index, round(abs(right_{m} - left_{m}), 6) + 0.0 AS {m}_abs_diff"
+    own = ", ".join(f"{v} AS {n}" for n, v in cells.items())
+    kept = ", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in cells)
+    return f"""{KPT}, bt AS (SELECT 'v' || label AS video, vec_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INT) AS frame_idx, {points} FROM kpt),
+ft AS (SELECT video, frame_idx, {own} FROM bt WINDOW w AS (PARTITION BY video ORDER BY frame_idx))""", f"""SELECT video, frame_idx, round(frame_idx / 30.0, 6) + 0.0 AS timestamp_sec, 0 AS person_idx, {kept}{two} FROM ft"""
+
+
+_FT, _FT_ALL = _frame_sql()
+
+
+def _window_sql() -> str:
+    """SQL of the 46 columns: windows of a second, the points of wrists and index tips on their slots, steps, jerks, spectra, trunk sums."""
+    key = "video, i, side, source"
+    points = " UNION ALL ".join(f"SELECT video, i, slot, fs, '{side}' AS side, '{source}' AS source, {', '.join(f'{name}_{c} AS {c}' for c in 'xyz')} FROM wr" for side in ("left", "right") for source, name in (("wrist", f"body_{side}_wrist"), ("fingertip", f"{side}_hand_8")))
+    third = " + ".join(f"pow({c} - 3 * lag({c}, 1) OVER w + 3 * lag({c}, 2) OVER w - lag({c}, 3) OVER w, 2)" for c in "xyz")
+    step = "sqrt(" + " + ".join(f"pow({c} - lag({c}) OVER w, 2)" for c in "xyz") + ")"
+    ends = "sqrt(" + " + ".join(f"pow(arg_max({c}, slot) - arg_min({c}, slot), 2)" for c in "xyz") + ")"
+    names = {"wrist_sal": ("wrist", "sal"), "wrist_velocity_mean": ("wrist", "mean * fs"), "wrist_velocity_peak": ("wrist", "peak * fs"), "wrist_normalized_jerk": ("wrist", "nj"), "wrist_movement_efficiency": ("wrist", "eff"), "fingertip_normalized_jerk": ("fingertip", "nj")}
+    sides = ", ".join(f"max(CASE WHEN side = '{side}' AND source = '{source}' THEN {c} END) AS {side}_{n}" for side in ("left", "right") for n, (source, c) in names.items())
+    own = ", ".join(f"round({side}_{n}, 4) + 0.0 AS {side}_{n}" for side in ("left", "right") for n in names)
+    two = ""
+    for n in names:
+        a, b = f"abs(left_{n})", f"abs(right_{n})"
+        some = f"{a} + {b} > 1e-12"
+        two += f", round(CASE WHEN {some} THEN least({a}, {b}) / greatest({a}, {b}) END, 4) + 0.0 AS {n}_symmetry_ratio, round(CASE WHEN {some} THEN ({b} - {a}) / ({a} + {b}) END, 4) + 0.0 AS {n}_dominance_index, round(abs(right_{n} - left_{n}), 4) + 0.0 AS {n}_abs_diff"
+    trunk = ", ".join(f"avg({c}{'' if c == 'posture_symmetry' else '_deg'}) AS {c}_mean, stddev_samp({c}{'' if c == 'posture_symmetry' else '_deg'}) AS {c}_sd" for c in ("trunk_lean", "trunk_lean_sagittal", "trunk_lean_lateral", "trunk_rotation", "posture_symmetry"))
+    body = ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in BODY_WINDOW_METRICS)
+    return f"""WITH {_FT}, tt AS (SELECT *, frame_idx / 30.0 AS t FROM bt), st AS (SELECT *, abs(t - lag(t) OVER (PARTITION BY video ORDER BY frame_idx)) AS step FROM tt),
+rt AS (SELECT video, 1 / median(step) AS fs, min(t) AS t0, max(t) AS t1 FROM st GROUP BY 1 HAVING count(*) >= 4),
+wk AS (SELECT video, fs, t0, i, t0 + i * 0.5 AS ws, t0 + i * 0.5 + 1.0 AS we FROM rt, LATERAL (SELECT unnest(generate_series(0, CAST(floor((t1 - t0 - 1.0) / 0.5 + 1e-10) AS BIGINT))) AS i) WHERE t1 - t0 >= 1.0 - 1e-10),
+wa AS (SELECT tt.*, wk.fs, wk.i, wk.ws, wk.we, count(*) OVER (PARTITION BY wk.video, wk.i) AS n_rows, min(t) OVER (PARTITION BY wk.video, wk.i) AS first FROM tt JOIN wk ON wk.video = tt.video AND t >= ws AND t < we),
+wr AS (SELECT *, CAST(round_even((t - first) * fs, 0) AS BIGINT) AS slot FROM wa WHERE n_rows >= 4),
+pt AS ({points}), pg AS (SELECT *, max(slot) OVER (PARTITION BY {key}) AS top FROM pt), pk AS (SELECT * FROM pg WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL),
+ps AS (SELECT *, CASE WHEN lag(slot) OVER w = slot - 1 THEN {step} END AS step, CASE WHEN lag(slot, 3) OVER w = slot - 3 THEN {third} END AS jerk FROM pk WINDOW w AS (PARTITION BY {key} ORDER BY slot)),
+pm AS (SELECT {key}, any_value(fs) AS fs, any_value(top) + 1 AS n_grid, count(*) AS n, min(slot) AS lo, max(slot) AS hi, avg(step) AS mean, max(step) AS peak, sum(step) AS path, sum(jerk) AS jerk, {ends} AS straight FROM ps GROUP BY {key}),
+sk AS (SELECT {key}, any_value(top) AS top, any_value(fs) AS fs FROM ps WHERE step IS NOT NULL GROUP BY {key} HAVING count(*) >= 4 AND min(slot) = 1 AND max(slot) = any_value(top)),
+sg AS (SELECT sk.*, slot FROM sk, LATERAL (SELECT unnest(generate_series(1, top)) AS slot)),
+sv AS (SELECT sg.*, step * sg.fs AS v FROM sg LEFT JOIN ps ON ps.video = sg.video AND ps.i = sg.i AND ps.side = sg.side AND ps.source = sg.source AND ps.slot = sg.slot),
+sn AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN slot END IGNORE NULLS) OVER b AS ps, last_value(v IGNORE NULLS) OVER b AS pv, first_value(CASE WHEN v IS NOT NULL THEN slot END IGNORE NULLS) OVER f AS ns, first_value(v IGNORE NULLS) OVER f AS nv FROM sv
+WINDOW b AS (PARTITION BY {key} ORDER BY slot ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY {key} ORDER BY slot ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+sl AS (SELECT {key}, any_value(top) AS n, any_value(fs) AS fs, list(coalesce(v, pv + (nv - pv) * (slot - ps) / (ns - ps)) ORDER BY slot) AS v FROM sn GROUP BY {key}),
+sf AS (SELECT {key}, n, fs, k, list_max(list_transform(v, lambda q: abs(q))) AS top, sqrt(pow(list_sum(list_transform(v, lambda q, j: q * cos(2 * pi() * k * (j - 1) / n))), 2) + pow(list_sum(list_transform(v, lambda q, j: q * sin(2 * pi() * k * (j - 1) / n))), 2)) AS a FROM sl, LATERAL (SELECT unnest(generate_series(0, n // 2)) AS k)),
+sr AS (SELECT *, a / max(a) OVER (PARTITION BY {key}) AS r, fs / 2 / (n // 2) AS unit, least(10.0, fs / 2) AS cut FROM sf),
+sd AS (SELECT *, r - lag(r) OVER (PARTITION BY {key} ORDER BY k) AS dr FROM sr),
+sz AS (SELECT {key}, CASE WHEN any_value(top) < 1e-10 THEN 0.0 ELSE -sum(sqrt(pow(unit / cut, 2) + pow(dr, 2))) FILTER (k >= 1 AND k * unit <= cut) END AS sal FROM sd GROUP BY {key}),
+pq AS (SELECT pm.*, sal, CASE WHEN hi > lo AND n = hi - lo + 1 AND straight > 1e-10 THEN path / straight END AS eff, CASE WHEN n_grid >= 5 AND path >= 1e-10 THEN sqrt(pow((n_grid - 1) / fs, 5) / (2 * pow(path, 2)) * jerk * pow(fs, 6) / fs) END AS nj
+FROM pm LEFT JOIN sz ON sz.video = pm.video AND sz.i = pm.i AND sz.side = pm.side AND sz.source = pm.source),
+pw AS (SELECT video, i, {sides} FROM pq GROUP BY 1, 2),
+tw AS (SELECT wr.video, wr.i, any_value(ws) AS ws, any_value(we) AS we, max(trunk_lean_deg) - min(trunk_lean_deg) AS trunk_lean_range, {trunk}, CASE WHEN count(trunk_lean_deg) >= 5 THEN corr(trunk_lean_deg, greatest(left_reach_raw, right_reach_raw)) END AS compensatory_pattern_index FROM wr JOIN ft ON ft.video = wr.video AND ft.frame_idx = wr.frame_idx GROUP BY 1, 2)
+SELECT tw.video, 0 AS person_idx, round(ws, 4) AS window_start_sec, round(we, 4) AS window_end_sec, {own}, {body}{two} FROM tw LEFT JOIN pw ON pw.video = tw.video AND pw.i = tw.i"""
+
+
+@register("body_frame_table", f"WITH {_FT} {_FT_ALL}")
+def body_frame_table(spark, sf_dir):
+    """All 54 columns of the frame table of body recordings with both hands."""
+    own, mode, world = features.gated(_body_table(spark, sf_dir))
+    return rounded(features.frame_features(own, mode, world))
+
+
+@register("body_window_table", _window_sql())
+def body_window_table(spark, sf_dir):
+    """The whole window table of the body recordings: wrists, fingertips, trunk and both sides compared."""
+    own, mode, world = features.gated(_body_table(spark, sf_dir))
+    return rounded(features.window_features(own, mode, world), 4)
+
+
 @register("frame_table")
 def frame_table(spark, sf_dir):
     """The whole frame table of the hand recordings."""

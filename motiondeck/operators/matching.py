@@ -6,11 +6,13 @@ The candidates are joined, filtered and partitioned by Spark; each kernel sees o
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from motiondeck.operators.graph import cells, components, spread
 from motiondeck.operators.scratch import written
@@ -114,6 +116,31 @@ def sparse_assignment(left: np.ndarray, right: np.ndarray, cost: np.ndarray) ->
     return np.array(sorted(e for e in by[:m] if e >= 0), dtype=int)
 
 
+def by_group(df: DataFrame, keys: list[str], order: list[str], solve: Callable[[pd.DataFrame], list[tuple]], schema: str) -> DataFrame:
+    """The rows that solve makes of each group's rows in order. Tasks stream through sorted partitions and hold a batch and one group, so many
+    small groups cost no more than their rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            own = list(zip(*(_plain(rows[k]) for k in keys), strict=True)) if keys else [()] * len(rows)
+            starts = [i for i in range(len(own)) if not i or own[i] != own[i - 1]]
+            held = rows.iloc[starts[-1] :] if starts else None
+            yield pd.DataFrame([r for a, b in zip(starts, starts[1:], strict=False) for r in solve(rows.iloc[a:b])], columns=columns)
+        if held is not None and len(held):
+            yield pd.DataFrame(solve(held), columns=columns)
+
+    columns = StructType.fromDDL(schema).names
+    dealt = df.repartition(*keys) if keys else df.coalesce(1)
+    return dealt.sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+def _plain(values: pd.Series) -> list:
+    """A column's values with None for what is missing; structs, which come as dictionaries, by their text."""
+    return [None if v is None or v != v else str(v) if isinstance(v, (dict, tuple, list, np.ndarray)) else v for v in values.tolist()]
+
+
 #: Frames of up to so many edges are solved whole; larger ones are first split into connected groups.
 WHOLE = 2000
 
@@ -135,20 +162,20 @@ def match(candidates: DataFrame, keys: list[str], left: str, right: str, cost: s
     same = [edges[k].eqNullSafe(count[k]) for k in keys]
     names = [*keys, left, right, cost]
 
-    def solve(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values([left, right], kind="stable")
-        return df.iloc[sparse_assignment(df[left].to_numpy(), df[right].to_numpy(), df[cost].to_numpy(float))][names]
+    def solve(df: pd.DataFrame) -> list[tuple]:
+        chosen = df.iloc[sparse_assignment(df[left].to_numpy(), df[right].to_numpy(), df[cost].to_numpy(float))]
+        return list(chosen[names].astype(object).where(chosen[names].notna(), None).itertuples(index=False, name=None))
 
     large = edges.join(count, same, "left_semi") if keys else edges.where(F.lit(edges.count() > whole))
     small = edges.join(count, same, "left_anti") if keys else edges.where(F.lit(edges.count() <= whole))
-    found = small.select(*names).groupBy(*keys).applyInPandas(solve, schema)
+    found = by_group(small.select(*names), keys, [left, right], solve, schema)
     if large.isEmpty():
         return found
     node = lambda side, i: F.struct(*[F.col(k) for k in keys], F.lit(side).alias("__side"), F.col(i).cast("string").alias("__id"))
     linked = large.select("*", node(0, left).alias("a"), node(1, right).alias("b"))
     roots = components(linked.select("a", "b"))
     grouped = linked.join(roots, linked["a"] == roots["node"]).select(*names, "root")
-    return found.unionByName(grouped.groupBy("root").applyInPandas(lambda df: solve(df), schema))
+    return found.unionByName(by_group(grouped, ["root"], [left, right], solve, schema))
 
 
 def hand_candidates(wrists: DataFrame, hands: DataFrame, keys: list[str], reach: float = 100.0) -> DataFrame:
@@ -176,6 +203,8 @@ def without_overlap(candidates: DataFrame, kept: DataFrame, keys: list[str], nea
 def suppress(boxes: np.ndarray, scores: np.ndarray, limit: float, weighted: bool) -> list[tuple[np.ndarray, float, list[int]]]:
     """Greedy clusters by falling score: (values, score, members). boxes may hold more values after x1, y1, x2, y2; a weighted
     cluster's are its members' score-weighted mean, plain if the weights sum to nothing. Sides below 0 are 0."""
+    if len(scores) == 1:
+        return [(boxes[0], float(scores[0]), [0])]
     left, out = list(np.argsort(-scores, kind="stable")), []
     while left:
         top, some = boxes[left[0], :4], boxes[left][:, :4]
@@ -200,15 +229,12 @@ def non_maximum_suppression(df: DataFrame, keys: list[str], limit: float = 0.3,
     values = ["x1", "y1", "x2", "y2", *also]
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + "".join(f", `{c}` double" for c in values) + ", score double, members int"
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("det_id")
-        found = suppress(g[values].to_numpy(float), g["score"].to_numpy(float), limit, weighted)
-        out = pd.DataFrame([(*b, s, len(m)) for b, s, m in found], columns=[*values, "score", "members"])
-        for k in reversed(keys):
-            out.insert(0, k, g[k].iloc[0])
-        return out
+    def solve(g: pd.DataFrame) -> list[tuple]:
+        boxes, scores = g[values].to_numpy(float), g["score"].to_numpy(float)
+        own = tuple(_plain(g[k])[0] for k in keys)
+        return [(*own, *map(float, b), s, len(m)) for b, s, m in suppress(boxes, scores, limit, weighted)]
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    return by_group(df.select(*keys, "det_id", *values, "score"), keys, ["det_id"], solve, schema)
 
 
 def savgol_coefficients(window: int, order: int, at: int | None = None) -> np.ndarray:

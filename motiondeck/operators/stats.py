@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from motiondeck.operators.aggregate import z_scores
 
 
 def average_rank(value: str, keys: list[str]) -> Column:
@@ -97,20 +96,24 @@ def linear_fit(x: str, y: str) -> tuple[Column, Column]:
 
 
 def principal_components(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
-    """(component, share, feature, loading) of z-scored columns. Spark gathers the column moments; the driver
+    """(component, share, feature, loading) of z-scored columns, over the rows that have them all. Spark adds up the moments in a tree; the driver
     holds one matrix of columns by columns. Each component's largest loading is positive."""
-    z = z_scores(df.select(*columns), columns).dropna()
-    cells = [F.avg(F.col(a) * F.col(b)) for i, a in enumerate(columns) for b in columns[i:]]
-    got = iter(z.agg(*cells).first())
-    m = np.zeros((len(columns), len(columns)))
-    for i in range(len(columns)):
-        for j in range(i, len(columns)):
-            m[i, j] = m[j, i] = next(got) or 0.0
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+
+    whole = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
+    if whole.isEmpty():
+        return df.sparkSession.createDataFrame([], "component int, share double, feature string, loading double")
+    rows = VectorAssembler(inputCols=columns, outputCol="__v").transform(whole).select("__v")
+    m = Correlation.corr(rows, "__v").first()[0].toArray()
+    still = np.isnan(m).sum(axis=0) >= max(1, len(columns) - 1)  # such a column is correlated with none and has no variance
+    m = np.where(np.isnan(m), 0.0, m)
+    m[still, still] = 0.0
     values, vectors = np.linalg.eigh(m)
     rows = []
     for c, at in enumerate(np.argsort(-values)[:k]):
         v = vectors[:, at] * np.sign(vectors[np.argmax(np.abs(vectors[:, at])), at])
-        rows += [(c + 1, float(values[at] / values.sum()), f, float(x)) for f, x in zip(columns, v, strict=True)]
+        rows += [(c + 1, float(values[at] / (values.sum() or 1.0)), f, float(x)) for f, x in zip(columns, v, strict=True)]
     return df.sparkSession.createDataFrame(rows, "component int, share double, feature string, loading double")
 
 

@@ -27,7 +27,7 @@ def optimal_match(spark, sf_dir):
     d = kpt(spark, sf_dir).select("label", "vec_id", "p0_x", "p0_y", "p0_z")
     a = d.where("vec_id % 2 = 0").select("label", F.col("vec_id").alias("left_id"), *[F.col(f"p0_{c}").alias(f"a{c}") for c in "xyz"])
     b = d.where("vec_id % 2 = 1").select("label", F.col("vec_id").alias("right_id"), *[F.col(f"p0_{c}").alias(c) for c in "xyz"])
-    pairs = graph.near_pairs(a, b, ["label"], ["ax", "ay", "az"], ["x", "y", "z"], 0.03)
+    pairs = graph.near_pairs(a, b, ["label"], ["ax", "ay", "az"], ["x", "y", "z"], 0.06)
     return rounded(matching.match(pairs, ["label"], "left_id", "right_id"))
 
 
@@ -37,8 +37,8 @@ _NMS = f"""{_BOXES}, g AS (SELECT user_id, day, list(struct_pack(s := -score, i
 met AS (SELECT user_id, day, list_filter(l, lambda q: q.i = l[1].i OR greatest(0, 3 - abs(q.x - l[1].x)) * greatest(0, 3 - abs(q.y - l[1].y)) > 0.3 * (18 - greatest(0, 3 - abs(q.x - l[1].x)) * greatest(0, 3 - abs(q.y - l[1].y)))) AS c, l FROM g
 UNION ALL SELECT user_id, day, list_filter(r, lambda q: q.i = r[1].i OR greatest(0, 3 - abs(q.x - r[1].x)) * greatest(0, 3 - abs(q.y - r[1].y)) > 0.3 * (18 - greatest(0, 3 - abs(q.x - r[1].x)) * greatest(0, 3 - abs(q.y - r[1].y)))), r
 FROM (SELECT user_id, day, list_filter(l, lambda q: NOT list_contains(list_transform(c, lambda z: z.i), q.i)) AS r FROM met) WHERE len(r) > 0),
-w AS (SELECT user_id, day, -c[1].s AS score, len(c) AS members, list_sum(list_transform(c, lambda q: -q.s)) AS total, list_sum(list_transform(c, lambda q: -q.s * q.x)) AS sx, list_sum(list_transform(c, lambda q: -q.s * q.y)) AS sy FROM met)
-SELECT user_id, day, round(sx / total, 6) + 0.0 AS x1, round(sy / total, 6) + 0.0 AS y1, round(sx / total + 3, 6) + 0.0 AS x2, round(sy / total + 3, 6) + 0.0 AS y2, round(score, 6) + 0.0 AS score, CAST(members AS INT) AS members FROM w"""
+w AS (SELECT user_id, day, -c[1].s AS score, len(c) AS members, list_sum(list_transform(c, lambda q: -q.s)) AS total, list_sum(list_transform(c, lambda q: -q.s * q.x)) AS sx, list_sum(list_transform(c, lambda q: -q.s * q.y)) AS sy, list_sum(list_transform(c, lambda q: -q.s * (q.x + 3))) AS tx, list_sum(list_transform(c, lambda q: -q.s * (q.y + 3))) AS ty FROM met)
+SELECT user_id, day, round(sx / total, 6) + 0.0 AS x1, round(sy / total, 6) + 0.0 AS y1, round(tx / total, 6) + 0.0 AS x2, round(ty / total, 6) + 0.0 AS y2, round(score, 6) + 0.0 AS score, CAST(members AS INT) AS members FROM w"""
 
 
 @register("weighted_nms", _NMS)

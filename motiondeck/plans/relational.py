@@ -151,6 +151,29 @@ def pca_loadings(spark, sf_dir):
     return rounded(stats.principal_components(kpt(spark, sf_dir), _DIMS, 3))
 
 
+#: All 63 coordinates of the points; the sum of the p-th powers of a matrix's eigenvalues is the trace of its p-th power.
+_ALL = [f"p{i}_{c}" for i in range(21) for c in "xyz"]
+_SPECTRUM = f"""WITH {KPT}, l AS (SELECT vec_id, unnest([{", ".join(f"'{c}'" for c in _ALL)}]) AS f, unnest([{", ".join(_ALL)}]) AS v FROM kpt), z AS (SELECT vec_id, f, (v - avg(v) OVER (PARTITION BY f)) / stddev_pop(v) OVER (PARTITION BY f) AS z FROM l),
+c AS (SELECT x.f AS a, y.f AS b, avg(x.z * y.z) AS r FROM z x JOIN z y ON x.vec_id = y.vec_id GROUP BY 1, 2), d AS (SELECT x.a, y.b, sum(x.r * y.r) AS r FROM c x JOIN c y ON x.b = y.a GROUP BY 1, 2)
+SELECT 0 AS power, 0.0 AS total UNION ALL SELECT 1, round(sum(r), 4) + 0.0 FROM c WHERE a = b UNION ALL SELECT 2, round(sum(r * r), 4) + 0.0 FROM c UNION ALL SELECT 3, round(sum(c.r * d.r), 4) + 0.0 FROM c JOIN d ON c.a = d.b AND c.b = d.a UNION ALL SELECT 4, round(sum(r * r), 4) + 0.0 FROM d"""
+
+
+@register("pca_spectrum", _SPECTRUM)
+def pca_spectrum(spark, sf_dir):
+    """The components of all coordinates held against their correlation matrix: sums of powers of the eigenvalues, and (power 0) the largest of
+    |C v - lambda v| over all components of the first four points, which is nothing."""
+    k = kpt(spark, sf_dir)
+    values = stats.principal_components(k, _ALL, len(_ALL)).select("component", (F.col("share") * len(_ALL)).alias("value")).distinct()
+    sums = values.agg(*[F.sum(F.pow("value", F.lit(p))).alias(str(p)) for p in (1, 2, 3, 4)])
+    rows = sums.select(F.inline(F.array(*[F.struct(F.lit(p).alias("power"), F.col(str(p)).alias("total")) for p in (1, 2, 3, 4)])))
+    some = stats.principal_components(k, _DIMS, len(_DIMS)).withColumn("value", F.col("share") * len(_DIMS))
+    pairs = stats.correlation_matrix(k, _DIMS)
+    whole = pairs.unionAll(pairs.select("b", "a", "r")).unionAll(spark.createDataFrame([(c, c, 1.0) for c in _DIMS], "a string, b string, r double"))
+    turned = some.withColumnRenamed("feature", "b").join(whole, "b").groupBy("component", F.col("a").alias("feature")).agg(F.sum(F.col("loading") * F.col("r")).alias("turned"))
+    off = some.join(turned, ["component", "feature"]).agg(F.max(F.abs(F.col("turned") - F.col("value") * F.col("loading"))).alias("total"))
+    return rounded(off.select(F.lit(0).alias("power"), "total").unionAll(rows), 4)
+
+
 _LAST = r"regexp_extract(url, '//[^/]*/([a-z]+)/', 1)"
 _NAME = f"page_id % 60 || ' ' || (CASE page_id % 4 WHEN 0 THEN 'above' WHEN 1 THEN 'LEFT' WHEN 2 THEN 'right' ELSE 'front' END) || '__' || (CASE page_id % 5 WHEN 0 THEN 'coini' WHEN 1 THEN 'glass' WHEN 2 THEN 'key' WHEN 3 THEN 'grass' ELSE 'spoon' END) || '_' || (CASE page_id % 3 WHEN 0 THEN 'l' WHEN 1 THEN 'r' ELSE '' END) || (CASE WHEN page_id % 7 = 0 THEN ' (2)' ELSE '' END) || '.mp4' || (CASE WHEN page_id % 6 = 0 THEN '.MP4' ELSE '' END)"
 

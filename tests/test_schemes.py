@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from motiondeck.functions import geometry as g
 from motiondeck.functions import text
-from motiondeck.operators import aggregate, fusion, gates, matching, schemes, tables
+from motiondeck.operators import aggregate, fusion, gates, matching, schemes, stats, tables
 from motiondeck.sources import corpus, landmarks, reports
 from motiondeck.streaming import monitor
 
@@ -148,3 +148,14 @@ def test_streamed_rows_land_in_files(spark, tmp_path):
     stream = monitor.landmark_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, kind="parquet")
     monitor.write_stream(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 20
+
+
+def test_components_of_columns_that_do_not_vary(spark):
+    df = spark.createDataFrame([(float(i), float(-2 * i), 7.0, float(i * i % 5), None if i == 3 else 1.0 * i) for i in range(12)], "a double, b double, c double, d double, e double")
+    rows = stats.principal_components(df, ["a", "b", "c", "d"], 4).collect()
+    data = np.array([(i, -2 * i, i * i % 5) for i in range(12)], float)
+    expected = sorted(np.linalg.eigvalsh(np.corrcoef(data.T)), reverse=True)
+    shares = [next(r.share for r in rows if r.component == k) for k in (1, 2, 3, 4)]
+    assert np.allclose(shares, [*(np.array(expected) / 3), 0], atol=1e-9) and all(abs(r.loading) < 1e-9 for r in rows if r.feature == "c" and r.component < 3)
+    assert stats.principal_components(df.limit(0), ["a", "b"], 2).count() == 0
+    assert {r.feature for r in stats.principal_components(df, ["a", "e"], 2).collect()} == {"a", "e"}

@@ -71,6 +71,8 @@ class Pieces:
         self.hashes = np.array([_hash(x) for x in order], dtype=np.uint64)
         self.ids = np.array([self.score[x][0] for x in order], dtype=np.int32)
         self.scores = np.array([self.score[x][1] for x in order])
+        #: Whether sums of up to 64 scores are exact in 32-bit floats: they are whole numbers and not large.
+        self.narrow = bool((self.scores == np.rint(self.scores)).all() and self.penalty == round(self.penalty) and 64 * max(np.abs(self.scores).max(initial=0), abs(self.penalty)) < 2**24)
         if (np.diff(self.hashes) == 0).any():
             raise ValueError("two pieces share a hash")
         self.likely = np.zeros(1 << 22, dtype=bool)
@@ -154,7 +156,7 @@ def batch_viterbi(pieces: Pieces, parts: list[str]) -> tuple[np.ndarray, np.ndar
     """For parts of one length: best scores, what the second-best loses (inf: there is none), the best ids,
     right-aligned in a matrix, and how many they are."""
     n, size = len(parts), len(parts[0])
-    exact = np.float32 if size <= 64 else np.float64  # scores are whole numbers
+    exact = np.float32 if pieces.narrow and size <= 64 else np.float64
     codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(n, size).astype(np.uint64)
     most = min(size, pieces.longest)
     score = np.full((most, n, size), -np.inf, dtype=exact)  # by length - 1, part, end - 1

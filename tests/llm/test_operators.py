@@ -72,6 +72,20 @@ def test_nbest_scores_are_those_of_all_paths_and_decode(encoder):
         assert len({i for _, i in found}) == len(found) and all(encoder.decode(i) == text for _, i in found)
 
 
+def test_fractional_scores_are_not_rounded():
+    encoder = piece_nbest.Encoder(public_tokenizers.path("piece_bpe_32k.model"), 4)
+    pieces = encoder.pieces
+    assert pieces.narrow
+    rng = random.Random(6)
+    pieces.score = {k: (i, s / 3 + rng.random()) for k, (i, s) in pieces.score.items()}
+    order = {i: s for i, s in pieces.score.values()}
+    pieces.scores = np.array([order[i] for i in pieces.ids.tolist()])
+    pieces.narrow = False
+    texts = ["".join(rng.choice("the tion in.a") for _ in range(rng.randint(5, 25))) for _ in range(60)]
+    for text, found in zip(texts, encoder.encode(texts), strict=True):
+        assert [s for s, _ in found] == pytest.approx(best_scores(encoder, text, 4), rel=1e-12)
+
+
 def test_long_unbroken_text_takes_little_memory(encoder):
     text = "".join(random.Random(1).choice("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/") for _ in range(20_000))
     tracemalloc.start()

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from motiondeck.catalog import register
-from motiondeck.operators import features, fusion, graph, matching
+from motiondeck.operators import features, fusion, graph, grid, matching
 from motiondeck.plans.proxies import KPT, SIG, kpt, rounded, sig, table
 from motiondeck.sources.schema import BODY_WINDOW_METRICS
 from motiondeck.streaming import filters
@@ -252,8 +252,8 @@ ft AS (SELECT video, frame_idx, {own} FROM bt WINDOW w AS (PARTITION BY video OR
 _FT, _FT_ALL = _frame_sql()
 
 
-def _window_sql() -> str:
-    """SQL of the 46 columns: windows of a second, the points of wrists and index tips on their slots, steps, jerks, spectra, trunk sums."""
+def _window_sql() -> tuple[str, str]:
+    """SQL of the 46 columns, the tables and what is taken from them: windows of a second, the points of wrists and index tips on their slots, steps, jerks, spectra, trunk sums."""
     key = "video, i, side, source"
     points = " UNION ALL ".join(f"SELECT video, i, slot, fs, '{side}' AS side, '{source}' AS source, {', '.join(f'{name}_{c} AS {c}' for c in 'xyz')} FROM wr" for side in ("left", "right") for source, name in (("wrist", f"body_{side}_wrist"), ("fingertip", f"{side}_hand_8")))
     third = " + ".join(f"pow({c} - 3 * lag({c}, 1) OVER w + 3 * lag({c}, 2) OVER w - lag({c}, 3) OVER w, 2)" for c in "xyz")
@@ -290,8 +290,7 @@ sz AS (SELECT {key}, CASE WHEN any_value(top) < 1e-10 THEN 0.0 ELSE -sum(sqrt(po
 pq AS (SELECT pm.*, sal, CASE WHEN hi > lo AND n = hi - lo + 1 AND straight > 1e-10 THEN path / straight END AS eff, CASE WHEN n_grid >= 5 AND path >= 1e-10 THEN sqrt(pow((n_grid - 1) / fs, 5) / (2 * pow(path, 2)) * jerk * pow(fs, 6) / fs) END AS nj
 FROM pm LEFT JOIN sz ON sz.video = pm.video AND sz.i = pm.i AND sz.side = pm.side AND sz.source = pm.source),
 pw AS (SELECT video, i, {sides} FROM pq GROUP BY 1, 2),
-tw AS (SELECT wr.video, wr.i, any_value(ws) AS ws, any_value(we) AS we, max(trunk_lean_deg) - min(trunk_lean_deg) AS trunk_lean_range, {trunk}, CASE WHEN count(trunk_lean_deg) >= 5 THEN corr(trunk_lean_deg, greatest(left_reach_raw, right_reach_raw)) END AS compensatory_pattern_index FROM wr JOIN ft ON ft.video = wr.video AND ft.frame_idx = wr.frame_idx GROUP BY 1, 2)
-SELECT tw.video, 0 AS person_idx, round(ws, 4) AS window_start_sec, round(we, 4) AS window_end_sec, {own}, {body}{two} FROM tw LEFT JOIN pw ON pw.video = tw.video AND pw.i = tw.i"""
+tw AS (SELECT wr.video, wr.i, any_value(ws) AS ws, any_value(we) AS we, max(trunk_lean_deg) - min(trunk_lean_deg) AS trunk_lean_range, {trunk}, CASE WHEN count(trunk_lean_deg) >= 5 THEN corr(trunk_lean_deg, greatest(left_reach_raw, right_reach_raw)) END AS compensatory_pattern_index FROM wr JOIN ft ON ft.video = wr.video AND ft.frame_idx = wr.frame_idx GROUP BY 1, 2)""", f"""SELECT tw.video, 0 AS person_idx, round(ws, 4) AS window_start_sec, round(we, 4) AS window_end_sec, {own}, {body}{two} FROM tw LEFT JOIN pw ON pw.video = tw.video AND pw.i = tw.i"""
 
 
 @register("body_frame_table", f"WITH {_FT} {_FT_ALL}")
@@ -301,13 +300,43 @@ def body_frame_table(spark, sf_dir):
     return rounded(features.frame_features(own, mode, world))
 
 
-@register("body_window_table", _window_sql())
+_WT, _WT_ALL = _window_sql()
+
+
+@register("body_window_table", f"{_WT} {_WT_ALL}")
 def body_window_table(spark, sf_dir):
     """The whole window table of the body recordings: wrists, fingertips, trunk and both sides compared."""
     own, mode, world = features.gated(_body_table(spark, sf_dir))
     return rounded(features.window_features(own, mode, world), 4)
 
 
+def _quality_sql() -> str:
+    """SQL of the 22 columns: evidence of every source in every window, and the first cause against each metric."""
+    key = "video, i, side, source"
+    metrics = ", ".join(f"('{side}', '{m}', '{source}', '{f'body_{side}_wrist' if source == 'wrist' else f'{side}_hand_8'}')" for side in ("left", "right") for m, source in features.SIDE_METRICS.items())
+    estimates = " UNION ALL ".join(f"SELECT video, i, '{side}' AS side, '{m}' AS metric, {side}_{m} AS estimate FROM pw" for side in ("left", "right") for m in features.SIDE_METRICS)
+    low, gap = f"{grid.MIN_COVERAGE} * (1 - {grid.TOLERANCE})", f"{grid.MAX_GAP_SEC} * (1 + {grid.TOLERANCE})"
+    reason = f"CASE WHEN nv = 0 THEN '{grid.REASONS[1]}' WHEN nv < 2 OR ni < 1 THEN '{grid.REASONS[2]}' WHEN longest / fs > {gap} THEN '{grid.REASONS[3]}' WHEN nv / total < {low} THEN '{grid.REASONS[4]}' WHEN estimate IS NULL OR NOT isfinite(estimate) THEN '{grid.REASONS[5]}' ELSE 'none' END"
+    return f"""{_WT}, wl AS (SELECT video, i, any_value(ws) AS ws, any_value(we) AS we, CAST(greatest(0, round_even((min(t) - any_value(ws)) * any_value(fs), 0)) AS BIGINT) AS lead, CAST(greatest(0, round_even((any_value(we) - max(t)) * any_value(fs), 0) - 1) AS BIGINT) AS trail FROM wr GROUP BY 1, 2),
+e0 AS (SELECT *, CASE WHEN x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL THEN slot END AS seen FROM pt),
+e1 AS (SELECT *, seen - last_value(seen IGNORE NULLS) OVER (PARTITION BY {key} ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1 AS gap FROM e0),
+e2 AS (SELECT {key}, any_value(fs) AS fs, max(slot) AS last, min(seen) AS lo, max(seen) AS hi, count(seen) AS nv, count(*) FILTER (gap = 0) AS ni, coalesce(max(gap), 0) AS inner_gap, count(*) FILTER (gap > 0) AS gaps FROM e1 GROUP BY {key}),
+e3 AS (SELECT e2.*, ws, we, CAST(last + 1 + lead + trail AS DOUBLE) AS total, lead + lo AS head, last - hi + trail AS tail FROM e2 JOIN wl ON wl.video = e2.video AND wl.i = e2.i),
+e4 AS (SELECT *, CASE WHEN nv = 0 THEN total ELSE greatest(inner_gap, head, tail) END AS longest, CASE WHEN nv = 0 THEN 1 ELSE gaps + CASE WHEN head > 0 THEN 1 ELSE 0 END + CASE WHEN tail > 0 THEN 1 ELSE 0 END END AS n_gaps FROM e3),
+mm AS (SELECT * FROM (VALUES {metrics}) AS m(side, metric, source, required)), est AS ({estimates}),
+q AS (SELECT e4.*, mm.metric, mm.required, estimate FROM e4 JOIN mm ON mm.side = e4.side AND mm.source = e4.source LEFT JOIN est ON est.video = e4.video AND est.i = e4.i AND est.side = mm.side AND est.metric = mm.metric)
+SELECT video, 0 AS person_idx, round(ws, 4) AS window_start_sec, round(we, 4) AS window_end_sec, side || '_' || metric AS metric_id, side || '_' || source AS source_group, CAST(total AS INT) AS n_expected_frames, CAST(nv AS INT) AS n_valid_frames, round(nv / total, 6) + 0.0 AS frame_coverage,
+CAST(total - 1 AS INT) AS n_expected_intervals, CAST(ni AS INT) AS n_valid_intervals, round(CASE WHEN total > 1 THEN ni / (total - 1) END, 6) + 0.0 AS interval_coverage, round(ni / fs, 6) + 0.0 AS valid_duration_sec, CAST(longest AS INT) AS longest_gap_frames, round(longest / fs, 6) + 0.0 AS longest_gap_sec, CAST(n_gaps AS INT) AS n_gaps,
+required AS required_keypoints, CAST(nv > 0 AS INT) AS n_required_keypoints_present, {grid.MIN_COVERAGE} AS min_coverage, {grid.MAX_GAP_SEC} AS max_gap_sec, CASE WHEN {reason} = 'none' THEN 'pass' ELSE 'fail' END AS qc_status, {reason} AS qc_reason FROM q"""
+
+
+@register("body_quality_table", _quality_sql())
+def body_quality_table(spark, sf_dir):
+    """Twelve rows a window of the body recordings: the evidence behind each metric and why it does not count, if so."""
+    own, mode, world = features.gated(_body_table(spark, sf_dir))
+    return rounded(features.window_quality(own, mode, features.window_features(own, mode, world)))
+
+
 @register("frame_table")
 def frame_table(spark, sf_dir):
     """The whole frame table of the hand recordings."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from motiondeck.catalog import register
 from motiondeck.operators import features, fusion, graph, grid, matching
 from motiondeck.plans.proxies import KPT, SIG, kpt, rounded, sig, table
-from motiondeck.sources.schema import BODY_WINDOW_METRICS
+from motiondeck.sources.schema import BILATERAL, BODY_WINDOW_METRICS
 from motiondeck.streaming import filters
 
 #: A rig of three cameras that looks along z.
@@ -337,14 +337,48 @@ def body_quality_table(spark, sf_dir):
     return rounded(features.window_quality(own, mode, features.window_features(own, mode, world)))
 
 
-@register("frame_table")
+#: The left hand's points where they were observed.
+_HT = f"{KPT}, ht AS (SELECT 'v' || label AS video, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INT) AS frame_idx, " + ", ".join(f"CASE WHEN vec_id % 9 <> 0 THEN p{i}_{c} END AS h{i}_{c}" for i in (0, 4, 8, 20) for c in "xyz") + " FROM kpt)"
+
+
+def _hand_frame_sql() -> str:
+    """SQL of the 54 columns of a table with one hand: spread, apertures and movement of the left one, NULL for all else."""
+    dist = lambda a, b: "sqrt(" + " + ".join(f"pow(h{a}_{c} - h{b}_{c}, 2)" for c in "xyz") + ")"
+    dot = " + ".join(f"(h8_{c} - h0_{c}) * (h20_{c} - h0_{c})" for c in "xyz")
+    known = {
+        "left_finger_spread_deg": f"CASE WHEN {dist(8, 0)} * {dist(20, 0)} > 1e-12 THEN degrees(acos(greatest(-1.0, least(1.0, ({dot}) / ({dist(8, 0)} * {dist(20, 0)}))))) END",
+        "left_grasp_aperture_thumb_index": dist(4, 8), "left_grasp_aperture_thumb_pinky": dist(4, 20), "left_fingertip_displacement": "sqrt(" + " + ".join(f"pow(h8_{c} - lag(h8_{c}) OVER w, 2)" for c in "xyz") + ")",
+    }
+    names = [f"{s}_{m}" for s in ("left", "right") for m in features.FRAME_METRICS] + [f"{m}_{k}" for m in features.FRAME_METRICS for k in BILATERAL] + features.TRUNK
+    cells = ", ".join(f"round({known[n]}, 6) + 0.0 AS {n}" if n in known else f"CAST(NULL AS DOUBLE) AS {n}" for n in names)
+    return f"WITH {_HT} SELECT video, frame_idx, round(frame_idx / 30.0, 6) + 0.0 AS timestamp_sec, 0 AS person_idx, {cells} FROM ht WINDOW w AS (PARTITION BY video ORDER BY frame_idx)"
+
+
+def _hand_window_sql() -> str:
+    """SQL of the 46 columns of a table with one hand: the jerk of its index tip, NULL for all else."""
+    third = " + ".join(f"pow({c} - 3 * lag({c}, 1) OVER w + 3 * lag({c}, 2) OVER w - lag({c}, 3) OVER w, 2)" for c in "xyz")
+    step = "sqrt(" + " + ".join(f"pow({c} - lag({c}) OVER w, 2)" for c in "xyz") + ")"
+    names = [f"{s}_{m}" for s in ("left", "right") for m in features.SIDE_METRICS] + BODY_WINDOW_METRICS + [f"{m}_{k}" for m in features.SIDE_METRICS for k in BILATERAL]
+    cells = ", ".join("round(nj, 4) + 0.0 AS left_fingertip_normalized_jerk" if n == "left_fingertip_normalized_jerk" else f"CAST(NULL AS DOUBLE) AS {n}" for n in names)
+    return f"""WITH {_HT}, tt AS (SELECT video, frame_idx, h8_x AS x, h8_y AS y, h8_z AS z, frame_idx / 30.0 AS t FROM ht), st AS (SELECT *, abs(t - lag(t) OVER (PARTITION BY video ORDER BY frame_idx)) AS step FROM tt),
+rt AS (SELECT video, 1 / median(step) AS fs, min(t) AS t0, max(t) AS t1 FROM st GROUP BY 1 HAVING count(*) >= 4),
+wk AS (SELECT video, fs, i, t0 + i * 0.5 AS ws, t0 + i * 0.5 + 1.0 AS we FROM rt, LATERAL (SELECT unnest(generate_series(0, CAST(floor((t1 - t0 - 1.0) / 0.5 + 1e-10) AS BIGINT))) AS i) WHERE t1 - t0 >= 1.0 - 1e-10),
+wa AS (SELECT tt.*, wk.fs, wk.i, wk.ws, wk.we, count(*) OVER (PARTITION BY wk.video, wk.i) AS n_rows, min(t) OVER (PARTITION BY wk.video, wk.i) AS first FROM tt JOIN wk ON wk.video = tt.video AND t >= ws AND t < we),
+wr AS (SELECT *, CAST(round_even((t - first) * fs, 0) AS BIGINT) AS slot FROM wa WHERE n_rows >= 4), pg AS (SELECT *, max(slot) OVER (PARTITION BY video, i) AS top FROM wr), pk AS (SELECT * FROM pg WHERE x IS NOT NULL),
+ps AS (SELECT *, CASE WHEN lag(slot) OVER w = slot - 1 THEN {step} END AS step, CASE WHEN lag(slot, 3) OVER w = slot - 3 THEN {third} END AS jerk FROM pk WINDOW w AS (PARTITION BY video, i ORDER BY slot)),
+pm AS (SELECT video, i, any_value(fs) AS fs, any_value(top) + 1 AS n_grid, sum(step) AS path, sum(jerk) AS jerk FROM ps GROUP BY 1, 2),
+al AS (SELECT video, i, any_value(ws) AS ws, any_value(we) AS we FROM wr GROUP BY 1, 2)
+SELECT al.video, 0 AS person_idx, round(ws, 4) AS window_start_sec, round(we, 4) AS window_end_sec, {cells} FROM al LEFT JOIN (SELECT *, CASE WHEN n_grid >= 5 AND path >= 1e-10 THEN sqrt(pow((n_grid - 1) / fs, 5) / (2 * pow(path, 2)) * jerk * pow(fs, 6) / fs) END AS nj FROM pm) p ON p.video = al.video AND p.i = al.i"""
+
+
+@register("frame_table", _hand_frame_sql())
 def frame_table(spark, sf_dir):
     """The whole frame table of the hand recordings."""
     own, mode, world = features.gated(_hand_table(spark, sf_dir))
     return rounded(features.frame_features(own, mode, world))
 
 
-@register("window_table")
+@register("window_table", _hand_window_sql())
 def window_table(spark, sf_dir):
     """The whole window table of the hand recordings: fingertips only, as there are no wrists."""
     own, mode, world = features.gated(_hand_table(spark, sf_dir))

@@ -21,8 +21,9 @@ BODY_KEYPOINTS = [
     "left_heel", "right_heel", "left_foot_index", "right_foot_index",
 ]
 HAND_POINTS = 21
+# The nine columns of a world keypoint, in the order of the files.
 WORLD_SUFFIXES = ["x_m", "y_m", "z_m", "confidence", "reproj_err_px", "candidate_n_views", "n_views", "cheirality_ok", "triangulation_angle_deg"]
-#: Bones (label, one end, other end) and the pairs that should be equally long.
+# Bones (label, one end, other end) and the pairs that should be equally long.
 BONES = [
     ("left_upper_arm", "arm_left_shoulder", "arm_left_elbow"),
     ("right_upper_arm", "arm_right_shoulder", "arm_right_elbow"),
@@ -48,6 +49,7 @@ SYMMETRIC_BONES = [
     ("body_left_thigh", "body_right_thigh"),
     ("body_left_shank", "body_right_shank"),
 ]
+# The identity tags that stand last in an artifact.
 ARTIFACT_TAGS = [
     "artifact_kind", "source_sha256", "coord_space", "distance_unit", "producer_version", "metric_method_version",
     "qc_policy_version", "metric_qualification", "provenance_class",
@@ -123,6 +125,7 @@ def keypoint_label(part: Column, index: Column, scheme: str = "arm") -> Column:
     return F.when((part == "body") & (index < len(names)), F.get(known, index)).otherwise(F.concat_ws("_", part, index.cast("string")))
 
 
+# Column names of the window table, and below of the quality, phase, metrics and detail tables.
 _SIDE_METRICS = ["wrist_sal", "wrist_velocity_mean", "wrist_velocity_peak", "wrist_normalized_jerk", "wrist_movement_efficiency", "fingertip_normalized_jerk"]
 BODY_WINDOW_METRICS = [
     "compensatory_pattern_index", "trunk_lean_mean", "trunk_lean_sd", "trunk_lean_range", "trunk_lean_sagittal_mean",

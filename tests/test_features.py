@@ -13,6 +13,7 @@ M = lambda u: 10 * u**3 - 15 * u**4 + 6 * u**5
 
 def recording(frames=range(91)):
     """91 frames at 30 Hz in body mode; the wrists follow a minimum-jerk reach."""
+    # The coefficients of the closed-form recording that the expected numbers below belong to.
     rows = []
     for i in frames:
         u, m = i / 90, M(i / 90)

@@ -327,7 +327,7 @@ mm AS (SELECT * FROM (VALUES {metrics}) AS m(side, metric, source, required)), e
 q AS (SELECT e4.*, mm.metric, mm.required, estimate FROM e4 JOIN mm ON mm.side = e4.side AND mm.source = e4.source LEFT JOIN est ON est.video = e4.video AND est.i = e4.i AND est.side = mm.side AND est.metric = mm.metric)
 SELECT video, 0 AS person_idx, round(ws, 4) AS window_start_sec, round(we, 4) AS window_end_sec, side || '_' || metric AS metric_id, side || '_' || source AS source_group, CAST(total AS INT) AS n_expected_frames, CAST(nv AS INT) AS n_valid_frames, round(nv / total, 6) + 0.0 AS frame_coverage,
 CAST(total - 1 AS INT) AS n_expected_intervals, CAST(ni AS INT) AS n_valid_intervals, round(CASE WHEN total > 1 THEN ni / (total - 1) END, 6) + 0.0 AS interval_coverage, round(ni / fs, 6) + 0.0 AS valid_duration_sec, CAST(longest AS INT) AS longest_gap_frames, round(longest / fs, 6) + 0.0 AS longest_gap_sec, CAST(n_gaps AS INT) AS n_gaps,
-required AS required_keypoints, CAST(nv > 0 AS INT) AS n_required_keypoints_present, {grid.MIN_COVERAGE} AS min_coverage, {grid.MAX_GAP_SEC} AS max_gap_sec, CASE WHEN {reason} = 'none' THEN 'pass' ELSE 'fail' END AS qc_status, {reason} AS qc_reason FROM q"""
+required AS required_keypoints, CAST(nv > 0 AS INT) AS n_required_keypoints_present, CAST({grid.MIN_COVERAGE} AS DOUBLE) AS min_coverage, CAST({grid.MAX_GAP_SEC} AS DOUBLE) AS max_gap_sec, CASE WHEN {reason} = 'none' THEN 'pass' ELSE 'fail' END AS qc_status, {reason} AS qc_reason FROM q"""
 
 
 @register("body_quality_table", _quality_sql())

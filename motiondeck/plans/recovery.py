@@ -195,7 +195,7 @@ _FUSION_FIGURES = ["fused_frame_fraction", "trusted_keypoint_fraction", "reproj_
 def fusion_section(spark, sf_dir):
     """Errors, views, angles, rejections and the fused, trusted and unfused shares of each session's fused points."""
     found = report.fusion(fused_points(spark, sf_dir), report.expected_fused(rig_cameras(spark, sf_dir), ["label"]), ["label"])
-    return rounded(found.select("label", "n_frames_fused", "expected_frames", "n_active_keypoints", F.col("n_views_min").cast("bigint").alias("n_views_min"), *_FUSION_FIGURES))
+    return rounded(found.select("label", "n_frames_fused", "expected_frames", F.col("n_active_keypoints").cast("bigint").alias("n_active_keypoints"), F.col("n_views_min").cast("bigint").alias("n_views_min"), *_FUSION_FIGURES))
 
 
 def session_figures(spark, sf_dir):

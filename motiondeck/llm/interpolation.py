@@ -18,7 +18,7 @@ reach the driver. Memory: a chunk, a part of ``PART`` keys, one document's token
 
 Null or empty texts are the end token alone. Rows that repeat a doc_id count and are scored each. A null
 doc_id is scored (``held_out`` null) but never learned from. Other columns are not read. Without training
-documents N = V = 0: base_score is 0 and score is log10 of what the weights leave to unknown words.
+documents N = V = 0: base_score and add_one are 0 and score is log10 of what the weights leave to unknown words.
 """
 
 from __future__ import annotations
@@ -322,7 +322,7 @@ def mixture(rows: list, n: int, v: int) -> Mixture:
     return Mixture(weights, n, v)
 
 
-_SCORES = "doc_id bigint, role int, n_tokens bigint, n_known bigint, base_score double, score double"
+_SCORES = "doc_id bigint, role int, n_tokens bigint, n_known bigint, base_score double, score double, add_one double"
 
 
 def _score(parts: dict[int, int], model: Mixture):
@@ -334,18 +334,23 @@ def _score(parts: dict[int, int], model: Mixture):
             w = model.weights[b]
             p = w[:, 0] * f2 + w[:, 1] * f1 + w[:, 2] / (model.v + 1)
             base = np.log10((c1 + 1) / ((model.n + 1) * (model.v + 1)))
+            add_one = np.log10((c1 + 1) / (model.n + model.v + 1))
             # sums by text, not differences of running sums: their rounding does not depend on the chunk
             starts = np.cumsum(chunk.lengths) - chunk.lengths
-            scores = [np.add.reduceat(x, starts) for x in (base[chunk.tokens], np.log10(p))]
+            scores = [np.add.reduceat(x, starts) for x in (base[chunk.tokens], np.log10(p), add_one[chunk.tokens])]
             known = sums((c1 > 0).astype(np.int64)[chunk.tokens], chunk.lengths)
-            out.append(pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "role": pa.array(row["roles"], pa.int32()), "n_tokens": chunk.lengths, "n_known": known, "base_score": scores[0], "score": scores[1]}))
-        return pa.concat_tables(out) if out else pa.table({c.split(" ")[0]: pa.array([], k) for c, k in zip(_SCORES.split(", "), [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()], strict=True)})
+            out.append(pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "role": pa.array(row["roles"], pa.int32()), "n_tokens": chunk.lengths, "n_known": known, "base_score": scores[0], "score": scores[1], "add_one": scores[2]}))
+        return pa.concat_tables(out) if out else pa.table({c.split(" ")[0]: pa.array([], k) for c, k in zip(_SCORES.split(", "), [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()], strict=True)})
 
     return run
 
 
 def score_texts(docs: DataFrame, *, parts: int = 7, held_out: int = 2, deleted: int = 16) -> tuple[DataFrame, Mixture]:
-    """Scores of all rows by a model of those whose crc32(doc_id) mod ``parts`` is not ``held_out``, and the model."""
+    """Scores of all rows by a model of those whose crc32(doc_id) mod ``parts`` is not ``held_out``, and the model.
+
+    Two plain scores stand beside them: ``add_one`` is that of the add-one estimate, (c + 1) / (N + V + 1), which sums to one over all words and an
+    unknown one; ``base_score`` divides by (N + 1)(V + 1) instead.
+    """
     chunks = materialize(to_chunks(docs, parts=parts, held_out=held_out, deleted=deleted), keep=True)
     found, dealt = totals(chunks)
     n, n_stays = (x or 0 for x in chunks.agg(F.sum("n_learned"), F.sum(F.when(~F.col("deleted"), F.col("n_learned")))).first())
@@ -365,4 +370,4 @@ def score_texts(docs: DataFrame, *, parts: int = 7, held_out: int = 2, deleted:
 def op11_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, model = score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
     held_out = F.when(F.col("doc_id").isNotNull(), fold(F.col("doc_id"), 7) == 2)
-    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("bigint").alias("train_tokens"), "base_score", "score")
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("bigint").alias("train_tokens"), F.col("add_one").alias("base_score"), "score")

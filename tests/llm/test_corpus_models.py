@@ -113,6 +113,18 @@ def test_held_out_texts_score_above_the_base(spark, sf_dir):
     assert found[2] > 0 and found[0] > found[1]
 
 
+def test_base_of_the_query_is_add_one(spark, tmp_path):
+    texts = [(d, t) for d, t in enumerate(["The the A\x0bb", "", None, " \t", "a a a é\u00a0É x", "THE end", "b\rc\x00 c", "unseen"] * 5)] + [(0, "again"), (None, "the none")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    held = {d: None if d is None else zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in texts}
+    counts = Counter(w for d, t in texts if held[d] is False for w in words(t))
+    n, v = sum(counts.values()), len(counts)
+    expected = sorted((str(d), held[d], len(words(t)), sum(counts[w] > 0 for w in words(t)), n, round(sum(math.log10((counts[w] + 1) / (n + 1 * (v + 1))) for w in words(t)), 9)) for d, t in texts)
+    found = interpolation.op11_deleted_interpolation(spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 9)) for r in found) == expected
+
+
 def test_scores_of_awkward_rows_and_none(spark):
     docs = spark.createDataFrame(AWKWARD, SCHEMA)
     rows = interpolation.score_texts(docs)[0].collect()

@@ -8,7 +8,8 @@ that agree in a block are candidates. (A SimHash of all words of a line moves in
 word of ten replaced, one in thirty stays within 3 of 64 bits.) Short lines, and those with few words for their length, have blocks that draw character n-grams,
 and for lines of at most ``TINY`` characters all that deletions can leave are keys too, which misses no pair of them. A plain SimHash of all words spares
 the verification of candidates that differ in over ``SKETCH`` bits, and the words drawn that of those with over ``UNLIKE`` other draws of 32 (lines that
-share a long passage and little else); lines of fewer than ``WORDY`` words have neither, those that draw n-grams have no such words. Candidates are verified
+share a long passage and little else); lines of fewer than ``WORDY`` words have neither, those that draw n-grams have no such words. Of lines of up to ``SHORT``
+characters a bitmap of their pairs of characters rules out what no number of allowed edits can make alike, and nothing else. Candidates are verified
 by edit similarity, 1 - levenshtein / longer length >= ``similarity``. Of each connected group of lines
 the occurrence with the smallest (doc_id, line number) stays and all others are removed; equal
 normalised lines are one group from the start.
@@ -21,8 +22,8 @@ Only doc_id and text are read; other columns pass through ``dedup_lines`` untouc
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Callable, Iterator
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,10 @@ BRIEF = 5
 SKETCH, WORDY = 18, 8
 #: Draws, of the BLOCKS * DRAWS of a line's words, in which such candidates may differ. A fifth of the words replaced makes some nine differ.
 UNLIKE = 14
+#: Longs of the bitmap of pairs of characters that a line of up to SHORT characters has.
+BITMAP = 8
+#: Rounds of hubs end when one links less than this share of the pairs it verifies; the comparison across groups takes what is left.
+WORTH = 0.05
 #: Keys of more lines than this are first held against one of them.
 PAIRWISE = 4
 #: Lines that a task remembers to have met, so as to give keys once.
@@ -156,6 +161,20 @@ class Lines:
         first = np.cumsum(counts) - counts
         return drawn(grams[np.repeat(at - first, counts) + np.arange(counts.sum())], first, GRAM_BLOCKS, GRAM_DRAWS, 1)[0]
 
+    def bitmaps(self, some: np.ndarray) -> np.ndarray:
+        """A row a line: BITMAP longs with a bit for every pair of neighbouring characters, the second and later occurrences of a pair apart."""
+        counts = self.sizes[some] - 1
+        row = np.repeat(np.arange(len(some)), counts)
+        at = np.repeat(self._from[some] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        pairs = np.stack([self._flat[at], self._flat[at + 1]]).astype(np.uint64)
+        pairs = mix64(pairs[0] << np.uint64(21) | pairs[1]) >> np.uint64(32) | row.astype(np.uint64) << np.uint64(32)
+        pairs.sort()  # by line, so that row stays as it is
+        begins = np.flatnonzero(np.diff(pairs, prepend=~pairs[:1]))
+        occurrence = np.arange(len(pairs)) - np.repeat(begins, np.diff(np.append(begins, len(pairs))))
+        out = np.zeros((len(some), 64 * BITMAP), dtype=bool)
+        out[row, mix64((pairs & np.uint64(0xFFFFFFFF)) + (occurrence.astype(np.uint64) << np.uint64(32))) % np.uint64(64 * BITMAP)] = True
+        return np.packbits(out, axis=1).view(np.int64)
+
 
 def drawn(hashes: np.ndarray, first: np.ndarray, blocks: int, draws: int, kind: int, late: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A row a line (its hashes begin at first), a column a block: the SimHash of the ``draws`` (three or four) hashes that are the
@@ -212,8 +231,9 @@ def line_keys(lines: Lines, some: np.ndarray, similarity: float) -> tuple[pa.Arr
     return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(np.concatenate(keys)[order].view(np.int64))), wordy[long], draws[long]
 
 
-OCCURRENCE = "doc_id bigint, line int, id bigint, tail bigint, sim bigint, draw1 bigint, draw2 bigint, size int, keys array<bigint>"
-_OCCURRENCE = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("id", pa.int64()), ("tail", pa.int64()), ("sim", pa.int64()), ("draw1", pa.int64()), ("draw2", pa.int64()), ("size", pa.int32()), ("keys", pa.list_(pa.int64()))])
+MAPS = [f"map{k}" for k in range(BITMAP)]
+OCCURRENCE = f"doc_id bigint, line int, id bigint, tail bigint, sim bigint, draw1 bigint, draw2 bigint, {', '.join(f'{m} bigint' for m in MAPS)}, size int, keys array<bigint>"
+_OCCURRENCE = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), *((c, pa.int64()) for c in ("id", "tail", "sim", "draw1", "draw2", *MAPS)), ("size", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
 
 def _numbered(batches: Iterator[pa.RecordBatch], of: np.ndarray, rows: int = 500) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, Lines]]:
@@ -255,10 +275,13 @@ def _occurrences(of, similarity: float):
             draws, none_drawn = np.zeros((len(ids), 2), dtype=np.int64), few.copy()
             none_drawn[some] = True
             draws[some[worded]], none_drawn[some[worded]] = bits, few[some[worded]]
+            brief = some[lines.sizes[some] <= SHORT]
+            maps, unmapped = np.zeros((len(ids), BITMAP), dtype=np.int64), np.ones(len(ids), dtype=bool)
+            maps[brief], unmapped[brief] = lines.bitmaps(brief), False
             counts = np.zeros(len(ids) + 1, dtype=np.int32)
             counts[some + 1] = np.diff(keys.offsets.to_numpy())
             keys = pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), keys.values, mask=pa.array(~fresh))
-            columns = [pa.array(doc, mask=none), pa.array(number, pa.int32()), pa.array(ids), pa.array(tails), pa.array(sims, mask=few), *(pa.array(d, mask=none_drawn) for d in draws.T.copy()), pa.array(lines.sizes, pa.int32(), mask=~fresh), keys]
+            columns = [pa.array(doc, mask=none), pa.array(number, pa.int32()), pa.array(ids), pa.array(tails), pa.array(sims, mask=few), *(pa.array(d, mask=none_drawn) for d in draws.T.copy()), *(pa.array(m, mask=unmapped) for m in maps.T.copy()), pa.array(lines.sizes, pa.int32(), mask=~fresh), keys]
             yield pa.RecordBatch.from_arrays(columns, schema=_OCCURRENCE)
 
     return run
@@ -297,7 +320,7 @@ def _alike(similarity: float):
 
 
 #: What decides, before any text is read, whether two lines can be alike.
-FACTS = ["sim", "size", "draw1", "draw2"]
+FACTS = ["sim", "size", "draw1", "draw2", *MAPS]
 
 
 def unlike(x: Column, y: Column) -> Column:
@@ -307,6 +330,16 @@ def unlike(x: Column, y: Column) -> Column:
     return F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseAND(F.lit(0x1111111111111111)))
 
 
+def apart(x: Callable, y: Callable) -> Column:
+    """The most pairs of characters that one of two lines is known to have and the other lacks (null unless both have bitmaps). An edit
+    takes away two at most, so of lines within d edits there are 2 d at most."""
+
+    def only(one: Callable, two: Callable) -> Column:
+        return reduce(Column.__add__, [F.bit_count(one(m).bitwiseAND(F.bitwise_not(two(m)))) for m in MAPS])
+
+    return F.greatest(only(x, y), only(y, x))
+
+
 def line_buckets(firsts: DataFrame, similarity: float) -> DataFrame:
     """(key, id, *FACTS, n) of keys that two lines or more share. Crowded keys are split by length, into classes of which two similar lines share one."""
     found = materialize(sized(firsts.select(F.explode("keys").alias("key"), "id"), []))
@@ -339,7 +372,8 @@ def _dropped(docs: DataFrame, similarity: float) -> DataFrame:
     def admissible(x, y):
         near = F.bit_count(x("sim").bitwiseXOR(y("sim"))) <= SKETCH
         same = unlike(x("draw1"), y("draw1")) + unlike(x("draw2"), y("draw2")) <= UNLIKE
-        return F.coalesce(near, F.lit(True)) & F.coalesce(same, F.lit(True)) & fits(x, y)
+        edits = F.floor(share * F.greatest(x("size"), y("size")) / 1000)
+        return F.coalesce(near, F.lit(True)) & F.coalesce(same, F.lit(True)) & fits(x, y) & F.coalesce(apart(x, y) <= 2 * edits, F.lit(True))
 
     def prepare(ids: DataFrame):
         places = materialize(firsts.join(ids.distinct(), "id", "left_semi").select("doc_id", "line"))
@@ -354,7 +388,7 @@ def _dropped(docs: DataFrame, similarity: float) -> DataFrame:
 
         return verify
 
-    groups = components(linked(line_buckets(firsts, similarity), FACTS, admissible, prepare, pairwise=PAIRWISE, rounds=8))
+    groups = components(linked(line_buckets(firsts, similarity), FACTS, admissible, prepare, pairwise=PAIRWISE, rounds=8, worth=WORTH, once=True))
     seen = found.groupBy("id", "tail").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first"))
     seen = materialize(seen.join(groups, "id", "left").where("n > 1 or root is not null").select("id", "tail", "root", "first"))
     # a line that is linked to none is a group of its own

@@ -68,7 +68,7 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionAll(roots)
 
 
-def linked(buckets: DataFrame, attributes: list[str], admissible: Callable, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], fits: Callable | None = None, enough: Callable | None = None, pairwise: int = SMALL, rounds: int = ROUNDS) -> DataFrame:
+def linked(buckets: DataFrame, attributes: list[str], admissible: Callable, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], fits: Callable | None = None, enough: Callable | None = None, pairwise: int = SMALL, rounds: int = ROUNDS, worth: float = 0.0, once: bool = False) -> DataFrame:
     """Links (a, b) that connect all ids which any chain of verified pairs within buckets connects.
 
     buckets: distinct (key, id, *attributes) of buckets with two members or more, and ``n``, their size.
@@ -78,7 +78,8 @@ def linked(buckets: DataFrame, attributes: list[str], admissible: Callable, prep
     verify(pairs) returns the rows (a, b) of pairs that are links.
     fits(x, y): a Column, whether two ids can be a link by their first attribute alone.
     enough(n, x, y): a Column, by their first attribute too, whether two ids that share at most n keys can be a link at all.
-    pairwise: buckets up to this size are compared pair by pair at once. Larger ones have a round of hubs, and those over SMALL up to ``rounds``.
+    pairwise: buckets up to this size are compared pair by pair at once. Larger ones have a round of hubs, and those over SMALL up to ``rounds``,
+    as long as a round links at least the share ``worth`` of the pairs that it verifies. once: pairs across groups are made at the least key they share alone.
     """
 
     def side(df: DataFrame, prefix: str) -> DataFrame:
@@ -108,6 +109,7 @@ def linked(buckets: DataFrame, attributes: list[str], admissible: Callable, prep
     rest, left = large, None
     if rest.isEmpty():
         return links
+    known = links.count() if worth else 0
     seen = None
     # what the others were copied from shares more keys with them than they do with one another
     weight = rest.groupBy("id").agg(F.sum("n").alias("weight"))
@@ -131,14 +133,25 @@ def linked(buckets: DataFrame, attributes: list[str], admissible: Callable, prep
         rest, left = found.where(~F.col("hit") & (F.col("n") > SMALL)).drop("hub", "hit"), found.where("hit and id <> hub").drop("hub", "hit")
         if rest.isEmpty():
             break
+        if worth:
+            known, before = links.count(), known
+            if known - before < worth * pairs.count():
+                break
     grouped = large.join(components(links), "id", "left").withColumn("root", F.coalesce("root", "id"))
     main = grouped.groupBy("key").agg(F.mode("root", deterministic=True).alias("main"), F.count_distinct("root").alias("roots")).where("roots > 1").drop("roots")
     grouped = materialize(grouped.join(main, "key").select("key", "id", *attributes, "root", "main"))
     if grouped.isEmpty():
         return links
     attributes = [*attributes, "root"]
+    differ = F.col("x_root") != F.col("y_root")
+    if once:
+        # a key that two ids of different groups share is a row of both here, and one of the two is odd in it
+        grouped = materialize(grouped.join(grouped.groupBy("id").agg(F.collect_set("key").alias("keys")), "id").withColumn("odd", F.col("root") != F.col("main")))
+        attributes = [*attributes, "odd", "keys"]
+        differ = differ & (~F.col("y_odd") | (F.col("x_id") < F.col("y_id")))
+        ok = ok & (F.array_min(F.array_intersect("x_keys", "y_keys")) == F.col("key"))
     odd = grouped.where("root <> main")
-    across = pairs_of(odd, grouped, F.col("x_root") != F.col("y_root"))
+    across = pairs_of(odd, grouped, differ)
     across = materialize(across.join(seen, ["a", "b"], "left_anti"))
     return links.unionAll(verify(across))
 

@@ -297,6 +297,69 @@ def test_small_edits_are_found_whatever_the_length(spark):
     assert sum(r.__getitem__("__gone") for r in out) == 4
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_bitmaps_refuse_unlike_lines_and_no_others(seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(2, 8)))
+    lines = [" ".join(word() for _ in range(9))[: rng.randint(40, line_dedup.SHORT)].strip() for _ in range(60)] + ["a", "a a a a a a a a", "ab" * 20, "é漢" * 9]
+    for x in lines[:60]:
+        y = list(x)
+        for _ in range(rng.randint(1, 12)):
+            k = rng.randrange(len(y))
+            y[k : k + rng.randint(0, 1)] = rng.choice(["", "z", "q"])
+        lines.append(line_dedup.normal("".join(y)))
+    found = line_dedup.Lines(["\n".join(lines)], line_dedup.letters())
+    assert len(found) == len(lines)
+    some = np.flatnonzero(found.sizes <= line_dedup.SHORT)
+    bits = dict(zip(some.tolist(), (sum(int(w) << 64 * k for k, w in enumerate(row)) for row in found.bitmaps(some).view(np.uint64).tolist()), strict=True))
+    refused = 0
+    for i in some.tolist():
+        for j in some.tolist():
+            edits = align.edit_distance(found.text(i), found.text(j), 1000)
+            assert (bits[i] & ~bits[j]).bit_count() <= 2 * edits
+            refused += i < j < 60 and max((bits[i] & ~bits[j]).bit_count(), (bits[j] & ~bits[i]).bit_count()) > 2 * (max(found.sizes[i], found.sizes[j]) * 200 // 1000)
+    assert refused > 0.9 * 60 * 59 / 2
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_groups_of_large_buckets_are_those_of_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    place = {i: rng.randrange(4000) for i in range(220)}
+    close = lambda a, b: abs(place[a] - place[b]) <= 12
+    rows = {(k, i) for k in range(6) for i in place if rng.random() < 0.5}
+    n = Counter(k for k, _ in rows)
+    buckets = spark.createDataFrame([(k, i, place[i], n[k]) for k, i in rows], "key bigint, id bigint, at int, n bigint")
+    root = {i: i for i in place}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k in range(6):
+        ids = sorted(i for at, i in rows if at == k)
+        for a in ids:
+            for b in ids:
+                if a < b and close(a, b):
+                    root[max(top(a), top(b))] = min(top(a), top(b))
+    verified = []
+
+    def prepare(ids):
+        def verify(pairs):
+            got = [(r.a, r.b) for r in pairs.collect()]
+            verified.extend(got)
+            return spark.createDataFrame([p for p in got if close(*p)], "a bigint, b bigint")
+
+        return verify
+
+    admissible = lambda x, y: F.abs(x("at") - y("at")) <= 40
+    for once in (True, False):
+        verified.clear()
+        groups = links.components(links.linked(buckets, ["at"], admissible, prepare, pairwise=4, rounds=3, worth=0.5, once=once)).collect()
+        assert {r.id: r.root for r in groups} == {i: top(i) for i in place if sum(top(j) == top(i) for j in place) > 1}
+        assert len(verified) == len(set(verified))
+
+
 def test_recall_on_given_lines(docs):
     """The share of edited lines that agree in a key with their originals: a tenth of their words replaced, but one at least, or one character."""
     rng = random.Random(2)

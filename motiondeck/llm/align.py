@@ -91,7 +91,10 @@ def edit_distance(a: str, b: str, limit: int) -> int:
         eq = where.get(c, 0)
         diagonal = (((eq & up) + up) ^ up) | eq | down
         more, less = down | (full & ~(diagonal | up)), up & diagonal
-        distance += bool(more & top) - bool(less & top)
+        if more & top:
+            distance += 1
+        elif less & top:
+            distance -= 1
         more, less = more << 1 & full | 1, less << 1 & full
         up, down = less | (full & ~(diagonal | more)), more & diagonal
     return distance
@@ -109,88 +112,16 @@ def likely_distance(a: str, b: str) -> int:
     return cost
 
 
-#: Pairs whose shorter text is longer than this are compared one by one; others many at a time.
-LONG = 1024
-#: Cells of the table of letters that one lot of pairs may take.
-_LOT_CELLS = 1 << 19
+#: Up to this length the recurrence is quicker than a look at the words.
+BRIEF = 64
 
 
 def within(pairs: list[tuple[str, str]], limits: list[int]) -> np.ndarray:
     """Whether the Levenshtein distance of each pair is at most its limit."""
     out = np.zeros(len(pairs), dtype=bool)
-    lots: dict[int, list[tuple[int, str, str]]] = {}
     for n, ((a, b), limit) in enumerate(zip(pairs, limits, strict=True)):
         if abs(len(a) - len(b)) > limit:
             continue
         a, b = trimmed(a, b) if len(a) <= len(b) else trimmed(b, a)
-        if len(b) <= limit or likely_distance(a, b) <= limit:
-            out[n] = True
-        elif len(a) > LONG:
-            out[n] = edit_distance(a, b, limit) <= limit
-        elif a:
-            lots.setdefault(-(-len(a) // 64), []).append((n, a, b))
-    for words, rows in lots.items():
-        rows.sort(key=lambda r: len(r[2]))
-        most = 512
-        while rows:
-            lot = rows[:most]
-            letters = np.unique(np.frombuffer("".join(a for _, a, _ in lot).encode("utf-32-le", "surrogatepass"), dtype=np.uint32))
-            if len(lot) > 1 and len(lot) * (len(letters) + 1) * words > _LOT_CELLS:
-                most = len(lot) // 2
-                continue
-            rows = rows[len(lot) :]
-            own = np.array([n for n, _, _ in lot])
-            out[own] = _lot_within([a for _, a, _ in lot], [b for _, _, b in lot], np.array(limits)[own], letters, words)
-    return out
-
-
-def _lot_within(one: list[str], two: list[str], limits: np.ndarray, letters: np.ndarray, words: int) -> np.ndarray:
-    """``within`` for pairs whose first texts take the same number of 64-bit words: the bit-parallel recurrence with a bit a character of the
-    first text, a column of all pairs at a time, differences carried from word to word. Pairs leave once they are decided."""
-
-    def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        lens = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        at = np.searchsorted(letters, flat)
-        at = np.where(letters[np.minimum(at, len(letters) - 1)] == flat, at, len(letters))  # the last one is any letter of no first text
-        row = np.repeat(np.arange(len(texts)), lens)
-        return lens, at, np.stack([row, np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)])
-
-    m, at, (row, place) = codes(one)
-    eq = np.zeros((len(one), len(letters) + 1, words), dtype=np.uint64)
-    np.bitwise_or.at(eq, (row, at, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
-    n, at, (row, place) = codes(two)
-    columns = np.full((int(n.max()), len(two)), len(letters), dtype=np.int64)
-    columns[place, row] = at
-    live, distance, out = np.arange(len(one)), m.copy(), np.zeros(len(one), dtype=bool)
-    last = ((m - 1) & 63).astype(np.uint64)
-    up, down = np.full((words, len(one)), ~np.uint64(0)), np.zeros((words, len(one)), dtype=np.uint64)
-    b1, b63, none = np.uint64(1), np.uint64(63), np.zeros(len(one), dtype=np.uint64)
-    for j, column in enumerate(columns):
-        if not j % 16:
-            left = n[live] - j
-            over = left <= 0
-            out[live[over]] = distance[live[over]] <= limits[live[over]]
-            stay = ~over & (distance[live] - left <= limits[live])
-            if not stay.all():
-                live, up, down, none = live[stay], up[:, stay], down[:, stay], none[stay]
-                if not len(live):
-                    break
-        found = eq[live, column[live]]
-        plus, minus = none | b1, none  # row 0 grows by one a column
-        for w in range(words):
-            e, p, d = found[:, w], up[w], down[w]
-            x = e | d
-            e = e | minus
-            h = (((e & p) + p) ^ p) | e
-            more, less = d | ~(h | p), p & h
-            if w == words - 1:
-                step = (more >> last[live] & b1).astype(np.int64) - (less >> last[live] & b1).astype(np.int64)
-                distance[live] += np.where(j < n[live], step, 0)
-            out_plus, out_minus = more >> b63, less >> b63
-            more, less = more << b1 | plus, less << b1 | minus
-            up[w], down[w] = less | ~(x | more), more & x
-            plus, minus = out_plus, out_minus
-    else:
-        out[live] = distance[live] <= limits[live]
+        out[n] = len(b) <= limit or len(b) > BRIEF and likely_distance(a, b) <= limit or edit_distance(a, b, limit) <= limit
     return out

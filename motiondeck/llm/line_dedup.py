@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
 from motiondeck.llm.align import within
-from motiondeck.llm.common import materialize, mix64, table, temporary
+from motiondeck.llm.common import materialize, mix64, shuffle_parts, table, temporary
 from motiondeck.llm.links import SMALL, components, filter_bits, filter_size, in_filter, linked, sized
 
 #: Up to this length (characters) lines are found by deletions, exactly.
@@ -58,6 +58,8 @@ WORTH = 0.05
 PAIRWISE = 4
 #: Lines that a task remembers to have met, so as to give keys once.
 REMEMBERED = 1 << 19
+#: Keys that a task packs at a time for the shuffle.
+HELD = 1 << 20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -293,17 +295,25 @@ def _slot(doc_id, line, size: int):
 
 
 def _texts(of, wanted, size: int):
-    """(id, plain) of lines at flagged places."""
+    """(id, plain) of lines at flagged places; no others are normalised."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, doc, number, lines in _numbered(batches, of.value):
-            some = np.flatnonzero(in_filter(wanted.value, _slot(doc, number.astype(np.int64), size)))
-            ids = lines.ids()[0]
-            some = some[np.unique(ids[some], return_index=True)[1]]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array([lines.text(i) for i in some.tolist()], pa.string())], names=["id", "plain"])
+        for batch in batches:
+            part = batch.filter(batch.column("text").is_valid())
+            parts = [x.split("\n") for x in part.column("text").to_pylist()]
+            counts = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+            doc = np.repeat(part.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False), counts)
+            number = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
+            flat = [x for one in parts for x in one]
+            at = np.flatnonzero(in_filter(wanted.value, _slot(doc, number, size))).tolist()
+            for k in range(0, len(at), 10000):
+                lines = Lines([flat[i] for i in at[k : k + 10000]], of.value)
+                ids, some = np.unique(lines.ids()[0], return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([lines.text(i) for i in some.tolist()], pa.string())], names=["id", "plain"])
 
     return run
 
+
 def _alike(similarity: float):
     """Pairs whose lines differ by at most a share of the longer one."""
     share = round(1000 - 1000 * similarity)
@@ -340,11 +350,82 @@ def apart(x: Callable, y: Callable) -> Column:
     return F.greatest(only(x, y), only(y, x))
 
 
+def _dealt(parts: int):
+    """Keys and ids of many lines as packed arrays, a row for each part of the keys that a task has met."""
+
+    def packed(keys: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
+        key, id = np.concatenate(keys), np.concatenate(ids)
+        part = (key.view(np.uint64) >> np.uint64(24)) % np.uint64(parts)
+        order = np.argsort(part)
+        part, key, id = part[order], key[order], id[order]
+        first = np.flatnonzero(np.diff(part.astype(np.int64), prepend=-1)).tolist()
+        ends = [*first[1:], len(part)]
+        columns = [[x[i:j].tobytes() for i, j in zip(first, ends, strict=True)] for x in (key, id)]
+        return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), *(pa.array(c, pa.binary()) for c in columns)], names=["part", "keys", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ids, held = [], [], 0
+        for batch in batches:
+            lists = batch.column("keys")
+            keys.append(lists.flatten().to_numpy())
+            ids.append(np.repeat(batch.column("id").to_numpy(), lists.value_lengths().to_numpy()))
+            held += len(keys[-1])
+            if held >= HELD:
+                yield packed(keys, ids)
+                keys, ids, held = [], [], 0
+        if held:
+            yield packed(keys, ids)
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id, n) of the keys of a partition that two lines or more have, each pair once; n is how many lines."""
+    keys, ids = [], []
+    for batch in batches:
+        for out, name in ((keys, "keys"), (ids, "ids")):
+            out += [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in batch.column(name)]
+    if not keys:
+        return
+    key, id = np.concatenate(keys), np.concatenate(ids)
+    del keys, ids
+    order = np.argsort(key)
+    key, id = key[order], id[order]
+    same = key[1:] == key[:-1]
+    some = np.append(same, False) | np.append(False, same)
+    key, id = key[some], id[some]
+    order = np.lexsort((id, key))
+    key, id = key[order], id[order]
+    once = np.append(True, (key[1:] != key[:-1]) | (id[1:] != id[:-1]))[: len(key)]
+    key, id = key[once], id[once]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    counts = np.diff(np.append(first, len(key)))
+    n = np.repeat(counts, counts)
+    key, id, n = key[n > 1], id[n > 1], n[n > 1]
+    for k in range(0, len(key), 10000):
+        yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 10000]) for x in (key, id, n)], names=["key", "id", "n"])
+
+
+def _of_ids(wanted, size: int):
+    """Rows whose ids are flagged: all that are wanted and few others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_filter(wanted.value, batch.column("id").to_numpy() % size)))
+
+    return run
+
+
 def line_buckets(firsts: DataFrame, similarity: float) -> DataFrame:
     """(key, id, *FACTS, n) of keys that two lines or more share. Crowded keys are split by length, into classes of which two similar lines share one."""
-    found = materialize(sized(firsts.select(F.explode("keys").alias("key"), "id"), []))
-    facts = firsts.groupBy("id").agg(*[F.min(c).alias(c) for c in FACTS])
-    found = materialize(found.join(facts.join(found.select("id").distinct(), "id", "left_semi"), "id"))
+    dealt = firsts.select("id", "keys").mapInArrow(_dealt(4 * shuffle_parts(firsts.sparkSession)), "part int, keys binary, ids binary")
+    found = materialize(dealt.repartition("part").mapInArrow(_shared, "key bigint, id bigint, n bigint"))
+    ids = found.select("id").distinct()
+    size = filter_size(ids.count())
+    wanted = firsts.sparkSession.sparkContext.broadcast(filter_bits(ids, F.pmod("id", F.lit(size)), size))
+    facts = firsts.select("id", *FACTS)
+    facts = facts.mapInArrow(_of_ids(wanted, size), facts.schema).groupBy("id").agg(*[F.min(c).alias(c) for c in FACTS])
+    found = materialize(found.join(facts, "id"))
     step = F.floor(F.log("size") / F.lit(-math.log(similarity)) * F.lit(1 - 1e-9)) if 0 < similarity < 1 else F.lit(0)
     classes = F.array(*[F.xxhash64(F.col("key"), (step + k).cast("bigint")) for k in (0, 1)])
     crowded = found.where(F.col("n") > SMALL).select("id", *FACTS, F.explode(classes).alias("key"))
@@ -389,14 +470,13 @@ def _dropped(docs: DataFrame, similarity: float) -> DataFrame:
         return verify
 
     groups = components(linked(line_buckets(firsts, similarity), FACTS, admissible, prepare, pairwise=PAIRWISE, rounds=8, worth=WORTH, once=True))
-    seen = found.groupBy("id", "tail").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first"))
-    seen = materialize(seen.join(groups, "id", "left").where("n > 1 or root is not null").select("id", "tail", "root", "first"))
     # a line that is linked to none is a group of its own
     group = [F.coalesce("root", "id").alias("root"), F.when(F.col("root").isNull(), F.col("tail")).alias("of")]
-    seen = seen.select("id", "tail", *group, "first")
-    stays = seen.groupBy("root", "of").agg(F.min("first").alias("stays")).withColumnsRenamed({"root": "r", "of": "o"})
-    repeated = seen.join(stays, (F.col("root") == F.col("r")) & F.col("of").eqNullSafe(F.col("o"))).select("id", "tail", "stays")
-    return found.select("doc_id", "line", "id", "tail").join(repeated, ["id", "tail"]).where(~F.struct("doc_id", "line").eqNullSafe(F.col("stays"))).select("doc_id", "line")
+    seen = found.groupBy("id", "tail").agg(F.count("*").alias("n")).join(groups, "id", "left").where("n > 1 or root is not null").select("id", "tail", *group)
+    met = materialize(found.select("doc_id", "line", "id", "tail").join(seen, ["id", "tail"]).select("doc_id", "line", "root", "of"))
+    stays = met.groupBy("root", "of").agg(F.min(F.struct("doc_id", "line")).alias("stays")).withColumnsRenamed({"root": "r", "of": "o"})
+    repeated = met.join(stays, (F.col("root") == F.col("r")) & F.col("of").eqNullSafe(F.col("o")))
+    return repeated.where(~F.struct("doc_id", "line").eqNullSafe(F.col("stays"))).select("doc_id", "line")
 
 
 def dedup_lines(docs: DataFrame, *, similarity: float = 0.8) -> DataFrame:

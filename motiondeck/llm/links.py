@@ -79,7 +79,8 @@ def linked(buckets: DataFrame, attributes: list[str], admissible: Callable, prep
     fits(x, y): a Column, whether two ids can be a link by their first attribute alone.
     enough(n, x, y): a Column, by their first attribute too, whether two ids that share at most n keys can be a link at all.
     pairwise: buckets up to this size are compared pair by pair at once. Larger ones have a round of hubs, and those over SMALL up to ``rounds``,
-    as long as a round links at least the share ``worth`` of the pairs that it verifies. once: pairs across groups are made at the least key they share alone.
+    as long as a round links at least the share ``worth`` of the pairs that it verifies. once: pairs across groups are made at the least key they share alone,
+    and links within a group may be returned as those of its members to its root.
     """
 
     def side(df: DataFrame, prefix: str) -> DataFrame:
@@ -117,11 +118,16 @@ def linked(buckets: DataFrame, attributes: list[str], admissible: Callable, prep
     row = F.struct("id", *attributes)
     for _ in range(rounds):
         lot = F.struct(-F.col("weight"), F.xxhash64("id"))  # the same in all buckets
-        hubs = rest.groupBy("key").agg(F.min_by(row, lot).alias("h"))
-        if left is not None:
-            others = left.groupBy("key").agg(F.min_by(row, lot).alias("other"))
-            hubs = hubs.join(others, "key", "left").select("key", F.coalesce("other", "h").alias("h"))
-        tried = materialize(rest.join(hubs.select("key", F.col("h.id").alias("hub"), *[F.col(f"h.{c}").alias(f"hub_{c}") for c in attributes]), "key"))
+        hub = [F.col("h.id").alias("hub"), *[F.col(f"h.{c}").alias(f"hub_{c}") for c in attributes]]
+        if left is None and once:
+            # every key has a hub: one sort by key instead of an aggregate and a join
+            tried = materialize(rest.withColumn("h", F.min_by(row, lot).over(Window.partitionBy("key"))).select(*rest.columns, *hub))
+        else:
+            hubs = rest.groupBy("key").agg(F.min_by(row, lot).alias("h"))
+            if left is not None:
+                others = left.groupBy("key").agg(F.min_by(row, lot).alias("other"))
+                hubs = hubs.join(others, "key", "left").select("key", F.coalesce("other", "h").alias("h"))
+            tried = materialize(rest.join(hubs.select("key", *hub), "key"))
         pairs = tried.where((F.col("id") != F.col("hub")) & admissible(lambda c: F.col(f"hub_{c}"), F.col))
         pairs = pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
         pairs = materialize(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
@@ -137,7 +143,8 @@ def linked(buckets: DataFrame, attributes: list[str], admissible: Callable, prep
             known, before = links.count(), known
             if known - before < worth * pairs.count():
                 break
-    grouped = large.join(components(links), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    groups = components(links)
+    grouped = large.join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
     main = grouped.groupBy("key").agg(F.mode("root", deterministic=True).alias("main"), F.count_distinct("root").alias("roots")).where("roots > 1").drop("roots")
     grouped = materialize(grouped.join(main, "key").select("key", "id", *attributes, "root", "main"))
     if grouped.isEmpty():
@@ -153,6 +160,9 @@ def linked(buckets: DataFrame, attributes: list[str], admissible: Callable, prep
     odd = grouped.where("root <> main")
     across = pairs_of(odd, grouped, differ)
     across = materialize(across.join(seen, ["a", "b"], "left_anti"))
+    if once:
+        # the groups are known: each id's link to its root says as much as all links within a group
+        links = groups.select(F.col("id").alias("a"), F.col("root").alias("b"))
     return links.unionAll(verify(across))
 
 

@@ -407,6 +407,45 @@ def test_fingerprints_of_lines_do_not_depend_on_their_company(seed):
     assert together.number.tolist() == of
 
 
+class Held:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_only_wanted_lines_are_normalised(monkeypatch):
+    texts = ["One, two\n--\nThree", None, "\n".join(f"line {k}" for k in range(500)), "", "three"]
+    batch = pa.RecordBatch.from_arrays([pa.array([4, 5, None, 7, -8], pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    seen, whole = [], line_dedup.Lines
+    monkeypatch.setattr(line_dedup, "Lines", lambda found, of: seen.extend(found) or whole(found, of))
+    size = 1 << 16
+    slots = [line_dedup._slot(np.int64(d), np.int64(k), size) for d, k in [(4, 2), (4, 1), (-1, 7), (-8, 0)]]
+    bits = np.zeros(size >> 6, dtype=np.uint64)
+    for x in slots:
+        bits[x >> 6] |= np.uint64(1) << np.uint64(x & 63)
+    got = [r for b in line_dedup._texts(Held(line_dedup.letters()), Held(bits), size)([batch]) for r in b.to_pylist()]
+    assert sorted(r["plain"] for r in got) == ["line 7", "three"] and len(seen) < 10  # of 505 lines
+    assert {r["plain"]: r["id"] for r in got} == {x: int(whole([x], line_dedup.letters()).ids()[0][0]) for x in ("line 7", "three")}
+
+
+@pytest.mark.parametrize("held", [1, 40, 1 << 20])
+def test_packed_keys_meet(monkeypatch, held):
+    """Keys that two lines or more share, whatever tasks and lots they come in, a pair of key and id once."""
+    monkeypatch.setattr(line_dedup, "HELD", held)
+    rng = random.Random(held)
+    rows = [(rng.choice([-7, 3, 1 << 62, -(1 << 63)]) + i // 2, sorted({rng.randint(-(1 << 63), (1 << 63) - 1) // 2 if rng.random() < 0.5 else rng.randint(-9, 9) << 20 for _ in range(rng.randint(0, 12))})) for i in range(80)]
+    rows += rows[:9]
+    batches = [pa.RecordBatch.from_arrays([pa.array([i for i, _ in part], pa.int64()), pa.array([k for _, k in part], pa.list_(pa.int64()))], names=["id", "keys"]) for part in (rows[:30], rows[30:31], rows[31:])]
+    dealt = [b for part in (batches[:2], batches[2:]) for b in line_dedup._dealt(5)(part)]
+    parts = {p for b in dealt for p in b.column("part").to_pylist()}
+    got = [tuple(r.values()) for p in parts for b in line_dedup._shared([b.filter(pa.compute.equal(b.column("part"), p)) for b in dealt]) for r in b.to_pylist()]
+    owners = {}
+    for i, keys in rows:
+        for k in keys:
+            owners.setdefault(k, set()).add(i)
+    assert sorted(got) == sorted((k, i, len(own)) for k, own in owners.items() if len(own) > 1 for i in own)
+    assert parts <= set(range(5)) and list(line_dedup._shared([])) == []
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_tiny_lines_share_what_deletions_leave(seed):
     rng = random.Random(seed)

@@ -1,8 +1,10 @@
 """The text operators against brute force, exact round trips or held-out rows, and on awkward rows."""
 
 import hashlib
+import os
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -214,6 +216,34 @@ def test_unlinked_rows_of_null_or_repeated_ids_stay(spark):
     assert Counter((r.doc_id, r.text) for r in kept) == Counter(expected)
 
 
+def test_what_was_shuffled_goes_with_the_write(spark):
+    def shuffled():
+        return {f.getName() for f in map(files.apply, range(files.size())) if f.getName().startswith("shuffle_")} if (files := disk.getAllFiles()) else set()
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before, setting = shuffled(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held = spark.conf.get(setting, None)
+    found = materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    end = time.time() + 20  # files go in the background
+    while shuffled() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not shuffled() - before and found.count() == 7 and spark.conf.get(setting, None) == held
+
+
+def test_keys_of_documents_go_before_sets_are_compared(spark, monkeypatch):
+    def looked(buckets, *rest):
+        folder = os.path.dirname(os.path.dirname(buckets.inputFiles()[0].removeprefix("file:")))
+        seen.extend("keys" in spark.read.parquet(f"{folder}/{t}").columns for t in set(os.listdir(folder)) - before)
+        return links.linked(buckets, *rest)
+
+    before = set(os.listdir(os.path.dirname(os.path.dirname(materialize(spark.range(1)).inputFiles()[0].removeprefix("file:")))))
+    seen, rows = [], near_copies(1)
+    monkeypatch.setattr(ngram_join, "linked", looked)
+    found = ngram_join.join_components(spark.createDataFrame(rows, "doc_id bigint, text string"), words=4, percent=85)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == brute_components(rows, 4, 85)
+    assert len(seen) >= 2 and not any(seen)
+
+
 def test_connected_groups(spark):
     ids = [i.to_bytes(16, "big") for i in range(40)]
     pairs = [(i, i + 1) for i in range(19)] + [(25, 39), (39, 30)]

@@ -11,8 +11,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from motiondeck.operators.matching import assignment
@@ -202,27 +204,46 @@ def clock_step(last: float | None, media: float | None, frame: int, fps: float)
 Step = Callable[[dict | None, pd.Series], tuple[dict, list[tuple]]]
 
 
+#: What a task holds as Python objects at once: rows in of so many bytes of Arrow's (one row at least), so many rows out.
+HELD_BYTES, HELD_ROWS = 1 << 18, 256
+
+
+def records(batch: pa.RecordBatch) -> Iterator[dict]:
+    """A batch's rows as dictionaries, a few of them at a time; missing numbers are NaN."""
+    numbers = [f.name for f in batch.schema if pa.types.is_integer(f.type) or pa.types.is_floating(f.type)]
+    some = max(1, batch.num_rows * HELD_BYTES // max(1, batch.nbytes))
+    for i in range(0, batch.num_rows, some):
+        for row in batch.slice(i, some).to_pylist():
+            yield row | {c: np.nan for c in numbers if row[c] is None}
+
+
 def run_grouped(df: DataFrame, keys: list[str], order: list[str], step: Step, schema: str) -> DataFrame:
-    """A step function over each group's rows in order. A task streams through sorted rows and holds a batch and one group's state, so a
-    group of any size fits; groups run side by side. Rows whose order is NULL come last."""
+    """A step function over each group's rows in order. A task streams through sorted rows and holds a batch, a few of its rows as Python
+    objects and one group's state, so a group of any size and rows of any width fit; groups run side by side. Rows whose order is NULL come last."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, rows = None, None, []
         for batch in batches:
-            rows = []
-            for row in batch.to_dict("records"):
+            for row in records(batch):
                 own = tuple(None if v != v else v for v in (row[k] for k in keys))
                 if own != key:
                     key, state = own, None
                 state, out = step(state, row)
                 rows += [(*own, *r) for r in out]
-            yield pd.DataFrame(rows, columns=names)
+                if len(rows) >= HELD_ROWS:
+                    yield packed(rows)
+                    rows = []
+        yield packed(rows)
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(kind)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type, from_pandas=True) for c, f in zip(columns, kind, strict=True)], schema=kind)
 
     kinds = dict(df.dtypes)
     whole = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], schema])
-    names = StructType.fromDDL(whole).names
+    kind = to_arrow_schema(StructType.fromDDL(whole))
     by = [*keys, *[F.col(c).asc_nulls_last() for c in order]]
-    return df.repartition(*keys).sortWithinPartitions(*by).mapInPandas(run, whole)
+    return df.repartition(*keys).sortWithinPartitions(*by).mapInArrow(run, whole)
 
 
 def run_stream(df: DataFrame, keys: list[str], order: list[str], step: Step, schema: str, idle_ms: int | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 """Assignment, suppression, smoothing, fusion and recursive filters against brute force or closed forms."""
 
+import os
 from datetime import datetime, timedelta
 from itertools import permutations
 
@@ -197,6 +198,25 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     assert got.keys() == batch.keys() and all(np.allclose(got[k], batch[k]) for k in got)
 
 
+def test_a_task_holds_few_rows_as_objects(spark):
+    def step(state, row):
+        held = int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+        return None, [(row["i"], held, [{"x": float(k), "y": row["i"] + 0.5} for k in range(300)])]
+
+    df = spark.range(8000).select(F.lit(1).alias("k"), F.col("id").alias("i"))
+    found = filters.run_grouped(df, ["k"], ["i"], step, "i bigint, held bigint, p array<struct<x: double, y: double>>")
+    got = found.select("i", "held", F.size("p").alias("n"), F.col("p")[7].alias("q")).toPandas()
+    assert got.i.tolist() == list(range(8000)) and (got.n == 300).all() and got.q[7999] == (7.0, 7999.5)
+    assert got.held.max() - got.held[500] < 150e6  # all rows as objects are over 500 MB
+
+
+def test_missing_numbers_and_keys_of_grouped_rows(spark):
+    df = spark.createDataFrame([(None, 0, None, None, "a"), (None, 1, 2.5, 7, None), (3, 0, None, 1, "b")], "k int, i int, v double, n int, s string")
+    step = lambda state, row: ((state or 0) + 1, [(state, row["v"], float(row["n"]), row["s"])])
+    got = filters.run_grouped(df, ["k"], ["i"], step, "seen int, v double, n double, s string").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, None, None, None, "a"), (None, 1, 2.5, 7.0, None), (3, None, None, 1.0, "b")], key=str)
+
+
 def test_windowed_monitor(spark, tmp_path):
     from motiondeck.streaming import monitor
 

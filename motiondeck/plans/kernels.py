@@ -10,7 +10,7 @@ from motiondeck.catalog import register
 from motiondeck.operators import features, fusion, graph, grid, matching
 from motiondeck.plans.proxies import KPT, SIG, kpt, rounded, sig, table
 from motiondeck.sources.schema import BILATERAL, BODY_WINDOW_METRICS
-from motiondeck.streaming import filters
+from motiondeck.streaming import filters, lockstep
 
 #: A rig of three cameras that looks along z.
 RIG = {
@@ -112,15 +112,8 @@ def bone_smoothing(spark, sf_dir):
 @register("track_smoothing")
 def track_smoothing(spark, sf_dir):
     """Events of a user as detections in frames of four: tracked, smoothed and carried."""
-    s = sig(spark, sf_dir)
-    df = s.groupBy("user_id", F.floor(F.col("event_id") / 400).alias("frame")).agg(F.array_sort(F.collect_list(F.struct("event_id", "value", "k"))).alias("dets"))
-
-    def step(state, row):
-        found = [(np.array([[float(d["value"]), float(d["k"])]]), np.array([1.0])) for d in row["dets"]]
-        state, out = filters.track_step(state, row["frame"] / 30.0, found, filters.Tracker(reach=30.0))
-        return state, [(int(row["frame"]), int(r["track_id"]), r["det"], int(r["age"]), int(r["misses"]), float(r["points"][0, 0]), float(r["points"][0, 1])) for r in out]
-
-    return rounded(filters.run_grouped(df, ["user_id"], ["frame"], step, "frame bigint, track_id int, det int, age int, misses int, x double, y double"))
+    dets = sig(spark, sf_dir).select("user_id", F.floor(F.col("event_id") / 400).alias("frame"), "event_id", "value", F.col("k").cast("double").alias("k"))
+    return rounded(lockstep.track_points(dets, ["user_id"], "frame", ["event_id", "value", "k"], "value", "k", 30.0, filters.Tracker(reach=30.0)))
 
 
 @register("detection_smoothing")

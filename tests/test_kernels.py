@@ -6,12 +6,13 @@ from itertools import permutations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from motiondeck.operators import fusion, matching, stats
 from motiondeck.plans.kernels import RIG
-from motiondeck.streaming import filters
+from motiondeck.streaming import filters, lockstep
 
 
 def brute(cost, limit):
@@ -217,6 +218,49 @@ def test_missing_numbers_and_keys_of_grouped_rows(spark):
     assert sorted(map(tuple, got), key=str) == sorted([(None, None, None, None, "a"), (None, 1, 2.5, 7.0, None), (3, None, None, 1.0, "b")], key=str)
 
 
+def scalar_tracks(rows, p):
+    """Rows (key, frame, x, y) tracked frame by frame."""
+    out, states, frames = [], {}, {}
+    for key, frame, *at in rows:
+        frames.setdefault((key, frame), []).append((np.array([[np.nan if v is None else v for v in at]], float), np.array([1.0])))
+    for (key, frame), dets in frames.items():
+        states[key], found = filters.track_step(states.get(key), frame / 30, dets, p)
+        out += [(key, frame, r["track_id"], r["det"], r["age"], r["misses"], *r["points"][0].tolist()) for r in found]
+    return out
+
+
+TRACKED = pa.schema([("k", pa.int32()), ("f", pa.int64()), *[(n, pa.int32()) for n in ("track_id", "det", "age", "misses")], ("x", pa.float64()), ("y", pa.float64())])
+
+
+@pytest.mark.parametrize("held, costs", [(1 << 20, 1 << 21), (50, 40), (1, 1)])
+@pytest.mark.parametrize("seed", range(4))
+def test_series_side_by_side_are_those_step_by_step(monkeypatch, seed, held, costs):
+    for name, value in (("HELD", held), ("COSTS", costs), ("OUT", 64)):
+        monkeypatch.setattr(lockstep, name, value)
+    rng = np.random.default_rng(seed)
+    p = filters.Tracker(reach=8.0, grace=3, step_cap=4.0, still=seed == 2, euro=filters.Euro(cap=3.0, rest_cutoff=None if seed == 3 else 0.05))
+    rows = []
+    for key in (None, *range(9)):
+        for frame in np.flatnonzero(rng.random(140 if key == 0 else 60) < 0.7).tolist():
+            for _ in range(int(rng.integers(1, 12 if key == 4 else 4))):  # whole numbers make ties
+                x, y = (float(v) for v in (rng.integers(0, 20, 2) if rng.random() < 0.5 else rng.random(2) * 20))
+                rows.append((key, 100 + frame, None if rng.random() < 0.03 else x, y))
+    table = pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=["k", "f", "x", "y"])
+    found = pa.Table.from_batches(lockstep.tracked(["k"], "f", "x", "y", 30.0, p, TRACKED)(iter(table.to_batches(max_chunksize=37))), TRACKED)
+    by = lambda r: (-1 if r[0] is None else r[0], *r[1:3])
+    got, expected = sorted((tuple(r.values()) for r in found.to_pylist()), key=by), sorted(scalar_tracks(rows, p), key=by)
+    assert [r[:6] for r in got] == [r[:6] for r in expected] and any(r[3] is None for r in got)
+    assert np.allclose([r[6:] for r in got], [r[6:] for r in expected], rtol=0, atol=1e-9)
+
+
+def test_many_series_take_few_steps(monkeypatch):
+    calls, step = [], lockstep._step
+    monkeypatch.setattr(lockstep, "_step", lambda *a: calls.append(1) or step(*a))
+    batch = pa.record_batch({"k": np.repeat(np.arange(2000, dtype=np.int32), 30), "f": np.tile(np.arange(30), 2000), "x": np.tile(np.arange(30.0), 2000), "y": np.zeros(60000)})
+    found = pa.Table.from_batches(lockstep.tracked(["k"], "f", "x", "y", 30.0, filters.Tracker(reach=30.0), TRACKED)(iter([batch])), TRACKED).to_pandas()
+    assert len(found) == 60000 and (found.track_id == 0).all() and found.age.max() == 30 and len(calls) == 30
+
+
 def test_windowed_monitor(spark, tmp_path):
     from motiondeck.streaming import monitor
 

@@ -116,23 +116,27 @@ def sparse_assignment(left: np.ndarray, right: np.ndarray, cost: np.ndarray) ->
     return np.array(sorted(e for e in by[:m] if e >= 0), dtype=int)
 
 
-def by_group(df: DataFrame, keys: list[str], order: list[str], solve: Callable[[pd.DataFrame], list[tuple]], schema: str) -> DataFrame:
+def by_group(df: DataFrame, keys: list[str], order: list[str], solve: Callable[[pd.DataFrame], list[tuple]], schema: str, parts: int | None = None) -> DataFrame:
     """The rows that solve makes of each group's rows in order. Tasks stream through sorted partitions and hold a batch and one group, so many
-    small groups cost no more than their rows."""
+    small groups cost no more than their rows. With parts, for few rows of much work each, there are so many tasks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in batches:
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            own = list(zip(*(_plain(rows[k]) for k in keys), strict=True)) if keys else [()] * len(rows)
-            starts = [i for i in range(len(own)) if not i or own[i] != own[i - 1]]
-            held = rows.iloc[starts[-1] :] if starts else None
-            yield pd.DataFrame([r for a, b in zip(starts, starts[1:], strict=False) for r in solve(rows.iloc[a:b])], columns=columns)
-        if held is not None and len(held):
-            yield pd.DataFrame(solve(held), columns=columns)
+        held, last = [], None
+        for batch in filter(len, batches):
+            own = list(zip(*(_plain(batch[k]) for k in keys), strict=True)) if keys else [()] * len(batch)
+            starts = [i for i in range(len(own)) if own[i] != (own[i - 1] if i else last)]
+            if not starts:
+                held.append(batch)
+                continue
+            rows = solve(pd.concat([*held, batch.iloc[: starts[0]]], ignore_index=True)) if held else []
+            rows += [r for a, b in zip(starts, starts[1:], strict=False) for r in solve(batch.iloc[a:b])]
+            held, last = [batch.iloc[starts[-1] :]], own[-1]
+            yield pd.DataFrame(rows, columns=columns)
+        if held:
+            yield pd.DataFrame(solve(pd.concat(held, ignore_index=True)), columns=columns)
 
     columns = StructType.fromDDL(schema).names
-    dealt = df.repartition(*keys) if keys else df.coalesce(1)
+    dealt = df.repartition(*([parts] if parts else []), *keys) if keys else df.coalesce(1)
     return dealt.sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 

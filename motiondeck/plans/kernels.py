@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from motiondeck.catalog import register
-from motiondeck.operators import features, fusion, graph, grid, matching
+from motiondeck.operators import features, fusion, grid, matching, near
 from motiondeck.plans.proxies import KPT, SIG, kpt, rounded, sig, table
 from motiondeck.sources.schema import BILATERAL, BODY_WINDOW_METRICS
 from motiondeck.streaming import filters, lockstep
@@ -27,8 +27,7 @@ def optimal_match(spark, sf_dir):
     d = kpt(spark, sf_dir).select("label", "vec_id", "p0_x", "p0_y", "p0_z")
     a = d.where("vec_id % 2 = 0").select("label", F.col("vec_id").alias("left_id"), *[F.col(f"p0_{c}").alias(f"a{c}") for c in "xyz"])
     b = d.where("vec_id % 2 = 1").select("label", F.col("vec_id").alias("right_id"), *[F.col(f"p0_{c}").alias(c) for c in "xyz"])
-    pairs = graph.near_pairs(a, b, ["label"], ["ax", "ay", "az"], ["x", "y", "z"], 0.06)
-    return rounded(matching.match(pairs, ["label"], "left_id", "right_id"))
+    return rounded(near.match_near(a, b, ["label"], "left_id", "right_id", ["ax", "ay", "az"], ["x", "y", "z"], 0.06))
 
 
 _BOXES = f"WITH RECURSIVE {SIG}, b AS (SELECT user_id, CAST(floor(t / 86400) AS BIGINT) AS day, event_id AS det_id, value % 10 AS x1, CAST(k % 10 AS DOUBLE) AS y1, 0.1 + k / 100 AS score FROM sig)"

@@ -3,12 +3,14 @@
 import json
 import math
 import random
+import tracemalloc
+from itertools import product
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from motiondeck.operators import fallback, fusion, grading, graph, matching, report
+from motiondeck.operators import fallback, fusion, grading, graph, matching, near, report
 from motiondeck.plans import recovery
 from motiondeck.streaming import wholebody
 from motiondeck.streaming.filters import Euro, euro_step
@@ -204,6 +206,53 @@ def as_rows(video, frames):
     return [(video, f, t, [{"points": [{"x": x, "y": y} for x, y in points], "scores": scores} for points, scores in people]) for f, t, people in frames]
 
 
+@pytest.mark.parametrize("known", [1 << 24, 0])
+@pytest.mark.parametrize("seed", range(30))
+def test_near_points_match_as_their_pairs_do(monkeypatch, seed, known):
+    monkeypatch.setattr(near, "KNOWN", known)
+    rng = np.random.default_rng(seed)
+    (n, m), wide = rng.integers(1, 60, 2), rng.choice([0.2, 0.5, 1.0])
+    a, b = (rng.random((k, 3)) * wide - 0.1 for k in (n, m))
+    if seed % 3 == 0:  # ties
+        a, b = np.round(a * 20) / 20, np.round(b * 20) / 20
+    ids, others = (rng.integers(0, k, k) if seed % 5 == 0 else np.arange(k) for k in (n, m))
+    (_, ids), (_, others) = (np.unique(x, return_inverse=True) for x in (ids, others))
+    cost = {}
+    for i, j in product(range(n), range(m)):
+        if (c := float(np.sqrt(((a[i] - b[j]) ** 2).sum()))) < 0.17:
+            cost[ids[i], others[j]] = min(c, cost.get((ids[i], others[j]), 1.0))
+    edges = [np.array([e[k] for e in cost], dtype=int) for k in (0, 1)]
+    best = matching.sparse_assignment(*edges, np.array(list(cost.values())))
+    points = near.Near(a, ids, b, others, 0.17)
+    found = near.near_assignment(points, ids.max() + 1, others.max() + 1)
+    assert len(found) == len(best) == len({i for i, _ in found}) == len({j for _, j in found})
+    assert sum(points.cost(i, j) for i, j in found) == pytest.approx(sum(list(cost.values())[e] for e in best), abs=1e-9)
+    assert seed % 3 == 0 or found == sorted((edges[0][e], edges[1][e]) for e in best)
+
+
+@pytest.mark.parametrize("whole", [10**6, 20])
+def test_near_matches_are_those_of_all_pairs_whole_or_split(spark, whole):
+    rng = random.Random(3)
+    rows = [(k, i, *(rng.random() + 3 * (rng.random() < 0.2) for _ in "xyz")) for k in ("a", "b", None) for i in range(40 if k == "a" else 8)] + [("a", 99, float("nan"), 0.0, 0.0), ("a", None, 0.0, 0.0, 0.0)]
+    a, b = (spark.createDataFrame([r for n, r in enumerate(rows) if n % 2 == s], f"k string, {i} bigint, {u} double, {v} double, {w} double") for s, (i, u, v, w) in enumerate((("l", "u", "v", "w"), ("r", "x", "y", "z"))))
+    expected = matching.match(graph.near_pairs(a, b, ["k"], [*"uvw"], [*"xyz"], 0.7), ["k"], "l", "r")
+    found = near.match_near(a, b, ["k"], "l", "r", [*"uvw"], [*"xyz"], 0.7, whole)
+    assert found.dtypes == expected.dtypes
+    got, wanted = ({(r.k, r.l, r.r): r.cost for r in f.collect()} for f in (found, expected))
+    assert got.keys() == wanted.keys() and len(got) > 10 and all(got[e] == pytest.approx(wanted[e]) for e in got)
+
+
+def test_many_near_pairs_take_memory_of_their_points(monkeypatch):
+    monkeypatch.setattr(near, "KNOWN", 10000)
+    rng = np.random.default_rng(0)
+    a, b = rng.random((2, 1500, 3))
+    tracemalloc.start()
+    points = near.Near(a, np.arange(1500), b, np.arange(1500), 0.5)
+    assert len(near.near_assignment(points, 1500, 1500)) == 1500  # of some 700,000 pairs
+    assert tracemalloc.get_traced_memory()[1] < 4e6
+    tracemalloc.stop()
+
+
 @pytest.mark.parametrize("n", [5, 133])
 def test_whole_bodies_are_those_of_brute_force(spark, n):
     rng, p = random.Random(7), wholebody.WholeBody()
